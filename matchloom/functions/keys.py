@@ -207,7 +207,7 @@ def binding_mode(has_reference) -> Column:
 
 
 # Spellings of "no school".
-NO_SCHOOL = ("", "0", "-", "--", "—", "na", "n/a", "nan", "<na>", "<nan>")
+NO_SCHOOL = ("", "0", "-", "—", "_", "na", "n/a", "n a", "nan", "<na>", "<nan>")
 
 
 def no_school(c) -> Column:

@@ -33,18 +33,19 @@ def number_rows(
     names = [n for n, _ in levels]
     keyed = df.select("*", *[e.alias(n) for n, e in levels])
     cells = keyed.groupBy(*by, *names).agg(F.count(F.lit(1)).alias("__n"))
-    cells = cells.withColumn("__off", F.lit(0).cast("bigint"))
-    for depth in range(len(names)):
-        # Running total of this level inside the enclosing cell; the outermost level
-        # is a window over per-cell counts only.
-        cell = [*by, *names[: depth + 1]]
-        total = cells.groupBy(*cell).agg(F.sum("__n").alias("__t"))
-        scope = [*by, *names[:depth]]
-        part = W.partitionBy(*scope) if scope else W.partitionBy(F.lit(0))
-        run = part.orderBy(names[depth]).rowsBetween(W.unboundedPreceding, -1)
-        total = total.select(*cell, F.coalesce(F.sum("__t").over(run), F.lit(0)).alias("__o"))
-        cells = lookup(cells, total, cell, ["__o"]).withColumn("__off", F.col("__off") + F.col("__o"))
-        cells = cells.drop("__o")
+    scope = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    if len(names) == 1:
+        cells = cells.withColumn("__off", F.sum("__n").over(before(scope.orderBy(*names))))
+    else:
+        # Outer cells first (few rows per group), then the inner cells of each outer one.
+        outer = cells.groupBy(*by, names[0]).agg(F.sum("__n").alias("__t"))
+        outer = outer.withColumn("__o", F.sum("__t").over(before(scope.orderBy(names[0]))))
+        inner = W.partitionBy(*by, names[0]).orderBy(*names[1:])
+        cells = lookup(cells, outer, [*by, names[0]], ["__o"]).withColumn(
+            "__off", F.coalesce("__o", F.lit(0)) + F.coalesce(F.sum("__n").over(before(inner)), F.lit(0))
+        )
+    cells = cells.select(*by, *names, F.coalesce("__off", F.lit(0)).cast("bigint").alias("__off"))
     joined = lookup(keyed, cells, [*by, *names], ["__off"])
     inside = W.partitionBy(*by, *names).orderBy(*order)
     return joined.withColumn(name, F.row_number().over(inside).cast("bigint") + F.col("__off")).drop(
