@@ -12,6 +12,7 @@ from matchloom.functions import ids, keys, text
 from matchloom.operators import governance
 from matchloom.operators.numbering import first_row, lookup, number_rows
 from matchloom.operators.references import center_from_manager, school_codes, school_names
+from matchloom.session import cut_lineage
 
 SCHOOL_COLUMNS = ("school_code_1", "school_name_1", "school_code_2", "school_name_2",
                   "school_code_3", "school_name_3", "school_code_4", "school_name_4")
@@ -373,9 +374,11 @@ def build_matrix(report: DataFrame, schools: DataFrame, manager_map: DataFrame,
     issues, _ = school_mismatches(report, schools)
     valid = valid.join(issues.select("row_index").distinct(), "row_index", "left_anti")
     base = base_rows(valid, schools, manager_map, policy)
-    base = first_row(base, ["mentor_id", "center_code"], ["row_index"])
+    # Every output table reads the base and the rows: store both once.
+    base = cut_lineage(first_row(base, ["mentor_id", "center_code"], ["row_index"]))
     rows = explode_rows(base, "NORMAL", policy).unionByName(explode_rows(base, "SCHOOL", policy))
     kept_rows, stats = matrix_dedupe(name_rows(rows, schools), policy)
+    kept_rows = cut_lineage(kept_rows)
     matrix = matrix_number(kept_rows)
     coverage = group_coverage(kept_rows, base, policy)
     return MatrixBuild(
