@@ -234,7 +234,7 @@ def expand_group_names(
         [(k, v) for k, v in BUCKET_SYNONYMS.items()], "src string, level string"
     ).select(text.norm_text("src").alias("t"), "level")
     hits = []
-    number = text.numlike_long("t")
+    number = text.to_long("t")
     hits.append(
         distinct.withColumn("n", number).join(xw, F.col("n") == xw["group_code"]).select(
             "t", F.lit(0).alias("p"), "group_code", "group_name"
