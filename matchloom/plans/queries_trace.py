@@ -153,9 +153,7 @@ def selection_reasons(t):
 
 @query(
     "X9_trace_ladder",
-    f"""WITH {FUNNEL}, {LONG}, pb AS (SELECT group_code g, gender_code d, grad_status_code t, unnest([CAST(center_code AS VARCHAR), '*']) AS c,
-        unnest(CASE WHEN has_school_constraint THEN ['*', 'R:' || school_code] ELSE ['*', 'U', 'U:' || school_code] END) AS h FROM (SELECT * FROM mentors)),
-      pbx AS (SELECT m.group_code g, m.gender_code d, m.grad_status_code t, cc.c, hh.h, count(*) AS rows FROM mentors m, LATERAL (SELECT unnest([CAST(m.center_code AS VARCHAR), '*']) AS c) cc,
+    f"""WITH {FUNNEL}, {LONG}, pbx AS (SELECT m.group_code g, m.gender_code d, m.grad_status_code t, cc.c, hh.h, count(*) AS rows FROM mentors m, LATERAL (SELECT unnest([CAST(m.center_code AS VARCHAR), '*']) AS c) cc,
         LATERAL (SELECT unnest(CASE WHEN m.has_school_constraint THEN ['*', 'R:' || m.school_code] ELSE ['*', 'U', 'U:' || m.school_code] END) AS h) hh GROUP BY ALL),
       sb AS (SELECT s.student_id, s.group_code g, s.gender_code d, s.grad_status_code t, cc.c, hh.h FROM students_gap s, LATERAL (SELECT unnest(CASE WHEN s.center_code = 0 THEN ['0'] ELSE ['0', CAST(s.center_code AS VARCHAR)] END) AS c) cc,
         LATERAL (SELECT unnest(CASE WHEN s.school_code = 0 THEN ['U'] ELSE ['R:' || s.school_code, 'U:0', 'U:' || s.school_code] END) AS h) hh),
