@@ -10,7 +10,7 @@ from matchloom.operators import quality as Q
 from matchloom.operators import trace as T
 from matchloom.plans import check_sql as ck
 from matchloom.plans.queries_matching import FUNNEL
-from matchloom.plans.queries_trace import FAILING, PRE, SM
+from matchloom.plans.queries_trace import FAILING, ORDER_CHECK, PRE, SM
 from matchloom.plans.registry import query
 
 _DUAL = ",".join(str(c) for c in DUAL_STATUS)
@@ -261,7 +261,10 @@ def run_all(t):
     return Q.run_all(_rules(t))[1]
 
 
-@query("Q17_output_contract")
+@query(
+    "Q17_output_contract",
+    f"SELECT 'OUTPUT_CONTRACT' AS rule_id, 'error' AS level, CAST(student_id AS VARCHAR) AS subject, issue AS detail FROM ({ORDER_CHECK}) UNION ALL SELECT 'OUTPUT_CONTRACT', 'error', 'mentor_alias_code', 'missing column'",
+)
 def output_contract(t):
     from matchloom.plans.queries_trace import trace_order_check
 

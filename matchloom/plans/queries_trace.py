@@ -166,13 +166,19 @@ def trace_ladder(t):
     return T.trace_ladder(tl, t.students_gap, t.mentors).select("student_id", "stage", "total_after", "buckets", "filled_buckets", "bucket_rows")
 
 
-@query("X10_pipeline_trace")
+@query(
+    "X10_pipeline_trace",
+    """WITH k AS (SELECT mentor_id FROM report WHERE coalesce(TRY_CAST(covered_now AS BIGINT), 0) < coalesce(TRY_CAST(special_limit AS BIGINT), 0)), n AS (SELECT (SELECT count(*) FROM report) AS a, (SELECT count(*) FROM k) AS b, (SELECT count(*) FROM k WHERE trim(mentor_id) <> '') AS c)
+      SELECT 1 AS stage_no, 'report' AS stage, a AS rows, CAST(0 AS BIGINT) AS removed FROM n UNION ALL SELECT 2, 'capacity_gate', b, a - b FROM n UNION ALL SELECT 3, 'valid', c, b - c FROM n""",
+    ("report",),
+)
 def pipeline_trace(t):
     from matchloom.operators import governance as G
 
     kept, _, _ = G.capacity_gate(t.report, "covered_now", "special_limit")
     valid, _ = G.invalid_mentors(kept)
-    return T.pipeline_trace([("report", t.report), ("capacity_gate", kept), ("valid", valid)], ["row_index", "mentor_id"])
+    out = T.pipeline_trace([("report", t.report), ("capacity_gate", kept), ("valid", valid)], ["row_index", "mentor_id"])
+    return out.drop("fingerprint")
 
 
 @query(
@@ -189,13 +195,13 @@ def trace_pivot(t):
     return pivot(t.students.select("student_id", tr.alias("trace")), STAGES)
 
 
-@query(
-    "W8_trace_order_check",
-    """WITH s AS (SELECT o_custkey AS student_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seq, CAST(o_orderkey % 9 AS INTEGER) AS no FROM orders),
+ORDER_CHECK = """WITH s AS (SELECT o_custkey AS student_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seq, CAST(o_orderkey % 9 AS INTEGER) AS no FROM orders),
       p AS (SELECT *, lag(no) OVER (PARTITION BY student_id ORDER BY seq) AS prev FROM s)
       SELECT student_id, seq, CASE no WHEN 0 THEN 'oops' WHEN 1 THEN 'type' WHEN 2 THEN 'group' WHEN 3 THEN 'gender' WHEN 4 THEN 'graduation_status' WHEN 5 THEN 'center' WHEN 6 THEN 'finance' WHEN 7 THEN 'school' ELSE 'capacity_gate' END AS stage,
-        CASE WHEN no = 0 THEN 'TRACE_UNKNOWN_STAGE' ELSE 'TRACE_STAGE_ORDER' END AS issue FROM p WHERE no = 0 OR (no <> 1 AND (prev IS NULL OR prev = 0 OR prev = 8 OR no < prev))""",
-)
+        CASE WHEN no = 0 THEN 'TRACE_UNKNOWN_STAGE' ELSE 'TRACE_STAGE_ORDER' END AS issue FROM p WHERE no = 0 OR (no <> 1 AND (prev IS NULL OR prev = 0 OR prev = 8 OR no < prev))"""
+
+
+@query("W8_trace_order_check", ORDER_CHECK)
 def trace_order_check(t):
     from matchloom.operators.numbering import number_rows
 
