@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from matchloom.functions.text import as_col, fold_digits, numlike, text_or_empty
+from matchloom.functions.text import ASCII_DIGITS, FOREIGN_DIGITS, as_col, fold_digits, numlike, text_or_blank
 
 
 def natural_key(c) -> Column:
@@ -73,7 +73,7 @@ def national_code(c) -> Column:
 
 def digits_text(c) -> Column:
     """Digits only, '' without digits; a spreadsheet '0123.0' reads as '123'."""
-    s = F.trim(fold_digits(F.regexp_replace(text_or_empty(c), "\u066b", ".")))
+    s = F.trim(F.translate(text_or_blank(c), FOREIGN_DIGITS + "\u066b", ASCII_DIGITS + "."))
     s = F.regexp_replace(s, r"^0*([0-9]+)\.0+$", "$1")
     return F.regexp_replace(s, "[^0-9]", "")
 

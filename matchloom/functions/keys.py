@@ -141,7 +141,7 @@ def _token_codes(c) -> Column:
 
 
 def _code_array(codes) -> Column:
-    return F.array(*[_long(c) for c in codes])
+    return F.expr("array(" + ",".join(f"{int(c)}L" for c in codes) + ")")
 
 
 def parse_group_codes(c, valid=VALID_CODES) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,13 +90,20 @@ def text_or_empty(c) -> Column:
     return F.regexp_replace(s, NAN_PATTERN, "")
 
 
+def text_or_blank(c) -> Column:
+    """String form with null as ''; enough where the nan tokens vanish anyway."""
+    return F.coalesce(as_col(c).cast("string"), F.lit(""))
+
+
 def fold_digits(c) -> Column:
     return F.translate(as_col(c).cast("string"), FOREIGN_DIGITS, ASCII_DIGITS)
 
 
 def norm_text(c) -> Column:
     """Stable Persian comparison text: letters folded, digits ASCII, marks and noise dropped."""
-    s = F.translate(text_or_empty(c), FOLD_FROM, FOLD_TO)
+    # ASCII other than digits never survives; dropping it first spares Latin text the fold.
+    s = F.regexp_replace(text_or_blank(c), r"[\x00-/:-\x7f]+", " ")
+    s = F.translate(s, FOLD_FROM, FOLD_TO)
     s = F.regexp_replace(s, r"\p{M}+", "")
     s = F.regexp_replace(s, LAM_ALEF, "لا")
     s = F.regexp_replace(s, ALLAH, "ل")
@@ -104,8 +113,6 @@ def norm_text(c) -> Column:
 
 def norm_text_full(c) -> Column:
     """Same result with the complete NFKD fold (ligatures too), as an Arrow batch function."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def nfkd(values: pd.Series) -> pd.Series:
         return values.str.normalize("NFKD")
@@ -116,7 +123,7 @@ def norm_text_full(c) -> Column:
 def numlike(c) -> Column:
     """Canonical numeric text: '١٬٢٣٤٫٥٠' -> '1234.5', '-000' -> '0', no digits -> ''."""
     s = F.translate(
-        text_or_empty(c),
+        text_or_blank(c),
         FOREIGN_DIGITS + "\u2212\u066b" + NUM_DROP,
         ASCII_DIGITS + "-.",
     )
@@ -165,7 +172,7 @@ def split_tokens(c) -> Column:
 
 def ascii_digits(c) -> Column:
     """Only the digits, as ASCII."""
-    return F.regexp_replace(fold_digits(text_or_empty(c)), "[^0-9]", "")
+    return F.regexp_replace(fold_digits(text_or_blank(c)), "[^0-9]", "")
 
 
 def sanitize_bidi(c) -> Column:

@@ -145,11 +145,12 @@ def _fold(rows: DataFrame, row_gate: str) -> DataFrame:
                         state.setdefault(mentor, [int(initial), int(new), sort])
                     st = state[mentor]
                     key = (-st[0], st[1], st[2], order)
-                    if rows[order][1] > 0:
+                    opened = (rows[order][1] if by_row else st[0]) > 0
+                    if opened:
                         heapq.heappush(heaps.setdefault(bucket, []), key)
                     if pref:
                         has_pref.add(bucket)
-                        if rows[order][1] > 0:
+                        if opened:
                             heapq.heappush(preferred.setdefault(bucket, []), key)
                     continue
                 chosen, mode = None, None
@@ -222,7 +223,8 @@ def _run(
     per_class = lookup(class_buckets, comp, ["bucket"], ["component"]).groupBy("class_key").agg(
         F.min("component").alias("component"), F.array_sort(F.collect_set("bucket")).alias("buckets")  # at most six
     )
-    room = pool_rows.groupBy("bucket").agg(F.sum(F.when(F.col("row_cap") > 0, F.col("initial")).otherwise(0)).alias("room"))
+    usable = F.col("row_cap") > 0 if row_gate == "chosen_row" else F.lit(True)
+    room = pool_rows.groupBy("bucket").agg(F.sum(F.when(usable, F.col("initial")).otherwise(0)).alias("room"))
     places = lookup(class_buckets, room, ["bucket"], ["room"]).groupBy("class_key").agg(F.sum("room").alias("places"))
     students = lookup(_trim(ordered, places) if can_trim else ordered.withColumn("late", F.lit(False)),
                       per_class, ["class_key"], ["component", "buckets"], "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -349,42 +350,76 @@ def school_mismatches(report: DataFrame, schools: DataFrame) -> tuple[DataFrame,
 
 @dataclass
 class MatrixBuild:
-    """Tables produced by one matrix build."""
+    """One matrix build: stored base and rows; every other table is planned when asked for."""
 
-    matrix: DataFrame
+    report: DataFrame
+    valid: DataFrame
+    schools: DataFrame
     base: DataFrame
-    removed: DataFrame
-    gate_metrics: DataFrame
-    invalid: DataFrame
-    unseen_groups: DataFrame
-    school_issues: DataFrame
-    missing_schools: DataFrame
-    dedupe: DataFrame
-    coverage: DataFrame
-    metrics: DataFrame
-    validation: DataFrame
-    violations: DataFrame
+    exploded: DataFrame
+    rows: DataFrame
+    policy: Policy
+
+    @cached_property
+    def matrix(self) -> DataFrame:
+        return matrix_number(self.rows)
+
+    @cached_property
+    def removed(self) -> DataFrame:
+        return governance.capacity_gate(self.report, "covered_now", "special_limit")[1]
+
+    @cached_property
+    def gate_metrics(self) -> DataFrame:
+        return governance.capacity_gate(self.report, "covered_now", "special_limit")[2]
+
+    @cached_property
+    def invalid(self) -> DataFrame:
+        kept = governance.capacity_gate(self.report, "covered_now", "special_limit")[0]
+        return governance.invalid_mentors(kept)[1]
+
+    @cached_property
+    def unseen_groups(self) -> DataFrame:
+        return unseen_groups(self.valid)
+
+    @cached_property
+    def school_issues(self) -> DataFrame:
+        return school_mismatches(self.report, self.schools)[0]
+
+    @cached_property
+    def missing_schools(self) -> DataFrame:
+        return missing_school_codes(school_binding(usable_rows(self.valid, self.policy), self.schools))
+
+    @cached_property
+    def dedupe(self) -> DataFrame:
+        return matrix_dedupe(self.exploded, self.policy)[1]
+
+    @cached_property
+    def coverage(self) -> DataFrame:
+        return group_coverage(self.rows, self.base, self.policy)
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        return coverage_metrics(self.coverage, None, self.policy)
+
+    @cached_property
+    def validation(self) -> DataFrame:
+        return validation_row(self.rows)
+
+    @cached_property
+    def violations(self) -> DataFrame:
+        return alias_violations(self.rows, self.policy)
 
 
 def build_matrix(report: DataFrame, schools: DataFrame, manager_map: DataFrame, policy: Policy | None = None) -> MatrixBuild:
     """Gate, invalid rows, school lookup, base rows, governance, explode, dedupe, number."""
     policy = policy or Policy()
-    kept, removed, gate = governance.capacity_gate(report, "covered_now", "special_limit")
-    valid, invalid = governance.invalid_mentors(kept)
+    kept, _, _ = governance.capacity_gate(report, "covered_now", "special_limit")
+    valid, _ = governance.invalid_mentors(kept)
     issues, _ = school_mismatches(report, schools)
     valid = valid.join(issues.select("row_index").distinct(), "row_index", "left_anti")
     base = base_rows(valid, schools, manager_map, policy)
     # Every output table reads the base and the rows: store both once.
     base = cut_lineage(first_row(base, ["mentor_id", "center_code"], ["row_index"]))
-    rows = explode_rows(base, "NORMAL", policy).unionByName(explode_rows(base, "SCHOOL", policy))
-    kept_rows, stats = matrix_dedupe(name_rows(rows, schools), policy)
-    kept_rows = cut_lineage(kept_rows)
-    matrix = matrix_number(kept_rows)
-    coverage = group_coverage(kept_rows, base, policy)
-    return MatrixBuild(
-        matrix=matrix, base=base, removed=removed, gate_metrics=gate, invalid=invalid,
-        unseen_groups=unseen_groups(valid), school_issues=issues,
-        missing_schools=missing_school_codes(school_binding(usable_rows(valid, policy), schools)),
-        dedupe=stats, coverage=coverage, metrics=coverage_metrics(coverage, None, policy),
-        validation=validation_row(kept_rows), violations=alias_violations(kept_rows, policy),
-    )
+    exploded = name_rows(explode_rows(base, "NORMAL", policy).unionByName(explode_rows(base, "SCHOOL", policy)), schools)
+    rows = cut_lineage(matrix_dedupe(exploded, policy)[0])
+    return MatrixBuild(report, valid, schools, base, exploded, rows, policy)

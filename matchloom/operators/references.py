@@ -65,12 +65,12 @@ def center_from_manager(
         F.col("b.center").alias("manager_center"),
         F.when(F.col("b.key") == F.col("m"), F.lit("manager_exact")).otherwise(F.lit("manager_substring")).alias("manager_match"),
     )
-    out = lookup(df.withColumn("m", text.norm_text(manager)), best, ["m"], ["manager_center", "manager_match"], "left")
+    out = lookup(df.withColumn("__mgr", text.norm_text(manager)), best.withColumnRenamed("m", "__mgr"), ["__mgr"], ["manager_center", "manager_match"], "left")
     if wildcard is not None and policy.unknown_manager_mode == "wildcard":
         hit = F.col("manager_match").isNull()
         out = out.withColumn("manager_center", F.coalesce("manager_center", F.lit(wildcard).cast("bigint")))
         out = out.withColumn("manager_match", F.when(hit, F.lit("manager_wildcard")).otherwise(F.col("manager_match")))
-    return out.drop("m")
+    return out.drop("__mgr")
 
 
 def effective_center(students: DataFrame, manager: str, mapping: DataFrame, policy: Policy | None = None) -> DataFrame:
