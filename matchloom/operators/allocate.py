@@ -322,7 +322,7 @@ def allocate_isolated(students: DataFrame, mentors: DataFrame, bucket: str, orde
     slots = slots.withColumn("mentor_sort", natural_key("mentor_id"))
     slots = number_rows(
         slots, [F.col("left_places").desc(), F.col("load"), F.col("mentor_sort")],
-        [("__r", -F.col("left_places")), ("__l", F.col("load")), ("__p", F.substring("mentor_sort", 1, 5))], by=[bucket], name="n",
+        [("__r", -F.col("left_places")), ("__l", F.col("load")), ("__p", F.substring("mentor_sort", 1, 7))], by=[bucket], name="n",
     )
     queue = number_rows(students, [F.col(order)], [("__q", F.floor(F.col(order) / 4096))], by=[bucket], name="n")
     return lookup(queue, slots, [bucket, "n"], ["mentor_id", "left_places"], "left").withColumnRenamed("left_places", "capacity_before").drop("n")

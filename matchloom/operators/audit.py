@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.config import KEYS, Policy
@@ -14,66 +14,85 @@ LETTERS = {"group_code": "group", "gender_code": "gender", "grad_status_code": "
            "center_code": "center", "finance_code": "finance", "school_code": "school"}
 
 
-def _with_mentor_rows(alloc: DataFrame, students: DataFrame, pool: DataFrame, row: str) -> DataFrame:
-    """Allocation rows with student keys (``s_*``) and every profile of the mentor (``m_*``).
-
-    The mentor is found by id, else by alias. Both joins are equi joins; a mentor with very
-    many allocations is split by the skew handling of adaptive execution.
-    """
-    s = students.select(F.col("student_id").alias("__sid"), *[F.col(k).alias(f"s_{k}") for k in KEYS])
-    base = alloc.join(s, F.col("student_id") == F.col("__sid"), "left").drop("__sid")
-    extra = [c for c in ("has_school_constraint",) if c in pool.columns]
-    prof = [F.col(k).alias(f"m_{k}") for k in KEYS] + [F.col(c).alias(f"m_{c}") for c in extra]
-    ids = pool.select(F.trim(F.col("mentor_id").cast("string")).alias("__mid"), *prof).distinct()
-    known = ids.select("__mid").distinct().withColumn("__by_id", F.lit(True))
-    base = base.withColumn("__mid_text", F.trim(F.col("mentor_id").cast("string")))
-    base = base.join(known, F.col("__mid_text") == F.col("__mid"), "left").drop("__mid")
-    by_id = base.where("__by_id").join(ids, F.col("__mid_text") == F.col("__mid")).drop("__mid")
-    out = by_id.withColumn("lookup_mode", F.lit("mentor_id"))
-    rest = base.where(F.col("__by_id").isNull())
-    none = [F.lit(None).cast("bigint").alias(f"m_{k}") for k in KEYS] + [F.lit(None).cast("boolean").alias(f"m_{c}") for c in extra]
-    cols = [c for c in out.columns]
+def _owners(alloc: DataFrame, pool: DataFrame) -> DataFrame:
+    """Mentor reference of every allocation row: by id, else by alias, else missing."""
+    ids = pool.select(F.trim(F.col("mentor_id").cast("string")).alias("__id")).distinct().withColumn("__by_id", F.lit(True))
+    out = lookup(alloc.withColumn("__id", F.trim(F.col("mentor_id").cast("string"))), ids, ["__id"], ["__by_id"], "left")
+    known = F.lit(False)
     if "alias" in pool.columns and "alias" in alloc.columns:
-        al = pool.where(F.trim("alias") != "").select(F.trim("alias").alias("__al"), *prof).distinct()
-        found = rest.join(al, F.trim("alias") == F.col("__al"), "left")
-        mode = F.when(F.col("__al").isNotNull(), F.lit("mentor_alias")).otherwise(F.lit("missing"))
-        out = out.unionByName(found.withColumn("lookup_mode", mode).drop("__al").select(*cols))
+        al = pool.select(F.trim("alias").alias("__al")).where(F.col("__al") != "").distinct().withColumn("__by_alias", F.lit(True))
+        out = lookup(out.withColumn("__al", F.trim("alias")), al, ["__al"], ["__by_alias"], "left")
+        known = F.coalesce("__by_alias", F.lit(False))
     else:
-        out = out.unionByName(rest.select("*", *none).withColumn("lookup_mode", F.lit("missing")).select(*cols))
-    return out.drop("__mid_text", "__by_id")
-
-
-def _audit(pairs: DataFrame, flags: dict, by: list[str], payload: list[str]) -> DataFrame:
-    """Valid when any profile matches every key; per-key flags tell whether any profile does."""
-    marked = pairs
-    for k, cond in flags.items():
-        marked = marked.withColumn(f"__f_{k}", F.coalesce(cond, F.lit(False)))
-    every = F.lit(True)
-    for k in flags:
-        every = every & F.col(f"__f_{k}")
-    grouped = marked.withColumn("__all", every).groupBy(*by).agg(
-        *[F.first(c, ignorenulls=True).alias(c) for c in payload],
-        F.max("__all").alias("valid"),
-        *[F.max(f"__f_{k}").alias(f"match_{LETTERS[k]}") for k in flags],
-    )
-    missing = F.array_compact(
-        F.array(*[F.when(~F.col(f"match_{LETTERS[k]}"), F.lit(LETTERS[k])) for k in flags])
-    )
-    return grouped.withColumn(
-        "mismatch_summary", F.when(F.col("valid"), F.lit("")).otherwise(F.array_join(missing, ","))
-    )
+        out = out.withColumn("__al", F.lit(None).cast("string")).withColumn("__by_alias", F.lit(None).cast("boolean"))
+    by_id = F.coalesce("__by_id", F.lit(False))
+    owner = F.when(by_id, F.concat(F.lit("I:"), "__id")).when(known, F.concat(F.lit("A:"), "__al"))
+    mode = F.when(by_id, F.lit("mentor_id")).when(known, F.lit("mentor_alias")).otherwise(F.lit("missing"))
+    return out.withColumn("owner", owner).withColumn("lookup_mode", mode).drop("__id", "__al", "__by_id", "__by_alias")
+
+
+def _pool_by_owner(pool: DataFrame) -> DataFrame:
+    """Distinct profiles under both references of their mentor."""
+    refs = [F.concat(F.lit("I:"), F.trim(F.col("mentor_id").cast("string")))]
+    if "alias" in pool.columns:
+        refs.append(F.when(F.trim("alias") != "", F.concat(F.lit("A:"), F.trim("alias"))))
+    extra = ["has_school_constraint"] if "has_school_constraint" in pool.columns else []
+    return pool.select(F.explode(F.array_compact(F.array(*refs))).alias("owner"), *KEYS, *extra).distinct()
+
+
+def _t(name: str) -> Column:
+    return F.col(name).cast("string")
 
 
-def join_key_audit(alloc: DataFrame, students: DataFrame, pool: DataFrame, row: str) -> DataFrame:
+def _checks(one: dict[str, Column], many: dict[str, Column]) -> Column:
+    """(check, value) entries: one per accepted value of a key and one per accepted whole row.
+
+    ``one`` holds keys with a single text (null accepts nothing), ``many`` keys with an
+    array of texts (center and school, at most two and three).
+    """
+    entry = lambda n, v: F.struct(F.lit(n).alias("check"), v.alias("value"))
+    head = F.array(*[entry(LETTERS[k], v) for k, v in one.items()])
+    prefix = F.concat(*[F.concat(v, F.lit("|")) for v in one.values()])
+    if not many:
+        return F.concat(head, F.array(entry("all", prefix)))
+    a, b = many.values()
+    whole = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: entry("all", F.concat(prefix, x, F.lit("|"), y)))))
+    first, second = (LETTERS[k] for k in many)
+    return F.concat(head, F.transform(a, lambda x: entry(first, x)), F.transform(b, lambda x: entry(second, x)), whole)
+
+
+def _audit(alloc: DataFrame, students: DataFrame, pool: DataFrame, student_side: tuple, pool_side: tuple) -> DataFrame:
+    """Flag columns per allocation row.
+
+    A key matches when some profile of the mentor shares an accepted value, the row when
+    one profile shares all six. Both are equi lookups of (mentor, check, value) evaluated
+    once per distinct (mentor, student keys), so neither a mentor with many profiles nor
+    one with many allocations produces pairs.
+    """
+    s = students.select("student_id", *[F.col(k) for k in KEYS])
+    base = lookup(_owners(alloc.drop(*KEYS), pool), s, ["student_id"], list(KEYS), "left")
+    combos = base.where(F.col("owner").isNotNull()).select("owner", *KEYS).distinct()
+    asked = combos.withColumn("x", F.explode(_checks(*student_side))).select("owner", *KEYS, "x.check", "x.value").where(F.col("value").isNotNull())
+    have = _pool_by_owner(pool).withColumn("x", F.explode(_checks(*pool_side))).select("owner", "x.check", "x.value").distinct()
+    hits = asked.join(have, ["owner", "check", "value"])
+    names = ["all", *LETTERS.values()]
+    flags = hits.groupBy("owner", *KEYS).agg(*[F.max(F.col("check") == n).alias(f"match_{n}") for n in names])
+    out = lookup(base, flags, ["owner", *KEYS], [f"match_{n}" for n in names], "left")
+    return out.withColumns({f"match_{n}": F.coalesce(f"match_{n}", F.lit(False)) for n in names}).withColumnRenamed("match_all", "valid")
+
+
+def _summary(audit: DataFrame) -> DataFrame:
+    missing = F.array_compact(F.array(*[F.when(~F.col(f"match_{n}"), F.lit(n)) for n in LETTERS.values()]))
+    return audit.withColumn("mismatch_summary", F.when(F.col("valid"), F.lit("")).otherwise(F.array_join(missing, ",")))
+
+
+def join_key_audit(alloc: DataFrame, students: DataFrame, pool: DataFrame) -> DataFrame:
     """Strict equality of the six keys for every allocation row."""
-    pairs = _with_mentor_rows(alloc, students, pool, row)
-    flags = {k: F.col(f"s_{k}") == F.col(f"m_{k}") for k in KEYS}
-    return _audit(pairs, flags, [row], ["student_id", "lookup_mode"])
+    exact = ({k: _t(k) for k in KEYS}, {})
+    return _summary(_audit(alloc, students, pool, exact, exact))
 
 
-def join_key_audit_wildcard(
-    alloc: DataFrame, students: DataFrame, pool: DataFrame, row: str, policy: Policy | None = None
-) -> DataFrame:
+def join_key_audit_wildcard(alloc: DataFrame, students: DataFrame, pool: DataFrame, policy: Policy | None = None) -> DataFrame:
     """Same audit with mentor-side center wildcard, school wildcards and finance clusters.
 
     Judged per student: one matching row clears the student. The school rule uses the
@@ -82,15 +101,27 @@ def join_key_audit_wildcard(
     if "has_school_constraint" in pool.columns:
         wide = pool.groupBy("mentor_id").agg(F.max("has_school_constraint").alias("__w"))
         pool = lookup(pool, wide, ["mentor_id"], ["__w"]).withColumn("has_school_constraint", F.col("__w")).drop("__w")
-    pairs = _with_mentor_rows(alloc, students, pool, row)
-    flags = {k: F.col(f"s_{k}") == F.col(f"m_{k}") for k in KEYS}
-    s, m = F.col("s_school_code"), F.col("m_school_code")
-    known = s.isNotNull() & m.isNotNull()
-    constraint = F.coalesce(F.col("m_has_school_constraint"), F.lit(True)) if "m_has_school_constraint" in pairs.columns else F.lit(True)
-    flags["school_code"] = F.when(known, ~constraint | (s == 0) | (m == 0) | (s == m)).otherwise(F.lit(False))
-    flags["center_code"] = (F.col("m_center_code") == 0) | (F.col("s_center_code") == F.col("m_center_code"))
-    flags["finance_code"] = P.audit_finance(F.col("s_finance_code"), F.col("m_finance_code"), policy)
-    return _audit(pairs, flags, ["student_id"], [])
+        free = ~F.coalesce(F.col("has_school_constraint"), F.lit(True))
+    else:
+        free = F.lit(False)
+    none = F.array().cast("array<string>")
+    one = {k: _t(k) for k in KEYS if k not in ("center_code", "school_code")}
+    one["finance_code"] = keyfn.finance_cluster("finance_code", policy).cast("string")
+    unknown = F.col("school_code").isNull()
+    student = (one, {
+        "center_code": F.array_distinct(F.array_compact(F.array(F.lit("0"), _t("center_code")))),
+        "school_code": F.when(unknown, none).when(F.col("school_code") == 0, F.array(F.lit("*"))).otherwise(
+            F.array(F.lit("free"), F.lit("0"), _t("school_code"))
+        ),
+    })
+    mentor = (one, {
+        "center_code": F.array_compact(F.array(_t("center_code"))),
+        "school_code": F.when(unknown, none).otherwise(
+            F.array(F.lit("*"), F.when(free, F.lit("free")).otherwise(_t("school_code")))
+        ),
+    })
+    rows = _audit(alloc, students, pool, student, mentor)
+    return rows.groupBy("student_id").agg(F.max("valid").alias("valid"), *[F.max(f"match_{n}").alias(f"match_{n}") for n in LETTERS.values()])
 
 
 def audit_summary(audit: DataFrame, limit_ratio: float = 0.0) -> DataFrame:
@@ -173,40 +204,36 @@ def roster_validate(students: DataFrame, matrix: DataFrame) -> DataFrame:
     expected_center, group_code. Matches go through alias or school keys; the checks are
     nested, so one conditional aggregate gives the first that empties the candidates.
     """
-    mat = matrix.select(
-        "mentor_type", F.col("alias").alias("m_alias"), F.col("school_code").cast("string").alias("m_school"),
-        F.col("gender_code").alias("m_gender"), F.col("grad_status_code").alias("m_status"),
-        F.col("center_code").alias("m_center"), F.col("group_code").alias("m_group"),
+    # Both sides emit the nested prefixes of their keys; a row's answer is how many of its
+    # prefixes exist. Profiles collapse to distinct prefixes, so a school with very many
+    # students or profiles gives no pairs.
+    root = F.when(F.col("mentor_type") == "NORMAL", F.concat(F.lit("N|"), "alias")).when(
+        F.col("mentor_type") == "SCHOOL", F.concat(F.lit("S|"), F.col("school_code").cast("string"))
     )
-    # Profiles, not rows: equal profiles give equal answers.
-    normal = mat.where(F.col("mentor_type") == "NORMAL").drop("mentor_type", "m_school").distinct()
-    school = mat.where(F.col("mentor_type") == "SCHOOL").drop("mentor_type", "m_alias").distinct()
-    aliases = normal.select("m_alias").distinct().withColumn("has_alias", F.lit(True))
-    tagged = students.join(aliases, F.col("alias_norm") == F.col("m_alias"), "left").drop("m_alias")
-    use_normal = (F.col("binding") == "NORMAL") & F.coalesce("has_alias", F.lit(False))
+    mat = matrix.select(root.alias("root"), *[F.col(c) for c in ("gender_code", "grad_status_code", "center_code", "group_code")]).where(F.col("root").isNotNull())
+    levels = lambda r, *cs: F.array(*[F.concat_ws("|", r, *[F.coalesce(c.cast("string"), F.lit("?")) for c in cs[:i]]) for i in range(len(cs) + 1)])
+    m = [F.col(c) for c in ("gender_code", "grad_status_code", "center_code", "group_code")]
+    have = mat.distinct().select(F.posexplode(levels(F.col("root"), *m)).alias("level", "prefix")).distinct()
+    aliases = mat.where(F.col("root").startswith("N|")).select("root").distinct().withColumn("__alias", F.lit(True))
     named = F.coalesce("school_text", F.lit("")) != ""
-    tagged = tagged.withColumn("use_normal", use_normal)
-    # Without a school code a school-bound row faces every school profile.
-    a = tagged.where("use_normal").join(normal, F.col("alias_norm") == F.col("m_alias")).drop("m_alias")
-    b = tagged.where(~F.col("use_normal") & named).join(school, F.col("school_text") == F.col("m_school")).drop("m_school")
-    g = F.col("m_gender") == F.col("gender_code")
-    s = g & (F.col("m_status") == F.col("status_code"))
-    c = s & (F.col("m_center") == F.col("expected_center"))
-    k = c & (F.col("m_group") == F.col("group_code"))
-    hit = lambda e: F.max(F.coalesce(e, F.lit(False)))
-    seen = a.unionByName(b).groupBy("row_id").agg(
-        hit(g).alias("f_gender"), hit(s).alias("f_status"), hit(c).alias("f_center"), hit(k).alias("f_group")
-    )
-    out = lookup(tagged, seen, ["row_id"], ["f_gender", "f_status", "f_center", "f_group"], "left")
-    none = F.col("f_gender").isNull()
+    tagged = lookup(students.withColumn("root", F.concat(F.lit("N|"), "alias_norm")), aliases, ["root"], ["__alias"], "left")
+    use_normal = (F.col("binding") == "NORMAL") & F.coalesce("__alias", F.lit(False))
+    tagged = tagged.withColumn("root", F.when(use_normal, F.col("root")).when(named, F.concat(F.lit("S|"), "school_text")))
+    s = [F.col("gender_code"), F.col("status_code"), F.col("expected_center"), F.col("group_code")]
+    keys = ["root", "gender_code", "status_code", "expected_center", "group_code"]
+    asked = tagged.where(F.col("root").isNotNull()).select(*keys).distinct()
+    asked = asked.select(*keys, F.posexplode(levels(F.col("root"), *s)).alias("level", "prefix"))
+    depth = asked.join(have, ["level", "prefix"]).groupBy(*keys).agg(F.max("level").alias("depth"))
+    out = lookup(tagged, depth, keys, ["depth"], "left")
+    d = F.coalesce("depth", F.lit(-1))
     reason = (
-        F.when(none & (F.col("binding") == "NORMAL") & ~named, F.lit("no normal alias match"))
-        .when(none, F.lit("no school-code match"))
-        .when(~F.col("f_gender"), F.lit("gender mismatch"))
-        .when(~F.col("f_status"), F.lit("status mismatch"))
-        .when(~F.col("f_center"), F.lit("center mismatch (manager-based)"))
+        F.when((d < 0) & (F.col("binding") == "NORMAL") & ~named, F.lit("no normal alias match"))
+        .when(d < 0, F.lit("no school-code match"))
+        .when(d == 0, F.lit("gender mismatch"))
+        .when(d == 1, F.lit("status mismatch"))
+        .when(d == 2, F.lit("center mismatch (manager-based)"))
         .when(F.col("group_code").isNull(), F.lit("no group code"))
-        .when(~F.col("f_group"), F.lit("group_code mismatch"))
+        .when(d == 3, F.lit("group_code mismatch"))
         .otherwise(F.lit("MATCHED"))
     )
     return out.select(*students.columns, reason.alias("reason")).withColumn("match", F.col("reason") == "MATCHED")

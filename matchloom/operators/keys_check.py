@@ -32,7 +32,7 @@ def split_valid_keys(
     an issue with ``MISSING_COLUMN``.
     """
     columns = columns or {k: k for k in KEYS}
-    out, entries = df, []
+    values, entries = {}, []
     for key in KEYS:
         raw = columns[key]
         if raw not in df.columns:
@@ -41,13 +41,11 @@ def split_valid_keys(
         else:
             value, code = keys.canonical_key(raw, key, policy)
             entries.append((key, F.col(raw), code))
-        out = out.withColumn(f"__v_{key}", value)
+        values[f"__v_{key}"] = value
     issues = _stack(df, [row], entries).select(
         F.lit(entity).alias("entity_type"), F.col(row).alias("row_index"), "column", "raw_value", "error_code"
     )
-    valid = out
-    for key in KEYS:
-        valid = valid.where(F.col(f"__v_{key}").isNotNull())
+    valid = df.withColumns(values).dropna(subset=list(values))
     keep = [c for c in df.columns if c not in KEYS]
     return valid.select(*keep, *[F.col(f"__v_{k}").alias(k) for k in KEYS]), issues
 

@@ -258,7 +258,7 @@ def rank_candidates(pairs: DataFrame, by: str = "class_key", fairness: str = "no
         order.insert(2, F.sha2(F.col("mentor_id").cast("string"), 256))
         levels.append(("__h", F.substring(F.sha2(F.col("mentor_id").cast("string"), 256), 1, 2)))
     else:
-        levels.append(("__p", F.substring("mentor_sort", 1, 5)))
+        levels.append(("__p", F.substring("mentor_sort", 1, 7)))
     return number_rows(pairs, order, levels, by=[by], name="rank")
 
 

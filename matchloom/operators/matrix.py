@@ -248,11 +248,8 @@ def group_coverage(matrix: DataFrame, base: DataFrame, policy: Policy | None = N
 
 def coverage_status(joined: DataFrame) -> DataFrame:
     zero, no = F.lit(0).cast("bigint"), F.lit(False)
-    out = joined
-    for c in ("candidate_rows", "candidate_mentors", "matrix_rows", "matrix_mentors"):
-        out = out.withColumn(c, F.coalesce(c, zero))
-    for c in ("can_generate", "has_alias"):
-        out = out.withColumn(c, F.coalesce(c, no))
+    fill = {c: F.coalesce(c, zero) for c in ("candidate_rows", "candidate_mentors", "matrix_rows", "matrix_mentors")}
+    out = joined.withColumns(fill | {c: F.coalesce(c, no) for c in ("can_generate", "has_alias")})
     has_c, has_m = F.col("candidate_rows") > 0, F.col("matrix_rows") > 0
     status = (
         F.when(has_m & has_c, F.lit("covered"))

@@ -79,6 +79,12 @@ def _stage_values(classes: DataFrame, pool: DataFrame, policy: Policy | None) ->
     vals = keyed.select(stage.alias("stage"), "bucket", value.alias("value"), "constraint").where(F.col("stage").isNotNull())
     root = prof.select(F.lit("type").alias("stage"), F.lit("").alias("bucket"), F.col("group_code").alias("value"), "constraint")
     vals = vals.unionByName(root).where(F.col("value").isNotNull()).distinct()
+    # Ten values are reported. A class passes at most two values of a stage, or one finance
+    # cluster, within a constraint flag it does not pass as a whole, so this many smallest
+    # values per bucket always contain the ten it needs.
+    keep = 10 + max(2, len((policy or Policy()).finance_clusters()) + 1)
+    w = W.partitionBy("stage", "bucket", "constraint").orderBy("value")
+    vals = vals.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= keep).drop("__r")
     c = M._stage_keys(M.student_keys(classes.select("class_key", *KEYS), policy))
     reach = c.select("class_key", *KEYS, stage.alias("stage"), "bucket").where(F.col("stage").isNotNull())
     reach = reach.unionByName(classes.select("class_key", *KEYS, F.lit("type").alias("stage"), F.lit("").alias("bucket")))

@@ -233,7 +233,7 @@ def _alloc_pool(t):
     ("students", "mentors"),
 )
 def join_key_audit(t):
-    return A.join_key_audit(_alloc(t), t.students, _alloc_pool(t), "row_id").select(
+    return A.join_key_audit(_alloc(t), t.students, _alloc_pool(t)).select(
         "row_id", "student_id", "lookup_mode", "valid", "mismatch_summary"
     )
 
@@ -244,7 +244,7 @@ a12 AS (SELECT student_id, coalesce(bool_or(g AND d AND t AND cw AND found AND h
 
 @query("J12_join_key_audit_wildcard", f"WITH {_J12} SELECT student_id, valid FROM a12", ("students", "mentors"))
 def join_key_audit_wildcard(t):
-    return A.join_key_audit_wildcard(_alloc(t), t.students, _alloc_pool(t), "row_id").select("student_id", "valid")
+    return A.join_key_audit_wildcard(_alloc(t), t.students, _alloc_pool(t)).select("student_id", "valid")
 
 
 @query(
@@ -253,7 +253,7 @@ def join_key_audit_wildcard(t):
     ("students", "mentors"),
 )
 def alloc_join_02(t):
-    return A.audit_summary(A.join_key_audit_wildcard(_alloc(t), t.students, _alloc_pool(t), "row_id"))
+    return A.audit_summary(A.join_key_audit_wildcard(_alloc(t), t.students, _alloc_pool(t)))
 
 
 @query(

@@ -270,7 +270,7 @@ def load_run_evidence(t):
 @query("S5_add_lineage", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS src_ordinal FROM events")
 def add_lineage(t):
     ev = t.events.select("event_id", "ts")
-    return D.add_lineage(ev, [F.col("ts"), F.col("event_id")], [("__d", F.to_date("ts")), ("__h", F.hour("ts"))]).select("event_id", "src_ordinal")
+    return D.add_lineage(ev, [F.col("ts"), F.col("event_id")], [("__d", F.to_date("ts")), ("__s", F.unix_timestamp("ts"))]).select("event_id", "src_ordinal")
 
 
 @query("S6_load_schools", "SELECT CAST(n_nationkey + 1 AS BIGINT) AS school_code, n_name AS school_name, 'none' AS city FROM nation")
