@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from matchloom.functions.ids import digits_text
+from matchloom.functions.ids import digits_text, first_match
 from matchloom.functions.text import FOREIGN_DIGITS, ASCII_DIGITS, as_col
 
 # Fixed values of the contact rules.
@@ -18,13 +18,13 @@ REGISTRATION_LABELS = {0: "عادی", 1: "بنیاد", 3: "حکمت"}
 def mobile(c) -> Column:
     """Eleven digits starting 09; ten digits starting 9 get the zero; else null."""
     d = F.regexp_replace(digits_text(c), "^(9[0-9]{9})$", "0$1")
-    return F.nullif(F.regexp_extract(d, "^(09[0-9]{9})$", 1), F.lit(""))
+    return first_match(d, "^09[0-9]{9}$")
 
 
 def landline(c, allow_special: bool = False) -> Column:
     """Digits that start with 3 or 5; the special all-zero number when allowed."""
-    shape = f"^([35][0-9]*|{SPECIAL_LANDLINE})$" if allow_special else "^([35][0-9]*)$"
-    return F.nullif(F.regexp_extract(digits_text(c), shape, 1), F.lit(""))
+    shape = f"^([35][0-9]*|{SPECIAL_LANDLINE})$" if allow_special else "^[35][0-9]*$"
+    return first_match(digits_text(c), shape)
 
 
 def guardian_phones(first, second) -> tuple[Column, Column]:

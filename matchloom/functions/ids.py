@@ -35,12 +35,15 @@ def identifier_text(c) -> Column:
     return F.when(s == "", F.lit(None)).when(whole | numeric, numlike(s)).otherwise(s)
 
 
+def first_match(c, pattern: str) -> Column:
+    """First match of a pattern, null when there is none; reads its input once."""
+    return F.get(F.regexp_extract_all(as_col(c), F.lit(pattern), F.lit(0)), F.lit(0))
+
+
 def alias_digits(c) -> Column:
-    """Last ten digits without leading zeros; null when there are none."""
-    d = F.regexp_replace(F.coalesce(fold_digits(F.trim(as_col(c).cast("string"))), F.lit("")), "[^0-9]", "")
-    d = F.when(F.length(d) > 10, F.substring(d, -10, 10)).otherwise(d)
-    t = F.regexp_replace(d, "^0+", "")
-    return F.when(d == "", F.lit(None)).when(t == "", d).otherwise(t)
+    """Last ten digits without leading zeros (all zeros stay); null when there are none."""
+    d = F.regexp_replace(fold_digits(F.trim(as_col(c).cast("string"))), "[^0-9]", "")
+    return F.regexp_replace(first_match(d, "[0-9]{1,10}$"), "^0+(?=0*[1-9])", "")
 
 
 def first_alias(*cols) -> Column:
@@ -68,7 +71,7 @@ def mentor_alias(kind, postal, mentor_id, valid_range=(1000, 9999)) -> Column:
 
 def national_code(c) -> Column:
     """Last ten digits, left padded with zeros; null without digits."""
-    return F.lpad(F.right(digits_of(c), F.lit(10)), 10, "0")
+    return F.lpad(first_match(digits_text(c), "[0-9]{1,10}$"), 10, "0")
 
 
 def digits_text(c) -> Column:
@@ -80,7 +83,7 @@ def digits_text(c) -> Column:
 
 def digits_of(c) -> Column:
     """As ``digits_text`` with null for no digits."""
-    return F.nullif(digits_text(c), F.lit(""))
+    return first_match(digits_text(c), "[0-9]+")
 
 
 def counter_id(yy, gender, seq, mid3=None) -> Column:

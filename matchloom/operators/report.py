@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from matchloom.functions import contact, text
+from matchloom.functions import contact, ids, text
 from matchloom.operators.numbering import lookup
 
 
@@ -141,7 +141,7 @@ def _mapped(c: Column, table: Mapping) -> Column:
 
 _NORMALIZERS = {
     "digits": text.ascii_digits,
-    "digits_10": lambda c: F.coalesce(F.lpad(F.right(F.nullif(text.ascii_digits(c), F.lit("")), F.lit(10)), 10, "0"), F.lit("")),
+    "digits_10": lambda c: F.coalesce(F.lpad(ids.first_match(text.ascii_digits(c), "[0-9]{1,10}$"), 10, "0"), F.lit("")),
     "mobile": lambda c: F.coalesce(contact.mobile(c), F.lit("")),
     "text": text.soft_text,
     "numlike": text.numlike,
