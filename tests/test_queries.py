@@ -11,7 +11,8 @@ import __spark_entry__ as entry
 from oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES = {n: q for n, q in entry.queries().items() if n not in entry.LLM_QUERIES}
+SQL = {n: s for n, s in entry.oracle_sql().items() if n not in entry.LLM_QUERIES}
 SAMPLE = (
     "N1_norm_text_cells", "N2_numlike", "N8_canonical_key", "N16_natural_key", "F1_capacity_gate", "F6_pool_governance",
     "F9_stage_funnel", "F10_key_issues", "J1_eligible_candidates", "J6_center_from_manager", "J11_join_key_audit",
