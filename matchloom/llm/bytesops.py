@@ -20,6 +20,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def salt(k: int, step: np.uint64 = BASE) -> np.uint64:
+    """k-th multiple of a step, wrapped."""
+    return U(k * int(step) & 0xFFFFFFFFFFFFFFFF)
+
+
 def row_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes and the n + 1 offsets of the rows; a null row is empty."""
     if column.null_count:

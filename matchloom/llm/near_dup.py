@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.bytesops import BASE, STEP, U, mix, row_bytes, shingles, slices, words
+from matchloom.llm.bytesops import BASE, STEP, U, mix, row_bytes, salt, shingles, slices, words
 from matchloom.llm.shared import stored, work_folder
 
 BANDS, ROWS = 30, 5
@@ -43,7 +43,7 @@ def sketch(value: np.ndarray, rows: np.ndarray, t: int = COORDINATES) -> np.ndar
     for i in range(2 * t):
         if not len(live):
             break
-        x = mix((live ^ U((i + 1) * int(STEP) % (1 << 64))) * BASE)
+        x = mix((live ^ salt(i + 1, STEP)) * BASE)
         bin_ = ((x >> U(40)) % U(t)).astype(np.int64) if i < t else np.int64(i - t)
         np.minimum.at(out, row * t + bin_, (U(i) << U(40)) | (x & U((1 << 40) - 1)))
         open_ = (out.reshape(n, t) == EMPTY).any(axis=1)[row]
@@ -67,12 +67,13 @@ def _profile(size: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(a, b - a),
+                        batch.column("text_hash").slice(a, b - a),
                         pa.array(np.diff(ends), pa.int64()),
                         pa.array(node, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(band.ravel())),
                         pa.array([x.tobytes() for x in (mix(s) >> U(56)).astype(np.uint8)], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "node", "bands", "sketch"],
+                    ["doc_id", "text_hash", "n_shingles", "node", "bands", "sketch"],
                 )
 
     return run
@@ -150,7 +151,7 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, with_hash: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text, ...).
 
     Words are runs without ASCII white space, A-Z lower-cased; a document is the set of its
@@ -160,10 +161,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     Null or wordless texts have no shingles and link with nothing. A row without doc_id links
     with nothing: its component_id is null and it is kept. Rows that repeat a doc_id each go
     by their own text. Other columns are not read. An empty table gives an empty table.
+    ``with_hash`` adds text_hash, xxhash64 of the text, which tells such rows apart.
     """
     spark, folder = docs.sparkSession, work_folder(docs.sparkSession, "near-dup")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(docs.mapInArrow(_profile(shingle), "doc_id long, n_shingles long, node binary, bands array<long>, sketch binary"), folder, "rows")
+    rows = stored(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_profile(shingle), "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>, sketch binary"), folder, "rows")
     linkable = rows.where("n_shingles > 0 and doc_id is not null")
     nodes = linkable.groupBy("node").agg(F.min("doc_id").alias("rep"))
     # Bands of one row a node; rows that share doc_id and node are the same row again.
@@ -171,7 +173,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     shared = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot <> other").select("bucket", "pivot")
     members = stored(banded.join(shared, "bucket").distinct(), folder, "members")
     if members.isEmpty():
-        return _result(rows, nodes, None)
+        return _result(rows, nodes, None, with_hash)
     taken = members.select("node").distinct()
     sketches = stored(linkable.join(taken, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"), F.min("doc_id").alias("rep")), folder, "sketches")
     texts = stored(docs.join(sketches.select("node", F.col("rep").alias("doc_id")), "doc_id").select("node", "text").mapInArrow(_same_node(shingle), "node binary, text string"), folder, "texts")
@@ -205,7 +207,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     buckets = parts.groupBy("bucket").agg(F.sum("c").cast("double").alias("m"), F.sum(F.col("c").cast("double") * F.col("c")).alias("squares"), F.count("*").alias("k")).where("k > 1")
     buckets = stored(buckets.select("bucket", ((F.col("m") * F.col("m") - F.col("squares")) / 2 <= DIRECT * F.col("m")).alias("direct")), folder, "buckets")
     if buckets.isEmpty():
-        return _result(rows, nodes, labels)
+        return _result(rows, nodes, labels, with_hash)
     left = stored(placed.join(buckets, "bucket"), folder, "open")
     found = _across(left.where("direct"), "bucket")
     many = left.where("not direct").select("node", "comp").distinct()
@@ -215,7 +217,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     if not found.isEmpty():
         edges = edges.unionByName(verified(found, "links3"))
         labels = stored(components(edges, folder, "third"), folder, "labels3")
-    return _result(rows, nodes, labels)
+    return _result(rows, nodes, labels, with_hash)
 
 
 def _same_node(size: int):
@@ -256,12 +258,13 @@ def _prefixes(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     return cut.select(F.col("x.token").alias("token"), "node").join(owner, "node")
 
 
-def _result(rows: DataFrame, nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _result(rows: DataFrame, nodes: DataFrame, labels: DataFrame | None, with_hash: bool) -> DataFrame:
     home = nodes
     if labels is not None:
         least = labels.join(nodes, "node").groupBy("comp").agg(F.min("rep").alias("least"))
         home = nodes.join(labels.join(least, "comp").select("node", "least"), "node", "left").select("node", F.coalesce("least", "rep").alias("rep"))
-    joined = rows.select("doc_id", "n_shingles", "node").join(home.withColumnRenamed("rep", "component_id"), "node", "left")
+    joined = rows.select("doc_id", "text_hash", "n_shingles", "node").join(home.withColumnRenamed("rep", "component_id"), "node", "left")
     lone = F.col("n_shingles").eqNullSafe(0) | F.col("doc_id").isNull() | F.col("component_id").isNull()
     component = F.when(lone, F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), (component.isNull() | (F.col("doc_id") == component)).alias("kept"))
+    hashed = ["text_hash"] if with_hash else []
+    return joined.select("doc_id", *hashed, "n_shingles", component.alias("component_id"), (component.isNull() | (F.col("doc_id") == component)).alias("kept"))

@@ -5,8 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from matchloom.llm import chat, line_dedup
+from matchloom.llm.decontaminate import leaks
+from matchloom.llm.fingerprint import fingerprint_documents
+from matchloom.llm.language_id import predict_languages
 from matchloom.llm.near_dup import near_duplicates
 from matchloom.llm.pieces import piece_digests
+from matchloom.llm.quality import score_quality
 from matchloom.llm.shared import read_table, work_folder
 from matchloom.llm.token_files import read_token_files, write_token_files
 from matchloom.llm.url_filter import Rule, judge_urls
@@ -24,12 +29,20 @@ RULES = (
 )
 
 
+def op1_chat_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.view_digests(read_table(spark, sf_dir, "conversations"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark, "token-files")
     write_token_files(read_table(spark, sf_dir, "documents"), folder, TOKENIZER)
     return read_token_files(spark, folder)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_summary(read_table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"), RULES)
 
@@ -50,18 +63,35 @@ FROM hp LEFT JOIN fits USING (page_id)
 """
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(read_table(spark, sf_dir, "documents"))
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(read_table(spark, sf_dir, "documents"), PIECES)
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
-    "op2_token_files": op2_token_files,
-    "op4_url_filter": op4_url_filter,
-    "op6_near_dup": op6_near_dup,
-    "op9_pieces": op9_pieces,
-}
-SQL = {"op4_url_filter": OP4_SQL}
+    f.__name__: f
+    for f in (
+        op1_chat_views, op2_token_files, op3_line_dedup, op4_url_filter, op5_language_id,
+        op6_near_dup, op7_fingerprints, op8_quality, op9_pieces, op10_decontaminate,
+    )
+}
+SQL = {"op1_chat_views": chat.SQL, "op3_line_dedup": line_dedup.SQL, "op4_url_filter": OP4_SQL}
