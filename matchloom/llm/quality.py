@@ -1,7 +1,8 @@
 """Document quality by supervised subword embeddings.
 
-Words and the character 3-, 4- and 5-grams inside them are hashed to ``BUCKETS`` learned
-vectors of ``DIMENSIONS``; a document is the average over all of its whole text, and a softmax
+Words, pairs of neighbouring words and the character 3-, 4- and 5-grams inside words are hashed
+to ``BUCKETS`` learned vectors of ``DIMENSIONS``; a word that repeats the one before it counts
+as the repeat mark instead. A document is the average over all of its whole text, and a softmax
 over two classes reads it. Vectors and output are trained by stochastic gradient descent in
 numpy, on at most ``SAMPLE`` labelled documents (those of least id hash).
 """
@@ -22,14 +23,15 @@ from matchloom.llm.shared import fold
 BUCKETS, DIMENSIONS, GRAMS = 1 << 18, 16, (3, 4, 5)
 #: Bound of the sample the model is fitted on, in documents and in distinct features of a document.
 SAMPLE, SAMPLE_FEATURES = 3000, 20_000
-EPOCHS, RATE, SEED = 8, 0.5, 7
+EPOCHS, RATE, SEED = 5, 0.5, 7
+REPEAT = "\x01"
 THRESHOLD = 0.3
 #: Words whose contribution a worker remembers.
 CACHE = 400_000
 
 
-def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of each word and its character n-grams (of the word between < and >), and the word's number."""
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of each word and its character n-grams (of the word between < and >), the word's number, and the words' hashes."""
     marked = [f"<{w}>" for w in words]
     code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
     length = np.array([len(m) for m in marked], np.int64)
@@ -41,14 +43,15 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     total = np.cumsum((code + U(1)) * _powers(len(code)))
     start = ends - length
     whole = (total[ends - 1] - np.where(start > 0, total[start - 1], U(0))) * _powers(len(code), True)[start] if len(code) else value
-    bucket, who = [mix(whole * STEP + BASE)], [np.arange(len(words))]
+    whole = mix(whole * STEP + BASE)
+    bucket, who = [whole], [np.arange(len(words))]
     for n in range(1, max(GRAMS) + 1):
         ok = np.flatnonzero(left >= n)
         value[ok] = value[ok] * STEP + mix(code[ok + n - 1])
         if n in GRAMS:
             bucket.append(mix(value[ok] + U(n)))
             who.append(owner[ok])
-    return (np.concatenate(bucket) % U(BUCKETS)).astype(np.int64), np.concatenate(who)
+    return (np.concatenate(bucket) % U(BUCKETS)).astype(np.int64), np.concatenate(who), whole
 
 
 _CACHED: dict[bool, np.ndarray] = {}
@@ -63,10 +66,22 @@ def _powers(n: int, inverse: bool = False) -> np.ndarray:
     return have[:n]
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-cased words; one that repeats the word before it is the repeat mark."""
+    words = text.lower().split()
+    return [REPEAT if w == v else w for v, w in zip([None, *words], words)]
+
+
+def pair_buckets(hashes: np.ndarray) -> np.ndarray:
+    """Bucket of each two neighbouring words, from the hashes of the words."""
+    return (mix(hashes[:-1] * STEP + hashes[1:]) % U(BUCKETS)).astype(np.int64)
+
+
 def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a whole text and how often each occurs."""
-    bucket, _ = word_features(text.lower().split())
-    return np.unique(bucket, return_counts=True)
+    words = words_of(text)
+    bucket, _, hashes = word_features(words)
+    return np.unique(np.concatenate((bucket, pair_buckets(hashes))), return_counts=True)
 
 
 @dataclass
@@ -103,28 +118,64 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Mode
 
 
 class Scorer:
-    """Scores whole texts; remembers each word's sum of weights and number of features."""
+    """Scores whole texts; remembers each word's sum of weights, number of features and hash."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
-
-    def score_batch(self, texts: list[str]) -> list[float]:
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.total, self.count, self.hash = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, U)
+
+    def _learn(self, words: list[str]) -> None:
+        for a in range(0, len(words), 50_000):
+            part = words[a : a + 50_000]
+            bucket, who, hashes = word_features(part)
+            self.known.update(zip(part, range(len(self.total), len(self.total) + len(part)), strict=True))
+            self.total = np.concatenate((self.total, np.bincount(who, self.model.weight[bucket], len(part))))
+            self.count = np.concatenate((self.count, np.bincount(who, minlength=len(part))))
+            self.hash = np.concatenate((self.hash, hashes))
+
+    def score_batch(self, texts: list[str]) -> np.ndarray:
+        if len(self.known) > CACHE:
+            self._forget()
         rows = [t.lower().split() for t in texts]
-        known = self.known
-        new = list({w for row in rows for w in row if w not in known})
-        fresh: dict[str, complex] = {}
-        for a in range(0, len(new), 50_000):
-            part = new[a : a + 50_000]
-            bucket, who = word_features(part)
-            total = np.bincount(who, self.model.weight[bucket], len(part)) + 1j * np.bincount(who, minlength=len(part))
-            fresh.update(zip(part, total.tolist(), strict=True))
-        if len(known) + len(fresh) <= CACHE:
-            known.update(fresh)
-            look = known.__getitem__
-        else:
-            look = lambda w: known[w] if w in known else fresh[w]
-        sums = [sum(map(look, row)) for row in rows]
-        return [float(1 / (1 + np.exp(-np.clip((x.real / x.imag if x.imag else 0.0) + self.model.bias, -500, 500)))) for x in map(complex, sums)]
+        new = {w for row in rows for w in row}.difference(self.known)
+        if REPEAT not in self.known:
+            new.add(REPEAT)
+        self._learn(list(new))
+        length = np.array([len(r) for r in rows], np.int64)
+        row = np.repeat(np.arange(len(rows)), length)
+        look = self.known.__getitem__
+        at = np.fromiter((look(w) for r in rows for w in r), np.int64, len(row))
+        same = row[1:] == row[:-1]
+        at[1:][same & (at[1:] == at[:-1])] = look(REPEAT)
+        pair = self.model.weight[pair_buckets(self.hash[at])] if len(at) else np.zeros(0)
+        n = len(rows)
+        total = np.bincount(row, self.total[at], n) + np.bincount(row[1:][same], pair[same], n)
+        count = np.bincount(row, self.count[at], n) + np.bincount(row[1:][same], minlength=n)
+        logit = np.divide(total, count, out=np.zeros(n), where=count > 0) + self.model.bias
+        return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
+
+
+def with_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """All columns of ``docs`` and score, predicted (columns of these names are replaced).
+
+    A null or empty text has the score of the bias alone; without labels every score is 0.5.
+    """
+    docs = docs.drop("score", "predicted")
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
+
+    def run(batches):
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").cast(pa.string()).to_pylist()]
+            score = np.concatenate([np.zeros(0), *(scorer.score_batch(texts[a : a + 512]) for a in range(0, len(texts), 512))])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+
+    return docs.mapInArrow(run, schema)
 
 
 def train_on(docs: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0, sample: int = SAMPLE) -> Model:
