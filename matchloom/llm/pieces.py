@@ -8,7 +8,9 @@ and kept in a bounded cache; the cuts still to be solved go through one vectoris
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,10 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "▁"
+NO_CUT = r"(?!)"
 #: A character without a piece scores this much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Cuts that a worker remembers; further ones are solved again when they recur.
-CACHE = 400_000
+#: Cuts that a worker remembers; beyond that it begins anew.
+CACHE = 800_000
 #: Characters solved at a time.
 BLOCK = 1 << 19
 
@@ -84,7 +87,7 @@ def build_model(normal: list[tuple[str, int]], scores: np.ndarray, byte_ids: np.
     used = int(np.flatnonzero(check >= 0)[-1]) + len(chars) + 2
     inner = any(MARK in p.lstrip(MARK) for p, _ in normal)
     ids = [i for _, i in normal]
-    return Model(codes, base[:used], check[:used], terminal[:used], scores, byte_ids, decoded, float(scores[ids].min()) - UNKNOWN_PENALTY if ids else -UNKNOWN_PENALTY, max((len(p) for p, _ in normal), default=1), r"(?!)" if inner else f"(?<=[^{MARK}])(?={MARK})")
+    return Model(codes, base[:used], check[:used], terminal[:used], scores, byte_ids, decoded, float(scores[ids].min()) - UNKNOWN_PENALTY if ids else -UNKNOWN_PENALTY, max((len(p) for p, _ in normal), default=1), NO_CUT if inner else f"(?<=[^{MARK}])(?={MARK})")
 
 
 def _place(check: np.ndarray, kids: np.ndarray, free: int) -> int:
@@ -100,8 +103,8 @@ def _place(check: np.ndarray, kids: np.ndarray, free: int) -> int:
         first += 4096
 
 
-def viterbi(model: Model, texts: list[str]) -> list[np.ndarray]:
-    """Piece ids of each escaped text with the greatest sum of scores; of equal sums the longest last piece."""
+def viterbi(model: Model, texts: list[str]) -> list[bytes]:
+    """Piece ids (little-endian, 32 bits) of each escaped text with the greatest sum of scores; of equal sums the longest last piece."""
     length = np.array([len(t) for t in texts], np.int64)
     first = np.concatenate(([0], np.cumsum(length)))
     n = int(first[-1])
@@ -151,7 +154,6 @@ def viterbi(model: Model, texts: list[str]) -> list[np.ndarray]:
         np.maximum.at(best, target[a:b], total)
         won = np.flatnonzero(total == best[target[a:b]]) + a
         back[target[won]] = won
-    out: list[list[int]] = [[] for _ in texts]
     here = first[1:] + np.arange(len(texts))
     origin = first[:-1] + np.arange(len(texts))
     live = np.flatnonzero(here > origin)
@@ -161,55 +163,91 @@ def viterbi(model: Model, texts: list[str]) -> list[np.ndarray]:
         trail.append((live, edge))
         here[live] = source[edge]
         live = live[here[live] > origin[live]]
-    for owners, edges in reversed(trail):
-        for o, p, s in zip(owners.tolist(), piece[edges].tolist(), (source[edges]).tolist(), strict=True):
-            if p >= 0:
-                out[o].append(p)
-            else:
-                out[o] += model.byte_ids[list(texts[o][s - origin[o]].encode("utf-8", "surrogatepass"))].tolist()
-    return [np.array(x, "<u4") for x in out]
+    if not trail:
+        return [b""] * len(texts)
+    owner, edge = (np.concatenate(x) for x in zip(*trail, strict=True))
+    order = np.lexsort((source[edge], owner))
+    owner, edge = owner[order], edge[order]
+    ids = piece[edge]
+    unknown = np.flatnonzero(ids < 0)
+    if len(unknown):  # each goes as the bytes of its character
+        chars = [chr(c).encode("utf-8", "surrogatepass") for c in point[source[edge[unknown]] - owner[unknown]].tolist()]
+        size = np.ones(len(ids), np.int64)
+        size[unknown] = [len(c) for c in chars]
+        at = np.cumsum(size) - size
+        spread = np.repeat(ids, size)
+        spots = np.repeat(at[unknown], size[unknown]) + np.arange(int(size[unknown].sum())) - np.repeat(np.cumsum(size[unknown]) - size[unknown], size[unknown])
+        spread[spots] = model.byte_ids[np.frombuffer(b"".join(chars), np.uint8)]
+        ids, owner = spread, np.repeat(owner, size)
+    raw = ids.astype("<u4").tobytes()
+    ends = (4 * np.searchsorted(owner, np.arange(len(texts) + 1))).tolist()
+    return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 class Encoder:
-    """Encodes and decodes whole texts; remembers the cuts it has solved."""
+    """Encodes and decodes whole texts; remembers the cuts it has solved.
+
+    Words between single spaces are known by their characters, the marker in front left out; a
+    word after a line end (which no piece may contain) begins with that line end instead.
+    """
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model = model
+        self.known: dict[str, bytes | None] = {}
         self.cut = re.compile(model.cuts)
+        newline = ord("\n")
+        self.plain = model.cuts != NO_CUT and (newline >= len(model.codes) or not model.codes[newline])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; an empty text has none."""
-        cuts = [self._cuts(t) for t in texts]
-        known = self.known
-        new = {c for row in cuts for c in row if c not in known}
-        fresh: dict[str, bytes] = {}
+        if len(self.known) > CACHE:
+            self.known = {}
+        if not self.plain:
+            return self._whole(texts)
+        rows = [t.replace("\n", " \n").split(" ") for t in texts]
+        self._learn(set().union(*rows).difference(self.known))
+        look = self.known.__getitem__
+        out: list[bytes | None] = []
+        for row in rows:
+            try:
+                out.append(b"".join(map(look, row)))
+            except TypeError:  # markers side by side
+                out.append(None)
+        odd = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
+            out[i] = x
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        self.known.update((x, None) for x in new if not x or x[-1] == MARK)
         block: list[str] = []
         size = 0
-        for c in new:
-            block.append(c)
-            size += len(c)
-            if size >= BLOCK:
-                self._solve(block, fresh)
-                block, size = [], 0
-        self._solve(block, fresh)
-        if len(known) + len(fresh) <= CACHE:
-            known.update(fresh)
-            look = known.__getitem__
-        else:
-            look = lambda c: fresh.get(c) or known[c]
-        return [b"".join(map(look, row)) for row in cuts]
-
-    def _solve(self, block: list[str], into: dict[str, bytes]) -> None:
+        for x in new:
+            if x and x[-1] != MARK:
+                block.append(x)
+                size += len(x) + 1
+                if size >= BLOCK:
+                    self._solve(block)
+                    block, size = [], 0
+        self._solve(block)
+
+    def _solve(self, block: list[str]) -> None:
         if block:
-            into.update(zip(block, (x.tobytes() for x in viterbi(self.model, block)), strict=True))
-
-    def _cuts(self, text: str) -> list[str]:
-        if not text:
-            return []
-        words = text.split(" ")
-        if "" not in words and MARK not in text and self.model.cuts != r"(?!)":
-            return [MARK + x for x in words]
-        return self.cut.split(MARK + text.replace(" ", MARK))
+            self.known.update(zip(block, viterbi(self.model, [x if x[0] == "\n" else MARK + x for x in block]), strict=True))
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        """Any texts: cut at the markers that follow another character."""
+        rows = [self.cut.split(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        cuts = list({c for row in rows for c in row})
+        solved: dict[str, bytes] = {}
+        first, size = 0, 0
+        for i, c in enumerate(cuts):
+            size += len(c)
+            if size >= BLOCK or i + 1 == len(cuts):
+                part = cuts[first : i + 1]
+                solved.update(zip(part, viterbi(self.model, part), strict=True))
+                first, size = i + 1, 0
+        return [b"".join(map(solved.__getitem__, row)) for row in rows]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids; bytes that aren't UTF-8 become U+FFFD."""
@@ -261,7 +299,23 @@ def _broadcast(spark: SparkSession, path: str):
 
 def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers), decoded_sha256 and round_trip."""
-    coded = encode_documents(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), model_path)
-    # Each id's four bytes, least first, as hex text.
-    little = F.array_join(F.transform("piece_ids", lambda i: F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(i, s).bitwiseAND(255)), 2, "0") for s in (0, 8, 16, 24)])), "")
-    return coded.select("doc_id", "n_pieces", F.crc32(F.unhex(little)).alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    shared, key = _broadcast(docs.sparkSession, model_path), model_path
+
+    def run(batches):
+        coder = _ENCODERS.get(key) or _ENCODERS.setdefault(key, Encoder(shared.value))
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for a in range(0, len(texts), 512):
+                part = texts[a : a + 512]
+                raw = coder.encode_batch(part)
+                decoded = [coder.decode(np.frombuffer(x, "<u4")) for x in raw]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(a, 512), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()),
+                        pa.array([hashlib.sha256(x.encode("utf-8", "replace")).hexdigest() for x in decoded], pa.string()), pa.array([x == t for x, t in zip(decoded, part, strict=True)], pa.bool_()),
+                    ],
+                    ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "round_trip"],
+                )
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
