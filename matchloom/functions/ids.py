@@ -11,15 +11,17 @@ from matchloom.functions.text import ASCII_DIGITS, FOREIGN_DIGITS, as_col, fold_
 def natural_key(c) -> Column:
     """Sortable text in which 'EMP-2' precedes 'EMP-10'.
 
-    Letters are lower-cased; a digit run becomes a low separator, its length in two
-    digits and the digits without leading zeros, so byte order is numeric order.
+    Letters are lower-cased; a digit run becomes a low separator, its length (led by the
+    number of digits of that length) and the digits without leading zeros, so byte order is
+    numeric order for runs of any length.
     """
     s = fold_digits(F.trim(F.coalesce(as_col(c).cast("string"), F.lit(""))))
     parts = F.regexp_extract_all(s, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
 
     def encode(p: Column) -> Column:
         digits = F.regexp_replace(p, "^0+(?=[0-9])", "")
-        number = F.concat(F.lit("\u0001"), F.lpad(F.length(digits).cast("string"), 2, "0"), digits)
+        size = F.length(digits).cast("string")
+        number = F.concat(F.lit("\u0001"), F.length(size).cast("string"), size, digits)
         return F.when(p.rlike("^[0-9]"), number).otherwise(F.lower(p))
 
     return F.array_join(F.transform(parts, encode), "")

@@ -121,37 +121,45 @@ def canonical_key(c, key: str, policy: Policy | None = None) -> tuple[Column, Co
     return ok, F.when(ok.isNull(), code)
 
 
-def _token_codes(c) -> Column:
-    """All codes named by '1,3 24-27' style text, unsorted, with repeats."""
+def _bounds(c) -> Column:
+    """(lo, hi) of every code and range named by '1,3 24-27' style text; a code is a range of one."""
     text = F.translate(fold_digits(F.coalesce(as_col(c).cast("string"), F.lit(""))), "-", ":")
     tokens = F.filter(F.split(F.trim(text), r"[,،\s]+"), lambda t: t != "")
     digits = lambda t: F.regexp_replace(t, "[^0-9]", "").try_cast("bigint")
 
-    def codes(t: Column) -> Column:
+    def bounds(t: Column) -> Column:
         lo = digits(F.substring_index(t, ":", 1))
-        hi = digits(F.regexp_extract(t, ":(.*)$", 1))
-        one = digits(t)
-        empty = F.array().cast("array<bigint>")
-        return F.when(
-            t.contains(":"),
-            F.when(lo.isNotNull() & hi.isNotNull(), F.sequence(F.least(lo, hi), F.greatest(lo, hi))).otherwise(empty),
-        ).otherwise(F.when(one.isNotNull(), F.array(one)).otherwise(empty))
+        hi = digits(F.when(t.contains(":"), F.regexp_extract(t, ":(.*)$", 1)).otherwise(t))
+        return F.struct(F.least(lo, hi).alias("lo"), F.when(lo.isNotNull() & hi.isNotNull(), F.greatest(lo, hi)).alias("hi"))
 
-    return F.flatten(F.transform(tokens, codes))
+    return F.filter(F.transform(tokens, bounds), lambda b: b["hi"].isNotNull())
 
 
 def _code_array(codes) -> Column:
-    return F.expr("array(" + ",".join(f"{int(c)}L" for c in codes) + ")")
+    return F.expr("array(" + ",".join(f"{int(c)}L" for c in sorted(codes)) + ")")
+
+
+def _named(bounds: Column, valid) -> Column:
+    return F.filter(_code_array(valid), lambda v: F.exists(bounds, lambda b: v.between(b["lo"], b["hi"])))
 
 
 def parse_group_codes(c, valid=VALID_CODES) -> Column:
-    """Sorted unique valid codes."""
-    return F.array_sort(F.array_intersect(_token_codes(c), _code_array(valid)))
+    """Sorted unique valid codes; ranges are compared, never spelled out."""
+    return _named(_bounds(c), valid)
 
 
 def invalid_group_codes(c, valid=VALID_CODES) -> Column:
-    """Sorted unique codes outside the valid set."""
-    return F.array_sort(F.array_except(_token_codes(c), _code_array(valid)))
+    """Named codes and ranges outside the valid set, sorted, as text.
+
+    A range is cut at its valid codes; each rest is 'lo-hi', or the code alone when it is one.
+    """
+    codes = sorted(int(v) for v in valid)
+    # Stretches between neighbouring valid codes, in order.
+    edges = [(-(1 << 63), codes[0] - 1), *((a + 1, b - 1) for a, b in zip(codes, codes[1:], strict=False) if b - a > 1), (codes[-1] + 1, (1 << 63) - 1)]
+    gaps = F.expr("array(" + ",".join(f"named_struct('lo', cast('{a}' as bigint), 'hi', cast('{b}' as bigint))" for a, b in edges) + ")")
+    rest = lambda b: F.filter(F.transform(gaps, lambda g: F.struct(F.greatest(g["lo"], b["lo"]).alias("lo"), F.least(g["hi"], b["hi"]).alias("hi"))), lambda r: r["lo"] <= r["hi"])
+    parts = F.array_sort(F.array_distinct(F.flatten(F.transform(_bounds(c), rest))))
+    return F.transform(parts, lambda r: F.when(r["lo"] == r["hi"], r["lo"].cast("string")).otherwise(F.concat_ws("-", r["lo"].cast("string"), r["hi"].cast("string"))))
 
 
 def parse_group_codes_strict(c, valid=VALID_CODES) -> tuple[Column, Column]:
@@ -160,9 +168,8 @@ def parse_group_codes_strict(c, valid=VALID_CODES) -> tuple[Column, Column]:
     tokens = F.filter(F.split(F.trim(text), r"[,،\s]+"), lambda t: t != "")
     good = lambda t: t.rlike("^[0-9]+(:[0-9]+)?$") & ~t.rlike("^0+(:|$)")
     accepted = F.filter(tokens, good)
-    codes = _token_codes(F.array_join(accepted, ","))
     return (
-        F.array_sort(F.array_intersect(codes, _code_array(valid))),
+        _named(_bounds(F.array_join(accepted, ",")), valid),
         F.filter(tokens, lambda t: ~good(t)),
     )
 

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,8 +12,8 @@ FOREIGN_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
 ASCII_DIGITS = "01234567890123456789"
 ARABIC_LETTERS = "يىكة"
 PERSIAN_LETTERS = "ییکه"
-NAN_PATTERN = r"(?i)^\s*(nan|none|null|nil|na|n/a)?\s*$"
 NAN_TOKENS = ("", "nan", "none", "null", "nil", "na", "n/a")
+NAN_PATTERN = r"(?i)^\s*(" + "|".join(NAN_TOKENS[1:]) + r")?\s*$"
 SCHOOL_SEPARATORS = "-\u2212\u2011\u2013\u2014\u2015\ufe58\ufe63\uff0f/\\\u2044"
 KASHIDA = "\u0640"
 NUM_DROP = "\u066c,\u060c_\u00a0 "
@@ -41,23 +39,53 @@ def _fold(ch: str) -> str:
     return base.translate(table)
 
 
-def _fold_table() -> tuple[str, str]:
-    """Single-character folds of the Unicode BMP that end in a kept character."""
-    src, dst = [], []
-    for point in range(0x80, 0x10000):
-        ch = chr(point)
-        if 0xD800 <= point <= 0xDFFF or unicodedata.category(ch).startswith("M"):
-            continue
-        out = _fold(ch)
-        if len(out) == 1 and out != ch and _kept(out):
-            src.append(ch)
-            dst.append(out)
-    return "".join(src), "".join(dst)
+#: Blocks that hold characters with a compatibility form: the BMP and the mathematical and enclosed alphabets.
+FOLD_RANGES = ((0x80, 0xD800), (0xE000, 0x10000), (0x1D400, 0x1D800), (0x1EE00, 0x1EF00), (0x1F100, 0x1F200))
+
+
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """Folds to one kept character, as two aligned texts, and folds to several characters, by character."""
+    src, dst, several = [], [], {}
+    for first, last in FOLD_RANGES:
+        for point in range(first, last):
+            ch = chr(point)
+            if unicodedata.category(ch).startswith("M"):
+                continue
+            out = _fold(ch)
+            if len(out) > 1 and any(map(_kept, out)):
+                several[ch] = out
+            elif len(out) == 1 and out != ch and _kept(out):
+                src.append(ch)
+                dst.append(out)
+    return "".join(src), "".join(dst), several
+
+
+FOLD_FROM, FOLD_TO, FOLD_SEVERAL = _fold_tables()
+ALLAH = "الله"
+
+
+def _ranges(chars) -> str:
+    """Character class of the given characters, runs written as ranges."""
+    points, out = sorted(map(ord, chars)), []
+    for p in points:
+        if out and p == out[-1][1] + 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
 
 
-FOLD_FROM, FOLD_TO = _fold_table()
-LAM_ALEF = "[\ufef5-\ufefc]"
-ALLAH = "(\ufdf2|الله)"
+SEVERAL_CLASS = _ranges(FOLD_SEVERAL)
+
+
+def fold_several(s: Column) -> Column:
+    """Ligatures, fractions and the like as the letters and digits they stand for.
+
+    Only texts that hold one are split into characters; the fold map is a literal.
+    """
+    table = F.str_to_map(F.lit("\x1e".join(f"{k}\x1f{v}" for k, v in FOLD_SEVERAL.items())), F.lit("\x1e"), F.lit("\x1f"))
+    letters = F.transform(F.split(s, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch))
+    return F.when(s.rlike(SEVERAL_CLASS), F.array_join(letters, "")).otherwise(s)
 
 
 # Ordered rewrites of number-like text; '~' marks a negative number on the way.
@@ -65,7 +93,8 @@ NUMLIKE_STEPS = (
     ("[^0-9.\\-]", ""),
     ("^(?=[^-]*-)", "~"),
     ("-", ""),
-    ("(?<=\\.[0-9]{0,400})\\.", ""),
+    # Digits up to each further dot, from the end of the match before; the text up to the first dot stays.
+    ("\\G((?:^[^.]*\\.)?[0-9]*)\\.?", "$1"),
     ("^~$", ""),
     ("^(~?)\\.", "$10."),
     ("(\\.[0-9]*?)0*$", "$1"),
@@ -103,23 +132,13 @@ def norm_text(c) -> Column:
     """Stable Persian comparison text: letters folded, digits ASCII, marks and noise dropped."""
     # ASCII other than digits never survives; dropping it first spares Latin text the fold.
     s = F.regexp_replace(text_or_blank(c), r"[\x00-/:-\x7f]+", " ")
-    s = F.translate(s, FOLD_FROM, FOLD_TO)
+    s = F.translate(fold_several(s), FOLD_FROM, FOLD_TO)
     s = F.regexp_replace(s, r"\p{M}+", "")
-    s = F.regexp_replace(s, LAM_ALEF, "لا")
     s = F.regexp_replace(s, ALLAH, "ل")
     s = F.regexp_replace(s, "[^0-9\u0600-\u06ff]+", " ")
     return F.regexp_replace(F.trim(s), "^(ل )+ل$", "ل")
 
 
-def norm_text_full(c) -> Column:
-    """Same result with the complete NFKD fold (ligatures too), as an Arrow batch function."""
-    @F.pandas_udf("string")
-    def nfkd(values: pd.Series) -> pd.Series:
-        return values.str.normalize("NFKD")
-
-    return norm_text(nfkd(text_or_empty(c)))
-
-
 def numlike(c) -> Column:
     """Canonical numeric text: '١٬٢٣٤٫٥٠' -> '1234.5', '-000' -> '0', no digits -> ''."""
     s = F.translate(

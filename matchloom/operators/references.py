@@ -226,14 +226,17 @@ def prior_counter_map(roster: DataFrame, order: str) -> tuple[DataFrame, DataFra
 
 def assign_counters(
     students: DataFrame, order: str, prior: DataFrame | None, current: DataFrame | None, year: int,
-    policy: Policy | None = None,
+    policy: Policy | None = None, on_overflow: str = "raise",
 ) -> DataFrame:
     """Nine-digit ids: reuse the prior one, share per national id, number new ones per gender.
 
     New ids continue after the largest sequence of the current roster, in natural order of
     the national id; the gender of a shared id is that of its first row. A sequence above
-    9999 has no id (null ``student_id``); see ``counter_overflow``.
+    9999 fails the job; with ``on_overflow="null"`` such rows have no id (see
+    ``counter_overflow``).
     """
+    if on_overflow not in ("raise", "null"):
+        raise ValueError("on_overflow is 'raise' or 'null'")
     policy = policy or Policy()
     yy = year - 1350
     rows = students.withColumn("nat", nat_id("national_id")).withColumn("__o", F.col(order))
@@ -263,6 +266,9 @@ def assign_counters(
         (F.coalesce("top", F.lit(0)) + F.col("n")).alias("sequence"),
         "g",
     ).withColumn("made", ids.counter_id(F.lit(yy), "g", "sequence", policy.gender_mid3))
+    if on_overflow == "raise":
+        full = F.concat(F.lit("counter sequence above 9999 for gender "), F.col("g").cast("string"), F.lit(": "), F.col("sequence").cast("string"))
+        made = made.withColumn("made", F.when(F.col("sequence") > 9999, F.raise_error(full)).otherwise(F.col("made")))
     people = lookup(people, made, ["nat"], ["made", "sequence"], "left")
     people = people.select(
         "nat", F.coalesce("counter", "made").alias("student_id"), F.col("counter").isNotNull().alias("from_prior"),

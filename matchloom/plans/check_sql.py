@@ -65,7 +65,7 @@ def natural(x: str) -> str:
     d = "coalesce(nullif(ltrim(p, '0'), ''), '0')"
     return (
         f"array_to_string(list_transform(regexp_extract_all({s}, '[0-9]+|[^0-9]+'), lambda p: "
-        f"CASE WHEN regexp_matches(p, '^[0-9]') THEN chr(1) || lpad(CAST(length({d}) AS VARCHAR), 2, '0') || {d} "
+        f"CASE WHEN regexp_matches(p, '^[0-9]') THEN chr(1) || length(CAST(length({d}) AS VARCHAR)) || length({d}) || {d} "
         f"ELSE lower(p) END), '')"
     )
 
@@ -107,17 +107,26 @@ def gender(x: str, default: str = "1") -> str:
 VALID = "[" + ",".join(str(c) for c in VALID_CODES) + "]"
 
 
-def code_list(x: str) -> str:
-    """All codes of a group cell as one BIGINT list."""
+def code_bounds(x: str) -> str:
+    """Bounds of all codes and ranges of a group cell, as a list of (lo, hi)."""
     text = f"replace({digits(f'coalesce(CAST({x} AS VARCHAR), chr(32))')}, '-', ':')"
     tokens = f"list_filter(regexp_split_to_array(trim({text}), '[,،\\s]+'), lambda k: k <> '')"
     d = lambda e: f"TRY_CAST(regexp_replace({e}, '[^0-9]', '', 'g') AS BIGINT)"
-    lo = d("split_part(k, ':', 1)")
-    hi = d("regexp_extract(k, ':(.*)$', 1)")
-    one = d("k")
-    return (
-        f"flatten(list_transform({tokens}, lambda k: CASE WHEN contains(k, ':') THEN "
-        f"CASE WHEN {lo} IS NULL OR {hi} IS NULL THEN CAST([] AS BIGINT[]) "
-        f"ELSE generate_series(least({lo}, {hi}), greatest({lo}, {hi})) END "
-        f"WHEN {one} IS NULL THEN CAST([] AS BIGINT[]) ELSE [{one}] END))"
-    )
+    lo, hi = d("split_part(k, ':', 1)"), d("CASE WHEN contains(k, ':') THEN regexp_extract(k, ':(.*)$', 1) ELSE k END")
+    pair = f"CASE WHEN {lo} IS NULL OR {hi} IS NULL THEN NULL ELSE {{'lo': least({lo}, {hi}), 'hi': greatest({lo}, {hi})}} END"
+    return f"list_filter(list_transform({tokens}, lambda k: {pair}), lambda b: b IS NOT NULL)"
+
+
+def valid_codes(x: str) -> str:
+    """Sorted valid codes of a group cell."""
+    return f"list_sort(list_filter({VALID}, lambda v: len(list_filter({code_bounds(x)}, lambda b: v BETWEEN b.lo AND b.hi)) > 0))"
+
+
+def invalid_codes(x: str) -> str:
+    """Sorted texts of what the cell names outside the valid codes: single codes and 'lo-hi' stretches."""
+    codes = sorted(VALID_CODES)
+    low, high = [0, *(c + 1 for c in codes)], [*(c - 1 for c in codes), (1 << 63) - 1]
+    gaps = "[" + ", ".join(f"{{'lo': {a}::BIGINT, 'hi': {b}::BIGINT}}" for a, b in zip(low, high, strict=True) if a <= b) + "]"
+    rest = f"flatten(list_transform({code_bounds(x)}, lambda b: list_filter(list_transform({gaps}, lambda g: {{'lo': greatest(g.lo, b.lo), 'hi': least(g.hi, b.hi)}}), lambda r: r.lo <= r.hi)))"
+    shown = "lambda r: CASE WHEN r.lo = r.hi THEN CAST(r.lo AS VARCHAR) ELSE r.lo || '-' || r.hi END"
+    return f"list_transform(list_sort(list_distinct({rest})), {shown})"

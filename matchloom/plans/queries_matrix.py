@@ -35,7 +35,7 @@ mc AS (SELECT m, coalesce(arg_min(c, (-length(k), k)), 0) AS center, arg_min(k,
 
 BASE = f"""{CELLS}, {CENTER},
 base AS (SELECT r.row_index, trim(r.mentor_id) AS mentor_id, r.mentor_name, r.manager, mc.center AS center_code,
-  list_sort(list_filter(list_distinct({ck.code_list('group_spec')}), lambda v: list_contains({ck.VALID}, v))) AS groups,
+  {ck.valid_codes('group_spec')} AS groups,
   {ck.gender('gender_text')} AS gender_code, coalesce(b.bound, CAST([] AS BIGINT[])) AS bound,
   CAST(school_count AS BIGINT) AS wanted, b.refs IS NOT NULL AS has_school_constraint,
   CASE WHEN CAST(school_count AS BIGINT) > 0 THEN 'SCHOOL' ELSE 'NORMAL' END AS mentor_type,
@@ -328,10 +328,10 @@ def validation_row(t):
 
 @query(
     "F14_unseen_groups",
-    f"""WITH u AS (SELECT mentor_name, manager, list_sort(list_distinct({ck.code_list('group_spec')})) AS codes FROM report
+    f"""WITH u AS (SELECT mentor_name, manager, {ck.valid_codes('group_spec')} AS good, {ck.invalid_codes('group_spec')} AS codes FROM report
         WHERE trim(mentor_id) <> '' AND can_allocate = 'بلی')
       SELECT DISTINCT mentor_name, manager, unnest(CASE WHEN len(codes) = 0 THEN [''] ELSE list_transform(codes, lambda v: 'code:' || v) END) AS group_token FROM u
-      WHERE len(list_filter(codes, lambda v: list_contains({ck.VALID}, v))) = 0""",
+      WHERE len(good) = 0""",
     ("report",),
 )
 def unseen_groups(t):

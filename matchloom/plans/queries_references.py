@@ -409,7 +409,7 @@ def global_prefilter(t):
 
 
 J24 = f"""{CELLS}, {CENTER}, rr AS (SELECT *, CASE row_index % 5 WHEN 0 THEN group_spec WHEN 1 THEN '7' ELSE '' END AS legacy_group, CASE row_index % 6 WHEN 0 THEN '' WHEN 1 THEN '3' WHEN 2 THEN '9' ELSE '0' END AS finance_raw FROM report),
-gg AS (SELECT rr.*, list_sort(list_filter(list_distinct({ck.code_list('group_spec')}), lambda v: list_contains({ck.VALID}, v))) AS gl, list_sort(list_filter(list_distinct({ck.code_list('legacy_group')}), lambda v: list_contains({ck.VALID}, v))) AS ll FROM rr)"""
+gg AS (SELECT rr.*, {ck.valid_codes('group_spec')} AS gl, {ck.valid_codes('legacy_group')} AS ll FROM rr)"""
 
 
 def _key_derivation(t):

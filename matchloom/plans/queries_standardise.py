@@ -163,8 +163,8 @@ def canonical_key(t):
 
 @query(
     "N9_parse_group_codes",
-    f"""SELECT row_id, array_to_string(list_sort(list_filter(list_distinct({ck.code_list('group_cell')}), lambda v: list_contains({ck.VALID}, v))), ',') AS codes,
-    array_to_string(list_sort(list_filter(list_distinct({ck.code_list('group_cell')}), lambda v: NOT list_contains({ck.VALID}, v))), ',') AS invalid_codes,
+    f"""SELECT row_id, array_to_string({ck.valid_codes('group_cell')}, ',') AS codes,
+    array_to_string({ck.invalid_codes('group_cell')}, ',') AS invalid_codes,
     array_to_string(list_filter(regexp_split_to_array(trim(replace({ck.digits("coalesce(group_cell,'')")}, '-', ':')), '[,،\\s]+'),
        lambda k: k <> '' AND NOT (regexp_matches(k, '^[0-9]+(:[0-9]+)?$') AND NOT regexp_matches(k, '^0+(:|$)'))), ',') AS invalid_tokens
     FROM messy""",

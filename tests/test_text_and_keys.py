@@ -5,7 +5,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from matchloom.config import Policy
+from matchloom.config import VALID_CODES, Policy
 from matchloom.functions import contact, ids, keys, text
 
 
@@ -21,11 +21,17 @@ def test_norm_text(spark):
     ]
 
 
-def test_full_fold_agrees_on_common_text(spark):
-    cells = ["كريم ١٢", "ﻻله ﺏ", "مَدرسه", None, "¼ ﷺ"]
-    plain = values(spark, cells[:4], text.norm_text)
-    assert values(spark, cells, text.norm_text_full)[:4] == plain
-    assert values(spark, cells, text.norm_text_full)[4].startswith("1 4")
+def test_ligatures_and_fractions_keep_their_letters(spark):
+    cells = ["\ufc9e", "\ufcfe", "\ufdfa", "½", "⑩", "a ½\ufdf2", "𝟗x", None]
+    assert values(spark, cells, text.norm_text) == ["بخ", "شی", "صلی ل علیه وسلم", "1 2", "10", "1 2ل", "9", ""]
+
+
+def test_no_length_limits(spark):
+    assert values(spark, ["1." + "2" * 450 + ".5.6"], text.numlike) == ["1." + "2" * 450 + "56"]
+    assert values(spark, ["9" * 450, "-.5.3", "1..2"], text.numlike) == ["9" * 450, "-0.53", "1.2"]
+    short, long_ = values(spark, ["9" * 99, "1" * 100], ids.natural_key)
+    assert short < long_
+    assert values(spark, ["1-2999999999 5"], keys.parse_group_codes) == [sorted(VALID_CODES)]
 
 
 def test_fold_table_is_the_unicode_rule():
@@ -62,7 +68,9 @@ def test_group_codes(spark):
     assert values(spark, ["1,3 24-27", "27:24", "2 99", "۵،۷", "", None], keys.parse_group_codes) == [
         [1, 3, 24, 25, 26, 27], [24, 25, 26, 27], [], [5, 7], [], [],
     ]
-    assert values(spark, ["1 2,99"], keys.invalid_group_codes) == [[2, 99]]
+    assert values(spark, ["1 2,99"], keys.invalid_group_codes) == [["2", "99"]]
+    top = max(VALID_CODES)
+    assert values(spark, [f"{top - 1}-2999999999"], keys.invalid_group_codes)[0][-1] == f"{top + 1}-2999999999"
     assert values(spark, ["1 x 0 3-5"], lambda c: keys.parse_group_codes_strict(c)[1]) == [["x", "0"]]
 
 
