@@ -115,28 +115,44 @@ def status_issues(df: DataFrame, status: str, policy: Policy | None = None) -> D
     return df.withColumn("issue", code).where(F.col("issue").isNotNull())
 
 
+def _one_per_mentor(df: DataFrame, column: str, name: str, order: str | None) -> DataFrame:
+    """(mentor_id, name): the last row by ``order``; without an order, repeats must agree or the job fails."""
+    if order is not None:
+        return df.groupBy("mentor_id").agg(F.max_by(column, order).alias(name))
+    grouped = df.groupBy("mentor_id").agg(F.min(column).alias("__lo"), F.max(column).alias("__hi"))
+    differ = F.raise_error(F.concat(F.lit(f"several values of {column} for mentor "), F.col("mentor_id").cast("string")))
+    return grouped.select("mentor_id", F.when(F.col("__lo") != F.col("__hi"), differ).otherwise(F.col("__hi")).alias(name))
+
+
 def effective_status(
     mentors: DataFrame, policy_status: DataFrame | None = None, overrides: DataFrame | None = None,
-    status: str | None = None, policy: Policy | None = None,
+    status: str | None = None, policy: Policy | None = None, order: str | None = None, on_invalid: str = "raise",
 ) -> DataFrame:
     """Add ``effective_status``: override > policy map > row status > default.
 
-    ``policy_status`` is (mentor_id, status), ``overrides`` is (mentor_id, enabled). Both are
-    plain left joins; the optimizer broadcasts them only when their measured size allows it.
+    ``policy_status`` is (mentor_id, status), ``overrides`` is (mentor_id, enabled); of rows that
+    repeat a mentor the last one by their column ``order`` counts, without an order differing
+    repeats fail. An unknown status, or one outside the policy's allowed set, fails the job;
+    with ``on_invalid="ignore"`` unknown ones count as absent (see ``status_issues``). Both are plain left joins; the
+    optimizer broadcasts them only when their measured size allows it.
     """
     policy = policy or Policy()
     out = mentors
     row = canonical_status(status) if status else F.lit(None).cast("string")
     from_policy = from_override = F.lit(None).cast("string")
     if policy_status is not None:
-        m = policy_status.select("mentor_id", canonical_status("status").alias("__policy_status")).dropDuplicates(["mentor_id"])
-        out = out.join(m, "mentor_id", "left")
+        named = policy_status.withColumn("__policy_status", canonical_status("status"))
+        out = out.join(_one_per_mentor(named, "__policy_status", "__policy_status", order), "mentor_id", "left")
         from_policy = F.col("__policy_status")
     if overrides is not None:
-        o = overrides.select("mentor_id", F.col("enabled").alias("__enabled")).dropDuplicates(["mentor_id"])
-        out = out.join(o, "mentor_id", "left")
+        out = out.join(_one_per_mentor(overrides, "enabled", "__enabled", order), "mentor_id", "left")
         from_override = F.when(F.col("__enabled"), F.lit("ACTIVE")).when(~F.col("__enabled"), F.lit("INACTIVE"))
     value = F.coalesce(from_override, from_policy, row, F.lit(policy.default_status))
+    if on_invalid == "raise":
+        allowed = lambda c: c.isNull() | c.isin(*policy.allowed_statuses)
+        known = F.lit(True) if status is None else row.isNotNull() | (F.trim(F.coalesce(F.col(status).cast("string"), F.lit(""))) == "")
+        wrong = F.raise_error(F.concat(F.lit("status unknown or not allowed for mentor "), F.col("mentor_id").cast("string")))
+        value = F.when(known & allowed(row) & allowed(from_policy) & allowed(value), value).otherwise(wrong)
     return out.withColumn("effective_status", value).drop("__policy_status", "__enabled")
 
 

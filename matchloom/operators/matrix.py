@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -260,6 +261,14 @@ def coverage_status(joined: DataFrame) -> DataFrame:
     return out.withColumn("variants", F.coalesce("variants", F.lit(""))).withColumn("status", status)
 
 
+def coverage_outer(students: DataFrame, pool: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Rows of students and of the pool for every key either side has; each side is counted before the join."""
+    zero = F.lit(0).cast("bigint")
+    s = students.groupBy(*keys).agg(F.count(F.lit(1)).alias("__s"))
+    m = pool.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m"))
+    return s.join(m, list(keys), "full").select(*keys, F.coalesce("__s", zero).alias("student_rows"), F.coalesce("__m", zero).alias("pool_rows"))
+
+
 def student_only_groups(coverage: DataFrame, students: DataFrame) -> DataFrame:
     """Append student groups absent from the coverage table."""
     zero = F.lit(0).cast("bigint")

@@ -130,7 +130,7 @@ def school_01(matrix: DataFrame, invalid: DataFrame) -> DataFrame:
 
 def gov_01(alloc: DataFrame, policy_status: DataFrame | None, overrides: DataFrame | None = None, policy: Policy | None = None) -> DataFrame:
     used = alloc.where(F.col("mentor_id").isNotNull()).select("mentor_id").distinct()
-    bad = governance.effective_status(used, policy_status, overrides, None, policy).where(F.col("effective_status") != "ACTIVE")
+    bad = governance.effective_status(used, policy_status, overrides, None, policy, on_invalid="ignore").where(F.col("effective_status") != "ACTIVE")
     return _rows(bad, "GOV_01", F.col("mentor_id"), F.col("effective_status"))
 
 

@@ -212,20 +212,21 @@ def union_branches(normal: DataFrame, school: DataFrame) -> DataFrame:
     return normal.unionByName(school, allowMissingColumns=True)
 
 
+def _side_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Each distinct row with the times it occurs on either side; one scan of each and one shuffle."""
+    both = a.select("*", F.lit(1).alias("__a"), F.lit(0).alias("__b")).union(b.select("*", F.lit(0).alias("__a"), F.lit(1).alias("__b")))
+    return both.groupBy(*[F.col(f"`{c}`") for c in a.columns]).agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b"))
+
+
 def snapshot_diff(a: DataFrame, b: DataFrame) -> DataFrame | None:
     """Added, removed, row delta and equality of two snapshots; None when columns differ."""
     if a.columns != b.columns:
         return None
-    parts = {"added": b.subtract(a), "removed": a.subtract(b), "ca": a, "cb": b}
-    rows = None
-    for name, df in parts.items():
-        part = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
-        rows = part if rows is None else rows.unionByName(part)
-    one = rows.agg(*[F.max(F.when(F.col("part") == n, F.col("n"))).alias(n) for n in parts])
-    return one.select(
-        "added", "removed", (F.col("cb") - F.col("ca")).alias("row_delta"),
-        ((F.col("added") == 0) & (F.col("removed") == 0) & (F.col("ca") == F.col("cb"))).alias("equal"),
-    )
+    one = _side_counts(a, b).agg(
+        F.count_if((F.col("__a") == 0)).alias("added"), F.count_if((F.col("__b") == 0)).alias("removed"),
+        F.coalesce(F.sum(F.col("__b") - F.col("__a")), F.lit(0)).cast("bigint").alias("row_delta"),
+    )
+    return one.select("*", ((F.col("added") == 0) & (F.col("removed") == 0) & (F.col("row_delta") == 0)).alias("equal"))
 
 
 def id_differences(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
@@ -243,5 +244,10 @@ def shared_ids(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
 
 def frame_differences(expected: DataFrame, actual: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Row multiset differences on the given columns, ignoring row and column order."""
-    e, a = expected.select(*columns), actual.select(*columns)
-    return e.exceptAll(a).withColumn("side", F.lit("expected")).unionByName(a.exceptAll(e).withColumn("side", F.lit("actual")))
+    counted = _side_counts(expected.select(*columns), actual.select(*columns)).where("__a <> __b")
+    side = F.when(F.col("__a") > F.col("__b"), "expected").otherwise("actual")
+    # One row for each surplus copy, in two steps so that no array grows with the count.
+    surplus, step = F.abs(F.col("__a") - F.col("__b")), 10_000
+    blocks = counted.select(*columns, side.alias("side"), surplus.alias("__n"), F.explode(F.sequence(F.lit(0), F.floor((surplus - 1) / step))).alias("__k"))
+    size = F.least(F.lit(step), F.col("__n") - F.col("__k") * step).cast("int")
+    return blocks.select(*columns, "side", F.explode(F.sequence(F.lit(1), size))).select(*columns, "side")

@@ -311,20 +311,21 @@ def resolve_group_code(
     return out.drop("k", "m", "named"), stats
 
 
-def apply_crosswalk(df: DataFrame, column: str, crosswalk: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_crosswalk(df: DataFrame, column: str, crosswalk: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Numeric keys first, then folded text keys; unmapped rows are the second table.
 
-    ``crosswalk`` is (source STRING, target).
+    ``crosswalk`` is (source STRING, target). Of entries with the same key the last one by the
+    column ``order`` counts; without an order the greatest target.
     """
+    last = lambda name: F.max_by("target", "entry_order").alias(name)
     src = crosswalk.select(
         text.numlike_long("source").alias("num_key"),
         text.norm_text("source").alias("text_key"),
         F.col("target").cast("bigint").alias("target"),
+        (F.col(order) if order else F.col("target").cast("bigint")).alias("entry_order"),
     )
-    numeric = src.where(F.col("num_key").isNotNull()).groupBy("num_key").agg(F.max("target").alias("by_number"))
-    textual = src.where(F.col("num_key").isNull() & (F.col("text_key") != "")).groupBy("text_key").agg(
-        F.max("target").alias("by_text")
-    )
+    numeric = src.where(F.col("num_key").isNotNull()).groupBy("num_key").agg(last("by_number"))
+    textual = src.where(F.col("num_key").isNull() & (F.col("text_key") != "")).groupBy("text_key").agg(last("by_text"))
     keyed = df.withColumn("num_key", text.numlike_long(column)).withColumn("text_key", text.norm_text(column))
     keyed = keyed.join(numeric, "num_key", "left").join(textual, "text_key", "left")
     out = keyed.withColumn("mapped", F.coalesce("by_number", "by_text")).drop(

@@ -296,12 +296,7 @@ def coverage_metrics(t):
     ("students", "mentors"),
 )
 def coverage_outer(t):
-    s = t.students.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("s"))
-    m = t.mentors.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("m"))
-    zero = F.lit(0).cast("bigint")
-    return s.join(m, list(KEYS), "full").select(
-        *KEYS, F.coalesce("s", zero).alias("student_rows"), F.coalesce("m", zero).alias("pool_rows")
-    )
+    return X.coverage_outer(t.students, t.mentors)
 
 
 @query(

@@ -335,12 +335,29 @@ def version_state(t):
 )
 def append_run_metrics(t):
     kpi = t.students.groupBy("center_code").agg(F.count(F.lit(1)).alias("students"), F.sum("gender_code").alias("males"))
-    return D.metric_rows(kpi, ["center_code"], "r1")
+    path = _folder(t)
+    D.append_run(path, "r0", {"kpi": D.metric_rows(kpi.limit(0), ["center_code"], "r0")})
+    D.append_run(path, "r1", {"kpi": D.metric_rows(kpi, ["center_code"], "r1")})
+    return D.load_run_evidence(t.spark, path, "r1", ["kpi"])["kpi"].select("center_code", "metric", "value", "run_id")
+
+
+_WORDS = " || '-' || ".join(f"CAST(sum(CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT)) AS VARCHAR)" for k in range(8))
 
 
-@query("S12_archive_snapshot", "SELECT count(*) AS rows, false AS truncated, 'r1' AS run_id FROM supplier")
+@query(
+    "S12_archive_snapshot",
+    f"""WITH r AS (SELECT sha256(CAST(n_name AS VARCHAR) || chr(31) || CAST(n_nationkey AS VARCHAR) || chr(31) || CAST(n_regionkey AS VARCHAR)) AS h FROM nation)
+      SELECT count(*) AS rows, {_WORDS} AS hash_sum, false AS truncated, 'r1' AS run_id FROM r""",
+)
 def archive_snapshot(t):
-    return D.archive_snapshot(t.supplier, _folder(t), {"run_id": "r1"}).drop("hash_sum")
+    return D.archive_snapshot(t.nation.select("n_name", "n_nationkey", "n_regionkey"), _folder(t), {"run_id": "r1"})
+
+
+@query("S12_stored_snapshot", "SELECT * FROM supplier")
+def stored_snapshot(t):
+    path = _folder(t)
+    D.archive_snapshot(t.supplier, path, {"run_id": "r1"})
+    return D.stored_snapshot(t.spark, path)
 
 
 @query("S13_write_outputs", 'SELECT s_suppkey AS "کد | s_suppkey", s_name AS "نام | s_name" FROM supplier')
@@ -372,12 +389,17 @@ def import_students(t):
     return done.rows.select("row_id", "group_code", "grad_status_code")
 
 
-@query("S16_load_crosswalk", "SELECT group_code, name FROM group_dim", ("group_dim",))
+@query(
+    "S16_load_crosswalk",
+    "SELECT 'group' AS kind, name AS source, CAST(group_code AS VARCHAR) AS target FROM group_dim UNION ALL SELECT 'synonym', n_name, lower(n_name) FROM nation",
+    ("group_dim",),
+)
 def load_crosswalk(t):
     path = _folder(t)
-    synonyms = t.nation.select(F.col("n_name").alias("src"), F.col("n_name").alias("dst"))
-    D.write_crosswalk(t.group_dim, synonyms, path)
-    return D.load_crosswalk(t.spark, path)[0].select("group_code", "name")
+    D.write_crosswalk(t.group_dim, t.nation.select(F.col("n_name").alias("src"), F.lower("n_name").alias("dst")), path)
+    groups, synonyms = D.load_crosswalk(t.spark, path)
+    named = groups.select(F.lit("group").alias("kind"), F.col("name").alias("source"), F.col("group_code").cast("string").alias("target"))
+    return named.unionByName(synonyms.select(F.lit("synonym").alias("kind"), F.col("src").alias("source"), F.col("dst").alias("target")))
 
 
 # Streams ---------------------------------------------------------------------------

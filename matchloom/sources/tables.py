@@ -159,26 +159,36 @@ def row_hashes(df: DataFrame, name: str = "row_hash") -> DataFrame:
 
 
 def content_fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and an order-independent combination of the row hashes."""
-    part = F.conv(F.substring("row_hash", 1, 12), 16, 10).cast("decimal(38,0)")
-    return row_hashes(df).agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("hash_sum")
-    )
+    """Row count and an order-independent sum over the whole row hashes (eight words of 32 bits each)."""
+    word = lambda k: F.sum(F.conv(F.substring("row_hash", 8 * k + 1, 8), 16, 10).cast("decimal(38,0)"))
+    total = F.concat_ws("-", *[F.coalesce(word(k), F.lit(0)).cast("string") for k in range(8)])
+    return row_hashes(df).agg(F.count(F.lit(1)).alias("rows"), total.alias("hash_sum"))
 
 
 def archive_snapshot(df: DataFrame, path: str, meta: Mapping[str, str], limit: int | None = None) -> DataFrame:
-    """Store ordered columns with a fingerprint; ``limit`` marks the copy as truncated."""
+    """Store ordered columns with a fingerprint of the whole table.
+
+    A table of more than ``limit`` rows is only described: no row of it is stored, and
+    ``truncated`` says so; comparing such an archive is refused by ``stored_snapshot``.
+    """
     ordered = df.select(*sorted(df.columns))
-    total = ordered.count()
-    kept = ordered.limit(limit) if limit is not None and total > limit else ordered
-    kept.write.mode("overwrite").parquet(f"{path}/rows")
-    info = content_fingerprint(ordered).withColumn("truncated", F.lit(limit is not None and total > limit))
+    info = content_fingerprint(ordered).withColumn("truncated", F.col("rows") > F.lit(limit) if limit is not None else F.lit(False))
     for k, v in meta.items():
         info = info.withColumn(k, F.lit(v))
     info.write.mode("overwrite").parquet(f"{path}/meta")
+    info = df.sparkSession.read.schema(info.schema).parquet(f"{path}/meta")
+    if not info.first()["truncated"]:
+        ordered.write.mode("overwrite").parquet(f"{path}/rows")
     return info
 
 
+def stored_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of an archive; one that was only described can't be compared."""
+    if spark.read.parquet(f"{path}/meta").first()["truncated"]:
+        raise ValueError(f"{path} holds a description only, no rows to compare")
+    return spark.read.parquet(f"{path}/rows")
+
+
 def header_mode(df: DataFrame, names: Mapping[str, str], mode: str) -> DataFrame:
     """Headers in one language or both; ``names`` maps English to Persian."""
     label = {"en": lambda c: c, "fa": lambda c: names.get(c, c), "fa_en": lambda c: f"{names[c]} | {c}" if c in names else c}[mode]

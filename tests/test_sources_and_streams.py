@@ -34,10 +34,11 @@ def test_fingerprint_ignores_row_and_column_order(spark):
     assert a != D.content_fingerprint(df.where("id > 0")).first()
 
 
-def test_snapshot_marks_truncation(spark, tmp_path):
+def test_large_snapshot_is_only_described(spark, tmp_path):
     info = D.archive_snapshot(spark.range(10), str(tmp_path / "x"), {"run_id": "r"}, limit=3).first()
-    assert info["truncated"] and info["rows"] == 10
-    assert spark.read.parquet(str(tmp_path / "x") + "/rows").count() == 3
+    assert info["truncated"] and info["rows"] == 10 and not (tmp_path / "x" / "rows").exists()
+    with pytest.raises(ValueError):
+        D.stored_snapshot(spark, str(tmp_path / "x"))
 
 
 def test_run_evidence_is_partitioned(spark, tmp_path):
@@ -80,3 +81,24 @@ def test_header_issues_count_conflicts(spark):
     df = spark.createDataFrame([("1", "2"), ("3", None), (None, "4")], "a string, b string")
     out, issues = resolve_headers(df, {"a": "x", "b": "x"})
     assert [r[0] for r in out.collect()] == ["1", "3", "4"] and issues.first()["conflict_count"] == 1
+
+
+def test_wrong_statuses_and_full_counters_fail(spark):
+    from matchloom.operators.governance import effective_status
+    from matchloom.operators.references import assign_counters
+
+    mentors = spark.createDataFrame([(1, "active"), (2, "odd")], "mentor_id long, raw string")
+    with pytest.raises(Exception, match="not allowed for mentor 2"):
+        effective_status(mentors, status="raw").where("effective_status <> 'ACTIVE'").collect()
+    assert len(effective_status(mentors, status="raw", on_invalid="ignore").collect()) == 2
+    twice = spark.createDataFrame([(1, "active", 1), (1, "inactive", 2)], "mentor_id long, status string, n int")
+    with pytest.raises(Exception, match="several values"):
+        effective_status(mentors.where("mentor_id = 1"), twice).collect()
+    got = effective_status(mentors.where("mentor_id = 1"), twice, order="n").first()
+    assert got.effective_status == "INACTIVE"
+    students = spark.createDataFrame([(1, "0012345678", 1), (2, "0012345679", 1)], "row_id long, national_id string, gender long")
+    current = spark.createDataFrame([("543579998",)], "student_id string")
+    with pytest.raises(Exception, match="above 9999"):
+        assign_counters(students, "row_id", None, current, 1404).select("student_id").collect()
+    lenient = assign_counters(students, "row_id", None, current, 1404, on_overflow="null").collect()
+    assert {r.student_id for r in lenient} == {"543579999", None}
