@@ -6,11 +6,11 @@ goes to bin ``i - COORDINATES`` only, so that every bin is filled after at most
 rounds, and an estimate from the bins is concentrated as that of independent hashes.
 
 Links are decided on full shingle sets. What the bands decide is only which pairs are looked
-at: at similarity 0.8 a pair shares none of the 30 bands of 5 coordinates with probability
-7e-6. Documents of equal sets are one node from the start, and a bucket is never turned into
-all its pairs: first every member meets the bucket's least node, joined members leave, and
-only pairs across components are left. Buckets in which those are many (more than
-``DIRECT`` a member) go to an exact prefix filter on their rarest shingles.
+at: at similarity 0.8 a pair shares none of the 45 bands of 6 coordinates with probability
+1e-6. Documents of equal sets are one node from the start, and a bucket is never turned into
+all its pairs: first every member meets the bucket's least node, and joined members are one
+component. Nodes of buckets that still hold several components go to an exact prefix filter on
+their rarest shingles, with bounds from sizes and positions, which compares across components only.
 """
 
 from __future__ import annotations
@@ -24,13 +24,11 @@ from pyspark.sql import functions as F
 from matchloom.llm.bytesops import BASE, STEP, U, mix, row_bytes, salt, shingles, slices, words
 from matchloom.llm.shared import stored, work_folder
 
-BANDS, ROWS = 30, 5
+BANDS, ROWS = 45, 6
 COORDINATES = BANDS * ROWS
 #: Pairs whose sketches agree in fewer coordinates are not verified. At similarity 0.8 the
-#: expected number is 120; falling to 82 has a probability under 1e-8 (Hoeffding).
-LEAST_AGREEING = 82
-#: Cross-component pairs a member up to which a bucket is compared directly.
-DIRECT = 64
+#: expected number is 216; falling to 166 has a probability under 1e-8 (Hoeffding).
+LEAST_AGREEING = 166
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -201,19 +199,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, with_h
     if not rest.isEmpty():
         edges = edges.unionByName(verified(rest, "links2"))
         labels = stored(components(edges, folder, "second"), folder, "labels2")
-    # Buckets that still hold several components: the pairs across them, nothing else.
+    # Buckets that still hold several components: what may link across them, nothing else.
     placed = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-    parts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-    buckets = parts.groupBy("bucket").agg(F.sum("c").cast("double").alias("m"), F.sum(F.col("c").cast("double") * F.col("c")).alias("squares"), F.count("*").alias("k")).where("k > 1")
-    buckets = stored(buckets.select("bucket", ((F.col("m") * F.col("m") - F.col("squares")) / 2 <= DIRECT * F.col("m")).alias("direct")), folder, "buckets")
-    if buckets.isEmpty():
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
+    loose = stored(placed.join(mixed, "bucket").select("node", "comp").distinct(), folder, "loose")
+    if loose.isEmpty():
         return _result(rows, nodes, labels, with_hash)
-    left = stored(placed.join(buckets, "bucket"), folder, "open")
-    found = _across(left.where("direct"), "bucket")
-    many = left.where("not direct").select("node", "comp").distinct()
-    if not many.isEmpty():
-        found = found.unionByName(_across(_prefixes(texts.join(many, "node"), shingle, percent), "token"))
-    found = stored(likely(found.join(stars, ["a", "b"], "left_anti").distinct()), folder, "found")
+    prefixes = stored(_prefixes(texts.join(loose, "node"), shingle, percent), folder, "prefixes")
+    found = _across(prefixes, percent).join(stars, ["a", "b"], "left_anti")
+    found = stored(likely(found), folder, "found")
     if not found.isEmpty():
         edges = edges.unionByName(verified(found, "links3"))
         labels = stored(components(edges, folder, "third"), folder, "labels3")
@@ -236,26 +230,41 @@ def _same_node(size: int):
     return run
 
 
-def _across(placed: DataFrame, key: str) -> DataFrame:
-    """Pairs (a, b) of one key and different components, a the greater node."""
-    other = placed.select(key, F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    return placed.withColumnRenamed("node", "a").join(other, key).where("a > b and comp <> comp_b").select("a", "b")
-
-
 def _prefixes(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(token, node, comp): the rarest shingles of each node, enough that linked nodes share one.
+    """(token, node, n, pos, comp): the rarest shingles of each node, enough that linked nodes share one.
 
     With n shingles a partner has at least ``percent`` hundredths of them in common, so the
     first n - ceil(n * percent / 100) + 1 in any common order will do; the order is by frequency.
+    ``pos`` is the place in that order, from 0.
     """
-    owner = texts.select("node", "comp").distinct()
     tokens = texts.select("node", "text").mapInArrow(_tokens(shingle), "node binary, token long, n long")
-    often = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = tokens.join(often.where("df > 1"), "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"), F.count("*").alias("kept"))
-    # Shingles of one node only come first in the order and use up places of the prefix.
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("kept"))
-    cut = ordered.where(length > 0).select("node", F.explode(F.slice("t", F.lit(1), length.cast("int"))).alias("x"))
-    return cut.select(F.col("x.token").alias("token"), "node").join(owner, "node")
+    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    # Shingles of one node only come first in the order; they are counted, not carried along.
+    ordered = tokens.join(often, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    alone = F.col("n") - F.size("t")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    cut = ordered.where(length > 0).select("node", "n", alone.alias("alone"), F.posexplode(F.slice("t", F.lit(1), length.cast("int"))).alias("k", "x"))
+    owner = texts.select("node", "comp").distinct()
+    return cut.select(F.col("x.token").alias("token"), "node", "n", (F.col("alone") + F.col("k")).alias("pos")).join(owner, "node")
+
+
+def _across(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a the greater node, of different components that the bounds leave.
+
+    A pair that first meets at places p and q has at most min(n - p, m - q) shingles in common.
+    Pairs inside a token's most frequent component are never formed.
+    """
+    parts = prefixes.groupBy("token", "comp").agg(F.count("*").alias("c"), F.min("n").alias("least"))
+    several = parts.groupBy("token").agg(F.count("*").alias("k"), F.max_by("comp", F.struct("c", "comp")).alias("major"), F.min("least").alias("least")).where("k > 1")
+    # The greatest size a partner may have, against the least size that comes with the token.
+    partner = F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent) - F.col("n")
+    rows = prefixes.join(several, "token").where(F.col("least") <= partner).select("token", "node", "n", "pos", "comp", "major")
+    left = rows.where("comp <> major").select("token", *[F.col(c).alias(f"{c}_l") for c in ("node", "n", "pos", "comp")])
+    right = rows.select("token", *[F.col(c).alias(f"{c}_r") for c in ("node", "n", "pos", "comp")])
+    most = F.least(F.col("n_l") - F.col("pos_l"), F.col("n_r") - F.col("pos_r"))
+    fits = (F.col("comp_l") != F.col("comp_r")) & (100 * most >= percent * (F.col("n_l") + F.col("n_r") - most))
+    pairs = left.withColumnRenamed("token", "token_l").join(right, (F.col("token_l") == F.col("token")) & fits)
+    return pairs.select(F.greatest("node_l", "node_r").alias("a"), F.least("node_l", "node_r").alias("b")).distinct()
 
 
 def _result(rows: DataFrame, nodes: DataFrame, labels: DataFrame | None, with_hash: bool) -> DataFrame:
