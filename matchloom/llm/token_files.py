@@ -31,8 +31,8 @@ MAGIC, VERSION, BLOCK_WORDS = b"MLS8", 1, 128
 HEADER = struct.Struct("<4sHHIIQIII")
 #: A frame closes after the document with which it reaches so many ids.
 FRAME_IDS = 1 << 16
-#: Distinct text chunks whose ids a worker remembers.
-CACHE = 400_000
+#: Distinct text chunks a worker remembers; beyond that it begins anew.
+CACHE = 1_200_000
 U = np.uint64
 
 
@@ -143,45 +143,70 @@ def read_frame(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 class ChunkEncoder:
-    """The tokenizers library over whole texts, each distinct chunk between spaces once.
+    """The tokenizers library over whole texts, each distinct chunk once.
 
-    The pre-tokenizer never joins a character that isn't white space with a space after it, so
-    a text cut in front of such spaces has the same ids as its chunks one after the other.
+    The pre-tokenizer never joins a character that isn't white space with the space or line end
+    after it, nor a single line end with what follows, so a text cut in front of such spaces and
+    line ends has the same ids as its chunks one after the other. A chunk is known by its
+    characters, a leading space left out; a text with runs of white space is cut by ``CUT`` instead.
     """
 
     CUT = re.compile(r"(?<=\S)(?= )")
-    ODD = re.compile(r"^ |\s | $")
+    GROUP = 256
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes | None] = {}
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        # Byte-level names of a space and a line end: with one of them every chunk begins, and no other token of it.
+        self.begins = np.array([t[:1] in ("\u0120", "\u010a") for t in names])
+        self.points = {c: self._bytes(c) for c in ",."}
+
+    def _bytes(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cuts = [self._chunks(t) for t in texts]
-        known = self.known
-        new = list({c for row in cuts for c in row if c not in known})
-        fresh: dict[str, bytes] = {}
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                fresh[c] = np.array(e.ids, "<u4").tobytes()
-        if len(known) + len(fresh) <= CACHE:
-            known.update(fresh)
-            look = known.__getitem__
-        else:
-            look = lambda c: known[c] if c in known else fresh[c]
-        return [b"".join(map(look, row)) for row in cuts]
-
-    def _chunks(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if self.ODD.search(text):
-            return self.CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *(" " + x for x in rest)]
+        if len(self.known) > CACHE:
+            self.known = {}
+        rows = [("\n" + t).replace("\n", " \n")[1:].split(" ") for t in texts]
+        self._learn(set().union(*rows).difference(self.known))
+        look, out = self.known.__getitem__, []
+        for text, row in zip(texts, rows, strict=True):
+            try:
+                out.append(b"".join(map(look, row))[4:])  # without the line end put in front
+            except TypeError:  # a run of white space
+                out.append(b"".join(self._bytes(c) for c in self.CUT.split(text)) if text else b"")
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        known, pointed = self.known, []
+        todo = set()
+        for x in new:
+            if not x or x[-1].isspace() or (x[0] == "\n" and x[1].isspace()):
+                known[x] = None
+            elif x[-1] in self.points and x[:-1].isalpha():
+                pointed.append(x)
+                if x[:-1] not in known:
+                    todo.add(x[:-1])
+            else:
+                todo.add(x)
+        keys = list(todo)
+        groups = [keys[a : a + self.GROUP] for a in range(0, len(keys), self.GROUP)]
+        whole = ["".join([x if x[0] == "\n" else " " + x for x in g]) for g in groups]
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            first = np.flatnonzero(self.begins[ids])
+            if len(first) == len(group):
+                raw, ends = ids.tobytes(), [*(4 * first).tolist(), 4 * len(ids)]
+                known.update((x, raw[a:b]) for x, a, b in zip(group, ends[:-1], ends[1:], strict=True))
+            else:
+                known.update((x, self._bytes(x if x[0] == "\n" else " " + x)) for x in group)
+        for x in pointed:
+            known[x] = known[x[:-1]] + self.points[x[-1]]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
