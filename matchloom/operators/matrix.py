@@ -197,7 +197,7 @@ def matrix_number(matrix: DataFrame) -> DataFrame:
     tail = ["alias", "row_index", "mentor_id", "gender_code", "grad_status_code", "finance_code"]
     order = [F.col(c) for c in ("center_code", "group_code", "school_code", *tail)]
     levels = [("__c", F.col("center_code")), ("__g", F.col("group_code")), ("__s", F.col("school_code")),
-              ("__a", F.substring("alias", 1, 3))]
+              ("__a", F.substring("alias", 1, 2)), ("__b", F.substring("alias", 1, 4))]
     return number_rows(matrix, order, levels, name="counter")
 
 

@@ -33,20 +33,18 @@ def number_rows(
     names = [n for n, _ in levels]
     keyed = df.select("*", *[e.alias(n) for n, e in levels])
     cells = keyed.groupBy(*by, *names).agg(F.count(F.lit(1)).alias("__n"))
-    scope = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
-    if len(names) == 1:
-        cells = cells.withColumn("__off", F.sum("__n").over(before(scope.orderBy(*names))))
-    else:
-        # Outer cells first (few rows per group), then the inner cells of each outer one.
-        outer = cells.groupBy(*by, names[0]).agg(F.sum("__n").alias("__t"))
-        outer = outer.withColumn("__o", F.sum("__t").over(before(scope.orderBy(names[0]))))
-        inner = W.partitionBy(*by, names[0]).orderBy(*names[1:])
-        cells = lookup(cells, outer, [*by, names[0]], ["__o"]).withColumn(
-            "__off", F.coalesce("__o", F.lit(0)) + F.coalesce(F.sum("__n").over(before(inner)), F.lit(0))
-        )
-    cells = cells.select(*by, *names, F.coalesce("__off", F.lit(0)).cast("bigint").alias("__off"))
-    joined = lookup(keyed, cells, [*by, *names], ["__off"])
+    # Level by level: a window only ever holds the values of one level inside one cell of the level above.
+    offsets = None
+    for depth in range(1, len(names) + 1):
+        above, here = [*by, *names[: depth - 1]], names[depth - 1]
+        level = cells.groupBy(*above, here).agg(F.sum("__n").alias("__t"))
+        scope = (W.partitionBy(*above) if above else W.partitionBy(F.lit(0))).orderBy(here)
+        before = F.coalesce(F.sum("__t").over(scope.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        level = level.select(*above, here, before.alias("__in"))
+        if offsets is not None:
+            level = lookup(level, offsets, above, ["__off"]).withColumn("__in", F.col("__in") + F.col("__off"))
+        offsets = level.select(*above, here, F.col("__in").cast("bigint").alias("__off"))
+    joined = lookup(keyed, offsets, [*by, *names], ["__off"])
     inside = W.partitionBy(*by, *names).orderBy(*order)
     return joined.withColumn(name, F.row_number().over(inside).cast("bigint") + F.col("__off")).drop(
         "__off", *names

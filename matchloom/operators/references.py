@@ -247,7 +247,7 @@ def assign_counters(
     else:
         people = people.withColumn("counter", F.lit(None).cast("string"))
     fresh = people.where(F.col("counter").isNull()).select("nat", "g", ids.natural_key("nat").alias("k"))
-    numbered = number_rows(fresh, [F.col("k")], [("__p", F.substring("k", 1, 8))], by=["g"], name="n")
+    numbered = number_rows(fresh, [F.col("k")], [("__p", F.substring("k", 1, 6)), ("__q", F.substring("k", 1, 9)), ("__r", F.substring("k", 1, 12))], by=["g"], name="n")
     start = None
     if current is not None:
         c = ids.valid_counter("student_id")
@@ -336,7 +336,7 @@ def resolve_duplicates(df: DataFrame, column: str, order: str, mode: str = "drop
         return tagged.where(~first).drop("__first")
     later = number_rows(
         tagged.where(~first).select(F.col(order).alias("__k")), [F.col("__k")],
-        [("__p", F.floor(F.col("__k") / 4096))], name="__n",
+        [(f"__p{b}", F.floor(F.col("__k") / (1 << b))) for b in (48, 36, 24, 12)], name="__n",
     )
     out = lookup(tagged.withColumn("__k", F.col(order)), later, ["__k"], ["__n"], "left")
     fresh = (F.lit(start) + F.col("__n")).cast("bigint")

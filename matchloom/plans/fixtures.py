@@ -152,17 +152,18 @@ FROM {customer}""",
     ),
     # Earlier allocations, later rows win.
     "history": (
-        ("orders",),
+        ("orders", "supplier"),
         """
 SELECT lpad(CAST(o_custkey AS STRING), 10, '0') AS national_code, o_custkey AS student_id,
-  o_orderkey % 100 AS mentor_id, o_orderkey % 3 AS center_code, o_orderdate, o_orderkey
+  o_orderkey % (SELECT count(*) FROM {supplier}) AS mentor_id, o_orderkey % 3 AS center_code, o_orderdate, o_orderkey
 FROM {orders}""",
     ),
     # Allocation log with an outcome per attempt.
     "alloc_log": (
-        ("orders",),
+        ("orders", "supplier"),
         """
-SELECT o_orderkey AS log_id, o_custkey AS student_id, o_orderkey % 100 AS mentor_id,
+SELECT o_orderkey AS log_id, o_custkey AS student_id,
+  o_orderkey % (SELECT count(*) FROM {supplier}) AS mentor_id,
   CASE o_orderstatus WHEN 'F' THEN 'success' ELSE 'failed' END AS allocation_status,
   CASE o_orderstatus WHEN 'F' THEN NULL WHEN 'O' THEN 'CAPACITY_FULL' ELSE 'ELIGIBILITY_NO_MATCH' END
     AS error_type,

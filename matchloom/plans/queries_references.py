@@ -192,17 +192,17 @@ def dedupe_by_history(t):
 
 @query(
     "J10_attach_history",
-    f"""WITH {HIST} SELECT c.c_custkey AS student_id, coalesce(t.history_status, '') AS history_status, t.history_mentor_id, coalesce(c.c_custkey % 100 = t.history_mentor_id, false) AS same_history_mentor
+    f"""WITH {HIST} SELECT c.c_custkey AS student_id, coalesce(t.history_status, '') AS history_status, t.history_mentor_id, coalesce(c.c_custkey % (SELECT count(*) FROM supplier) = t.history_mentor_id, false) AS same_history_mentor
       FROM customer c LEFT JOIN tagged t ON t.student_id = c.c_custkey AND c.c_custkey % 7 <> 0""",
     ("history",),
 )
 def attach_history(t):
-    summary = t.customer.select(F.col("c_custkey").alias("student_id"), (F.col("c_custkey") % 100).alias("mentor_id"))
+    summary = t.customer.select(F.col("c_custkey").alias("student_id"), (F.col("c_custkey") % t.supplier.count()).alias("mentor_id"))
     info = _tagged(t).where(F.col("student_id") % 7 != 0).withColumn("seq", F.lit(1))
     return R.attach_history(summary, info, ["seq"]).select("student_id", "history_status", "history_mentor_id", "same_history_mentor")
 
 
-ALLOC = """al AS (SELECT o_orderkey AS row_id, o_custkey AS student_id, CASE WHEN o_orderkey % 13 = 0 THEN -1 ELSE o_orderkey % 100 END AS mentor_id, CAST(1000 + o_orderkey % 100 AS VARCHAR) AS alias FROM orders),
+ALLOC = """al AS (SELECT o_orderkey AS row_id, o_custkey AS student_id, CASE WHEN o_orderkey % 13 = 0 THEN -1 ELSE o_orderkey % (SELECT count(*) FROM supplier) END AS mentor_id, CAST(1000 + o_orderkey % (SELECT count(*) FROM supplier) AS VARCHAR) AS alias FROM orders),
 pl AS (SELECT *, CAST(1000 + mentor_id AS VARCHAR) AS alias FROM mentors),
 pr AS (SELECT al.row_id, al.student_id, al.mentor_id AS asked, pl.mentor_id, pl.mentor_id IS NOT NULL AS found, al.mentor_id IN (SELECT mentor_id FROM pl) AS by_id,
   s.group_code = pl.group_code AS g, s.gender_code = pl.gender_code AS d, s.grad_status_code = pl.grad_status_code AS t, s.center_code = pl.center_code AS c,
@@ -211,11 +211,11 @@ pr AS (SELECT al.row_id, al.student_id, al.mentor_id AS asked, pl.mentor_id, pl.
 
 
 def _alloc(t):
-    k = F.col("o_orderkey")
+    k, mentors = F.col("o_orderkey"), t.supplier.count()
     return t.orders.select(
         k.alias("row_id"), F.col("o_custkey").alias("student_id"),
-        F.when(k % 13 == 0, F.lit(-1).cast("bigint")).otherwise(k % 100).alias("mentor_id"),
-        (F.lit(1000) + k % 100).cast("string").alias("alias"),
+        F.when(k % 13 == 0, F.lit(-1).cast("bigint")).otherwise(k % mentors).alias("mentor_id"),
+        (F.lit(1000) + k % mentors).cast("string").alias("alias"),
     )
 
 
@@ -259,7 +259,7 @@ def alloc_join_02(t):
 @query(
     "J13_validate_selected",
     """WITH p AS (SELECT s.student_id, s.group_code sg, s.gender_code sd, CASE WHEN s.student_id % 17 = 0 THEN NULL ELSE s.grad_status_code END st, s.center_code sc, s.finance_code sf, s.school_code sh,
-       m.group_code mg, m.gender_code md, m.grad_status_code mt, m.center_code mc, m.finance_code mf, m.school_code mh FROM students s JOIN (SELECT * FROM mentors QUALIFY row_number() OVER (PARTITION BY mentor_id ORDER BY pool_order) = 1) m ON m.mentor_id = s.student_id % 100)
+       m.group_code mg, m.gender_code md, m.grad_status_code mt, m.center_code mc, m.finance_code mf, m.school_code mh FROM students s JOIN (SELECT * FROM mentors QUALIFY row_number() OVER (PARTITION BY mentor_id ORDER BY pool_order) = 1) m ON m.mentor_id = s.student_id % (SELECT count(*) FROM supplier))
       SELECT student_id, sg = mg AND sd = md AND coalesce(st = mt, false) AND (sc = 0 OR mc = 0 OR sc = mc) AND (sh = 0 OR mh = 0 OR sh = mh) AS join_valid,
        concat_ws(',', CASE WHEN sg <> mg THEN 'group:unequal' END, CASE WHEN sd <> md THEN 'gender:unequal' END, CASE WHEN st IS NULL THEN 'status:missing' WHEN st <> mt THEN 'status:unequal' END,
          CASE WHEN NOT (sc = 0 OR mc = 0 OR sc = mc) THEN 'center:unequal' END, CASE WHEN NOT (sh = 0 OR mh = 0 OR sh = mh) THEN 'school:unequal' END) AS mismatches FROM p""",
@@ -267,7 +267,7 @@ def alloc_join_02(t):
 )
 def validate_selected(t):
     m = NUM.first_row(t.mentors, ["mentor_id"], ["pool_order"]).select("mentor_id", *[F.col(k).alias(f"m_{k}") for k in KEYS])
-    s = t.students.select("student_id", (F.col("student_id") % 100).alias("mentor_id"), *[F.col(k).alias(f"s_{k}") for k in KEYS])
+    s = t.students.select("student_id", (F.col("student_id") % t.supplier.count()).alias("mentor_id"), *[F.col(k).alias(f"s_{k}") for k in KEYS])
     s = s.withColumn("s_grad_status_code", F.when(F.col("student_id") % 17 != 0, F.col("s_grad_status_code")))
     return A.validate_selected(s.join(m, "mentor_id")).select("student_id", "join_valid", "mismatches")
 
@@ -289,11 +289,11 @@ def safe_join(t):
 @query(
     "J15_export_join",
     """WITH m AS (SELECT mentor_id, arg_min(manager, pool_order) AS mentor_manager, arg_min(CASE WHEN group_code > 1 THEN group_code END, CASE WHEN group_code > 1 THEN pool_order END) AS mentor_big_group FROM mentors GROUP BY mentor_id)
-      SELECT o_orderkey AS row_id, s.center_code AS student_center_code, m.mentor_manager, m.mentor_big_group FROM orders LEFT JOIN students s ON s.student_id = o_custkey LEFT JOIN m ON m.mentor_id = o_orderkey % 100""",
+      SELECT o_orderkey AS row_id, s.center_code AS student_center_code, m.mentor_manager, m.mentor_big_group FROM orders LEFT JOIN students s ON s.student_id = o_custkey LEFT JOIN m ON m.mentor_id = o_orderkey % (SELECT count(*) FROM supplier)""",
     ("students", "mentors"),
 )
 def export_join(t):
-    alloc = t.orders.select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("student_id"), (F.col("o_orderkey") % 100).alias("mentor_id"))
+    alloc = t.orders.select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("student_id"), (F.col("o_orderkey") % t.supplier.count()).alias("mentor_id"))
     mentors = t.mentors.select("mentor_id", "manager", F.when(F.col("group_code") > 1, F.col("group_code")).alias("big_group"), "pool_order")
     return A.export_join(alloc, t.students.select("student_id", "center_code"), mentors, "pool_order").select(
         "row_id", "student_center_code", "mentor_manager", "mentor_big_group"

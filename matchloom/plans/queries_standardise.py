@@ -260,7 +260,7 @@ def natural_key(t):
     # Distinct keys are numbered in radix cells of their first characters.
     distinct = df.select("sort_key").distinct()
     ranked = number_rows(
-        distinct, [F.col("sort_key")], [("__p", F.substring("sort_key", 1, 4))], name="position"
+        distinct, [F.col("sort_key")], [(f"__p{n}", F.substring("sort_key", 1, n)) for n in (2, 4, 6, 8, 12)], name="position"
     )
     return lookup(df, ranked, ["sort_key"], ["position"])
 
