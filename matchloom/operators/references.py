@@ -42,21 +42,19 @@ def center_from_manager(
 ) -> DataFrame:
     """Center of a manager name: exact, else longest contained key, else the wildcard.
 
-    Distinct folded names are split into their substrings and joined on equality with the
-    keys, so a large map costs no nested loop; names are short, so the split is bounded.
-    Adds ``manager_center`` and ``manager_match``.
+    Distinct folded names are split into pieces of the lengths that keys have, which are joined
+    on equality with the keys: a name of any length gives at most its length times the number
+    of key lengths, and a large map costs no nested loop. Adds ``manager_center`` and ``manager_match``.
     """
     policy = policy or Policy()
-    names = df.select(text.norm_text(manager).alias("m")).distinct().where(F.col("m") != "")
-    pieces = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.length("m")),
-            lambda i: F.transform(F.sequence(F.lit(1), F.length("m") - i + 1), lambda n: F.substring(F.col("m"), i, n)),
-        )
-    )
-    parts = names.select("m", F.explode(F.array_distinct(pieces)).alias("key"))
     table = mapping.select(text.norm_text("manager_key").alias("key"), F.col("center_code").cast("bigint").alias("center"))
     table = table.where(F.col("key") != "").groupBy("key").agg(F.max("center").alias("center"))
+    # One row: the distinct lengths of the keys.
+    sizes = table.agg(F.array_sort(F.collect_set(F.length("key"))).alias("sizes"))
+    names = df.select(text.norm_text(manager).alias("m")).distinct().where(F.col("m") != "")
+    sized = names.join(F.broadcast(sizes)).withColumn("size", F.explode("sizes")).where(F.col("size") <= F.length("m"))
+    pieces = F.transform(F.sequence(F.lit(1), F.length("m") - F.col("size") + 1), lambda i: F.substring(F.col("m"), i, F.col("size")))
+    parts = sized.select("m", F.explode(F.array_distinct(pieces)).alias("key"))
     best = parts.join(table, "key").groupBy("m").agg(
         F.min(F.struct((-F.length("key")).alias("neg"), F.col("key"), F.col("center"))).alias("b")
     )

@@ -215,11 +215,12 @@ def pool_coverage_01(t):
 
 @query(
     "Q13_POOL_DIVERSITY_01",
-    "SELECT 'POOL_DIVERSITY_01' AS rule_id, 'warning' AS level, 'grad_status_code' AS subject, '1' AS detail FROM mentors WHERE grad_status_code = 1 HAVING count(DISTINCT grad_status_code) <= 1",
+    "SELECT 'POOL_DIVERSITY_01' AS rule_id, 'warning' AS level, 'grad_status_code' AS subject, '1' AS detail FROM (SELECT least(grad_status_code, 0) AS g FROM mentors) HAVING count(DISTINCT g) <= 1",
     ("mentors",),
 )
 def pool_diversity_01(t):
-    return Q.pool_diversity_01(t.mentors.where(F.col("grad_status_code") == 1))
+    # Codes are 0 and above, so this column has one value in the whole pool.
+    return Q.pool_diversity_01(t.mentors.withColumn("grad_status_code", F.least("grad_status_code", F.lit(0))))
 
 
 def _audit(t):

@@ -400,12 +400,11 @@ def prior_counter_conflicts(t):
 
 @query(
     "J23_global_prefilter",
-    "SELECT mentor_id, pool_order FROM mentors WHERE group_code IN (SELECT group_code FROM students WHERE gender_code = 0 AND group_code <> 27)",
+    "SELECT mentor_id, pool_order FROM mentors WHERE group_code IN (SELECT group_code FROM students)",
     ("students", "mentors"),
 )
 def global_prefilter(t):
-    some = t.students.where((F.col("gender_code") == 0) & (F.col("group_code") != 27))
-    return R.global_prefilter(t.mentors, some)[0].select("mentor_id", "pool_order")
+    return R.global_prefilter(t.mentors, t.students)[0].select("mentor_id", "pool_order")
 
 
 J24 = f"""{CELLS}, {CENTER}, rr AS (SELECT *, CASE row_index % 5 WHEN 0 THEN group_spec WHEN 1 THEN '7' ELSE '' END AS legacy_group, CASE row_index % 6 WHEN 0 THEN '' WHEN 1 THEN '3' WHEN 2 THEN '9' ELSE '0' END AS finance_raw FROM report),

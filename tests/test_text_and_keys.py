@@ -129,3 +129,14 @@ def test_truncate_and_display(spark):
 def test_counter(spark):
     df = spark.createDataFrame([(1, 12), (0, 9999), (1, 10000)], "g int, n int")
     assert [r[0] for r in df.select(ids.counter_id(F.lit(54), "g", "n")).collect()] == ["543570012", "543739999", None]
+
+
+def test_manager_name_of_any_length(spark):
+    from matchloom.operators.references import center_from_manager
+
+    mapping = spark.createDataFrame([("رضا", 1), ("علی رضا", 2)], "manager_key string, center_code int")
+    names = spark.createDataFrame([("ب" * 20_000 + " علی رضا",), ("رضا",), ("کس",)], "m string")
+    got = center_from_manager(names, "m", mapping).select("m", "manager_center", "manager_match").collect()
+    assert {(len(r.m) > 100, r.manager_center, r.manager_match) for r in got} == {
+        (True, 2, "manager_substring"), (False, 1, "manager_exact"), (False, 0, "manager_wildcard"),
+    }
