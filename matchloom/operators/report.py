@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -106,37 +107,123 @@ def debug_report(violations: DataFrame, samples: int = 5) -> DataFrame:
 # Exports ---------------------------------------------------------------------------
 
 
-def _source(df: DataFrame, spec: Mapping, done: Mapping[str, Column], specs: Mapping, lookups: Mapping, today: str) -> Column:
-    kind = spec.get("source", "df")
-    null = F.lit(None).cast("string")
-    if kind == "empty":
-        return F.lit("")
-    if kind == "literal":
-        return F.lit(spec.get("value", ""))
-    if kind == "system":
-        return F.lit(today) if spec.get("field") == "today" else F.lit(spec.get("value", ""))
-    if kind == "derived":
-        name = spec.get("from")
-        base = F.col(name) if name in df.columns else _source(df, specs[name], done, specs, lookups, today) if name in specs else null
-        table = lookups.get(spec.get("crosswalk"))
+# Columns that a form field may arrive under, first present one wins.
+FORM_FIELDS = {
+    "1": ("student_full_name", "نام و نام‌خانوادگی"),
+    "2": ("student_birth_date", "تاریخ تولد"),
+    "3": ("student_father_name", "نام پدر"),
+    "4": ("student_art_school_status", "وضعیت هنرستان"),
+    "5": ("student_average", "معدل"),
+    "7": ("student_class_number", "شماره کلاس"),
+    "8": ("student_seat_number", "شماره صندلی"),
+    "20": ("student_mobile", "موبایل دانش‌آموز", "تلفن همراه"),
+    "21": ("contact1_mobile", "موبایل رابط 1", "تلفن رابط 1"),
+    "22": ("student_landline", "تلفن ثابت", "تلفن"),
+    "23": ("contact2_mobile", "موبایل رابط 2", "تلفن رابط 2"),
+    "24": ("contact1_relationship", "نسبت رابط 1"),
+    "25": ("contact1_name", "نام رابط 1"),
+    "26": ("contact2_relationship", "نسبت رابط 2"),
+    "27": ("contact2_name", "نام رابط 2"),
+    "29": ("student_school_name", "نام مدرسه"),
+    "30": ("student_school_code", "کد مدرسه 1"),
+    "31": ("student_major_code", "کد گروه/رشته"),
+    "39": ("suggested_mentor_id", "پشتیبان پیشنهادی"),
+    "60": ("student_postal_code", "کدپستی", "کد پستی"),
+    "61": ("student_postal_code_alias", "کدپستی جایگزین", "کد پستی جایگزین"),
+    "62": ("student_notes", "توضیحات"),
+    "73": ("student_exam_group", "گروه آزمایشی"),
+    "75": ("student_registration_status", "وضعیت ثبت نام"),
+    "76": ("student_hekmat_tracking_code", "کد رهگیری حکمت"),
+    "92": ("student_gender", "جنسیت"),
+    "93": ("student_educational_status", "وضعیت تحصیلی"),
+    "94": ("student_center", "مرکز ثبت‌نام"),
+    "96": ("student_konkur_quota", "سهمیه کنکور"),
+    "97": ("student_hekmat_package_type", "نوع بسته حکمت"),
+    "98": ("student_foreign_national", "اتباع خارجی"),
+    "101": ("student_first_name", "student_name", "نام"),
+    "102": ("student_last_name", "student_family_name", "نام خانوادگی"),
+    "143": ("student_national_code", "student_national_id", "کد ملی"),
+    "150": ("submission_source", "منبع ارسال"),
+    "151": ("form_version", "sa_form_version"),
+}
+NATIONAL_FIELD = "GF_NationalCode"
+NATIONAL_COLUMNS = ("student_national_code", "student_national_id", "national_id")
+CREATED_COLUMNS = ("student_created_at", "created_at")
+# Date words of the export settings and of Spark's patterns.
+DATE_WORDS = {"yyyy": "yyyy", "yy": "yy", "mm": "MM", "dd": "dd", "HH": "HH", "MM": "mm", "ss": "ss"}
+
+
+class _Projection:
+    """One handler a source kind; each makes the raw column of a spec."""
+
+    def __init__(self, df: DataFrame, specs: Mapping, lookups: Mapping, today: str):
+        self.df, self.specs, self.lookups, self.today = df, specs, lookups, today
+        self.kinds = {
+            "df": self.plain, "empty": lambda _: F.lit(""), "literal": lambda spec: F.lit(spec.get("value", "")),
+            "system": self.system, "gf": self.form_field, "derived": self.derived, "lookup": self.looked_up,
+        }
+
+    def column(self, spec: Mapping) -> Column:
+        return self.kinds.get(spec.get("source", "df"), self.plain)(spec)
+
+    def named(self, name: str | None) -> Column | None:
+        """A column of the frame, else the raw column of another spec."""
+        if name in self.df.columns:
+            return F.col(f"`{name}`")
+        return self.column(self.specs[name]) if name in self.specs else None
+
+    def system(self, spec: Mapping) -> Column:
+        if spec.get("field") == "today":
+            return F.lit(self.today)
+        if spec.get("field") != "date_created":
+            return F.lit(spec.get("value", ""))
+        found = [c for c in CREATED_COLUMNS if c in self.df.columns]
+        if not found:
+            return F.lit(self.today)
+        words = "|".join(DATE_WORDS)
+        pattern = "".join(DATE_WORDS.get(w, f"'{w}'" if w.isalpha() else w) for w in re.findall(f"{words}|.", spec.get("format") or "yyyy-mm-dd"))
+        return F.coalesce(F.date_format(F.col(f"`{found[0]}`").try_cast("timestamp"), pattern), F.lit(""))
+
+    def form_field(self, spec: Mapping) -> Column:
+        field = str(spec.get("field"))
+        names = [*FORM_FIELDS.get(field, ()), field if field.startswith("student_") else f"student_{field}", f"student_gf_{field}", field]
+        if field == NATIONAL_FIELD:
+            names += NATIONAL_COLUMNS
+        there = list(dict.fromkeys(n for name in names for n in (name, f"student_{name}") if n in self.df.columns))
+        if not there:
+            return F.lit("")
+        columns = [F.col(f"`{n}`").cast("string") for n in there]
+        if field != NATIONAL_FIELD:
+            return self.replaced(columns[0], spec)
+        # The first column with a code in it, row by row; nothing but zeros is no code.
+        coded = [F.when(F.regexp_replace(_NORMALIZERS["digits_10"](c), "0", "") != "", c) for c in columns]
+        return self.replaced(F.coalesce(*coded, F.lit("")), spec)
+
+    def plain(self, spec: Mapping) -> Column:
+        names = [c for c in (spec.get("field"), *spec.get("alternates", ())) if c in self.df.columns]
+        return self.replaced(F.col(f"`{names[0]}`"), spec) if names else F.lit("")
+
+    def replaced(self, base: Column, spec: Mapping) -> Column:
+        other = self.named(spec.get("on_value_9000_use"))
+        if other is None:
+            return base
+        return F.when(base.cast("string") == "9000", F.coalesce(other.cast("string"), F.lit(""))).otherwise(base.cast("string"))
+
+    def derived(self, spec: Mapping) -> Column:
+        base, table = self.named(spec.get("from")), self.lookups.get(spec.get("crosswalk"))
+        if base is None:
+            return F.lit("")
         return F.coalesce(_mapped(base, table), F.lit("")) if table else base
-    if kind == "lookup":
-        table = lookups.get(spec.get("lookup"), {})
-        return F.coalesce(_mapped(F.col(spec["field"]), table), F.lit("")) if spec["field"] in df.columns else F.lit("")
-    names = [c for c in (spec.get("field"), *spec.get("alternates", ())) if c in df.columns]
-    base = F.col(names[0]) if names else F.lit("")
-    other = spec.get("on_value_9000_use")
-    if other and names:
-        sub = F.col(other) if other in df.columns else _source(df, specs[other], done, specs, lookups, today) if other in specs else null
-        base = F.when(base.cast("string") == "9000", F.coalesce(sub.cast("string"), F.lit(""))).otherwise(base.cast("string"))
-    return base
+
+    def looked_up(self, spec: Mapping) -> Column:
+        table, field = self.lookups.get(spec.get("lookup")), spec["field"]
+        return F.coalesce(_mapped(F.col(f"`{field}`"), table), F.lit("")) if table and field in self.df.columns else F.lit("")
 
 
 def _mapped(c: Column, table: Mapping) -> Column:
-    out = F.lit(None).cast("string")
-    for k, v in table.items():
-        out = F.when(c.cast("string") == str(k), F.lit(str(v))).otherwise(out)
-    return out
+    """Value of a settings table, null where it has none; one literal whatever the number of entries."""
+    text_table = "\x1e".join(f"{k}\x1f{v}" for k, v in table.items())
+    return F.try_element_at(F.str_to_map(F.lit(text_table), F.lit("\x1e"), F.lit("\x1f")), c.cast("string"))
 
 
 _NORMALIZERS = {
@@ -151,14 +238,15 @@ _NORMALIZERS = {
 def sabt_projection(df: DataFrame, specs: Mapping[str, Mapping], lookups: Mapping[str, Mapping] | None = None, today: str = "") -> DataFrame:
     """Config-driven output columns.
 
-    Per column: source (df / literal / system / lookup / derived / empty), normalise, map,
+    Per column: source (df / literal / system / gf / lookup / derived / empty), normalise, map,
     type, and ``when: other=value`` that blanks the cell unless the other output column
     has the value (or its mapped label).
     """
     lookups = lookups or {}
     done: dict[str, Column] = {}
+    source = _Projection(df, specs, lookups, today)
     for name, spec in specs.items():
-        col = _source(df, spec, done, specs, lookups, today)
+        col = source.column(spec)
         for step in spec.get("normalize", ()):
             col = _NORMALIZERS[step](col)
         if spec.get("map"):

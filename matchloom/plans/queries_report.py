@@ -162,6 +162,30 @@ def sabt_projection(t):
     return P.sabt_projection(t.messy, _SPECS, {"years": {"0": "صفر", "3": "سه"}}, "2024-01-01")
 
 
+_FORM_SPECS = {
+    "کد": {"source": "df", "field": "row_id"},
+    "کد ملی": {"source": "gf", "field": "GF_NationalCode", "normalize": ["digits_10"]},
+    "نام": {"source": "gf", "field": "101"},
+    "پستی": {"source": "gf", "field": "61", "on_value_9000_use": "national_id"},
+    "ثبت": {"source": "system", "field": "date_created", "format": "yyyy/mm/dd"},
+    "نبود": {"source": "gf", "field": "102"},
+}
+
+
+@query(
+    "N30_form_fields",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS "کد", lpad(CAST(CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE o_orderkey + 1 END AS VARCHAR), 10, '0') AS "کد ملی", o_orderstatus AS "نام",
+      CAST(CASE WHEN o_orderkey % 5 = 0 THEN o_custkey ELSE o_orderkey END AS VARCHAR) AS "پستی", strftime(o_orderdate, '%Y/%m/%d') AS "ثبت", '' AS "نبود" FROM orders WHERE o_custkey > 0""",
+)
+def form_fields(t):
+    k = F.col("o_orderkey")
+    rows = t.orders.where("o_custkey > 0").select(
+        k.alias("row_id"), F.when(k % 3 == 0, "0.0").otherwise((k + 1).cast("string")).alias("GF_NationalCode"), F.col("o_custkey").alias("national_id"),
+        F.col("o_orderstatus").alias("student_name"), F.when(k % 5 == 0, "9000").otherwise(k.cast("string")).alias("کدپستی جایگزین"), F.col("o_orderdate").alias("created_at"),
+    )
+    return P.sabt_projection(rows, _FORM_SPECS)
+
+
 @query(
     "N31_export_frame",
     "SELECT CAST(log_id AS VARCHAR) AS \"ردیف\", CAST(mentor_id AS VARCHAR) AS \"پشتیبان\", coalesce(CAST(s.group_code AS VARCHAR), '') AS \"رشته\", '' AS \"نام\" FROM alloc_log LEFT JOIN students s USING (student_id)",
