@@ -56,28 +56,78 @@ def upsert_latest(
 ):
     """Keep the last arrival per key in a bucketed folder; returns the started query.
 
-    Each batch is reduced first. The target is a log of reduced batches partitioned by key
-    bucket: a batch appends only its own keys under its batch id, so a replayed batch
+    Each batch is reduced first. ``target``/batches is a log of reduced batches partitioned by
+    key bucket: a batch writes only its own keys under its batch id, so a replayed batch
     overwrites itself and an executor loss repeats one batch. ``read_latest`` resolves the
-    log; ``compact`` rewrites it.
+    newest generation and the batches after it; ``compact`` makes a new generation.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         rows = privacy_hook(latest_entries(batch, key, order), hook)
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batch_id={batch_id}")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batches/batch_id={batch_id}")
 
     return (
         entries.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def read_latest(spark: SparkSession, target: str, key: str = "entry_id", order: Sequence[str] = ("received_at", "event_id")) -> DataFrame:
-    """Current state of an upsert log."""
-    log = spark.read.parquet(target)
-    return last_row(log.drop("bucket"), [key], [*[c for c in order if c in log.columns], "batch_id"]).drop("batch_id")
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the complete folders ``prefix``N below a path, ascending."""
+    fs, where = _file_system(spark, path)
+    if not fs.exists(where):
+        return []
+    named = [s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith(prefix)]
+    # A complete folder has its mark; one with the mark alone holds no rows.
+    done = [p for p in named if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")) and len(fs.listStatus(p)) > 1]
+    return sorted(int(p.getName()[len(prefix) :]) for p in done)
+
 
+def _pending(spark: SparkSession, target: str) -> tuple[int | None, list[int]]:
+    """Newest generation and the batches that came after it."""
+    made = _numbers(spark, f"{target}/generations", "generation=")
+    newest = made[-1] if made else None
+    return newest, [b for b in _numbers(spark, f"{target}/batches", "batch_id=") if newest is None or b > newest]
 
-def compact(spark: SparkSession, target: str, out: str, key: str = "entry_id") -> None:
-    """Write the current state as one new log generation."""
-    read_latest(spark, target, key).write.mode("errorifexists").parquet(f"{out}/batch_id=-1")
+
+def read_latest(spark: SparkSession, target: str, key: str = "entry_id", order: Sequence[str] = ("received_at", "event_id")) -> DataFrame:
+    """Current state of an upsert log: the newest generation and the batches after it."""
+    newest, batches = _pending(spark, target)
+    parts = []
+    if newest is not None:
+        parts.append(spark.read.parquet(f"{target}/generations/generation={newest}").withColumn("batch_id", F.lit(newest)))
+    if batches:
+        paths = [f"{target}/batches/batch_id={b}" for b in batches]
+        parts.append(spark.read.option("basePath", f"{target}/batches").parquet(*paths).drop("bucket"))
+    if not parts:
+        raise FileNotFoundError(f"no complete batch in {target}")
+    log = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    return last_row(log, [key], [*[c for c in order if c in log.columns], "batch_id"]).drop("batch_id")
+
+
+def compact(spark: SparkSession, target: str, key: str = "entry_id", remove: bool = False) -> int | None:
+    """Write the current state as the generation of the last batch in it; returns its number.
+
+    It is written aside and renamed, so readers see the old generation or the new one, never a
+    part; batches that arrive meanwhile have greater numbers and stay pending. ``remove`` then
+    deletes what the new generation replaces (give running readers time first).
+    """
+    newest, batches = _pending(spark, target)
+    if not batches:
+        return newest
+    number = batches[-1]
+    aside = f"{target}/generations/.staging-{number}"
+    read_latest(spark, target, key).write.mode("overwrite").parquet(aside)
+    fs, source = _file_system(spark, aside)
+    if not fs.rename(source, _file_system(spark, f"{target}/generations/generation={number}")[1]):
+        raise IOError(f"could not move {aside}")
+    if remove:
+        old = [f"batches/batch_id={b}" for b in batches] + ([] if newest is None else [f"generations/generation={newest}"])
+        for name in old:
+            fs.delete(_file_system(spark, f"{target}/{name}")[1], True)
+    return number

@@ -1,5 +1,7 @@
 """Sinks, caches and the entry stream."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,8 +68,14 @@ def test_stream_keeps_the_last_arrival_over_batches(spark, tmp_path):
     run()
     run()  # nothing new: same state
     assert {(r["entry_id"], r["name"]) for r in E.read_latest(spark, target).collect()} == {("1", "c"), ("2", "b")}
-    E.compact(spark, target, str(tmp_path / "compact"))
-    assert E.read_latest(spark, str(tmp_path / "compact")).count() == 2
+    assert E.compact(spark, target) == 1 and E.compact(spark, target) == 1
+    mk([("2", "f", "2024-02-01 00:00:00", 6, {"name": "d"}), ("3", "f", "2024-02-01 00:00:00", 7, {"name": "e"})]).write.mode("append").parquet(src)
+    run()
+    want = {("1", "c"), ("2", "d"), ("3", "e")}
+    assert {(r["entry_id"], r["name"]) for r in E.read_latest(spark, target).collect()} == want
+    assert E.compact(spark, target, remove=True) == 2
+    assert sorted(os.listdir(f"{target}/generations")) == ["generation=2"] and "batch_id=2" not in os.listdir(f"{target}/batches")
+    assert {(r["entry_id"], r["name"]) for r in E.read_latest(spark, target).collect()} == want
 
 
 def test_privacy_hook(spark):
