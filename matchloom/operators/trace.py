@@ -219,9 +219,29 @@ def trace_text(trace: DataFrame, labels: dict[str, str]) -> DataFrame:
     )
 
 
-def selection_reasons(alloc: DataFrame, students: DataFrame, mentors: DataFrame, trace: DataFrame, labels: dict[str, str]) -> DataFrame:
-    """Reason text per allocation: gender, school, track, capacity, result, tie break, steps."""
-    s = students.select("student_id", F.col("gender_code").alias("g"), F.col("school_code").alias("sc"), F.col("group_code").alias("gr"))
+# Student columns by precedence, and what marks an after-school student.
+SCHOOL_COLUMNS = ("school_name", "school_name_1", "school_code")
+TRACK_COLUMNS = ("exam_group", "group_name", "group_code")
+AFTER_SCHOOL_COLUMNS = ("after_school", "after_school_flag")
+YES_WORDS = ("1", "true", "بله", "yes", "y", "t")
+REASON_LABELS = {
+    "gender": "جنسیت", "school": "مدرسه", "track": "رشته/گروه", "capacity": "ظرفیت", "result": "نتیجه", "tiebreak": "سیاست رتبه‌بندی", "steps": "مراحل",
+}
+REASON_CHARS = 512
+
+
+def selection_reasons(
+    alloc: DataFrame, students: DataFrame, mentors: DataFrame, trace: DataFrame, labels: dict[str, str],
+    reason_labels: dict[str, str] | None = None, with_steps: bool = False, max_chars: int | None = REASON_CHARS,
+) -> DataFrame:
+    """Reason text per allocation: gender, school, track, capacity, result, tie break, steps.
+
+    Names of school and group come before their codes; an after-school student is marked.
+    ``with_steps`` puts the steps into the text too; ``max_chars=None`` leaves it whole.
+    """
+    say = REASON_LABELS | (reason_labels or {})
+    filled = lambda names: F.coalesce(*[F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in names if c in students.columns], F.lit(""))
+    s = students.select("student_id", F.col("gender_code").alias("g"), filled(SCHOOL_COLUMNS).alias("sc"), filled(TRACK_COLUMNS).alias("gr"), filled(AFTER_SCHOOL_COLUMNS).alias("late"))
     m = mentors.groupBy("mentor_id").agg(F.max("mentor_name").alias("mentor_name"))
     out = alloc.join(s, "student_id", "left").join(m, "mentor_id", "left").join(trace_text(trace, labels), "student_id", "left")
     t = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -231,17 +251,21 @@ def selection_reasons(alloc: DataFrame, students: DataFrame, mentors: DataFrame,
         F.when(F.col("capacity_before").isNotNull(), F.concat(F.lit("alloc_new="), (F.col("capacity_before") - F.col("capacity_after")).cast("string"))),
         F.when(F.col("capacity_after").isNotNull(), F.concat(F.lit("remaining="), F.col("capacity_after").cast("string"))),
     )
-    name = F.coalesce("mentor_name", t("mentor_id"))
-    line = F.concat_ws(
-        " — ",
-        F.concat(F.lit("جنسیت: "), gender),
-        F.concat(F.lit("مدرسه: "), t("sc"), F.lit(" (پس‌مدرسه‌ای: خیر)")),
-        F.concat(F.lit("رشته/گروه: "), t("gr")),
-        F.concat(F.lit("ظرفیت: "), capacity),
-        F.concat(F.lit("نتیجه: "), name, F.lit(" ("), t("mentor_id"), F.lit(")")),
-        F.lit("سیاست رتبه‌بندی: " + TIEBREAK),
-    )
-    return out.select("student_id", "mentor_id", text.safe_truncate(line, 512).alias("reason"), text.fa_digits(F.coalesce("trace_text", F.lit(""))).alias("steps"))
+    late = F.when(F.lower(t("late")).isin(*YES_WORDS), F.lit("بله")).otherwise(F.lit("خیر"))
+    segments = {
+        "gender": gender,
+        "school": F.concat(t("sc"), F.lit(" (پس‌مدرسه‌ای: "), late, F.lit(")")),
+        "track": t("gr"),
+        "capacity": capacity,
+        "result": F.concat(F.coalesce("mentor_name", t("mentor_id")), F.lit(" ("), t("mentor_id"), F.lit(")")),
+        "tiebreak": F.lit(TIEBREAK),
+    }
+    parts = [F.concat(F.lit(f"{say[k]}: "), v) for k, v in segments.items()]
+    if with_steps:
+        parts.append(F.when(t("trace_text") != "", F.concat(F.lit(f"{say['steps']}: "), t("trace_text"))))
+    line = F.concat_ws(" — ", *parts)
+    reason = text.fa_digits(line) if max_chars is None else text.safe_truncate(line, max_chars)
+    return out.select("student_id", "mentor_id", reason.alias("reason"), text.fa_digits(t("trace_text")).alias("steps"))
 
 
 def bucket_stats(students: DataFrame, pool: DataFrame, policy: Policy | None = None) -> DataFrame:

@@ -151,6 +151,29 @@ def selection_reasons(t):
     return T.selection_reasons(alloc, t.students_gap, mentors, T.trace_long(_funnel(t)), _LABELS)
 
 
+@query(
+    "X8_selection_reasons_named",
+    f"""WITH {FUNNEL}, {LONG}, a AS (SELECT student_id, log_id, mentor_id, capacity_before, capacity_after FROM alloc_log WHERE allocation_status = 'success'),
+      st AS (SELECT student_id, string_agg(stage || '=' || total_after, '→' ORDER BY stage_no) AS steps FROM tl GROUP BY 1)
+      SELECT a.student_id, a.mentor_id, translate('جنسیت: ' || CASE s.gender_code WHEN 0 THEN 'دختر' ELSE 'پسر' END || ' — مدرسه: ' || CASE WHEN s.student_id % 3 = 0 THEN CAST(s.school_code AS VARCHAR) ELSE 'مدرسه ' || s.school_code END
+        || ' (پس‌مدرسه‌ای: ' || CASE WHEN s.student_id % 4 = 1 THEN 'بله' ELSE 'خیر' END || ') — رشته/گروه: رشته ' || s.group_code || ' — ظرفیت: alloc_new=' || (capacity_before - capacity_after) || '، remaining=' || capacity_after
+        || ' — نتیجه: ' || a.mentor_id || ' (' || a.mentor_id || ') — سیاست رتبه‌بندی: {T.TIEBREAK}' || coalesce(' — مراحل: ' || st.steps, ''), {_FA}) AS reason
+        FROM a JOIN students_gap s USING (student_id) LEFT JOIN st ON st.student_id = a.student_id""",
+    SM + ("alloc_log",),
+)
+def selection_reasons_named(t):
+    alloc = t.alloc_log.where("allocation_status = 'success'").select("student_id", "mentor_id", "capacity_before", "capacity_after")
+    k = F.col("student_id")
+    students = t.students_gap.withColumns({
+        "school_name": F.when(k % 3 != 0, F.concat(F.lit("مدرسه "), F.col("school_code").cast("string"))),
+        "group_name": F.concat(F.lit("رشته "), F.col("group_code").cast("string")),
+        "after_school": F.when(k % 4 == 1, "Yes").when(k % 4 == 2, "no"),
+    })
+    mentors = t.mentors.select("mentor_id", F.lit(None).cast("string").alias("mentor_name"))
+    done = T.selection_reasons(alloc, students, mentors, T.trace_long(_funnel(t)), _LABELS, with_steps=True, max_chars=None)
+    return done.select("student_id", "mentor_id", "reason")
+
+
 @query(
     "X9_trace_ladder",
     f"""WITH {FUNNEL}, {LONG}, pbx AS (SELECT m.group_code g, m.gender_code d, m.grad_status_code t, cc.c, hh.h, count(*) AS rows FROM mentors m, LATERAL (SELECT unnest([CAST(m.center_code AS VARCHAR), '*']) AS c) cc,
