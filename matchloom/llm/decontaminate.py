@@ -228,7 +228,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, thre
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.coalesce(F.max(F.size(F.split("text", r"\s+"))), F.lit(0)).alias("words")).first()
     window = max(window, 2 * -(-int(size["words"]) * 3 // 4))
     shards = -(-int(size["chars"]) // INDEX_CHARS) or 1
-    whole = T.StructType([*docs.schema.fields, T.StructField("leaks", T._parse_datatype_string(HITS))])
+    whole = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(f"leaks {HITS}").fields])
     # One bounded index a shard; the rows of a shard come to the driver for it.
     for k in range(shards):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k) if shards > 1 else items
