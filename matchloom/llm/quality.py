@@ -22,7 +22,7 @@ from matchloom.llm.shared import fold
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 18, 16, (3, 4, 5)
 #: Bound of the sample the model is fitted on, in documents and in distinct features of a document.
-SAMPLE, SAMPLE_FEATURES = 3000, 20_000
+SAMPLE, SAMPLE_FEATURES = 3000, 8000
 EPOCHS, RATE, SEED = 5, 0.5, 7
 REPEAT = "\x01"
 THRESHOLD = 0.3
