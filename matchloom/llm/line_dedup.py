@@ -60,14 +60,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     place = F.struct(*key, "no")
     repeated = chunks.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
     marked = stored(chunks.join(repeated, "h").select(*key, "no", "h", (place == F.col("first")).alias("is_first")).distinct(), folder, "marked")
-    # Then the bytes of those chunks alone.
+    # Then the bytes of those chunks alone. Texts meet their few marked chunks by a merge join at
+    # any size: nothing is known about the size of either side that would bound a broadcast.
     wanted = marked.groupBy(*key).agg(F.collect_list(F.struct("no", "h", "is_first")).alias("__wanted"))
-    texts = with_chunks(bare.join(wanted, key)).select(*key, F.explode(F.transform("__wanted", lambda w: F.struct(w["no"].alias("no"), w["h"].alias("h"), w["is_first"].alias("is_first"), F.array_join(chunk_at(w["no"]), "\n").alias("bytes")))).alias("w"))
+    texts = with_chunks(bare.join(wanted.hint("merge"), key)).select(*key, F.explode(F.transform("__wanted", lambda w: F.struct(w["no"].alias("no"), w["h"].alias("h"), w["is_first"].alias("is_first"), F.array_join(chunk_at(w["no"]), "\n").alias("bytes")))).alias("w"))
     texts = stored(texts.select(*key, "w.*").distinct(), folder, "texts")
     first = texts.where("is_first").select("h", F.col("bytes").alias("first_bytes"))
     gone = texts.where("not is_first").join(first, "h").where("bytes = first_bytes").groupBy(*key).agg(F.collect_set("no").alias("__gone"))
     gone = stored(gone, folder, "gone")
-    joined = with_chunks(docs.join(gone, key, "left"))
+    joined = with_chunks(docs.join(gone.hint("merge"), key, "left"))
     has = F.col("__gone").isNotNull() & F.col("text").isNotNull()
     kept = F.filter(F.sequence(F.lit(0), F.size("__starts") - 1), lambda i: ~F.array_contains("__gone", i))
     joined = joined.withColumn("__text", F.when(has, F.array_join(F.flatten(F.transform(kept, chunk_at)), "\n")).otherwise(F.col("text")))
