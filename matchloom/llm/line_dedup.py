@@ -80,9 +80,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         "removed_chunks": F.when(has, F.size("__gone")).otherwise(0).cast("bigint"),
         "removed_lines": F.when(has, removed).otherwise(0).cast("bigint"),
     }
-    out = joined.select(*[c for c in joined.columns], *[v.alias(k) for k, v in counts.items()])
     names = [c for c in docs.columns if c not in key]
-    return out.select(*[F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names], *counts)
+    # The results come out of a generator of one row: a filter on them stays above it, instead of
+    # pulling the array functions, which would then be computed for every element, into itself.
+    made = F.struct(F.col("__text").alias("__text"), *[v.alias(k) for k, v in counts.items()])
+    rest = [F.col(f"`{c}`") for c in names if c != "text"]
+    out = joined.select(*rest, F.explode(F.array(made)).alias("__r"))
+    return out.select(*[F.col("__r.__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names], *[F.col(f"__r.{k}").alias(k) for k in counts])
 
 
 def dedup_summary(docs: DataFrame) -> DataFrame:
