@@ -29,6 +29,8 @@ COORDINATES = BANDS * ROWS
 #: Pairs whose sketches agree in fewer coordinates are not verified. At similarity 0.8 the
 #: expected number is 216; falling to 166 has a probability under 1e-8 (Hoeffding).
 LEAST_AGREEING = 166
+#: Hash classes whose parities bound the difference of two sets from below.
+PARITIES = 1024
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -124,6 +126,26 @@ def _tokens(size: int):
     return run
 
 
+def _parities(size: int):
+    """Of each node, whether an odd number of its shingles falls into each of PARITIES hash classes."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = row_bytes(batch.column("text"))
+            for a, b in slices(offsets):
+                value, ends = shingles(*words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), size)
+                row = np.repeat(np.arange(b - a), np.diff(ends))
+                count = np.bincount(row * PARITIES + (value % U(PARITIES)).astype(np.int64), minlength=(b - a) * PARITIES)
+                packed = np.packbits((count & 1).astype(np.uint8)).view(np.int64)
+                each = PARITIES // 64
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node").slice(a, b - a), pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * each + 1, each, dtype=np.int32)), pa.array(packed))],
+                    ["node", "parity"],
+                )
+
+    return run
+
+
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """(node, comp) of the nodes of ``edges`` (a, b); comp is the least node of the component.
 
@@ -231,7 +253,7 @@ def _same_node(size: int):
 
 
 def _prefixes(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(token, node, n, pos, comp): the rarest shingles of each node, enough that linked nodes share one.
+    """(token, node, n, pos, comp, parity): the rarest shingles of each node, enough that linked nodes share one.
 
     With n shingles a partner has at least ``percent`` hundredths of them in common, so the
     first n - ceil(n * percent / 100) + 1 in any common order will do; the order is by frequency.
@@ -244,25 +266,28 @@ def _prefixes(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     alone = F.col("n") - F.size("t")
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
     cut = ordered.where(length > 0).select("node", "n", alone.alias("alone"), F.posexplode(F.slice("t", F.lit(1), length.cast("int"))).alias("k", "x"))
-    owner = texts.select("node", "comp").distinct()
+    owner = texts.select("node", "comp").distinct().join(texts.select("node", "text").mapInArrow(_parities(shingle), "node binary, parity array<long>"), "node")
     return cut.select(F.col("x.token").alias("token"), "node", "n", (F.col("alone") + F.col("k")).alias("pos")).join(owner, "node")
 
 
 def _across(prefixes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b), a the greater node, of different components that the bounds leave.
 
-    A pair that first meets at places p and q has at most min(n - p, m - q) shingles in common.
-    Pairs inside a token's most frequent component are never formed.
+    A pair that first meets at places p and q has at most min(n - p, m - q) shingles in common,
+    and each hash class with an odd number of one and an even number of the other holds a
+    shingle that only one has. Pairs inside a token's most frequent component are never formed.
     """
     parts = prefixes.groupBy("token", "comp").agg(F.count("*").alias("c"), F.min("n").alias("least"))
     several = parts.groupBy("token").agg(F.count("*").alias("k"), F.max_by("comp", F.struct("c", "comp")).alias("major"), F.min("least").alias("least")).where("k > 1")
     # The greatest size a partner may have, against the least size that comes with the token.
     partner = F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent) - F.col("n")
-    rows = prefixes.join(several, "token").where(F.col("least") <= partner).select("token", "node", "n", "pos", "comp", "major")
-    left = rows.where("comp <> major").select("token", *[F.col(c).alias(f"{c}_l") for c in ("node", "n", "pos", "comp")])
-    right = rows.select("token", *[F.col(c).alias(f"{c}_r") for c in ("node", "n", "pos", "comp")])
+    rows = prefixes.join(several, "token").where(F.col("least") <= partner).select("token", "node", "n", "pos", "comp", "parity", "major")
+    left = rows.where("comp <> major").select("token", *[F.col(c).alias(f"{c}_l") for c in ("node", "n", "pos", "comp", "parity")])
+    right = rows.select("token", *[F.col(c).alias(f"{c}_r") for c in ("node", "n", "pos", "comp", "parity")])
     most = F.least(F.col("n_l") - F.col("pos_l"), F.col("n_r") - F.col("pos_r"))
-    fits = (F.col("comp_l") != F.col("comp_r")) & (100 * most >= percent * (F.col("n_l") + F.col("n_r") - most))
+    apart = sum((F.bit_count(F.get("parity_l", F.lit(k)).bitwiseXOR(F.get("parity_r", F.lit(k)))) for k in range(PARITIES // 64)), F.lit(0))
+    both = F.col("n_l") + F.col("n_r")
+    fits = (F.col("comp_l") != F.col("comp_r")) & (100 * most >= percent * (both - most)) & ((100 + percent) * apart <= (100 - percent) * both)
     pairs = left.withColumnRenamed("token", "token_l").join(right, (F.col("token_l") == F.col("token")) & fits)
     return pairs.select(F.greatest("node_l", "node_r").alias("a"), F.least("node_l", "node_r").alias("b")).distinct()
 
