@@ -42,22 +42,30 @@ def pack(values: np.ndarray) -> np.ndarray:
     n = len(values)
     if not n:
         return np.zeros(0, U)
-    width = np.zeros(n, np.uint8)
-    for bits in (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60):
-        width += values >= U(1 << bits)  # index of the least layout width that holds the value
-    # Window maxima of growing length give, for every place, the selector with most ids.
-    choice, most, at = np.zeros(n, np.uint8), width.copy(), 1
-    place = {bits: k for k, (_, bits) in enumerate(LAYOUT)}
-    for k in range(len(LAYOUT) - 1, -1, -1):
-        count, bits = LAYOUT[k]
-        while at < count and at < n:
+    # Index of the least layout width that holds each value.
+    limits = [1 << bits for bits in (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)]
+    top = int(values.max())
+    small = values.astype(np.uint32) if top < 1 << 32 else values
+    most = np.zeros(n, np.uint8)
+    for limit in limits:
+        if limit <= top:
+            most += small >= small.dtype.type(limit)
+    place = {bits: k for k, (_, bits) in enumerate(sorted(LAYOUT, key=lambda x: x[1]))}
+    # A word of more ids of fewer bits fits only where one of fewer ids fits too, so the number
+    # of layouts that fit tells the best one. Window maxima grow with the number of ids.
+    fitting, at = np.zeros(n, np.uint8), 1
+    for count, bits in reversed(LAYOUT):
+        if count > n:
+            break
+        while at < count:
             step = min(count - at, at)
             np.maximum(most[: n - step], most[step:], out=most[: n - step])
             at += step
-        if count > n:
-            break
         fits = most[: n - count + 1] <= place[bits]
-        choice[: n - count + 1][fits] = k + 1
+        if not fits.any():
+            break
+        fitting[: n - count + 1] += fits
+    choice = np.where(fitting > 0, len(LAYOUT) + 1 - fitting.astype(np.int64), 0)
     counts = np.array([1, *(c for c, _ in LAYOUT)])
     steps, starts, i = counts[choice].tolist(), [], 0
     while i < n:
