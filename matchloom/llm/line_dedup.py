@@ -20,15 +20,15 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("bigint")
 
 
-def with_chunks(docs: DataFrame) -> DataFrame:
-    """Adds __lines, and __starts: the indexes of the lines that begin a chunk (0 first)."""
+def with_chunks(docs: DataFrame, least: int) -> DataFrame:
+    """Adds __lines, and __starts: the indexes of the lines that begin a chunk (0, then ``least`` or more)."""
     docs = docs.withColumn("__lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
     docs = docs.withColumn("__hash", F.transform("__lines", line_hash))
     rolled = F.transform("__hash", lambda h, i: (F.when(i > 0, F.get("__hash", i - 1)).otherwise(F.lit(0)) * FACTOR + h) % MODULUS)
     docs = docs.withColumn("__roll", rolled)
     low = F.filter(
         F.sequence(F.lit(0), F.size("__roll") - 1),
-        lambda i: (i == 0) | ((i < F.size("__roll") - 1) & (F.get("__roll", i) < F.get("__roll", i - 1)) & (F.get("__roll", i) <= F.get("__roll", i + 1))),
+        lambda i: (i == 0) | ((i >= least) & (i < F.size("__roll") - 1) & (F.get("__roll", i) < F.get("__roll", i - 1)) & (F.get("__roll", i) <= F.get("__roll", i + 1))),
     )
     return docs.withColumn("__starts", low).drop("__hash", "__roll")
 
@@ -39,14 +39,15 @@ def chunk_at(no: Column) -> Column:
     return F.slice("__lines", first + 1, F.coalesce(F.get("__starts", no + 1), F.size("__lines")) - first)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 2) -> DataFrame:
     """All columns of ``docs`` with the new ``text``, and n_lines, n_chunks, removed_chunks, removed_lines.
 
     A chunk of two or more lines goes if equal bytes occur in an earlier chunk, by (doc_id,
     hash of the text, number in the document); null ids are first. Documents are never
     dropped; one of which all is repeated keeps an empty text. A null text stays null and has
     no lines. Rows that share doc_id and text are the same document and fare alike. Columns
-    named like the four counts are replaced.
+    named like the four counts are replaced. The second chunk begins at line ``least`` (from 0)
+    or later: from 2 on, all chunks of a document of several lines can go, and a copy goes whole.
     """
     spark, folder = docs.sparkSession, work_folder(docs.sparkSession, "line-dedup")
     docs = docs.drop("n_lines", "n_chunks", "removed_chunks", "removed_lines")
@@ -54,7 +55,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     docs = docs.withColumns({"__null": F.col("doc_id").isNotNull(), "__id": F.coalesce("doc_id", F.lit(0)), "__th": F.xxhash64("text")})
     bare = docs.select(*key, "text")
     # Light rows first: only hashes are counted.
-    cut = with_chunks(bare)
+    cut = with_chunks(bare, least)
     long_ = F.filter(F.transform("__starts", lambda s, i: F.struct(i.alias("no"), F.xxhash64(F.array_join(chunk_at(i), "\n")).alias("h"), F.size(chunk_at(i)).alias("n"))), lambda c: c["n"] > 1)
     chunks = stored(cut.select(*key, F.explode(long_).alias("c")).select(*key, "c.no", "c.h"), folder, "chunks")
     place = F.struct(*key, "no")
@@ -63,12 +64,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     # Then the bytes of those chunks alone. Texts meet their few marked chunks by a merge join at
     # any size: nothing is known about the size of either side that would bound a broadcast.
     wanted = marked.groupBy(*key).agg(F.collect_list(F.struct("no", "h", "is_first")).alias("__wanted"))
-    texts = with_chunks(bare.join(wanted.hint("merge"), key)).select(*key, F.explode(F.transform("__wanted", lambda w: F.struct(w["no"].alias("no"), w["h"].alias("h"), w["is_first"].alias("is_first"), F.array_join(chunk_at(w["no"]), "\n").alias("bytes")))).alias("w"))
+    texts = with_chunks(bare.join(wanted.hint("merge"), key), least).select(*key, F.explode(F.transform("__wanted", lambda w: F.struct(w["no"].alias("no"), w["h"].alias("h"), w["is_first"].alias("is_first"), F.array_join(chunk_at(w["no"]), "\n").alias("bytes")))).alias("w"))
     texts = stored(texts.select(*key, "w.*").distinct(), folder, "texts")
     first = texts.where("is_first").select("h", F.col("bytes").alias("first_bytes"))
     gone = texts.where("not is_first").join(first, "h").where("bytes = first_bytes").groupBy(*key).agg(F.collect_set("no").alias("__gone"))
     gone = stored(gone, folder, "gone")
-    joined = with_chunks(docs.join(gone.hint("merge"), key, "left"))
+    joined = with_chunks(docs.join(gone.hint("merge"), key, "left"), least)
     has = F.col("__gone").isNotNull() & F.col("text").isNotNull()
     kept = F.filter(F.sequence(F.lit(0), F.size("__starts") - 1), lambda i: ~F.array_contains("__gone", i))
     joined = joined.withColumn("__text", F.when(has, F.array_join(F.flatten(F.transform(kept, chunk_at)), "\n")).otherwise(F.col("text")))
@@ -90,8 +91,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def dedup_summary(docs: DataFrame) -> DataFrame:
-    """doc_id, the four counts, n_chars and text_md5 of every document's remaining text (null: empty)."""
-    done = dedup_lines(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    """doc_id, the four counts, n_chars and text_md5 of every document's remaining text (null: empty).
+
+    By the rule of ``SQL``, in which the second chunk may begin at line 1.
+    """
+    done = dedup_lines(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), 1)
     text = F.coalesce("text", F.lit(""))
     return done.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.length(text).cast("bigint").alias("n_chars"), F.md5(text).alias("text_md5"))
 

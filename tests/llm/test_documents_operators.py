@@ -257,6 +257,17 @@ def test_pipeline_against_brute_force(spark, table):
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == set(frames["pieces"])
 
 
+def test_no_part_of_an_exact_copy_survives(spark):
+    r = random.Random(11)
+    texts = ["\n".join(" ".join(f"w{r.randrange(9999)}" for _ in range(7)) for _ in range(n)) for n in [*range(1, 13)] * 3]
+    rows = [(i + k, t, None, "s", len(t)) for i, t in enumerate(texts) for k in (0, 1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        done = stage(spark, docs, SF)
+        docs = spark.createDataFrame(done.collect(), done.schema)
+    assert {x.doc_id: x.text for x in docs.collect()} == dict(enumerate(texts))
+
+
 def test_stages_on_odd_rows(spark, odd_docs, no_docs):
     docs = odd_docs.select("doc_id", "text", "lang", "score")
     for _, stage in corpus_pipeline.STAGES:
