@@ -3,11 +3,14 @@
 A rolling hash over the hashes of two neighbouring lines is taken at each line; a chunk begins
 where it has a local minimum. Whether a line begins a chunk depends on the lines beside it
 only, so an insertion moves no boundary further on, and chunks inside a document have two
-lines at least. DataFrame functions only.
+lines at least. ``dedup_passages`` needs no chunks: it looks at all neighbouring lines, and finds
+repeated passages of any length. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,36 +42,57 @@ def chunk_at(no: Column) -> Column:
     return F.slice("__lines", first + 1, F.coalesce(F.get("__starts", no + 1), F.size("__lines")) - first)
 
 
-def dedup_lines(docs: DataFrame, least: int = 2) -> DataFrame:
-    """All columns of ``docs`` with the new ``text``, and n_lines, n_chunks, removed_chunks, removed_lines.
+def with_key(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Adds the columns that tell documents apart and order them: null ids first, then by id and hash of the text."""
+    made = {"__null": F.col("doc_id").isNotNull(), "__id": F.coalesce("doc_id", F.lit(0)), "__th": F.xxhash64("text")}
+    return docs.withColumns(made), list(made)
 
-    A chunk of two or more lines goes if equal bytes occur in an earlier chunk, by (doc_id,
-    hash of the text, number in the document); null ids are first. Documents are never
-    dropped; one of which all is repeated keeps an empty text. A null text stays null and has
-    no lines. Rows that share doc_id and text are the same document and fare alike. Columns
-    named like the four counts are replaced. The second chunk begins at line ``least`` (from 0)
-    or later: from 2 on, all chunks of a document of several lines can go, and a copy goes whole.
+
+def later_copies(bare: DataFrame, key: list[str], cut: Callable, hashed: Column, bytes_of: Callable) -> DataFrame:
+    """key and __gone: the numbers of the parts whose bytes occur in an earlier part, by (key, number).
+
+    ``cut`` adds the columns from which ``hashed`` makes an array of (no, h) and ``bytes_of`` the bytes of a part.
     """
-    spark, folder = docs.sparkSession, work_folder(docs.sparkSession, "line-dedup")
-    docs = docs.drop("n_lines", "n_chunks", "removed_chunks", "removed_lines")
-    key = ["__null", "__id", "__th"]
-    docs = docs.withColumns({"__null": F.col("doc_id").isNotNull(), "__id": F.coalesce("doc_id", F.lit(0)), "__th": F.xxhash64("text")})
-    bare = docs.select(*key, "text")
+    folder = work_folder(bare.sparkSession, "line-dedup")
     # Light rows first: only hashes are counted.
-    cut = with_chunks(bare, least)
-    long_ = F.filter(F.transform("__starts", lambda s, i: F.struct(i.alias("no"), F.xxhash64(F.array_join(chunk_at(i), "\n")).alias("h"), F.size(chunk_at(i)).alias("n"))), lambda c: c["n"] > 1)
-    chunks = stored(cut.select(*key, F.explode(long_).alias("c")).select(*key, "c.no", "c.h"), folder, "chunks")
+    chunks = stored(cut(bare).select(*key, F.explode(hashed).alias("c")).select(*key, "c.no", "c.h"), folder, "chunks")
     place = F.struct(*key, "no")
     repeated = chunks.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
     marked = stored(chunks.join(repeated, "h").select(*key, "no", "h", (place == F.col("first")).alias("is_first")).distinct(), folder, "marked")
     # Then the bytes of those chunks alone. Texts meet their few marked chunks by a merge join at
     # any size: nothing is known about the size of either side that would bound a broadcast.
     wanted = marked.groupBy(*key).agg(F.collect_list(F.struct("no", "h", "is_first")).alias("__wanted"))
-    texts = with_chunks(bare.join(wanted.hint("merge"), key), least).select(*key, F.explode(F.transform("__wanted", lambda w: F.struct(w["no"].alias("no"), w["h"].alias("h"), w["is_first"].alias("is_first"), F.array_join(chunk_at(w["no"]), "\n").alias("bytes")))).alias("w"))
+    texts = cut(bare.join(wanted.hint("merge"), key)).select(*key, F.explode(F.transform("__wanted", lambda w: F.struct(w["no"].alias("no"), w["h"].alias("h"), w["is_first"].alias("is_first"), bytes_of(w["no"]).alias("bytes")))).alias("w"))
     texts = stored(texts.select(*key, "w.*").distinct(), folder, "texts")
     first = texts.where("is_first").select("h", F.col("bytes").alias("first_bytes"))
     gone = texts.where("not is_first").join(first, "h").where("bytes = first_bytes").groupBy(*key).agg(F.collect_set("no").alias("__gone"))
-    gone = stored(gone, folder, "gone")
+    return stored(gone, folder, "gone")
+
+
+def with_results(joined: DataFrame, docs: DataFrame, key: list[str], counts: dict[str, Column]) -> DataFrame:
+    """The columns of ``docs`` with __text of ``joined`` as the text, and the counts."""
+    names = [c for c in docs.columns if c not in key]
+    # The results come out of a generator of one row: a filter on them stays above it, instead of
+    # pulling the array functions, which would then be computed for every element, into itself.
+    made = F.struct(F.col("__text").alias("__text"), *[v.alias(k) for k, v in counts.items()])
+    rest = [F.col(f"`{c}`") for c in names if c != "text"]
+    out = joined.select(*rest, F.explode(F.array(made)).alias("__r"))
+    return out.select(*[F.col("__r.__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names], *[F.col(f"__r.{k}").alias(k) for k in counts])
+
+
+def dedup_lines(docs: DataFrame, least: int = 2) -> DataFrame:
+    """All columns of ``docs`` with the new ``text``, and n_lines, n_chunks, removed_chunks, removed_lines.
+
+    A chunk of two or more lines goes if equal bytes occur in an earlier chunk, by (doc_id,
+    hash of the text, number in the document); null ids are first. Documents are never
+    dropped; one of which all is repeated keeps an empty text. A null text stays null and has
+    no lines. Rows that share doc_id and text are the same document and fare alike. Columns
+    named like the four counts are replaced. The second chunk begins at line ``least`` (from 0)
+    or later: from 2 on, all chunks of a document of several lines can go, and a copy goes whole.
+    """
+    docs, key = with_key(docs.drop("n_lines", "n_chunks", "removed_chunks", "removed_lines"))
+    long_ = F.filter(F.transform("__starts", lambda s, i: F.struct(i.alias("no"), F.xxhash64(F.array_join(chunk_at(i), "\n")).alias("h"), F.size(chunk_at(i)).alias("n"))), lambda c: c["n"] > 1)
+    gone = later_copies(docs.select(*key, "text"), key, lambda d: with_chunks(d, least), long_, lambda no: F.array_join(chunk_at(no), "\n"))
     joined = with_chunks(docs.join(gone.hint("merge"), key, "left"), least)
     has = F.col("__gone").isNotNull() & F.col("text").isNotNull()
     kept = F.filter(F.sequence(F.lit(0), F.size("__starts") - 1), lambda i: ~F.array_contains("__gone", i))
@@ -81,13 +105,7 @@ def dedup_lines(docs: DataFrame, least: int = 2) -> DataFrame:
         "removed_chunks": F.when(has, F.size("__gone")).otherwise(0).cast("bigint"),
         "removed_lines": F.when(has, removed).otherwise(0).cast("bigint"),
     }
-    names = [c for c in docs.columns if c not in key]
-    # The results come out of a generator of one row: a filter on them stays above it, instead of
-    # pulling the array functions, which would then be computed for every element, into itself.
-    made = F.struct(F.col("__text").alias("__text"), *[v.alias(k) for k, v in counts.items()])
-    rest = [F.col(f"`{c}`") for c in names if c != "text"]
-    out = joined.select(*rest, F.explode(F.array(made)).alias("__r"))
-    return out.select(*[F.col("__r.__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names], *[F.col(f"__r.{k}").alias(k) for k in counts])
+    return with_results(joined, docs, key, counts)
 
 
 def dedup_summary(docs: DataFrame) -> DataFrame:
@@ -100,6 +118,39 @@ def dedup_summary(docs: DataFrame) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.length(text).cast("bigint").alias("n_chars"), F.md5(text).alias("text_md5"))
 
 
+def with_units(docs: DataFrame) -> DataFrame:
+    """Adds __lines, and __units: index and text of the lines that aren't blank."""
+    docs = docs.withColumn("__lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    return docs.withColumn("__units", F.filter(F.transform("__lines", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda u: u["x"].rlike(r"\S")))
+
+
+def unit(no: Column) -> Column:
+    return F.get("__units", no)
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` with the new ``text``, and n_lines and removed_lines.
+
+    A line goes if it and a neighbour, blank lines left aside, occur as neighbours in an earlier
+    place, by (doc_id, hash of the text, number in the document); so every repeated passage of
+    two lines or more goes whole, wherever it stands, and so do the blank lines inside it. The
+    first occurrence of a line always stays. Rows are treated as by ``dedup_lines``.
+    """
+    docs, key = with_key(docs.drop("n_lines", "removed_lines"))
+    pairs = F.transform(F.slice("__units", 1, F.greatest(F.size("__units") - 1, F.lit(0))), lambda u, i: F.struct(i.alias("no"), F.xxhash64(u["x"], unit(i + 1)["x"]).alias("h")))
+    gone = later_copies(docs.select(*key, "text"), key, with_units, pairs, lambda no: F.concat_ws("\n", unit(no)["x"], unit(no + 1)["x"]))
+    joined = with_units(docs.join(gone.hint("merge"), key, "left"))
+    has = F.col("__gone").isNotNull() & F.col("text").isNotNull()
+    out = F.flatten(F.transform("__gone", lambda no: F.sequence(unit(no)["i"], unit(no + 1)["i"])))
+    joined = joined.withColumn("__kept", F.when(has, F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), out)))
+    joined = joined.withColumn("__text", F.when(has, F.array_join(F.transform("__kept", lambda i: F.get("__lines", i)), "\n")).otherwise(F.col("text")))
+    counts = {
+        "n_lines": F.when(F.col("text").isNotNull(), F.size("__lines")).otherwise(0).cast("bigint"),
+        "removed_lines": F.when(has, F.size("__lines") - F.size("__kept")).otherwise(0).cast("bigint"),
+    }
+    return with_results(joined, docs, key, counts)
+
+
 SQL = """
 WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i, len(ls) AS n FROM cut),

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from matchloom.llm import queries
 from matchloom.llm.chat import render_views
-from matchloom.llm.line_dedup import dedup_lines, dedup_summary
+from matchloom.llm.line_dedup import dedup_lines, dedup_passages, dedup_summary
 from matchloom.llm.pieces import Encoder, build_model, encode_documents, load_model, piece_digests, viterbi
 from matchloom.llm.token_files import ChunkEncoder, block_offsets, frame, pack, read_frame, read_token_files, read_token_ids, unpack, write_token_files
 from matchloom.llm.url_filter import Rule, judge_by_join, judge_urls
@@ -124,6 +124,48 @@ def test_line_dedup_of_odd_rows(odd_docs, no_docs):
     assert dedup_lines(no_docs).count() == 0 and dedup_summary(no_docs).count() == 0
 
 
+def brute_passages(rows):
+    seen, out = set(), {}
+    for i, text in rows:
+        ls = text.split("\n")
+        at, gone = [k for k, x in enumerate(ls) if x.strip()], set()
+        for a, b in zip(at, at[1:], strict=False):
+            if (ls[a], ls[b]) in seen:
+                gone.update(range(a, b + 1))
+            seen.add((ls[a], ls[b]))
+        out[i] = ("\n".join(x for k, x in enumerate(ls) if k not in gone), len(ls), len(gone))
+    return out
+
+
+def test_short_passages_go_whole(spark):
+    texts, want = [], []
+    for n in range(2, 7):
+        passage = [f"shared {n} {k}" for k in range(n)]
+        for c in range(4):
+            own = [f"own {n} {c} {k}" for k in range(6)]
+            texts.append("\n".join(own[: c + 1] + passage + own[c + 1 :]))
+            want.append("\n".join(own) if c else texts[-1])
+    texts += ["a\n\nlone\n\nb", "c\n\nlone\n\nd", "e\np\n\n\n\nq\nf", "g\np\n\n\n\nq\nh", "\n\n", "\n\n", "x\nx\nx", "m\nn\n", "m\nn\n"]
+    want += ["a\n\nlone\n\nb", "c\n\nlone\n\nd", "e\np\n\n\n\nq\nf", "g\nh", "\n\n", "\n\n", "x", "m\nn\n", ""]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.text, r.n_lines, r.removed_lines) for r in dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_passages(rows) and [got[i][0] for i, _ in rows] == want
+
+
+def test_passages_of_the_table(spark, table):
+    docs = table("documents")
+    got = {r.doc_id: (r.text, r.n_lines, r.removed_lines) for r in dedup_passages(docs).collect()}
+    assert got == brute_passages(sorted((r.doc_id, r.text) for r in docs.collect()))
+
+
+def test_passages_of_odd_rows(odd_docs, no_docs):
+    got = dedup_passages(odd_docs)
+    rows = got.collect()
+    assert got.columns == [*odd_docs.columns, "n_lines", "removed_lines"]
+    assert len(rows) == odd_docs.count() and sum(r.text is None for r in rows) == 2
+    assert dedup_passages(no_docs).count() == 0
+
+
 # Url filter
 
 
