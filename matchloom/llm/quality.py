@@ -4,7 +4,8 @@ Words, pairs of neighbouring words and the character 3-, 4- and 5-grams inside w
 to ``BUCKETS`` learned vectors of ``DIMENSIONS``; a word that repeats the one before it counts
 as the repeat mark instead. A document is the average over all of its whole text, and a softmax
 over two classes reads it. Vectors and output are trained by stochastic gradient descent in
-numpy, on at most ``SAMPLE`` labelled documents (those of least id hash).
+numpy, on at most ``SAMPLE`` labelled documents (those of least id hash), each with all of its
+features; fewer documents if theirs together are more than ``SAMPLE_FEATURES``.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchloom.llm.bytesops import BASE, STEP, U, mix
-from matchloom.llm.shared import fold
+from matchloom.llm.shared import fold, stored, work_folder
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 18, 16, (3, 4, 5)
-#: Bound of the sample the model is fitted on, in documents and in distinct features of a document.
-SAMPLE, SAMPLE_FEATURES = 3000, 8000
+#: Bound of the sample the model is fitted on, in documents and in distinct features of all of them
+#: (eight bytes each on the driver; a document has ``BUCKETS`` at most).
+SAMPLE, SAMPLE_FEATURES = 3000, 24_000_000
 EPOCHS, RATE, SEED = 5, 0.5, 7
 REPEAT = "\x01"
 THRESHOLD = 0.3
@@ -192,14 +194,22 @@ def train_on(docs: DataFrame, labels: DataFrame, parts: int = 5, held_out: int =
 
     def bags(batches):
         for batch in batches:
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+            for i, text, y in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 at, count = document_features(text or "")
-                if len(at) > SAMPLE_FEATURES:
-                    top = np.sort(np.argsort(-count, kind="stable")[:SAMPLE_FEATURES])
-                    at, count = at[top], count[top]
-                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([count.astype("<i4").tobytes()], pa.binary())], ["label", "at", "count"])
-
-    found = texts.select("text", "label").mapInArrow(bags, "label int, at binary, count binary").collect()
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([y], pa.int32()), pa.array([len(at)], pa.int32()), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([count.astype("<i4").tobytes()], pa.binary())], ["doc_id", "label", "n", "at", "count"])
+
+    bag = texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "label").mapInArrow(bags, "doc_id bigint, label int, n int, at binary, count binary")
+    bag = stored(bag, work_folder(docs.sparkSession, "quality"), "bags").withColumn("h", F.xxhash64("doc_id"))
+    # Whole documents only, in the order of the sample, as many as the driver can hold.
+    total, last = 0, None
+    for r in sorted(bag.select("h", "doc_id", "n").collect()):
+        total += r["n"]
+        if total > SAMPLE_FEATURES:
+            break
+        last = (r["h"], r["doc_id"])
+    if total > SAMPLE_FEATURES:
+        bag = bag.where((F.col("h") < last[0]) | ((F.col("h") == last[0]) & (F.col("doc_id") <= last[1]))) if last else bag.where("false")
+    found = bag.select("label", "at", "count").collect()
     # An order that doesn't depend on the partitions.
     found.sort(key=lambda r: (r["at"], r["count"], r["label"]))
     return train([(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["count"], "<i4")) for r in found], np.array([r["label"] for r in found]))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from matchloom.llm import queries
+from matchloom.llm import quality, queries
 from matchloom.llm.decontaminate import Index, leaks, term_list, with_leaks
 from matchloom.llm.fingerprint import differing, digests, fingerprint_documents, likeness
 from matchloom.llm.language_id import ngrams, predict_languages
@@ -183,6 +183,18 @@ def test_quality_of_odd_rows(spark, odd_docs, no_docs):
     assert {r.score for r in score_quality(odd_docs, labels.where("false")).collect()} == {0.5}
 
 
+def test_all_features_of_sampled_documents_teach(spark, monkeypatch):
+    texts = [" ".join(f"w{i}x{k * k}" for k in range(n)) for i, n in enumerate((6000, 10, 3000, 20))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "train", lambda bags, labels: bags)
+    sizes = [len(quality.document_features(t)[0]) for t in texts]
+    taught = lambda: sorted(len(at) for at, _ in quality.train_on(docs, labels, held_out=-1))
+    assert max(sizes) > 20_000 and taught() == sorted(sizes)
+    monkeypatch.setattr(quality, "SAMPLE_FEATURES", sum(sizes) - 1)
+    assert len(taught()) < 4 and set(taught()) < set(sizes)
+
+
 # Decontamination
 
 
