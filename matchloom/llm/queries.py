@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from matchloom.llm import chat, line_dedup
 from matchloom.llm.decontaminate import leaks
 from matchloom.llm.fingerprint import fingerprint_documents
+from matchloom.llm.hard_negatives import SQL as OP12_SQL
+from matchloom.llm.hard_negatives import hard_negatives
 from matchloom.llm.language_id import predict_languages
 from matchloom.llm.near_dup import near_duplicates
 from matchloom.llm.pieces import piece_digests
@@ -15,6 +18,9 @@ from matchloom.llm.quality import score_quality
 from matchloom.llm.shared import read_table, work_folder
 from matchloom.llm.token_files import read_token_files, write_token_files
 from matchloom.llm.url_filter import Rule, judge_urls
+from matchloom.llm.vector_dup import SQL as OP11_SQL
+from matchloom.llm.vector_dup import near_vectors
+from matchloom.llm.whitening import whiten
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -87,11 +93,27 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_vector_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label is one on, every hundredth row is an anchor."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_views, op2_token_files, op3_line_dedup, op4_url_filter, op5_language_id,
         op6_near_dup, op7_fingerprints, op8_quality, op9_pieces, op10_decontaminate,
+        op11_vector_dup, op12_hard_negatives, op13_whitening,
     )
 }
-SQL = {"op1_chat_views": chat.SQL, "op3_line_dedup": line_dedup.SQL, "op4_url_filter": OP4_SQL}
+SQL = {"op1_chat_views": chat.SQL, "op3_line_dedup": line_dedup.SQL, "op4_url_filter": OP4_SQL, "op11_vector_dup": OP11_SQL, "op12_hard_negatives": OP12_SQL}
