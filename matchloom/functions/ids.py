@@ -118,3 +118,11 @@ def counter_sequence(c) -> Column:
 def stable_hash(c) -> Column:
     """Input-order-free tie key: the hex text of SHA-256."""
     return F.sha2(as_col(c).cast("string"), 256)
+
+
+def counter_hash(c) -> Column:
+    """Stable hash of a counter: of the cleaned nine digits, else of the digits in the text, else of the text; blank is '0'."""
+    text = F.trim(F.coalesce(as_col(c).cast("string"), F.lit("")))
+    digits = F.regexp_replace(fold_digits(text), "[^0-9]", "")
+    blank = lambda x: F.when(x == "", F.lit(None)).otherwise(x)
+    return F.sha2(F.coalesce(valid_counter(text), blank(digits), blank(text), F.lit("0")), 256)

@@ -12,7 +12,7 @@ alternative keys:
 Each eligible (student, pool row) pair shares exactly one bucket, so counts and best
 candidates come from aggregating the pool per bucket *before* the join. Students are
 collapsed to distinct key tuples (classes) first; nothing here grows with
-students x mentors unless a caller asks for the pairs themselves.
+students x mentors. ``candidates.py`` ranks and counts them on the same buckets.
 """
 
 from __future__ import annotations
@@ -25,8 +25,7 @@ from pyspark.sql import functions as F
 from matchloom.config import KEYS, STAGES, Policy
 from matchloom.functions.ids import natural_key
 from matchloom.functions.keys import finance_cluster
-from matchloom.operators.numbering import lookup, number_rows
-from matchloom.session import cut_lineage
+from matchloom.operators.numbering import lookup
 
 
 def class_key(cols: Sequence[str] = KEYS) -> Column:
@@ -229,86 +228,3 @@ def candidate_stats(students: DataFrame, pool: DataFrame, policy: Policy | None
         (-F.col("best.neg")).alias("best_remaining"),
         F.col("best.pool_order").alias("best_pool_order"),
     )
-
-
-def class_pairs(students: DataFrame, pool: DataFrame, policy: Policy | None = None) -> DataFrame:
-    """(class, pool row) eligibility: distinct key tuples instead of students."""
-    left = with_bucket(student_keys(student_classes(students), policy)).select("class_key", "students", "bucket")
-    right = with_bucket(pool_keys(pool, policy)).where(F.col("bucket").isNotNull())
-    return left.join(right, "bucket").drop("bucket")
-
-
-def eligible_pairs(students: DataFrame, pool: DataFrame, policy: Policy | None = None) -> DataFrame:
-    """Student x pool row pairs. The output itself is quadratic per cell: restrict
-    ``students`` (for example to failed ones) before asking for it."""
-    pairs = class_pairs(students, pool, policy).drop("students").drop(*KEYS)
-    return students.withColumn("class_key", class_key()).join(pairs, "class_key").drop("class_key")
-
-
-def rank_candidates(pairs: DataFrame, by: str = "class_key", fairness: str = "none") -> DataFrame:
-    """Dense rank number of every candidate of a class.
-
-    Sorting is split by remaining capacity and load, so a class with very many
-    candidates is not sorted by one task. ``fairness`` puts a stable hash between the
-    second and the third key.
-    """
-    order = [F.col("initial").desc(), F.col("allocations_new"), F.col("mentor_sort"), F.col("pool_order")]
-    levels = [("__neg", -F.col("initial")), ("__new", F.col("allocations_new"))]
-    if fairness == "round_robin":
-        order.insert(2, F.sha2(F.col("mentor_id").cast("string"), 256))
-        levels.append(("__h", F.substring(F.sha2(F.col("mentor_id").cast("string"), 256), 1, 2)))
-    else:
-        levels.append(("__p", F.substring("mentor_sort", 1, 7)))
-    return number_rows(pairs, order, levels, by=[by], name="rank")
-
-
-def fairness_order(pairs: DataFrame, by: str = "class_key") -> DataFrame:
-    """Round-robin order inside ties, with a flag per class telling whether it changed."""
-    pairs = cut_lineage(pairs)
-    plain = rank_candidates(pairs, by).select(by, "pool_order", F.col("rank").alias("plain_rank"))
-    fair = rank_candidates(pairs, by, "round_robin").join(plain, [by, "pool_order"])
-    moved = fair.groupBy(by).agg(F.bool_or(F.col("rank") != F.col("plain_rank")).alias("order_changed"))
-    return lookup(fair, moved, [by], ["order_changed"])
-
-
-def bucket_variant_pairs(students: DataFrame, pool: DataFrame, policy: Policy | None = None) -> DataFrame:
-    """Plain equi join on key variants {exact, center 0, school 0} x finance.
-
-    Legal for classes with known, non-wildcard center and school when no pool row is
-    unrestricted by flag; other classes, and those whose variants hit nothing, use the
-    general buckets.
-    """
-    policy = policy or Policy()
-    classes = student_classes(students)
-    flagged = "has_school_constraint" in pool.columns
-    open_rows = pool.agg(
-        (F.count_if(~F.coalesce(F.col("has_school_constraint"), F.lit(False))) if flagged else F.lit(0)).alias("open")
-    )
-    legal = (
-        (F.col("school_code") > 0) & (F.col("center_code") > 0) & (F.col("open") == 0)
-        & F.col("finance_code").isNotNull() & F.col("group_code").isNotNull()
-    )
-    marked = classes.join(F.broadcast(open_rows)).withColumn("legal", F.coalesce(legal, F.lit(False))).drop("open")
-    zero = F.lit(0).cast("bigint")
-    variants = F.array_distinct(
-        F.array(
-            F.struct(F.col("center_code").alias("c"), F.col("school_code").alias("s")),
-            F.struct(zero.alias("c"), F.col("school_code").alias("s")),
-            F.struct(F.col("center_code").alias("c"), zero.alias("s")),
-        )
-    )
-    left = (
-        marked.where("legal").withColumn("v", F.explode(variants))
-        .withColumn("f", finance_cluster("finance_code", policy))
-        .select("class_key", F.col("group_code").alias("g"), F.col("gender_code").alias("d"),
-                F.col("grad_status_code").alias("t"), "f", "v.c", "v.s")
-    )
-    right = pool.withColumn("m_f", finance_cluster("finance_code", policy))
-    hit = left.join(
-        right,
-        (F.col("g") == F.col("group_code")) & (F.col("d") == F.col("gender_code")) & (F.col("t") == F.col("grad_status_code"))
-        & (F.col("f") == F.col("m_f")) & (F.col("c") == F.col("center_code")) & (F.col("s") == F.coalesce(F.col("school_code"), zero)),
-    ).select("class_key", *pool.columns)
-    rest = marked.join(hit.select("class_key").distinct(), "class_key", "left_anti").select(*KEYS)
-    general = class_pairs(rest, pool, policy).select("class_key", *pool.columns)
-    return hit.unionByName(general)

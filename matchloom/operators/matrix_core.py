@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.config import KEYS
-
 STRICT = ("group_code", "gender_code", "grad_status_code", "finance_code")
 
 
@@ -33,34 +31,14 @@ def capacity_outcome(df: DataFrame) -> DataFrame:
     )
 
 
-def strict_buckets(df: DataFrame, center: str = "center_code", school: str = "school_code") -> DataFrame:
-    """Student side variants: exact and zero for center and school, so matching is an equi join."""
-    both = lambda c: F.explode(F.array_distinct(F.array(F.col(c), F.lit(0).cast("bigint"))))
-    return df.withColumn("center_key", both(center)).withColumn("school_key", both(school))
-
-
-def matrix_core(mentors: DataFrame, students: DataFrame) -> DataFrame:
-    """Eligible pairs under the strict rules with capacity outcome and stage trace.
-
-    The two wildcard keys become student-side variants, so all six keys are equi keys and
-    no residual predicate is evaluated over a whole cell.
-    """
-    cap = capacity_outcome(mentors).select(
-        "mentor_id", *[F.col(k).alias(f"m_{k}") for k in KEYS],
-        "allocations_new", "remaining_capacity", "total_allocations", "blocking_codes", "capacity_ok",
-    )
-    s = strict_buckets(students)
-    cond = [F.col(k) == F.col(f"m_{k}") for k in STRICT]
-    cond += [F.col("center_key") == F.col("m_center_code"), F.col("school_key") == F.col("m_school_code")]
+def strict_trace(df: DataFrame) -> DataFrame:
+    """Add the stage trace of eligible rows: every stage passes but the capacity gate, which the row decides alone."""
     gate = F.when(F.col("capacity_ok"), F.lit("ok")).otherwise(F.lit("blocked"))
     stages = ("group", "gender", "graduation_status", "center", "finance", "school")
     entry = lambda a, b: F.struct(F.lit(a).alias("stage"), b.alias("status"))
-    trace = F.array(
-        entry("type", F.lit("matrix_core")), *[entry(x, F.lit("ok")) for x in stages], entry("capacity_gate", gate)
-    )
-    return s.join(cap, cond).select(
-        "student_id", "mentor_id", *KEYS, "allocations_new", "remaining_capacity", "total_allocations",
-        "blocking_codes", "capacity_ok", trace.alias("trace"),
+    return df.withColumn(
+        "trace",
+        F.array(entry("type", F.lit("matrix_core")), *[entry(x, F.lit("ok")) for x in stages], entry("capacity_gate", gate)),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matchloom.config import KEYS, STAGES
+from matchloom.operators import candidates as C
 from matchloom.operators import matching as M
 from matchloom.plans import check_sql as ck
 from matchloom.plans.registry import query
@@ -31,61 +32,107 @@ def eligible_candidates(t):
     return M.candidate_stats(t.students_gap, t.mentors).select("student_id", "candidates", "places")
 
 
+PAIRS = f"""c AS (SELECT DISTINCT group_code, gender_code, grad_status_code, center_code, finance_code, school_code FROM students),
+    pairs AS (SELECT {CLASS} AS class_key, m.* EXCLUDE (group_code, gender_code, grad_status_code, center_code, finance_code, school_code) FROM c s JOIN mentors m ON {PRED})"""
+
+
 @query(
     "J2_class_pairs",
-    f"""WITH c AS (SELECT DISTINCT group_code, gender_code, grad_status_code, center_code, finance_code, school_code FROM students)
-    SELECT {CLASS} AS class_key, m.mentor_id, m.pool_order, m.remaining_capacity FROM c s JOIN mentors m ON {PRED}""",
+    f"""WITH {PAIRS}
+    SELECT {CLASS} AS class_key, count(p.mentor_id) AS candidates, CAST(sum(p.remaining_capacity) AS BIGINT) AS places, CAST(sum(p.pool_order) AS BIGINT) AS members_sum,
+      CAST(sum(p.pool_order * (p.pool_order % 97)) AS BIGINT) AS members_mix
+    FROM c s LEFT JOIN pairs p ON p.class_key = {CLASS} GROUP BY {CLASS}""",
     ("students", "mentors"),
 )
 def class_pairs(t):
-    return M.class_pairs(t.students, t.mentors).select("class_key", "mentor_id", "pool_order", "remaining_capacity")
+    """Links of each class: their number and two checksums over the linked rows."""
+    order = F.col("pool_order")
+    out = C.candidates(t.students, t.mentors).counted(places=F.col("remaining_capacity"), members_sum=order, members_mix=order * (order % 97))
+    return out.select("class_key", "candidates", "places", "members_sum", "members_mix")
+
+
+@query(
+    "J2_class_membership",
+    f"""WITH {PAIRS}, hit AS (SELECT DISTINCT pool_order FROM pairs)
+    SELECT m.mentor_id, m.pool_order, h.pool_order IS NOT NULL AS wanted,
+      (SELECT count(*) FROM pairs p WHERE p.pool_order = m.pool_order) AS classes FROM mentors m LEFT JOIN hit h USING (pool_order)""",
+    ("students", "mentors"),
+)
+def class_membership(t):
+    """From the rows' side: how many classes each pool row is a candidate of."""
+    c = C.candidates(t.students, t.mentors)
+    readers = c.links.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    per_row = c.members.join(readers, "bucket", "left").groupBy("mentor_id", "pool_order").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("classes"))
+    return per_row.select("mentor_id", "pool_order", (F.col("classes") > 0).alias("wanted"), "classes")
 
 
 @query(
     "J3_bucket_variant_join",
     """WITH c AS (SELECT DISTINCT group_code, gender_code, grad_status_code, center_code, finance_code, school_code FROM students),
-    p AS (SELECT * FROM mentors),
     k AS (SELECT concat_ws('|', group_code, gender_code, grad_status_code, center_code, finance_code, school_code) AS class_key, * FROM c),
-    hit AS (SELECT k.class_key, p.mentor_id, p.pool_order FROM k JOIN p ON k.school_code > 0 AND k.center_code > 0
-      AND k.group_code = p.group_code AND k.gender_code = p.gender_code AND k.grad_status_code = p.grad_status_code
-      AND ((k.center_code = p.center_code AND k.school_code = p.school_code) OR (p.center_code = 0 AND k.school_code = p.school_code)
-        OR (k.center_code = p.center_code AND p.school_code = 0))),
-    rest AS (SELECT * FROM k WHERE class_key NOT IN (SELECT class_key FROM hit))
-    SELECT * FROM hit UNION ALL
-    SELECT r.class_key, p.mentor_id, p.pool_order FROM rest r JOIN p ON r.group_code = p.group_code AND r.gender_code = p.gender_code
-      AND r.grad_status_code = p.grad_status_code AND (p.center_code = 0 OR (r.center_code <> 0 AND p.center_code = r.center_code))
-      AND (r.school_code = 0 OR p.school_code IN (0, r.school_code))""",
+    hit AS (SELECT k.class_key, p.pool_order, p.remaining_capacity FROM k JOIN mentors p ON k.group_code = p.group_code AND k.gender_code = p.gender_code
+      AND k.grad_status_code = p.grad_status_code AND (p.center_code = 0 OR (k.center_code <> 0 AND p.center_code = k.center_code))
+      AND (k.school_code = 0 OR p.school_code IN (0, k.school_code)))
+    SELECT k.class_key, k.school_code > 0 AND k.center_code > 0 AS by_variants, count(h.pool_order) AS candidates, CAST(sum(h.remaining_capacity) AS BIGINT) AS places,
+      CAST(sum(h.pool_order) AS BIGINT) AS members_sum FROM k LEFT JOIN hit h USING (class_key) GROUP BY 1, 2""",
     ("students", "mentors"),
 )
 def bucket_variant_join(t):
+    """Links by key variants; the check states them as wildcard rules over a pool without the school flag."""
     pool = t.mentors.drop("has_school_constraint")
-    return M.bucket_variant_pairs(t.students, pool).select("class_key", "mentor_id", "pool_order")
+    c = C.variant_candidates(t.students, pool)
+    out = c.counted(places=F.col("remaining_capacity"), members_sum=F.col("pool_order"))
+    return out.select("class_key", ((F.col("school_code") > 0) & (F.col("center_code") > 0)).alias("by_variants"), "candidates", "places", "members_sum")
+
+
+STRICT_ROWS = """m AS (SELECT *, remaining_capacity + 2 - (1 + allocations_new) AS rest FROM mentors),
+    c AS (SELECT DISTINCT group_code, gender_code, grad_status_code, center_code, finance_code, school_code FROM students),
+    k AS (SELECT concat_ws('|', group_code, gender_code, grad_status_code, center_code, finance_code, school_code) AS class_key, * FROM c)"""
+
+
+def _strict(t):
+    mentors = t.mentors.withColumn("capacity_limit", F.col("remaining_capacity") + 2).withColumn("assigned_baseline", F.lit(1).cast("bigint"))
+    return C.strict_candidates(t.students, mentors)
 
 
 @query(
     "J4_matrix_core",
-    """WITH c AS (SELECT DISTINCT group_code, gender_code, grad_status_code, center_code, finance_code, school_code FROM students),
-    k AS (SELECT concat_ws('|', group_code, gender_code, grad_status_code, center_code, finance_code, school_code) AS class_key, * FROM c),
-    m AS (SELECT *, remaining_capacity + 2 - (1 + allocations_new) AS rest FROM mentors)
-    SELECT k.class_key, m.mentor_id, m.rest AS remaining_capacity, 1 + m.allocations_new AS total_allocations,
-      CASE WHEN m.rest <= 0 THEN 'capacity_exhausted' ELSE '' END AS blocking_codes, m.rest > 0 AS capacity_ok,
-      'type=matrix_core,group=ok,gender=ok,graduation_status=ok,center=ok,finance=ok,school=ok,capacity_gate=' ||
-        CASE WHEN m.rest > 0 THEN 'ok' ELSE 'blocked' END AS trace
-    FROM k JOIN m ON k.group_code = m.group_code AND k.gender_code = m.gender_code AND k.grad_status_code = m.grad_status_code
-      AND k.finance_code = m.finance_code AND m.center_code IN (0, k.center_code) AND m.school_code IN (0, k.school_code)""",
+    f"""WITH {STRICT_ROWS}
+    SELECT k.class_key, count(m.mentor_id) AS candidates, CAST(sum(m.rest) AS BIGINT) AS places, CAST(sum(1 + m.allocations_new) AS BIGINT) AS allocations,
+      CAST(sum(CASE WHEN m.rest <= 0 THEN 1 WHEN m.rest > 0 THEN 0 END) AS BIGINT) AS blocked, CAST(sum(m.pool_order) AS BIGINT) AS members_sum
+    FROM k LEFT JOIN m ON k.group_code = m.group_code AND k.gender_code = m.gender_code AND k.grad_status_code = m.grad_status_code
+      AND k.finance_code = m.finance_code AND m.center_code IN (0, k.center_code) AND m.school_code IN (0, k.school_code) GROUP BY k.class_key""",
     ("students", "mentors"),
 )
 def matrix_core(t):
-    from matchloom.operators.matrix_core import matrix_core as op
-
-    mentors = t.mentors.withColumn("capacity_limit", F.col("remaining_capacity") + 2).withColumn(
-        "assigned_baseline", F.lit(1).cast("bigint")
+    """Links of each class under the strict rules, with their capacity outcome added up."""
+    out = _strict(t).counted(
+        places=F.col("remaining_capacity"), allocations=F.col("total_allocations"),
+        blocked=F.when(F.col("capacity_ok"), 0).otherwise(1), members_sum=F.col("pool_order"),
     )
-    classes = M.student_classes(t.students).withColumnRenamed("class_key", "student_id")
+    return out.select("class_key", "candidates", "places", "allocations", "blocked", "members_sum")
+
+
+@query(
+    "J4_matrix_core_rows",
+    f"""WITH {STRICT_ROWS}
+    SELECT m.mentor_id, m.pool_order, m.rest AS remaining_capacity, 1 + m.allocations_new AS total_allocations,
+      CASE WHEN m.rest <= 0 THEN 'capacity_exhausted' ELSE '' END AS blocking_codes,
+      'type=matrix_core,group=ok,gender=ok,graduation_status=ok,center=ok,finance=ok,school=ok,capacity_gate=' || CASE WHEN m.rest > 0 THEN 'ok' ELSE 'blocked' END AS trace,
+      (SELECT count(*) FROM k WHERE k.group_code = m.group_code AND k.gender_code = m.gender_code AND k.grad_status_code = m.grad_status_code
+        AND k.finance_code = m.finance_code AND m.center_code IN (0, k.center_code) AND m.school_code IN (0, k.school_code)) AS classes FROM m""",
+    ("students", "mentors"),
+)
+def matrix_core_rows(t):
+    """The rows behind the links: capacity outcome, trace, and the number of classes each is linked with."""
+    from matchloom.operators.matrix_core import strict_trace
+
+    c = _strict(t)
+    readers = c.links.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"))
     text = F.array_join(F.transform("trace", lambda e: F.concat(e["stage"], F.lit("="), e["status"])), ",")
-    return op(mentors, classes).select(
-        F.col("student_id").alias("class_key"), "mentor_id", "remaining_capacity", "total_allocations",
-        F.array_join("blocking_codes", ",").alias("blocking_codes"), "capacity_ok", text.alias("trace"),
+    return strict_trace(c.members.join(readers, "bucket", "left")).select(
+        "mentor_id", "pool_order", "remaining_capacity", "total_allocations", F.array_join("blocking_codes", ",").alias("blocking_codes"),
+        text.alias("trace"), F.coalesce("classes", F.lit(0)).cast("bigint").alias("classes"),
     )
 
 
@@ -143,17 +190,48 @@ def capacity_positive(t):
     return M.candidate_stats(t.students, t.mentors).select("student_id", "open_candidates")
 
 
+RANKED = f"""{PAIRS}, {STATE},
+    r AS (SELECT p.class_key, m.mentor_id, m.pool_order, row_number() OVER (PARTITION BY p.class_key ORDER BY m.initial DESC, m.allocations_new, m.mentor_sort, m.pool_order) AS rank,
+      count(*) OVER (PARTITION BY p.class_key) AS candidates FROM pairs p JOIN pool m USING (pool_order))"""
+
+
 @query(
     "W1_rank_candidates",
-    f"""WITH c AS (SELECT DISTINCT group_code, gender_code, grad_status_code, center_code, finance_code, school_code FROM students),
-    {STATE}
-    SELECT {CLASS} AS class_key, m.mentor_id, m.pool_order,
-      row_number() OVER (PARTITION BY {CLASS} ORDER BY {ORDER}) AS rank FROM c s JOIN pool m ON {PRED}""",
+    f"""WITH {RANKED} SELECT class_key, rank, mentor_id, pool_order FROM r WHERE rank <= 3 OR rank = candidates OR rank = (candidates + 1) // 2""",
     ("students", "mentors"),
 )
 def rank_candidates(t):
-    pairs = M.class_pairs(t.students, M.ranked_pool(t.mentors))
-    return M.rank_candidates(pairs).select("class_key", "mentor_id", "pool_order", "rank")
+    """The first three, the middle and the last candidate of every class, found by their ranks."""
+    c = C.candidates(t.students, C.placed_pool(t.mentors))
+    n = F.col("candidates")
+    wanted = c.counted().select("class_key", F.explode(F.array(*[F.lit(k).cast("bigint") for k in (1, 2, 3)], F.floor((n + 1) / 2), n)).alias("rank"))
+    tree = C.PlaceTree(c)
+    named = tree.members.select("place", "mentor_id", "pool_order").distinct()
+    return tree.rows_at(wanted).join(named, "place").select("class_key", "rank", "mentor_id", "pool_order")
+
+
+@query(
+    "W1_rank_of_candidate",
+    f"""WITH {RANKED} SELECT s.student_id, r.pool_order, r.rank FROM students s JOIN r ON r.class_key = {CLASS}
+      AND r.pool_order = (SELECT min(p.pool_order) FROM pairs p WHERE p.class_key = {CLASS})""",
+    ("students", "mentors"),
+)
+def rank_of_candidate(t):
+    """The rank of one candidate of each student: of its class's least pool order."""
+    c = C.candidates(t.students, C.placed_pool(t.mentors))
+    least = c.members.groupBy("bucket").agg(F.min(F.struct("pool_order", "place")).alias("x"))
+    asked = c.links.join(least, "bucket").groupBy("class_key").agg(F.min("x").alias("x")).select("class_key", "x.*")
+    ranks = C.PlaceTree(c).ranks_of(asked).join(asked, ["class_key", "place"])
+    return t.students.select("student_id", M.class_key().alias("class_key")).join(ranks, "class_key").select("student_id", "pool_order", "rank")
+
+
+@query(
+    "W1_top_five",
+    f"""WITH {RANKED} SELECT class_key, rank, mentor_id, pool_order FROM r WHERE rank <= 5""",
+    ("students", "mentors"),
+)
+def top_five(t):
+    return C.top_ranked(C.candidates(t.students, C.placed_pool(t.mentors)), 5).select("class_key", "rank", "mentor_id", "pool_order")
 
 
 @query(
@@ -169,18 +247,38 @@ def top_candidate(t):
 
 @query(
     "W3_fairness_order",
-    f"""WITH c AS (SELECT DISTINCT group_code, gender_code, grad_status_code, center_code, finance_code, school_code FROM students),
-    {STATE},
-    r AS (SELECT {CLASS} AS class_key, m.mentor_id, m.pool_order,
-      row_number() OVER (PARTITION BY {CLASS} ORDER BY {ORDER}) AS plain_rank,
-      row_number() OVER (PARTITION BY {CLASS} ORDER BY initial DESC, allocations_new, sha256(CAST(mentor_id AS VARCHAR)), mentor_sort, pool_order) AS rank
-      FROM c s JOIN pool m ON {PRED})
-    SELECT class_key, mentor_id, pool_order, rank, bool_or(rank <> plain_rank) OVER (PARTITION BY class_key) AS order_changed FROM r""",
+    f"""WITH {PAIRS}, {STATE},
+    tie AS (SELECT *, sha256(CAST(mentor_id AS VARCHAR)) AS round_robin, sha256(CAST(pool_order AS VARCHAR)) AS deterministic_jitter FROM pool),
+    r AS (SELECT p.class_key, m.mentor_id, m.pool_order, s.strategy,
+      row_number() OVER (PARTITION BY s.strategy, p.class_key ORDER BY m.initial DESC, m.allocations_new, m.mentor_sort, m.pool_order) AS plain_rank,
+      row_number() OVER (PARTITION BY s.strategy, p.class_key ORDER BY m.initial DESC, m.allocations_new,
+        CASE s.strategy WHEN 'round_robin' THEN round_robin ELSE deterministic_jitter END, m.mentor_sort, m.pool_order) AS rank
+      FROM pairs p JOIN tie m USING (pool_order) CROSS JOIN (VALUES ('round_robin'), ('deterministic_jitter')) s(strategy)),
+    f AS (SELECT strategy, class_key, bool_or(rank <= 5 AND plain_rank <> rank) AS order_changed FROM r GROUP BY ALL)
+    SELECT strategy, class_key, rank, mentor_id, pool_order, order_changed FROM r JOIN f USING (strategy, class_key) WHERE rank <= 5""",
     ("students", "mentors"),
 )
 def fairness_order(t):
-    pairs = M.class_pairs(t.students, M.ranked_pool(t.mentors))
-    return M.fairness_order(pairs).select("class_key", "mentor_id", "pool_order", "rank", "order_changed")
+    """First five of each class under both strategies; the flag tells whether they are other rows, or in another order, than the plain five."""
+    return C.fairness_report(t.students, t.mentors)
+
+
+@query(
+    "W3_jitter_by_counter",
+    """WITH p AS (SELECT mentor_id, pool_order, remaining_capacity, allocations_new, CASE WHEN pool_order % 4 = 0 THEN concat(' ', CAST(pool_order AS VARCHAR), 'x') WHEN pool_order % 4 = 1 THEN ''
+        ELSE lpad(CAST(pool_order AS VARCHAR), 9, '0') END AS counter FROM mentors),
+      st AS (SELECT mentor_id, max(remaining_capacity) AS initial FROM p GROUP BY mentor_id),
+      h AS (SELECT p.*, initial, sha256(coalesce(nullif(regexp_replace(counter, '[^0-9]', '', 'g'), ''), '0')) AS tie, MENTOR_SORT AS mentor_sort FROM p JOIN st USING (mentor_id)),
+      n AS (SELECT *, row_number() OVER (ORDER BY initial DESC, allocations_new, tie, mentor_sort, pool_order) - 1 AS place,
+        row_number() OVER (ORDER BY initial DESC, allocations_new, mentor_sort, pool_order) - 1 AS plain FROM h)
+      SELECT pool_order, place, bool_or(place <> plain) OVER (PARTITION BY initial, allocations_new) AS block_changed FROM n""".replace("MENTOR_SORT", ck.natural("mentor_id")),
+    ("mentors",),
+)
+def jitter_by_counter(t):
+    """Places by the jitter of a counter column with odd cells, and the tie blocks whose order it changes."""
+    order = F.col("pool_order")
+    cell = F.when(order % 4 == 0, F.concat(F.lit(" "), order.cast("string"), F.lit("x"))).when(order % 4 == 1, F.lit("")).otherwise(F.lpad(order.cast("string"), 9, "0"))
+    return C.changed_blocks(t.mentors.withColumn("counter", cell), "deterministic_jitter").select("pool_order", "place", "block_changed")
 
 
 @query(

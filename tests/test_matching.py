@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.config import KEYS, Policy
+from matchloom.operators import candidates as C
 from matchloom.operators import matching as M
 from matchloom.operators import numbering as N
 from matchloom.operators import references as R
@@ -38,11 +39,16 @@ def eligible(s, m):
     return sg == mg and sd == md and st == mt and center and cluster(sf) == cluster(mf) and school
 
 
+def expanded(c):
+    """Links joined with members: only for small test tables."""
+    return c.links.join(c.members, "bucket")
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_pairs_match_nested_loop(spark, seed):
     students, pool, sdf, pdf = small(spark, seed)
     want = {(s[0], m[1]) for s in students for m in pool if eligible(s, m)}
-    got = {(r[0], r[1]) for r in M.eligible_pairs(sdf, pdf).select("student_id", "pool_order").collect()}
+    got = {(r[0], r[1]) for r in sdf.withColumn("class_key", M.class_key()).join(expanded(C.candidates(sdf, pdf)), "class_key").select("student_id", "pool_order").collect()}
     assert got == want and want
     stats = {r[0]: r[1] for r in M.candidate_stats(sdf, pdf).select("student_id", "candidates").collect()}
     assert stats == {s[0]: sum(1 for m in pool if eligible(s, m)) for s in students}
@@ -50,7 +56,7 @@ def test_pairs_match_nested_loop(spark, seed):
 
 def test_no_pair_is_counted_twice(spark):
     _, _, sdf, pdf = small(spark, 7)
-    pairs = M.class_pairs(sdf, pdf).select("class_key", "pool_order")
+    pairs = expanded(C.candidates(sdf, pdf)).select("class_key", "pool_order")
     assert pairs.count() == pairs.distinct().count()
 
 
@@ -74,8 +80,74 @@ def test_pool_without_constraint_column(spark):
 def test_ranking_order(spark):
     rows = [(2, 0, 5, 0), (10, 1, 5, 0), (1, 2, 5, 1), (3, 3, 9, 7)]
     df = spark.createDataFrame(rows, "mentor_id bigint, pool_order bigint, remaining_capacity bigint, allocations_new bigint")
-    ranked = M.rank_candidates(M.ranked_pool(df).withColumn("class_key", F.lit("c")))
-    assert [r[0] for r in ranked.orderBy("rank").select("mentor_id").collect()] == [3, 2, 10, 1]
+    assert [r[0] for r in C.placed_pool(df).orderBy("place").select("mentor_id").collect()] == [3, 2, 10, 1]
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_ranks_without_pairs(spark, seed):
+    students, pool, sdf, pdf = small(spark, seed)
+    c = C.candidates(sdf, C.placed_pool(pdf))
+    place = {r[0]: r[1] for r in c.members.select("pool_order", "place").distinct().collect()}
+    brute = {}
+    for r in sdf.withColumn("class_key", M.class_key()).collect():
+        brute[r["class_key"]] = sorted(place[m[1]] for m in pool if eligible(tuple(r)[:7], m))
+    tree = C.PlaceTree(c)
+    wanted = c.classes.select("class_key", F.explode(F.sequence(F.lit(0), F.lit(45))).alias("rank"))
+    got = {(r[0], r[1]): r[2] for r in tree.rows_at(wanted).collect()}
+    assert got == {(k, i + 1): p for k, v in brute.items() for i, p in enumerate(v)}
+    asked = c.classes.select("class_key").crossJoin(spark.range(len(pool)).withColumnRenamed("id", "place"))
+    ranks = {(r[0], r[1]): r[2] for r in tree.ranks_of(asked).collect()}
+    assert ranks == {(k, p): i + 1 for k, v in brute.items() for i, p in enumerate(v)}
+    top = {(r["class_key"], r["rank"]): r["place"] for r in C.top_ranked(c, 3).collect()}
+    assert top == {k: p for k, p in got.items() if k[1] <= 3}
+
+
+def test_ranks_over_several_digits(spark):
+    """600 rows of one bucket need three digits."""
+    pool = spark.range(600).select(F.col("id").alias("mentor_id"), F.col("id").alias("pool_order"), *[F.lit(1).cast("bigint").alias(k) for k in KEYS[:3]],
+        *[F.lit(0).cast("bigint").alias(k) for k in KEYS[3:]], F.lit(False).alias("has_school_constraint"), (F.col("id") % 7).alias("remaining_capacity"), (F.col("id") % 2).alias("allocations_new"))
+    students = spark.createDataFrame([(1, 1, 1, 1, 0, 0, 0)], STUDENT)
+    c = C.candidates(students, C.placed_pool(pool))
+    tree = C.PlaceTree(c)
+    assert tree.depth == 3
+    wanted = c.classes.select("class_key", F.explode(F.array(*[F.lit(k) for k in (1, 255, 256, 257, 600, 601)])).alias("rank"))
+    assert sorted((r[1], r[2]) for r in tree.rows_at(wanted).collect()) == [(1, 0), (255, 254), (256, 255), (257, 256), (600, 599)]
+
+
+def test_strict_candidates_match_nested_loop(spark):
+    students, pool, sdf, pdf = small(spark, 6)
+    ok = lambda s, m: s[1:4] == m[2:5] and s[5] == m[6] and m[5] is not None and m[5] in (0, s[4]) and m[7] is not None and m[7] in (0, s[6]) and None not in (s[4], s[6])
+    c = C.strict_candidates(sdf.where("center_code is not null and school_code is not null"), pdf)
+    got = {(r[0], r[1]) for r in sdf.withColumn("class_key", M.class_key()).join(expanded(c), "class_key").select("student_id", "pool_order").collect()}
+    assert got == {(s[0], m[1]) for s in students for m in pool if ok(s, m)} and got
+
+
+@pytest.mark.parametrize("flag", [True, False])
+def test_variants_find_what_the_rules_find(spark, flag):
+    """With every row restricted by flag the variants apply, with free rows the general buckets do."""
+    students, pool, sdf, pdf = small(spark, 8)
+    pdf = pdf.withColumn("has_school_constraint", F.lit(True)) if flag else pdf.drop("has_school_constraint")
+    rows = {(r["class_key"], r["pool_order"]) for r in expanded(C.variant_candidates(sdf, pdf)).collect()}
+    legal = "school_code > 0 and center_code > 0 and finance_code is not null"
+    keys = {r[0] for r in M.student_classes(sdf).where(legal).select("class_key").collect()}
+    loose = pdf.drop("has_school_constraint")
+    want = {(r["class_key"], r["pool_order"]) for r in expanded(C.candidates(sdf, loose)).collect()}
+    assert {x for x in rows if x[0] in keys} == {x for x in want if x[0] in keys} and keys
+    plain = {(r["class_key"], r["pool_order"]) for r in expanded(C.candidates(sdf, pdf)).collect()}
+    assert {x for x in rows if x[0] not in keys} == {x for x in plain if x[0] not in keys}
+
+
+def test_jitter_stays_inside_ties_and_unknown_names_fail(spark):
+    rows = [(i, i, i % 3, i % 2, c) for i, c in enumerate(["540000001", "", None, " 12x", "abc", "540000001", "۱۲", "7", "8", "9"])]
+    df = spark.createDataFrame(rows, "mentor_id bigint, pool_order bigint, remaining_capacity bigint, allocations_new bigint, counter string")
+    fair = C.changed_blocks(df, "deterministic_jitter").orderBy("place").collect()
+    blocks = [(-r["initial"], r["allocations_new"]) for r in fair]
+    assert blocks == sorted(blocks)
+    plain = {r["pool_order"]: r["place"] for r in C.placed_pool(df).collect()}
+    changed = {(-r["initial"], r["allocations_new"]) for r in fair if plain[r["pool_order"]] != r["place"]}
+    assert {b for b, r in zip(blocks, fair, strict=True) if r["block_changed"]} == changed
+    with pytest.raises(ValueError, match="nonsense"):
+        C.placed_pool(df, "nonsense")
 
 
 def test_numbering_survives_a_hot_group(spark):
