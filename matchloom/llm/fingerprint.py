@@ -12,15 +12,16 @@ import base64
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchloom.llm.bytesops import BASE, STEP, U, mix, row_bytes, salt, slices, span_hashes, spans
 
 CELLS, HASHES, GROWTH = 24, 3, 4
+#: Texts that are paired and sketched together.
+PAIR_BYTES = 1 << 20
 
 
 def digests(texts: list[str]) -> list[np.ndarray]:
@@ -155,22 +156,26 @@ def fingerprints(sets: list[np.ndarray], cells: int = CELLS) -> list[str]:
     return [base64.b64encode(x).decode() for x in sketch.pack()]
 
 
-def _range_number(cuts: np.ndarray):
-    """Number of cuts below an id."""
+def _range_number(cuts: list[int], doc_id: Column) -> Column:
+    """Number of cuts below an id: first among every block's least cut, then inside the block."""
+    if not cuts:
+        return F.lit(0)
+    size = max(1, round(len(cuts) ** 0.5))
+    blocks = [cuts[k : k + size] for k in range(0, len(cuts), size)]
+    row = lambda values: "array(" + ", ".join(f"bigint('{v}')" for v in values) + ")"
+    heads, inner = F.expr(row(b[0] for b in blocks)), F.expr("array(" + ", ".join(row(b) for b in blocks) + ")")
+    block = F.size(F.filter(heads, lambda c: c < doc_id))
+    inside = F.size(F.filter(F.element_at(inner, F.greatest(block, F.lit(1))), lambda c: c < doc_id))
+    return F.when(block == 0, F.lit(0)).otherwise((block - 1) * size + inside)
 
-    @F.pandas_udf("int")
-    def number(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(), "left").astype(np.int32))
 
-    return number
+def ordered_ranges(docs: DataFrame) -> DataFrame:
+    """(p, guest, doc_id, text) in partitions of whole ranges p of ids, each in descending doc_id order.
 
-
-def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_id, next_text), the next document in descending doc_id order; the last one's is the first.
-
-    Ids are cut into ranges. Each range is sorted in one task, with the first document of the
-    range below it as a guest, so a text is moved once and only one guest a range twice. Rows that repeat a
-    doc_id go by the text. Rows without doc_id stand outside the order: their next is empty.
+    Each range is followed by a guest, the first document of the range below it, so that a row's next document is
+    the row after it; a text is moved once and only one guest a range twice. Guests are 1, or 2 for
+    the greatest id, which closes the lowest range. Rows that repeat a doc_id go by the text. Rows without
+    doc_id stand outside the order, in range -1.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -178,9 +183,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     ranges = 4 * parts  # more than partitions, which evens out what tasks get
     ids = rows.where("doc_id is not null").select("doc_id")
     cuts = sorted(set(ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10000).alias("q")).first()["q"] or []))
-    part = _range_number(np.array(cuts, np.int64))(F.coalesce("doc_id", F.lit(0)))
-    heads = [(r["p"], r["top"]) for r in ids.groupBy(part.alias("p")).agg(F.max("doc_id").alias("top")).collect()]
-    heads.sort()
+    part = _range_number(cuts, F.coalesce("doc_id", F.lit(0)))
+    heads = sorted((r["p"], r["top"]) for r in ids.groupBy(part.alias("p")).agg(F.max("doc_id").alias("top")).collect())
     own = rows.select("*", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(part).alias("p"), F.lit(0).alias("guest"))
     if heads:
         # The head of each range is a guest of the next range above; the greatest id is one of the lowest range.
@@ -189,53 +193,50 @@ def with_next(docs: DataFrame) -> DataFrame:
         top = heads[-1][1]
         guests = rows.join(F.broadcast(table), "doc_id").groupBy("doc_id", "p").agg(F.min("text").alias("text"))
         own = own.unionByName(guests.select("doc_id", "text", "p", F.when(F.col("doc_id") == top, 2).otherwise(1).alias("guest")))
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(c).to_pylist() for c in ("p", "guest", "doc_id", "text")]
-            rows_ = list(zip(*cols, strict=True))
-            out = []
-            for row in rows_:
-                if row[0] == -1:
-                    out.append((None, row[3], None, ""))
-                    continue
-                if held is not None and held[0] == row[0] and held[1] == 0:
-                    out.append((held[2], held[3], row[2], row[3]))
-                held = row
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)], ["doc_id", "text", "next_id", "next_text"])
-
-    # Within a range: own rows downwards, then the guest from below; the greatest id closes the lowest range.
     spread = F.when(F.col("p") == -1, F.xxhash64("text")).otherwise(F.lit(0))
-    ordered = own.repartition(parts, "p", spread).sortWithinPartitions("p", "guest", F.desc("doc_id"), "text")
-    return ordered.mapInArrow(run, "doc_id long, text string, next_id long, next_text string")
+    return own.repartition(parts, "p", spread).sortWithinPartitions("p", "guest", F.desc("doc_id"), "text").select("p", "guest", "doc_id", "text")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document.
 
     The edited text has its last floor(n_chars / 2) code points replaced by as many first ones
-    of the next document's text (or all of it). Likeness: common paragraph digests as a part of
-    all; texts without paragraphs are alike among themselves. A null text is empty. A lone
-    document is its own next.
+    of the next document's text (or all of it); next is in descending doc_id order, after the last the
+    first. Likeness: common paragraph digests as a part of all; texts without paragraphs are alike
+    among themselves. A null text is empty. A lone document is its own next; the next of a row
+    without doc_id is empty.
     """
     schema = T.StructType.fromDDL("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
     def run(batches):
+        held, own_held = None, np.zeros(0, U)
         for batch in batches:
-            all_ids, all_texts, all_next = (batch.column(c).to_pylist() for c in ("doc_id", "text", "next_text"))
-            first, size = 0, 0
-            for i in range(len(all_ids)):
-                size += len(all_texts[i])
-                if size < 1 << 20 and i + 1 < len(all_ids):
+            offsets = row_bytes(batch.column("text"))[1]
+            for a, b in slices(offsets, PAIR_BYTES):  # one slice at a time leaves Arrow's memory
+                part = batch.slice(a, b - a)
+                rows = list(zip(*(part.column(c).to_pylist() for c in ("p", "guest", "doc_id", "text")), strict=True))
+                sets = [own_held, *digests([r[3] for r in rows])]
+                rows.insert(0, held)
+                ids, texts, edited, own, other = [], [], [], [], []
+                for k in range(1, len(rows)):
+                    row, before = rows[k], rows[k - 1]
+                    if row[0] == -1:
+                        pair = k, "", sets[0][:0]
+                    elif before is not None and before[0] == row[0] and before[1] == 0:
+                        pair = k - 1, row[3], sets[k]
+                    else:
+                        continue
+                    at, follows, follows_set = pair
+                    text = rows[at][3]
+                    ids.append(rows[at][2])
+                    texts.append(text)
+                    edited.append(text[: len(text) - len(text) // 2] + follows[: len(text) // 2])
+                    own.append(sets[at])
+                    other.append(follows_set)
+                held, own_held = rows[-1], sets[-1]
+                if not ids:
                     continue
-                ids, texts, nexts = all_ids[first : i + 1], all_texts[first : i + 1], all_next[first : i + 1]
-                first, size = i + 1, 0
-                edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, nexts, strict=True)]
-                own, new, other = digests(texts), digests(edited), digests(nexts)
+                new = digests(edited)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
@@ -246,4 +247,4 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                     schema.fieldNames(),
                 )
 
-    return with_next(docs).mapInArrow(run, schema)
+    return ordered_ranges(docs).mapInArrow(run, schema)
