@@ -5,11 +5,12 @@ to repeat); a frame is a self-contained binary block of whole documents in ascen
 order::
 
     header   magic, version, words a block, documents, documents without id, ids, words of each stream
-    offsets  for every block of BLOCK_WORDS words of the id stream, the ids before it (uint32)
+    offsets  for every block of BLOCK_WORDS words of the id stream, the ids before it (uint32); the high
+             bit tells that the block's first word is raw and belongs to the block before
     streams  doc_id differences (zigzag), document lengths, token ids; Simple-8b words (uint64)
 
 The four high bits of a word select (ids, bits). Selector 1 is 120 zeros, selector 0 an escape:
-the next word is one raw 64-bit value. Offsets let any run of blocks be decoded on its own.
+the next word is one raw 64-bit value. Offsets let any run of blocks be decoded on its own (``frame_ids``).
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import os
 import re
 import struct
 import zlib
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from matchloom.llm.bytesops import row_bytes, slices, span_hashes
+
 # Fixed values: (ids, bits) of selectors 1 to 15; selector 0 is the escape.
 LAYOUT = ((120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
-MAGIC, VERSION, BLOCK_WORDS = b"MLS8", 1, 128
+MAGIC, VERSION, BLOCK_WORDS = b"MLS8", 2, 128
 HEADER = struct.Struct("<4sHHIIQIII")
 #: A frame closes after the document with which it reaches so many ids.
 FRAME_IDS = 1 << 16
-#: Distinct text chunks a worker remembers; beyond that it begins anew.
-CACHE = 1_200_000
+#: Distinct text chunks of a generation; a worker remembers two, and takes from the older one what it meets again.
+CACHE = 600_000
 U = np.uint64
 
 
@@ -115,9 +119,25 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return out
 
 
+RAW_FIRST = np.uint32(1 << 31)
+
+
 def block_offsets(words: np.ndarray) -> np.ndarray:
-    """Ids before each block of BLOCK_WORDS words of a stream."""
-    return np.concatenate(([0], np.cumsum(_counts(words)[0])))[: len(words) : BLOCK_WORDS].astype(np.uint32)
+    """Ids before each block of BLOCK_WORDS words of a stream, with RAW_FIRST where an escape ends the block before.
+
+    The raw word of such an escape counts as the block's before it, and so does its id.
+    """
+    counts, _, raw = _counts(words)
+    before = np.concatenate(([0], np.cumsum(counts)))[: len(words)]
+    first = np.arange(0, len(words), BLOCK_WORDS)
+    return (before[first] + raw[first]).astype(np.uint32) | raw[first].astype(np.uint32) * RAW_FIRST
+
+
+def unpack_blocks(words: np.ndarray, offsets: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Values of the blocks ``first`` to ``last`` - 1, from their own words only."""
+    raw = (offsets & RAW_FIRST).astype(bool)
+    end = last * BLOCK_WORDS + raw[last] if last < len(offsets) else len(words)
+    return unpack(words[first * BLOCK_WORDS + raw[first] : end])
 
 
 def frame(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
@@ -133,21 +153,39 @@ def frame(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     return head + block_offsets(streams[2]).astype("<u4").tobytes() + b"".join(s.astype("<u8").tobytes() for s in streams)
 
 
-def read_frame(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """doc_ids, document lengths and all token ids of a frame."""
-    magic, version, block, docs, nulls, n_ids, *sizes = HEADER.unpack_from(data)
-    if magic != MAGIC or version != VERSION:
+def _open_frame(data: bytes):
+    """Documents without id, number of ids, block offsets and the words of each stream."""
+    magic, version, block, _, nulls, n_ids, *sizes = HEADER.unpack_from(data)
+    if magic != MAGIC or version != VERSION or block != BLOCK_WORDS:
         raise ValueError("not a token-id frame of this version")
-    at = HEADER.size + 4 * -(-sizes[2] // block)
-    streams = []
+    blocks = -(-sizes[2] // block)
+    offsets, at, streams = np.frombuffer(data, "<u4", blocks, HEADER.size), HEADER.size + 4 * blocks, []
     for size in sizes:
-        streams.append(unpack(np.frombuffer(data, "<u8", size, at).astype(U)))
+        streams.append(np.frombuffer(data, "<u8", size, at))
         at += 8 * size
-    zigzag = streams[0]
+    return nulls, n_ids, offsets, streams
+
+
+def read_frame(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """doc_ids, document lengths and all token ids of a frame."""
+    nulls, n_ids, _, streams = _open_frame(data)
+    zigzag, lengths, tokens = (unpack(s.astype(U)) for s in streams)
     delta = ((zigzag >> U(1)) ^ (U(0) - (zigzag & U(1)))).view(np.int64)
-    if len(streams[2]) != n_ids:
+    if len(tokens) != n_ids:
         raise ValueError("frame is damaged: number of ids")
-    return [*[None] * nulls, *np.cumsum(delta).tolist()], streams[1].astype(np.int64), streams[2]
+    return [*[None] * nulls, *np.cumsum(delta).tolist()], lengths.astype(np.int64), tokens
+
+
+def frame_ids(data: bytes, start: int, stop: int) -> np.ndarray:
+    """Token ids ``start`` to ``stop`` - 1 of a frame; only the blocks that hold them are decoded."""
+    _, n_ids, offsets, streams = _open_frame(data)
+    start, stop = max(0, start), min(stop, n_ids)
+    if start >= stop:
+        return np.zeros(0, U)
+    before = (offsets & ~RAW_FIRST).astype(np.int64)
+    first, last = np.searchsorted(before, start, "right") - 1, np.searchsorted(before, stop, "left")
+    got = unpack_blocks(streams[2], offsets, int(first), int(last)).astype(U)
+    return got[start - before[first] : stop - before[first]]
 
 
 class ChunkEncoder:
@@ -157,8 +195,13 @@ class ChunkEncoder:
     after it, nor a single line end with what follows, so a text cut in front of such spaces and
     line ends has the same ids as its chunks one after the other. A chunk is known by its
     characters, a leading space left out; a text with runs of white space is cut by ``CUT`` instead.
+    Letters are parted from the marks after them too (but for an apostrophe), so a word is learned
+    once, whatever marks follow.
     """
 
+    # ASCII marks without the apostrophe.
+    MARKS = "".join(chr(k) for k in range(33, 127) if not chr(k).isalnum() and chr(k) != "'")
+
     CUT = re.compile(r"(?<=\S)(?= )")
     GROUP = 256
 
@@ -168,40 +211,75 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         # Byte-level names of a space and a line end: with one of them every chunk begins, and no other token of it.
         self.begins = np.array([t[:1] in ("\u0120", "\u010a") for t in names])
-        self.points = {c: self._bytes(c) for c in ",."}
+        self.marks: dict[str, bytes] = {}
 
     def _bytes(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def encode_batch(self, texts: list[str], end_id: int | None = None) -> list[np.ndarray]:
+        """Ids (uint32) of each text, with ``end_id`` after them if given.
+
+        Chunks are told apart by 64-bit hashes inside the batch and by their characters beyond
+        it; ids are gathered from those of the distinct chunks.
+        """
+        if not texts:
+            return []
         if len(self.known) > CACHE:
-            self.known = {}
-        rows = [("\n" + t).replace("\n", " \n")[1:].split(" ") for t in texts]
-        self._learn(set().union(*rows).difference(self.known))
-        look, out = self.known.__getitem__, []
-        for text, row in zip(texts, rows, strict=True):
-            try:
-                out.append(b"".join(map(look, row))[4:])  # without the line end put in front
-            except TypeError:  # a run of white space
-                out.append(b"".join(self._bytes(c) for c in self.CUT.split(text)) if text else b"")
+            self.known, self.older = {}, self.known
+        # A line end in front of each text makes its first chunk one like the others; its id is dropped again.
+        parts = [("\n" + t).encode() for t in texts]
+        raw = b"".join(parts)
+        data = np.frombuffer(raw, np.uint8)
+        row_start = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        line, gap = data == 10, data == 32
+        start = np.flatnonzero(line | np.concatenate(([False], gap[:-1])))  # may be empty chunks: two spaces, a space before a line end
+        end = np.concatenate((start[1:], [len(data)]))
+        end = end - gap[end - 1]
+        last = np.flatnonzero(gap[row_start[1:] - 1])  # a space at the end of a text
+        _, first, which = np.unique(span_hashes(data, start, np.maximum(start, end)), return_index=True, return_inverse=True)
+        names = [raw[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        new = set(filterfalse(self.known.__contains__, names))
+        again = new.intersection(self.older) if self.older else ()
+        self.known.update((x, self.older[x]) for x in again)
+        self._learn(new.difference(again) if again else new)
+        found = list(map(self.known.__getitem__, names))
+        whole = np.array([f is not None for f in found])
+        kept = [f or b"" for f in found]
+        size = np.array([len(f) // 4 for f in kept])
+        pool, before = np.frombuffer(b"".join(kept), "<u4"), np.cumsum(size) - size
+        count = size[which]
+        ends = np.cumsum(count)
+        ids = np.append(pool[np.repeat(before[which] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)], pool[:1])
+        chunk = np.searchsorted(start, row_start)
+        bad = np.unique(np.concatenate((np.searchsorted(row_start, start[~whole[which]], "right") - 1, last)))
+        at = np.concatenate(([0], ends))[chunk]
+        more = end_id is not None
+        if more:  # takes the place of the next text's line end
+            ids[at[1:]] = end_id
+        out = [ids[a + 1 : b + more] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        for k in bad.tolist():  # runs of white space
+            got = b"".join(self._bytes(c) for c in self.CUT.split(texts[k])) if texts[k] else b""
+            out[k] = np.append(np.frombuffer(got, "<u4"), np.array([end_id] * more, np.uint32))
         return out
 
     def _learn(self, new: set[str]) -> None:
-        known, pointed = self.known, []
+        known, marked = self.known, []
         todo = set()
         for x in new:
             if not x or x[-1].isspace() or (x[0] == "\n" and x[1].isspace()):
                 known[x] = None
-            elif x[-1] in self.points and x[:-1].isalpha():
-                pointed.append(x)
-                if x[:-1] not in known:
-                    todo.add(x[:-1])
-            else:
-                todo.add(x)
+                continue
+            word = x.rstrip(self.MARKS)
+            if len(word) < len(x) and word[word[:1] == "\n" :].isalpha():
+                marked.append((x, word))
+                if word in known:
+                    continue
+                x = word
+            todo.add(x)
         keys = list(todo)
         groups = [keys[a : a + self.GROUP] for a in range(0, len(keys), self.GROUP)]
         whole = ["".join([x if x[0] == "\n" else " " + x for x in g]) for g in groups]
@@ -213,8 +291,13 @@ class ChunkEncoder:
                 known.update((x, raw[a:b]) for x, a, b in zip(group, ends[:-1], ends[1:], strict=True))
             else:
                 known.update((x, self._bytes(x if x[0] == "\n" else " " + x)) for x in group)
-        for x in pointed:
-            known[x] = known[x[:-1]] + self.points[x[-1]]
+        for x, word in marked:
+            end = x[len(word) :]
+            if end not in self.marks:
+                if len(self.marks) > CACHE:
+                    self.marks = {}
+                self.marks[end] = self._bytes(end)
+            known[x] = known[word] + self.marks[end]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -233,7 +316,6 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
         part, number = TaskContext.get().partitionId(), 0
         coder = _ENCODERS.get(tokenizer_path) or _ENCODERS.setdefault(tokenizer_path, ChunkEncoder(tokenizer_path))
-        end = np.array([end_id], "<u4").tobytes()
         keys: list[int | None] = []
         held: list[np.ndarray] = []
         size = 0
@@ -248,11 +330,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for a in range(0, len(texts), 256):
-                for key, got in zip(ids[a : a + 256], coder.encode_batch([t or "" for t in texts[a : a + 256]]), strict=True):
+            for a, b in slices(row_bytes(batch.column("text"))[1]):
+                for key, got in zip(ids[a:b], coder.encode_batch([t or "" for t in texts[a:b]], end_id), strict=True):
                     keys.append(key)
-                    held.append(np.frombuffer(got + end, "<u4"))
-                    size += len(held[-1])
+                    held.append(got)
+                    size += len(got)
                     if size >= FRAME_IDS:
                         yield flush()
         if keys:

@@ -11,7 +11,7 @@ from matchloom.llm import queries
 from matchloom.llm.chat import render_views
 from matchloom.llm.line_dedup import dedup_lines, dedup_passages, dedup_summary
 from matchloom.llm.pieces import Encoder, build_model, encode_documents, load_model, piece_digests, viterbi
-from matchloom.llm.token_files import ChunkEncoder, block_offsets, frame, pack, read_frame, read_token_files, read_token_ids, unpack, write_token_files
+from matchloom.llm.token_files import ChunkEncoder, block_offsets, frame, frame_ids, pack, read_frame, read_token_files, read_token_ids, unpack, unpack_blocks, write_token_files
 from matchloom.llm.url_filter import Rule, judge_by_join, judge_urls
 
 
@@ -63,6 +63,22 @@ def test_block_offsets_allow_partial_decoding():
     assert (unpack(words[3 * 128 :]) == v[first:]).all()
 
 
+def test_an_escape_at_the_end_of_a_block_stays_whole():
+    v = np.array([*[1 << 59] * 127, 1 << 60, *[7] * 50], np.uint64)
+    words = pack(v)
+    offsets = block_offsets(words)
+    assert offsets.tolist() == [0, 128 | 1 << 31]
+    assert (unpack_blocks(words, offsets, 0, 1) == v[:128]).all() and (unpack_blocks(words, offsets, 1, 2) == v[128:]).all()
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 60_000), st.integers(0, 2**64 - 1)), max_size=900), st.integers(0, 900), st.integers(0, 900))
+def test_parts_of_a_frame_by_its_offsets(values, a, b):
+    v = np.array(values, np.uint64)
+    got = frame_ids(frame([1, 2], [v[: len(v) // 2], v[len(v) // 2 :]]), a, b)
+    assert got.tolist() == v[a:b].tolist()
+
+
 def test_frame_round_trip_and_damage():
     ids = [np.arange(n, dtype="<u4") for n in (0, 3, 1)]
     keys, lengths, tokens = read_frame(frame([None, -5, 1 << 62], ids))
@@ -77,8 +93,12 @@ def test_chunks_encode_as_whole_texts(table):
     whole, coder = Tokenizer.from_file(queries.TOKENIZER), ChunkEncoder(queries.TOKENIZER)
     texts = [r.text for r in table("documents").select("text").limit(60).collect()]
     texts += ["", " ", "  ", " a", "a ", "a  b", "a\n b", "a \n b", "it's  <|endoftext|> x", "a\u00a0 b", "x\u2003 y", "日本 語", "a\x1c b", "\t \n  z", "!! ?", "😀 😀"]
+    texts += ["a'b", "x's.", "don't,", "a.'b", "Été,%%%", "日本,", "naïve;;", "\n.,", "..", "_a_", "²,", "ª.", "\nª,,", "a１.", "ʹa,", "a--b--", "a,\n\nb,", "a\n", "\n", "\na"]
     for text, got in zip(texts, coder.encode_batch(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    for text, got in zip(texts, coder.encode_batch(texts, 2), strict=True):
+        assert got.tolist() == [*whole.encode(text, add_special_tokens=False).ids, 2]
+    assert coder.encode_batch([]) == []
 
 
 def test_token_files_of_odd_rows(spark, odd_docs, no_docs, tmp_path):
