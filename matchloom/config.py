@@ -75,7 +75,7 @@ VALID_CODES = tuple(sorted(code for _, _, code in GROUPS))
 
 @dataclass(frozen=True)
 class Policy:
-    """Driver-side policy; never grows with the data."""
+    """Driver-side policy; never grows with the data. The defaults are fixed values."""
 
     version: str = "1.0.4"
     finance_variants: tuple = (0, 1, 3)
@@ -104,6 +104,8 @@ class Policy:
     active_status_values: tuple = ()
     dedup_removed_ratio: float = 0.05
     school_mismatch_ratio: float = 0.0
+    #: Gates of the matrix build that fail the run when it is asked to enforce them; others only report.
+    failing_gates: tuple = ("dedupe", "coverage")
     coverage_threshold: float = 0.95
     coverage_mode: str = "mentors"
     include_blocked: bool = False

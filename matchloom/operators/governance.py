@@ -41,6 +41,16 @@ def capacity_fields(df: DataFrame) -> DataFrame:
     )
 
 
+def gate_keeps(current: str, special: str) -> Column:
+    """The condition of ``capacity_gate``."""
+    zero = _n(F.lit(0))
+    return F.coalesce(text.numlike_long(current), zero) < F.coalesce(text.numlike_long(special), zero)
+
+
+def names_mentor(mentor: str = "mentor_id") -> Column:
+    return F.trim(F.coalesce(F.col(mentor).cast("string"), F.lit(""))) != ""
+
+
 def capacity_gate(df: DataFrame, current: str, special: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Keep rows with current < special; removed rows carry the reason; metrics are one row.
 
@@ -54,8 +64,7 @@ def capacity_gate(df: DataFrame, current: str, special: str) -> tuple[DataFrame,
             F.lit(1.0).alias("percent_pool_kept"),
         )
         return df, none, metrics
-    cur, spec = F.coalesce(text.numlike_long(current), _n(F.lit(0))), F.coalesce(text.numlike_long(special), _n(F.lit(0)))
-    keep = cur < spec
+    spec, keep = F.coalesce(text.numlike_long(special), _n(F.lit(0))), gate_keeps(current, special)
     metrics = df.agg(
         F.count_if(~keep).cast("bigint").alias("total_removed"),
         F.coalesce(F.sum(F.when(~keep, spec)), F.lit(0)).cast("bigint").alias("special_capacity_lost"),
@@ -67,7 +76,7 @@ def capacity_gate(df: DataFrame, current: str, special: str) -> tuple[DataFrame,
 
 def invalid_mentors(df: DataFrame, mentor: str = "mentor_id", remaining: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(usable rows, removed rows with reason): empty id, then negative remaining."""
-    empty = F.trim(F.coalesce(F.col(mentor).cast("string"), F.lit(""))) == ""
+    empty = ~names_mentor(mentor)
     negative = F.coalesce(F.col(remaining) < 0, F.lit(False)) if remaining else F.lit(False)
     reason = F.when(empty, F.lit("missing mentor employee code")).when(
         negative, F.lit("negative remaining capacity")

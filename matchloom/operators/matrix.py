@@ -178,18 +178,23 @@ def name_rows(rows: DataFrame, schools: DataFrame) -> DataFrame:
 
 
 def matrix_dedupe(rows: DataFrame, policy: Policy | None = None) -> tuple[DataFrame, DataFrame]:
-    """Twelve-column first wins; removed rows and ratio against the threshold."""
+    """Twelve-column first wins, with the ``copies`` each row stands for; and the figures of ``dedupe_figures``."""
+    rest = [c for c in rows.columns if c not in DEDUPE]
+    first = F.min_by(F.struct(*rest), F.struct("row_index"))
+    kept = rows.groupBy(*DEDUPE).agg(first.alias("__row"), F.count(F.lit(1)).alias("copies")).select(*DEDUPE, "__row.*", "copies")
+    return kept, dedupe_figures(kept, policy)
+
+
+def dedupe_figures(kept: DataFrame, policy: Policy | None = None) -> DataFrame:
+    """Rows before and after, removed rows and ratio against the threshold, from the copies of the kept rows alone."""
     policy = policy or Policy()
-    kept = first_row(rows, list(DEDUPE), ["row_index"])
-    before = rows.agg(F.count(F.lit(1)).alias("rows_before"))
-    after = rows.select(*DEDUPE).distinct().agg(F.count(F.lit(1)).alias("rows_after"))
+    sums = kept.agg(F.coalesce(F.sum("copies"), F.lit(0)).cast("bigint").alias("rows_before"), F.count(F.lit(1)).alias("rows_after"))
     removed = F.col("rows_before") - F.col("rows_after")
     ratio = F.coalesce(F.try_divide(removed.cast("double"), F.col("rows_before").cast("double")), F.lit(0.0))
-    stats = before.join(F.broadcast(after)).select(
+    return sums.select(
         "rows_before", "rows_after", removed.alias("removed_rows"), F.round(ratio, 6).alias("removed_ratio"),
         (ratio > policy.dedup_removed_ratio).alias("threshold_exceeded"),
     )
-    return kept, stats
 
 
 def matrix_number(matrix: DataFrame) -> DataFrame:
@@ -323,8 +328,8 @@ def validation_row(matrix: DataFrame) -> DataFrame:
     )
 
 
-def school_mismatches(report: DataFrame, schools: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """School cells that name no known school; totals and ratio as a second table."""
+def school_cells(report: DataFrame, schools: DataFrame) -> DataFrame:
+    """row_index, school_column, raw and reason of every filled school cell; the reason is null where the school is known."""
     cols = _present(report)
     paired = lambda c: "school_code_" + c[-1] if c.startswith("school_name_") else None
     items = []
@@ -345,13 +350,29 @@ def school_mismatches(report: DataFrame, schools: DataFrame) -> tuple[DataFrame,
     reason = F.when(
         F.col("n").isNotNull(), F.when(F.col("code_known").isNull() & ~F.col("skip"), F.lit("unknown school code"))
     ).otherwise(F.when((F.col("name_key") != "") & F.col("name_known").isNull(), F.lit("unknown school name")))
-    tagged = tagged.withColumn("reason", reason)
-    bad = tagged.where(F.col("reason").isNotNull()).select("row_index", "school_column", "raw", "reason")
-    stats = tagged.agg(
-        F.count(F.lit(1)).alias("references"), F.count_if(F.col("reason").isNotNull()).alias("mismatches")
-    )
+    return tagged.select("row_index", "school_column", "raw", reason.alias("reason"))
+
+
+def school_figures(cells: DataFrame, policy: Policy | None = None) -> DataFrame:
+    """References, mismatches and their ratio against the threshold."""
+    policy = policy or Policy()
+    stats = cells.agg(F.count(F.lit(1)).alias("references"), F.count_if(F.col("reason").isNotNull()).cast("bigint").alias("mismatches"))
     ratio = F.coalesce(F.try_divide(F.col("mismatches").cast("double"), F.col("references").cast("double")), F.lit(0.0))
-    return bad, stats.withColumn("ratio", F.round(ratio, 6))
+    return stats.select("references", "mismatches", F.round(ratio, 6).alias("ratio"), (ratio > policy.school_mismatch_ratio).alias("threshold_exceeded"))
+
+
+def school_mismatches(report: DataFrame, schools: DataFrame, policy: Policy | None = None) -> tuple[DataFrame, DataFrame]:
+    """School cells that name no known school, and the figures of ``school_figures``."""
+    cells = school_cells(report, schools)
+    return cells.where(F.col("reason").isNotNull()), school_figures(cells, policy)
+
+
+class ThresholdExceeded(ValueError):
+    """A gate that the policy lets fail the build; ``figures`` has its row of ``MatrixBuild.gates``."""
+
+    def __init__(self, figures: dict):
+        super().__init__("{gate}: {measured} of {total} ({ratio:.1%}) against a threshold of {threshold:.1%}".format(**figures))
+        self.figures = figures
 
 
 @dataclass
@@ -362,7 +383,7 @@ class MatrixBuild:
     valid: DataFrame
     schools: DataFrame
     base: DataFrame
-    exploded: DataFrame
+    cells: DataFrame
     rows: DataFrame
     policy: Policy
 
@@ -389,7 +410,7 @@ class MatrixBuild:
 
     @cached_property
     def school_issues(self) -> DataFrame:
-        return school_mismatches(self.report, self.schools)[0]
+        return self.cells.where(F.col("reason").isNotNull())
 
     @cached_property
     def missing_schools(self) -> DataFrame:
@@ -397,7 +418,7 @@ class MatrixBuild:
 
     @cached_property
     def dedupe(self) -> DataFrame:
-        return matrix_dedupe(self.exploded, self.policy)[1]
+        return dedupe_figures(self.rows, self.policy)
 
     @cached_property
     def coverage(self) -> DataFrame:
@@ -415,17 +436,57 @@ class MatrixBuild:
     def violations(self) -> DataFrame:
         return alias_violations(self.rows, self.policy)
 
-
-def build_matrix(report: DataFrame, schools: DataFrame, manager_map: DataFrame, policy: Policy | None = None) -> MatrixBuild:
-    """Gate, invalid rows, school lookup, base rows, governance, explode, dedupe, number."""
+    @cached_property
+    def gates(self) -> DataFrame:
+        """gate, measured, total, ratio, threshold, exceeded and status of the three thresholds.
+
+        All figures come from stored tables. Status is ok, warning, or error where the policy lets the gate fail.
+        """
+        bound = {"school_lookup": self.policy.school_mismatch_ratio, "dedupe": self.policy.dedup_removed_ratio, "coverage": self.policy.coverage_threshold}
+        school = school_figures(self.cells, self.policy).select(F.lit("school_lookup").alias("gate"), F.col("mismatches").alias("measured"), F.col("references").alias("total"), F.col("threshold_exceeded").alias("over"))
+        dedupe = self.dedupe.select(F.lit("dedupe").alias("gate"), F.col("removed_rows").alias("measured"), F.col("rows_before").alias("total"), F.col("threshold_exceeded").alias("over"))
+        # Coverage is exceeded from below, and only if a group that could be covered is not.
+        coverage = self.metrics.select(F.lit("coverage").alias("gate"), F.col("covered_groups").alias("measured"), F.col("total_groups").alias("total"), (~F.col("passed") & (F.col("unseen_groups") > 0)).alias("over"))
+        rows = school.unionByName(dedupe).unionByName(coverage)
+        threshold = F.lit(None).cast("double")
+        for name, value in bound.items():
+            threshold = F.when(F.col("gate") == name, F.lit(float(value))).otherwise(threshold)
+        exceeded = (F.col("total") > 0) & F.col("over")
+        empty = F.when(F.col("gate") == "coverage", F.lit(1.0)).otherwise(F.lit(0.0))
+        ratio = F.round(F.coalesce(F.try_divide(F.col("measured").cast("double"), F.col("total").cast("double")), empty), 6)
+        status = F.when(~exceeded, F.lit("ok")).when(F.col("gate").isin(*self.policy.failing_gates), F.lit("error")).otherwise(F.lit("warning"))
+        return rows.select("gate", "measured", "total", ratio.alias("ratio"), threshold.alias("threshold"), exceeded.alias("exceeded"), status.alias("status"))
+
+    def enforce(self) -> MatrixBuild:
+        """Fail on the first gate in error, in the order of ``gates``: one row each, three at most."""
+        found = {r["gate"]: r.asDict() for r in self.gates.where("status = 'error'").collect()}
+        for gate in ("school_lookup", "dedupe", "coverage"):
+            if gate in found:
+                raise ThresholdExceeded(found[gate])
+        return self
+
+
+def build_matrix(
+    report: DataFrame, schools: DataFrame, manager_map: DataFrame, policy: Policy | None = None, enforce: bool = False
+) -> MatrixBuild:
+    """Gate, invalid rows, school lookup, base rows, governance, explode, dedupe, number.
+
+    ``enforce`` stops the build with ``ThresholdExceeded`` at the gates that the policy lets fail:
+    the school lookup before anything is exploded, the others once the rows are stored.
+    """
     policy = policy or Policy()
     kept, _, _ = governance.capacity_gate(report, "covered_now", "special_limit")
     valid, _ = governance.invalid_mentors(kept)
-    issues, _ = school_mismatches(report, schools)
-    valid = valid.join(issues.select("row_index").distinct(), "row_index", "left_anti")
+    # Every output table reads the school cells, the base and the rows: store each once.
+    cells = cut_lineage(school_cells(report, schools))
+    if enforce and "school_lookup" in policy.failing_gates:
+        figures = school_figures(cells, policy).first().asDict()
+        if figures["references"] and figures["threshold_exceeded"]:
+            raise ThresholdExceeded({"gate": "school_lookup", "measured": figures["mismatches"], "total": figures["references"], "ratio": figures["ratio"], "threshold": policy.school_mismatch_ratio})
+    valid = valid.join(cells.where(F.col("reason").isNotNull()).select("row_index").distinct(), "row_index", "left_anti")
     base = base_rows(valid, schools, manager_map, policy)
-    # Every output table reads the base and the rows: store both once.
     base = cut_lineage(first_row(base, ["mentor_id", "center_code"], ["row_index"]))
     exploded = name_rows(explode_rows(base, "NORMAL", policy).unionByName(explode_rows(base, "SCHOOL", policy)), schools)
     rows = cut_lineage(matrix_dedupe(exploded, policy)[0])
-    return MatrixBuild(report, valid, schools, base, exploded, rows, policy)
+    build = MatrixBuild(report, valid, schools, base, cells, rows, policy)
+    return build.enforce() if enforce else build

@@ -283,8 +283,13 @@ def counter_overflow(assigned: DataFrame) -> DataFrame:
     return assigned.where(F.col("sequence") > 9999)
 
 
-def counter_summary(assigned: DataFrame, current: DataFrame | None, year: int, policy: Policy | None = None) -> DataFrame:
-    """Reused, new per gender and the next free sequence per gender (one row)."""
+def counter_summary(
+    assigned: DataFrame, current: DataFrame | None, year: int, policy: Policy | None = None, prior: DataFrame | None = None, order: str = "row_id"
+) -> DataFrame:
+    """Reused, new per gender, the next free sequence per gender, and the conflicts of the prior roster (one row).
+
+    A conflict is a further person with a counter that its first one owns; the samples are the first three such counters.
+    """
     policy = policy or Policy()
     yy = year - 1350
     new = ~F.col("reused")
@@ -301,10 +306,17 @@ def counter_summary(assigned: DataFrame, current: DataFrame | None, year: int, p
         s = ids.counter_sequence("student_id")
         top = lambda g: F.coalesce(F.max(F.when(F.substring(c, 1, 5) == f"{yy:02d}{policy.gender_mid3[g]}", s)), zero)
         tops = current.agg(top(1).alias("m"), top(0).alias("f"))
-    return one.join(F.broadcast(tops)).select(
+    if prior is None:
+        clash = one.select(zero.alias("n"), F.lit("").alias("s"))
+    else:
+        found = prior_counter_map(prior, order)[1].groupBy("counter").agg(F.count(F.lit(1)).alias("n"))
+        first = found.orderBy("counter").limit(3).agg(F.array_join(F.array_sort(F.collect_list("counter")), ",").alias("s"))
+        clash = found.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n")).join(F.broadcast(first))
+    return one.join(F.broadcast(tops)).join(F.broadcast(clash)).select(
         "reused_count", "new_male_count", "new_female_count",
         (F.col("m") + F.col("new_male_count") + 1).alias("next_male_start"),
         (F.col("f") + F.col("new_female_count") + 1).alias("next_female_start"),
+        F.col("n").alias("prior_conflict_counter_count"), F.col("s").alias("prior_conflict_counter_samples"),
     )
 
 

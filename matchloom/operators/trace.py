@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from matchloom.config import KEYS, STAGES, Policy
 from matchloom.functions import text
 from matchloom.operators import matching as M
+from matchloom.operators.governance import effective_status
 from matchloom.operators.numbering import last_row, lookup
 from matchloom.operators.predicates import stage_predicates
 
@@ -285,19 +286,63 @@ def trace_ladder(trace: DataFrame, students: DataFrame, pool: DataFrame, policy:
     return lookup(trace, cls, ["student_id"], ["buckets", "filled_buckets", "bucket_rows"], "left")
 
 
-def pipeline_trace(stages: list[tuple[str, DataFrame]], columns: list[str]) -> DataFrame:
-    """Rows, rows removed since the stage before and a fingerprint per pipeline stage."""
-    parts = []
-    for i, (name, df) in enumerate(stages):
-        h = F.xxhash64(*[F.col(c) for c in columns if c in df.columns]).cast("decimal(38,0)")
-        parts.append(df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("fingerprint")).select(
-            F.lit(i + 1).alias("stage_no"), F.lit(name).alias("stage"), "rows", "fingerprint"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    # A handful of rows, one per stage.
-    before = F.lag("rows").over(W.partitionBy(F.lit(0)).orderBy("stage_no"))
-    return out.withColumn("removed", F.coalesce(before - F.col("rows"), F.lit(0)).cast("bigint"))
+def row_digest(columns) -> Column:
+    """Sixty bits of the MD5 of the columns as text; digests add up in any order."""
+    text_ = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    return F.conv(F.substring(F.md5(text_), 1, 15), 16, 10).cast("decimal(38,0)")
+
+
+def pipeline_trace(df: DataFrame, stages: list[tuple[str, Column]], columns: list[str], first: str = "source", copies: str | None = None, all_digests: str | None = None) -> DataFrame:
+    """stage_no, stage, rows, removed and fingerprint of every stage, from one scan and one aggregate.
+
+    Each stage is a keep condition; a row carries the number of the first stage that removes it (a null
+    condition removes too), and stage k has the rows that no stage up to k removed. ``copies`` and ``all_digests``
+    name columns with the rows, and the sum of their digests, that a deduplicated row stands for: then stage
+    2 is ``deduplicate`` and counts one row each.
+    """
+    removed_at = F.lit(len(stages) + 1)
+    for i, (_, keep) in reversed(list(enumerate(stages))):
+        removed_at = F.when(F.coalesce(keep, F.lit(False)), removed_at).otherwise(F.lit(i))
+    flagged = df.select(removed_at.alias("__at"), row_digest(columns).alias("__d"), *[F.col(c) for c in (copies, all_digests) if c])
+    whole = F.lit(1) if copies is None else F.col(copies)
+    names = [first, *(["deduplicate"] if copies else []), *[n for n, _ in stages]]
+    total = lambda v: F.coalesce(F.sum(v), F.lit(0))
+    sums = [(total(whole), total(F.col(all_digests) if all_digests else F.col("__d")))]
+    if copies:
+        sums.append((F.count(F.lit(1)), total(F.col("__d"))))
+    for i in range(len(stages)):
+        left = F.col("__at") > i
+        sums.append((F.count_if(left), total(F.when(left, F.col("__d")))))
+    one = flagged.agg(*[c.cast("decimal(38,0)").alias(f"{k}{i}") for i, pair in enumerate(sums) for k, c in zip("nd", pair, strict=True)])
+    rows = [
+        F.struct(
+            F.lit(i + 1).alias("stage_no"), F.lit(name).alias("stage"), F.col(f"n{i}").cast("bigint").alias("rows"),
+            ((F.col(f"n{i - 1}") - F.col(f"n{i}")).cast("bigint") if i else F.lit(0).cast("bigint")).alias("removed"), F.col(f"d{i}").cast("string").alias("fingerprint"),
+        )
+        for i, name in enumerate(names)
+    ]
+    return one.select(F.inline(F.array(*rows)))
+
+
+def governance_trace(pool: DataFrame, order: str, disabled: DataFrame | None = None, status: str | None = None, policy: Policy | None = None, keys=KEYS) -> DataFrame:
+    """Trace of the pool's governance: duplicate profiles, disabled managers, status, capacity.
+
+    The first row of each profile is taken in the same aggregate that counts and digests its copies.
+    """
+    profile = ["mentor_id", *[k for k in keys if k in pool.columns]]
+    columns = [*profile, order]
+    rest = [c for c in pool.columns if c not in profile]
+    grouped = pool.groupBy(*profile).agg(
+        F.min_by(F.struct(*rest), F.col(order)).alias("__row"), F.count(F.lit(1)).alias("__copies"), F.sum(row_digest(columns)).alias("__all")
+    ).select(*profile, "__row.*", "__copies", "__all")
+    tagged = effective_status(grouped, None, None, status, policy)
+    stages = []
+    if disabled is not None:
+        off = disabled.select(text.norm_text("manager").alias("__off")).distinct().withColumn("__is_off", F.lit(True))
+        tagged = tagged.withColumn("__m", text.norm_text("manager")).join(off, F.col("__m") == F.col("__off"), "left")
+        stages.append(("manager_filter", F.col("__is_off").isNull()))
+    stages += [("status_filter", F.col("effective_status") == "ACTIVE"), ("capacity_filter", F.col("remaining_capacity") > 0)]
+    return pipeline_trace(tagged, stages, columns, "pool", "__copies", "__all")
 
 
 def trace_order_check(trace: DataFrame, seq: str = "seq") -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from matchloom.config import DUAL_STATUS, KEYS
+from matchloom.config import DUAL_STATUS, KEYS, Policy
 from matchloom.operators import governance as G
 from matchloom.operators import matrix as X
 from matchloom.operators import references as R
@@ -87,9 +87,8 @@ cov AS (SELECT {K}, coalesce(candidate_rows, 0) AS candidate_rows, coalesce(cand
 KB = ", ".join(f"CAST({k} AS BIGINT) AS {k}" for k in KEYS)
 
 
-@lru_cache(maxsize=4)
-def _built(t):
-    return X.build_matrix(t.report, t.schools, t.manager_map)
+def _built(t, policy=None):
+    return X.build_matrix(t.report, t.schools, t.manager_map, policy)
 
 
 @query(
@@ -195,6 +194,42 @@ def build_matrix_side_tables(t):
     )
 
 
+@query(
+    "M5_threshold_gates",
+    f"""WITH {BUILD}, {CANDS.replace('BASE_T', 'b3')}, {COVER.replace('MATRIX_T', 'rows_all')},
+      s AS (SELECT count(*) AS refs, count(*) FILTER (WHERE (n IS NOT NULL AND n <> 0 AND n NOT IN (SELECT school_code FROM schools)) OR ((n IS NULL OR n = 0) AND k <> '' AND named IS NULL)) AS bad FROM codes),
+      d AS (SELECT (SELECT count(*) FROM rows_all) AS before, (SELECT count(*) FROM (SELECT DISTINCT alias, mentor_name, mentor_id, manager, {K}, mentor_type FROM rows_all)) AS after),
+      c AS (SELECT count(*) FILTER (WHERE can_generate) AS total, count(*) FILTER (WHERE can_generate AND matrix_rows > 0) AS covered FROM cov),
+      g AS (SELECT 'school_lookup' AS gate, bad AS measured, refs AS total, bad / refs AS ratio FROM s UNION ALL SELECT 'dedupe', before - after, before, (before - after) / before FROM d
+        UNION ALL SELECT 'coverage', covered, total, covered / total FROM c),
+      p(policy, gate, threshold) AS (VALUES ('strict', 'school_lookup', 0.0), ('strict', 'dedupe', -1.0), ('strict', 'coverage', 1.5), ('lenient', 'school_lookup', 1.0), ('lenient', 'dedupe', 1.0), ('lenient', 'coverage', 0.0)),
+      e AS (SELECT policy, gate, measured, total, round(ratio, 6) AS ratio, CAST(threshold AS DOUBLE) AS threshold,
+        CASE WHEN gate = 'coverage' THEN ratio < threshold AND covered_less ELSE ratio > threshold END AS exceeded
+        FROM g JOIN p USING (gate) CROSS JOIN (SELECT covered < total AS covered_less FROM c))
+      SELECT *, CASE WHEN NOT exceeded THEN 'ok' WHEN gate = 'school_lookup' THEN 'warning' ELSE 'error' END AS status FROM e""",
+    VIEWS,
+)
+def threshold_gates(t):
+    """The gates of one build under thresholds on both sides of its figures."""
+    strict, lenient = (Policy(school_mismatch_ratio=s, dedup_removed_ratio=d, coverage_threshold=c) for s, d, c in ((0.0, -1.0, 1.5), (1.0, 1.0, 0.0)))
+    built = _built(t, strict)
+    tag = lambda b, n: b.gates.select(F.lit(n).alias("policy"), "*")
+    return tag(built, "strict").unionByName(tag(replace(built, policy=lenient), "lenient"))
+
+
+@query(
+    "F15_school_figures",
+    f"""WITH {CELLS}, s AS (SELECT count(*) AS refs, count(*) FILTER (WHERE (n IS NOT NULL AND n <> 0 AND n NOT IN (SELECT school_code FROM schools))
+        OR ((n IS NULL OR n = 0) AND k <> '' AND named IS NULL)) AS bad FROM codes)
+      SELECT refs AS "references", bad AS mismatches, round(bad / refs, 6) AS ratio, bad / refs > limit_ AS threshold_exceeded FROM s CROSS JOIN (VALUES (0.0), (0.9)) t(limit_)""",
+    ("report", "schools"),
+)
+def school_figures(t):
+    """The mismatch ratio against a limit below and one above it."""
+    cells = X.school_cells(t.report, t.schools)
+    return X.school_figures(cells, Policy(school_mismatch_ratio=0.0)).unionByName(X.school_figures(cells, Policy(school_mismatch_ratio=0.9)))
+
+
 @query(
     "M6_matrix_dedupe",
     f"""WITH {EXPLODE}, twice AS (SELECT * FROM rows_all UNION ALL SELECT * FROM rows_all WHERE row_index % 9 = 0),

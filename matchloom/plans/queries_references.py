@@ -479,13 +479,16 @@ def assign_counters(t):
 
 @query(
     "A15_counter_summary",
-    f"""WITH {COUNTERS}, c AS (SELECT count(*) FILTER (WHERE reused) AS reused_count, count(*) FILTER (WHERE NOT reused AND g = 1) AS new_male_count, count(*) FILTER (WHERE NOT reused AND g = 0) AS new_female_count FROM asg)
-      SELECT c.*, coalesce((SELECT top FROM cur WHERE mid = '357'), 0) + new_male_count + 1 AS next_male_start, coalesce((SELECT top FROM cur WHERE mid = '373'), 0) + new_female_count + 1 AS next_female_start FROM c""",
+    f"""WITH {COUNTERS}, held AS (SELECT student_id AS counter, lpad(national_id, 10, '0') AS nat, row_id FROM prior_roster WHERE regexp_matches(student_id, '^[0-9]{{9}}$')),
+      own AS (SELECT counter, arg_min(nat, row_id) AS owner FROM held GROUP BY 1), clash AS (SELECT DISTINCT counter, nat FROM held JOIN own USING (counter) WHERE nat <> owner),
+      c AS (SELECT count(*) FILTER (WHERE reused) AS reused_count, count(*) FILTER (WHERE NOT reused AND g = 1) AS new_male_count, count(*) FILTER (WHERE NOT reused AND g = 0) AS new_female_count FROM asg)
+      SELECT c.*, coalesce((SELECT top FROM cur WHERE mid = '357'), 0) + new_male_count + 1 AS next_male_start, coalesce((SELECT top FROM cur WHERE mid = '373'), 0) + new_female_count + 1 AS next_female_start,
+        (SELECT count(*) FROM clash) AS prior_conflict_counter_count, coalesce((SELECT string_agg(counter, ',' ORDER BY counter) FROM (SELECT DISTINCT counter FROM clash ORDER BY counter LIMIT 3)), '') AS prior_conflict_counter_samples FROM c""",
     _ROSTERS,
 )
 def counter_summary(t):
     done = R.assign_counters(t.roster, "row_id", t.prior_roster, t.current_roster, 1404)
-    return R.counter_summary(done, t.current_roster, 1404)
+    return R.counter_summary(done, t.current_roster, 1404, prior=t.prior_roster)
 
 
 @query("W6_duplicate_ids", "SELECT o_custkey, count(*) AS rows FROM orders GROUP BY 1 HAVING count(*) > 1")

@@ -189,19 +189,55 @@ def trace_ladder(t):
     return T.trace_ladder(tl, t.students_gap, t.mentors).select("student_id", "stage", "total_after", "buckets", "filled_buckets", "bucket_rows")
 
 
+DIGEST = "CAST(('0x' || substr(md5({}), 1, 15)) AS BIGINT)"
+
+
+def _digests(value: str, where: str) -> str:
+    return f"CAST(coalesce(sum({DIGEST.format(value)}) FILTER (WHERE {where}), 0) AS VARCHAR)"
+
+
+_REPORT_ROW = "concat_ws('|', CAST(row_index AS VARCHAR), coalesce(mentor_id, ''))"
+
+
 @query(
     "X10_pipeline_trace",
-    """WITH k AS (SELECT mentor_id FROM report WHERE coalesce(TRY_CAST(covered_now AS BIGINT), 0) < coalesce(TRY_CAST(special_limit AS BIGINT), 0)), n AS (SELECT (SELECT count(*) FROM report) AS a, (SELECT count(*) FROM k) AS b, (SELECT count(*) FROM k WHERE trim(mentor_id) <> '') AS c)
-      SELECT 1 AS stage_no, 'report' AS stage, a AS rows, CAST(0 AS BIGINT) AS removed FROM n UNION ALL SELECT 2, 'capacity_gate', b, a - b FROM n UNION ALL SELECT 3, 'valid', c, b - c FROM n""",
+    f"""WITH k AS (SELECT *, coalesce(TRY_CAST(covered_now AS BIGINT), 0) < coalesce(TRY_CAST(special_limit AS BIGINT), 0) AS gate, trim(mentor_id) <> '' AS named FROM report),
+      n AS (SELECT count(*) AS a, count(*) FILTER (WHERE gate) AS b, count(*) FILTER (WHERE gate AND named) AS c, {_digests(_REPORT_ROW, 'true')} AS x, {_digests(_REPORT_ROW, 'gate')} AS y,
+        {_digests(_REPORT_ROW, 'gate AND named')} AS z FROM k)
+      SELECT 1 AS stage_no, 'report' AS stage, a AS rows, CAST(0 AS BIGINT) AS removed, x AS fingerprint FROM n UNION ALL SELECT 2, 'capacity_gate', b, a - b, y FROM n
+      UNION ALL SELECT 3, 'valid', c, b - c, z FROM n""",
     ("report",),
 )
 def pipeline_trace(t):
     from matchloom.operators import governance as G
 
-    kept, _, _ = G.capacity_gate(t.report, "covered_now", "special_limit")
-    valid, _ = G.invalid_mentors(kept)
-    out = T.pipeline_trace([("report", t.report), ("capacity_gate", kept), ("valid", valid)], ["row_index", "mentor_id"])
-    return out.drop("fingerprint")
+    stages = [("capacity_gate", G.gate_keeps("covered_now", "special_limit")), ("valid", G.names_mentor())]
+    return T.pipeline_trace(t.report, stages, ["row_index", "mentor_id"], "report")
+
+
+_POOL_ROW = "concat_ws('|', mentor_id, group_code, gender_code, grad_status_code, center_code, finance_code, school_code, pool_order)"
+
+
+@query(
+    "X10_governance_trace",
+    f"""WITH p AS (SELECT *, CASE WHEN pool_order % 7 = 0 THEN 0 ELSE remaining_capacity END AS room, CASE mentor_id % 6 WHEN 0 THEN 'FROZEN' WHEN 1 THEN 'INACTIVE' ELSE 'ACTIVE' END AS st FROM mentors),
+      raw AS (SELECT * FROM p UNION ALL SELECT * REPLACE (pool_order + 1000000 AS pool_order, 0 AS room) FROM p WHERE pool_order % 3 = 0),
+      u AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY mentor_id, group_code, gender_code, grad_status_code, center_code, finance_code, school_code ORDER BY pool_order) = 1),
+      f AS (SELECT *, manager NOT IN ('NATION_3', 'NATION_12', 'NATION_20') AS a, st = 'ACTIVE' AS b, room > 0 AS c FROM u),
+      s AS (SELECT 1 AS stage_no, 'pool' AS stage, count(*) AS rows, {_digests(_POOL_ROW, 'true')} AS fingerprint FROM raw
+        UNION ALL SELECT 2, 'deduplicate', count(*), {_digests(_POOL_ROW, 'true')} FROM f UNION ALL SELECT 3, 'manager_filter', count(*) FILTER (WHERE a), {_digests(_POOL_ROW, 'a')} FROM f
+        UNION ALL SELECT 4, 'status_filter', count(*) FILTER (WHERE a AND b), {_digests(_POOL_ROW, 'a AND b')} FROM f
+        UNION ALL SELECT 5, 'capacity_filter', count(*) FILTER (WHERE a AND b AND c), {_digests(_POOL_ROW, 'a AND b AND c')} FROM f)
+      SELECT stage_no, stage, rows, coalesce(lag(rows) OVER (ORDER BY stage_no) - rows, 0) AS removed, fingerprint FROM s""",
+    ("mentors",),
+)
+def governance_trace(t):
+    k = F.col("mentor_id") % 6
+    pool = t.mentors.withColumn("remaining_capacity", F.when(F.col("pool_order") % 7 == 0, 0).otherwise(F.col("remaining_capacity")))
+    pool = pool.withColumn("mentor_status", F.when(k == 0, F.lit("FROZEN")).when(k == 1, F.lit("INACTIVE")).otherwise(F.lit("ACTIVE")))
+    later = pool.where(F.col("pool_order") % 3 == 0).withColumn("pool_order", F.col("pool_order") + 1000000).withColumn("remaining_capacity", F.lit(0).cast("bigint"))
+    off = t.nation.where(F.col("n_name").isin("NATION_3", "NATION_12", "NATION_20")).select(F.col("n_name").alias("manager"))
+    return T.governance_trace(pool.unionByName(later), "pool_order", off, "mentor_status")
 
 
 @query(
