@@ -19,7 +19,6 @@ import os
 import re
 import struct
 import zlib
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from matchloom.llm.bytesops import row_bytes, slices, span_hashes
+from matchloom.llm.bytesops import BASE, row_bytes, slices, span_hashes
 
 # Fixed values: (ids, bits) of selectors 1 to 15; selector 0 is the escape.
 LAYOUT = ((120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -36,7 +35,7 @@ HEADER = struct.Struct("<4sHHIIQIII")
 #: A frame closes after the document with which it reaches so many ids.
 FRAME_IDS = 1 << 16
 #: Distinct text chunks of a generation; a worker remembers two, and takes from the older one what it meets again.
-CACHE = 600_000
+CACHE = 800_000
 U = np.uint64
 
 
@@ -188,6 +187,57 @@ def frame_ids(data: bytes, start: int, stop: int) -> np.ndarray:
     return got[start - before[first] : stop - before[first]]
 
 
+def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of the runs (start, size), one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class ChunkStore:
+    """Known chunks: bytes and ids in flat pools, found by hash and compared byte by byte."""
+
+    def __init__(self):
+        self.hash, self.at = np.zeros(0, U), np.zeros(0, np.int32)  # in order of the hashes
+        self.bytes, self.ids = np.zeros(0, np.uint8), np.zeros(0, "<u4")
+        # Starts and sizes in the two pools; ``kind`` 1 is a run of marks, 2 and 3 mean that the chunk has white space.
+        self.byte_at, self.id_at = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.size, self.count, self.kind = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int8)
+
+    def find(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Number of each chunk, -1 where it is not known."""
+        if not len(self.hash):
+            return np.full(len(hashes), -1)
+        k = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        got = self.at[k].astype(np.int64)
+        rows = np.flatnonzero((self.hash[k] == hashes) & (self.size[got] == size) & (self.kind[got] & 1 == kind))
+        other = data[_ragged(start[rows], size[rows])] != self.bytes[_ragged(self.byte_at[got[rows]], size[rows])]
+        out = np.full(len(hashes), -1)
+        out[rows] = got[rows]
+        if other.any():
+            out[rows[np.repeat(np.arange(len(rows)), size[rows])[other]]] = -1
+        return out
+
+    def add(self, hashes, raw, size, ids, count, kind) -> np.ndarray:
+        """Append chunks given by pools in their order; returns their numbers."""
+        first = len(self.size)
+        self.byte_at = np.append(self.byte_at, len(self.bytes) + np.cumsum(size) - size)
+        self.id_at = np.append(self.id_at, len(self.ids) + np.cumsum(count) - count)
+        self.bytes, self.ids = np.append(self.bytes, raw), np.append(self.ids, ids)
+        self.size, self.count = np.append(self.size, size.astype(np.int32)), np.append(self.count, count.astype(np.int32))
+        self.kind = np.append(self.kind, kind.astype(np.int8))
+        numbers = np.arange(first, len(self.size))
+        order = np.argsort(hashes)
+        place = np.searchsorted(self.hash, hashes[order])
+        self.hash, self.at = np.insert(self.hash, place, hashes[order]), np.insert(self.at, place, numbers[order].astype(np.int32))
+        return numbers
+
+    def copied(self, other: ChunkStore, hashes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Append chunks of another store."""
+        size, count = other.size[numbers].astype(np.int64), other.count[numbers].astype(np.int64)
+        raw, ids = other.bytes[_ragged(other.byte_at[numbers], size)], other.ids[_ragged(other.id_at[numbers], count)]
+        return self.add(hashes, raw, size, ids, count, other.kind[numbers])
+
+
 class ChunkEncoder:
     """The tokenizers library over whole texts, each distinct chunk once.
 
@@ -195,109 +245,126 @@ class ChunkEncoder:
     after it, nor a single line end with what follows, so a text cut in front of such spaces and
     line ends has the same ids as its chunks one after the other. A chunk is known by its
     characters, a leading space left out; a text with runs of white space is cut by ``CUT`` instead.
-    Letters are parted from the marks after them too (but for an apostrophe), so a word is learned
-    once, whatever marks follow.
+    Nor does it join a letter with a mark after it (but for an apostrophe), so the marks at the end of a chunk
+    are a chunk of their own, without the space.
     """
 
-    # ASCII marks without the apostrophe.
-    MARKS = "".join(chr(k) for k in range(33, 127) if not chr(k).isalnum() and chr(k) != "'")
-
     CUT = re.compile(r"(?<=\S)(?= )")
     GROUP = 256
+    # ASCII marks without the apostrophe; ASCII letters.
+    MARK = np.array([33 <= k < 127 and not chr(k).isalnum() and k != 39 for k in range(256)])
+    LETTER = np.array([k < 128 and chr(k).isalpha() for k in range(256)])
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
+        self.known, self.older = ChunkStore(), ChunkStore()
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         # Byte-level names of a space and a line end: with one of them every chunk begins, and no other token of it.
         self.begins = np.array([t[:1] in ("\u0120", "\u010a") for t in names])
-        self.marks: dict[str, bytes] = {}
 
     def _bytes(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _spans(self, data: np.ndarray, start: np.ndarray, end: np.ndarray):
+        """Starts, ends and kinds of the chunks with their marks parted, and the number of the first span of each chunk."""
+        cut = end.copy()
+        look = np.flatnonzero(start < end)
+        while len(look):
+            look = look[self.MARK[data[cut[look] - 1]]]
+            cut[look] -= 1
+            look = look[cut[look] > start[look]]
+        last, before = data[np.maximum(cut - 1, 0)], data[np.maximum(cut - 2, 0)]
+        # U+00C0 to U+00FF in UTF-8, without the two signs among them, are letters too.
+        latin = (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7) & (cut - 1 > start)
+        parted = (cut < end) & (cut > start) & (self.LETTER[last] | latin)
+        cut = np.where(parted, cut, end)
+        first = np.arange(len(start)) + np.cumsum(parted) - parted
+        n = len(start) + int(parted.sum())
+        starts, ends, kind = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int8)
+        starts[first], ends[first] = start, cut
+        marks = first[parted] + 1
+        starts[marks], ends[marks], kind[marks] = cut[parted], end[parted], 1
+        return starts, ends, kind, np.append(first, n)
+
     def encode_batch(self, texts: list[str], end_id: int | None = None) -> list[np.ndarray]:
         """Ids (uint32) of each text, with ``end_id`` after them if given.
 
-        Chunks are told apart by 64-bit hashes inside the batch and by their characters beyond
-        it; ids are gathered from those of the distinct chunks.
+        Chunks are told apart by 64-bit hashes inside the batch and by all their bytes beyond it; ids are
+        gathered from those of the distinct chunks.
         """
         if not texts:
             return []
-        if len(self.known) > CACHE:
-            self.known, self.older = {}, self.known
+        if len(self.known.size) > CACHE:
+            self.known, self.older = ChunkStore(), self.known
         # A line end in front of each text makes its first chunk one like the others; its id is dropped again.
         parts = [("\n" + t).encode() for t in texts]
-        raw = b"".join(parts)
-        data = np.frombuffer(raw, np.uint8)
+        data = np.frombuffer(b"".join(parts), np.uint8)
         row_start = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
         line, gap = data == 10, data == 32
-        start = np.flatnonzero(line | np.concatenate(([False], gap[:-1])))  # may be empty chunks: two spaces, a space before a line end
+        start = np.flatnonzero(line | np.concatenate(([False], gap[:-1])))
         end = np.concatenate((start[1:], [len(data)]))
-        end = end - gap[end - 1]
-        last = np.flatnonzero(gap[row_start[1:] - 1])  # a space at the end of a text
-        _, first, which = np.unique(span_hashes(data, start, np.maximum(start, end)), return_index=True, return_inverse=True)
-        names = [raw[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        new = set(filterfalse(self.known.__contains__, names))
-        again = new.intersection(self.older) if self.older else ()
-        self.known.update((x, self.older[x]) for x in again)
-        self._learn(new.difference(again) if again else new)
-        found = list(map(self.known.__getitem__, names))
-        whole = np.array([f is not None for f in found])
-        kept = [f or b"" for f in found]
-        size = np.array([len(f) // 4 for f in kept])
-        pool, before = np.frombuffer(b"".join(kept), "<u4"), np.cumsum(size) - size
-        count = size[which]
-        ends = np.cumsum(count)
-        ids = np.append(pool[np.repeat(before[which] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)], pool[:1])
-        chunk = np.searchsorted(start, row_start)
-        bad = np.unique(np.concatenate((np.searchsorted(row_start, start[~whole[which]], "right") - 1, last)))
-        at = np.concatenate(([0], ends))[chunk]
+        end = np.maximum(start, end - gap[end - 1])  # may be empty: two spaces, a space before a line end
+        blank = np.flatnonzero(gap[row_start[1:] - 1])  # a space at the end of a text
+        starts, ends, kind, span_of = self._spans(data, start, end)
+        hashes, first, which = np.unique(span_hashes(data, starts, ends) ^ (kind.astype(U) * BASE), return_index=True, return_inverse=True)
+        starts, size, kind = starts[first], (ends - starts)[first], kind[first]
+        number = self.known.find(hashes, data, starts, size, kind)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            old = self.older.find(hashes[new], data, starts[new], size[new], kind[new])
+            again = old >= 0
+            if again.any():
+                number[new[again]] = self.known.copied(self.older, hashes[new[again]], old[again])
+            new = new[~again]
+            raw = data[_ragged(starts[new], size[new])]
+            text, stops = raw.tobytes(), np.cumsum(size[new]).tolist()
+            names = [text[a:b].decode() for a, b in zip([0, *stops], stops, strict=False)]
+            ids, count, odd = self._learn(names, kind[new])
+            number[new] = self.known.add(hashes[new], raw, size[new], ids, count, kind[new] + 2 * odd)
+        count = self.known.count[number].astype(np.int64)[which]
+        stops = np.cumsum(count)
+        ids = np.append(self.known.ids[_ragged(self.known.id_at[number][which], count)], np.zeros(1, np.uint32))
+        at = np.concatenate(([0], stops))[span_of[np.searchsorted(start, row_start)]]
         more = end_id is not None
         if more:  # takes the place of the next text's line end
             ids[at[1:]] = end_id
         out = [ids[a + 1 : b + more] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        for k in bad.tolist():  # runs of white space
+        odd = np.flatnonzero((self.known.kind[number] > 1)[which])
+        rows = np.searchsorted(row_start, start[np.searchsorted(span_of, odd, "right") - 1], "right") - 1
+        for k in np.unique(np.concatenate((rows, blank))).tolist():  # runs of white space
             got = b"".join(self._bytes(c) for c in self.CUT.split(texts[k])) if texts[k] else b""
             out[k] = np.append(np.frombuffer(got, "<u4"), np.array([end_id] * more, np.uint32))
         return out
 
-    def _learn(self, new: set[str]) -> None:
-        known, marked = self.known, []
-        todo = set()
-        for x in new:
-            if not x or x[-1].isspace() or (x[0] == "\n" and x[1].isspace()):
-                known[x] = None
-                continue
-            word = x.rstrip(self.MARKS)
-            if len(word) < len(x) and word[word[:1] == "\n" :].isalpha():
-                marked.append((x, word))
-                if word in known:
-                    continue
-                x = word
-            todo.add(x)
-        keys = list(todo)
-        groups = [keys[a : a + self.GROUP] for a in range(0, len(keys), self.GROUP)]
-        whole = ["".join([x if x[0] == "\n" else " " + x for x in g]) for g in groups]
-        for group, got in zip(groups, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+    def _learn(self, names: list[str], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pool of ids, number of ids of each name, and whether the name has white space that keeps it from having ids of its own."""
+        out: list[bytes] = [b""] * len(names)
+        odd = np.zeros(len(names), np.int8)
+        todo = []
+        for i, (x, marks) in enumerate(zip(names, kind.tolist(), strict=True)):
+            if marks:
+                out[i] = self._bytes(x)
+            elif not x or x[-1].isspace() or (x[0] == "\n" and x[1].isspace()):
+                odd[i] = 1
+            else:
+                todo.append(i)
+        whole = [x if x[:1] == "\n" else " " + x for x in names]
+        groups = [todo[a : a + self.GROUP] for a in range(0, len(todo), self.GROUP)]
+        joined = ["".join([whole[i] for i in g]) for g in groups]
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(got.ids, "<u4")
             first = np.flatnonzero(self.begins[ids])
             if len(first) == len(group):
                 raw, ends = ids.tobytes(), [*(4 * first).tolist(), 4 * len(ids)]
-                known.update((x, raw[a:b]) for x, a, b in zip(group, ends[:-1], ends[1:], strict=True))
+                for i, a, b in zip(group, ends, ends[1:], strict=False):
+                    out[i] = raw[a:b]
             else:
-                known.update((x, self._bytes(x if x[0] == "\n" else " " + x)) for x in group)
-        for x, word in marked:
-            end = x[len(word) :]
-            if end not in self.marks:
-                if len(self.marks) > CACHE:
-                    self.marks = {}
-                self.marks[end] = self._bytes(end)
-            known[x] = known[word] + self.marks[end]
+                for i in group:
+                    out[i] = self._bytes(whole[i])
+        return np.frombuffer(b"".join(out), "<u4"), np.array([len(x) // 4 for x in out], np.int64), odd
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
