@@ -245,7 +245,7 @@ class ChunkEncoder:
     after it, nor a single line end with what follows, so a text cut in front of such spaces and
     line ends has the same ids as its chunks one after the other. A chunk is known by its
     characters, a leading space left out; a text with runs of white space is cut by ``CUT`` instead.
-    Nor does it join a letter with a mark after it (but for an apostrophe), so the marks at the end of a chunk
+    Nor does it join a letter with a mark after it (but for an apostrophe), so the marks after a chunk of letters
     are a chunk of their own, without the space.
     """
 
@@ -276,10 +276,15 @@ class ChunkEncoder:
             look = look[self.MARK[data[cut[look] - 1]]]
             cut[look] -= 1
             look = look[cut[look] > start[look]]
-        last, before = data[np.maximum(cut - 1, 0)], data[np.maximum(cut - 2, 0)]
         # U+00C0 to U+00FF in UTF-8, without the two signs among them, are letters too.
-        latin = (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7) & (cut - 1 > start)
-        parted = (cut < end) & (cut > start) & (self.LETTER[last] | latin)
+        lead = data[:-1] == 0xC3
+        tail = lead & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        letter = self.LETTER[data]
+        letter[:-1] |= tail
+        letter[1:] |= tail
+        other = np.concatenate(([0], np.cumsum(~letter)))
+        word = start + (data[np.minimum(start, len(data) - 1)] == 10)
+        parted = (cut < end) & (cut > word) & (other[cut] == other[np.minimum(word, cut)])
         cut = np.where(parted, cut, end)
         first = np.arange(len(start)) + np.cumsum(parted) - parted
         n = len(start) + int(parted.sum())
