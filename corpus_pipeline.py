@@ -4,7 +4,8 @@ All stages but the last return the columns of ``documents``. Decisions of each s
 
 1. language: documents without a letter, or unlike every learned language, go.
 2. lines: repeated passages of two lines or more go; a document of which nothing is left goes.
-3. near_duplicates: one document of each group of near copies stays (the least doc_id).
+3. near_duplicates: one document of each group of near copies stays (the least doc_id), judged by the
+   texts as they stand and by the texts that entered line dedup.
 4. benchmark: documents that hold a benchmark item go.
 5. pieces: the kept texts are encoded; piece_ids, n_pieces and decoded are added.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from matchloom.llm.decontaminate import with_leaks
 from matchloom.llm.language_id import UNKNOWN, broadcast_profiles, learning_rows, with_language
-from matchloom.llm.line_dedup import dedup_passages
+from matchloom.llm.line_dedup import dedup_lines
 from matchloom.llm.near_dup import near_duplicates
 from matchloom.llm.pieces import encode_documents
 from matchloom.llm.queries import PIECES
@@ -39,7 +40,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = dedup_passages(docs)
+    done = dedup_lines(docs)
     emptied = (F.col("removed_lines") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
     kept = done.where(~emptied)
     if "n_chars" in docs.columns:
@@ -48,8 +49,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*docs.columns)
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Null ids stay; of rows that repeat doc_id and text one stays."""
+def _without_copies(docs: DataFrame) -> DataFrame:
+    """One document of each group of near copies of ``docs``; null ids stay, of rows that repeat doc_id and text one stays."""
+    spark = docs.sparkSession
     judged = near_duplicates(docs, SHINGLE_WORDS, PERCENT, with_hash=True)
     gone = judged.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     hashed = docs.withColumn("__th", F.xxhash64(F.col("text").cast("string")))
@@ -62,6 +64,35 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*docs.columns)
 
 
+def entered_texts(docs: DataFrame, documents: DataFrame) -> DataFrame:
+    """``docs`` and ``__entered``: the text of the row of ``documents`` with the same id, where line dedup has cut it.
+
+    That is so if every line of the text is a line of that row; other rows keep their own text.
+    """
+    lines = lambda c: F.split(F.col(c).cast("string"), "\n", -1)
+    whole = documents.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("__whole")).where("__id is not null")
+    whole = whole.groupBy("__id").agg(F.min("__whole").alias("__whole"))
+    joined = docs.join(whole, F.col("doc_id") == F.col("__id"), "left")
+    cut = (F.size(F.array_except(lines("text"), lines("__whole"))) == 0) & (F.length("__whole") > F.length("text"))
+    return joined.withColumn("__entered", F.when(cut, F.col("__whole")).otherwise(F.col("text"))).select(*docs.columns, "__entered")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near copies by their texts as they stand, then by the texts that entered line dedup.
+
+    A near copy shares most of its lines with the document it copies, so line dedup cuts it down to what
+    differs; only the text it had before still tells that it is one.
+    """
+    folder = work_folder(spark, "near-copies")
+    left = stored(entered_texts(_without_copies(docs), read_table(spark, sf_dir, "documents")), folder, "left")
+    cut = left.where("__entered <> text")
+    if cut.isEmpty():
+        return left.select(*docs.columns)
+    judged = near_duplicates(left.select("doc_id", F.col("__entered").alias("text")), SHINGLE_WORDS, PERCENT)
+    gone = judged.where("not kept").select(F.col("doc_id").alias("__id")).distinct()
+    return left.join(gone, F.col("doc_id") == F.col("__id"), "left_anti").select(*docs.columns)
+
+
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = with_leaks(docs, read_table(spark, sf_dir, "benchmark"))
     return found.where(F.size("leaks") == 0).select(*docs.columns)
