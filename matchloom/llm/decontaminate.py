@@ -12,8 +12,13 @@ words, half overlapping, over whole documents) is a query for all items that sco
 2. Block-max WAND for the passages left: postings in item order, blocks with their greatest
    impact, and skips of all items whose block bounds stay below the threshold.
 
-A retrieved item counts when the document holds enough of its question's and of its answer's
-word 5-grams; the answer is the last sentence (of one sentence: the last third of its words).
+A retrieved item counts when the document holds its question and its answer: enough of the word 5-grams, or
+a run of words near the passage that a few edits turn into the part (one edit is allowed from three words
+on). The answer is the last sentence, with the one before if it has one or two words (of one sentence: the last
+third of its words).
+
+Document counts, frequencies and the mean length are taken once over the whole benchmark; each shard of
+items has a bounded index of its own, and its hits are written before the next one is built.
 """
 
 from __future__ import annotations
@@ -28,12 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchloom.llm.bytesops import lower_ascii, row_bytes, shingles, slices, span_hashes, spans
+from matchloom.llm.shared import stored, work_folder
 
 K1, B = 1.2, 0.75
 WINDOW = 64
 LEAST_SCORE = 0.5
 LEAST_OVERLAP = 0.8
 GRAM = 5
+LEAST_ANSWER = 3
 BLOCK = 64
 #: Characters of items in one broadcast index; a longer benchmark takes several indexes.
 INDEX_CHARS = 16_000_000
@@ -53,11 +60,14 @@ def term_list(text: str) -> np.ndarray:
 
 
 def answer_start(text: str) -> int:
-    """Number of question words: all before the last sentence, or two thirds of a single sentence."""
+    """Number of question words: all before the last sentence, or two thirds of a single sentence.
+
+    A last sentence of fewer than LEAST_ANSWER words takes the one before it along.
+    """
     total = len(term_list(text))
     cuts = [m.end() for m in re.finditer(r"[.!?\n]+\s*", text.rstrip().rstrip(".!?"))]
-    head = len(term_list(text[: cuts[-1]])) if cuts else 0
-    return head if 0 < head < total else max(1, total * 2 // 3)
+    heads = (len(term_list(text[:cut])) for cut in reversed(cuts))
+    return next((head for head in heads if 0 < head <= total - LEAST_ANSWER), max(1, total * 2 // 3))
 
 
 @dataclass
@@ -65,24 +75,35 @@ class Item:
     item_id: int
     question: np.ndarray  # distinct 5-gram hashes
     answer: np.ndarray
+    words: tuple[np.ndarray, np.ndarray]  # of the question and of the answer, in order
+
+
+@dataclass
+class Statistics:
+    """Of all items: their number, their mean number of words, and in how many each term of a shard occurs (if in more than one)."""
+
+    count: int
+    mean: float
+    often: dict[int, int]
 
 
 class Index:
     """Postings by term with block maxima, and what the bounds of all passages need."""
 
-    def __init__(self, rows: list[tuple[int, str]], threshold: float = LEAST_SCORE):
+    def __init__(self, rows: list[tuple[int, str]], threshold: float = LEAST_SCORE, whole: Statistics | None = None):
         words = [(i, t, term_list(t)) for i, t in rows]
         words = [(i, t, w) for i, t, w in words if len(w)]
         self.items = [self._item(i, t, w) for i, t, w in words]
         n = len(words)
-        mean = np.mean([len(w) for _, _, w in words]) if n else 1.0
+        mean = (np.mean([len(w) for _, _, w in words]) if n else 1.0) if whole is None else whole.mean
         postings: dict[int, list[tuple[int, float]]] = {}
         for k, (_, _, w) in enumerate(words):
             for term, tf in zip(*np.unique(w, return_counts=True), strict=True):
                 postings.setdefault(int(term), []).append((k, tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))))
         own = np.zeros(n)
-        for p in postings.values():
-            idf = np.log(1 + (n - len(p) + 0.5) / (len(p) + 0.5))
+        for term, p in postings.items():
+            often, of = (len(p), n) if whole is None else (whole.often.get(term, len(p)), whole.count)
+            idf = np.log(1 + (of - often + 0.5) / (often + 0.5))
             for j, (k, x) in enumerate(p):
                 p[j] = (k, x * idf)
                 own[k] += x * idf
@@ -110,7 +131,7 @@ class Index:
         at = answer_start(text)
         grams = lambda w: shingles(w, np.array([0, len(w)]), GRAM)[0]
         # Every 5-gram with an answer word belongs to the answer.
-        return Item(item_id, grams(words[:at]), grams(words[max(0, at - GRAM + 1) :]))
+        return Item(item_id, grams(words[:at]), grams(words[max(0, at - GRAM + 1) :]), (words[:at], words[at:]))
 
     def lookup(self, word: np.ndarray) -> np.ndarray:
         """Term number of each word, -1 for words of no item."""
@@ -199,7 +220,10 @@ def find_leaks(index: Index, word: np.ndarray, rows: np.ndarray, window: int, th
         grams = shingles(word[rows[r] : rows[r + 1]], np.array([0, count[r]]), GRAM)[0]
         for k, (score, at) in sorted(best.items()):
             item = index.items[k]
-            share = [held(part, grams, word[rows[r] : rows[r + 1]]) for part in (item.question, item.answer)]
+            text = word[rows[r] : rows[r + 1]]
+            length = sum(map(len, item.words))
+            near = text[max(0, at - length) : at + window + length]
+            share = [max(held(part, grams, text), nearly_held(words, near, overlap)) for part, words in zip((item.question, item.answer), item.words, strict=True)]
             if min(share) >= overlap:
                 out[r].append({"item_id": item.item_id, "score": float(score), "question_overlap": share[0], "answer_overlap": share[1], "word": at})
     return out
@@ -215,6 +239,26 @@ def held(part: np.ndarray, grams: np.ndarray, word: np.ndarray) -> float:
     return share
 
 
+def least_edits(part: np.ndarray, text: np.ndarray) -> int:
+    """Least number of words to replace, leave out or put in so that ``part`` becomes a run of words of ``text``."""
+    row = np.zeros(len(text) + 1, np.int64)
+    steps = np.arange(len(text) + 1)
+    for i, w in enumerate(part.tolist(), 1):
+        best = np.minimum(row[1:] + 1, row[:-1] + (text != np.uint64(w)))
+        best = np.concatenate(([i], best))
+        row = np.minimum.accumulate(best - steps) + steps  # words put in, from the left
+    return int(row.min())
+
+
+def nearly_held(part: np.ndarray, text: np.ndarray, overlap: float) -> float:
+    """1 less the edits a word of ``part``; a single edit counts as the least overlap from three words on."""
+    if not len(part):
+        return 0.0
+    edits = least_edits(part, text)
+    share = 1.0 - edits / len(part)
+    return max(share, overlap) if edits == 1 and len(part) >= 3 else share
+
+
 def with_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, threshold: float = LEAST_SCORE, overlap: float = LEAST_OVERLAP) -> DataFrame:
     """All columns of ``docs`` and ``leaks``: the items (of ``benchmark``: item_id, text) that each whole text holds.
 
@@ -229,13 +273,45 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, thre
     window = max(window, 2 * -(-int(size["words"]) * 3 // 4))
     shards = -(-int(size["chars"]) // INDEX_CHARS) or 1
     whole = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(f"leaks {HITS}").fields])
-    # One bounded index a shard; the rows of a shard come to the driver for it.
-    for k in range(shards):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k) if shards > 1 else items
-        index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in part.collect()], threshold))
-        last = docs.columns if k == 0 else [*docs.columns, "leaks"]
-        docs = docs.select(*last).mapInArrow(_searcher(index, window, threshold, overlap), whole)
-    return docs
+    if shards == 1:
+        index = spark.sparkContext.broadcast(Index(_collected(items), threshold))
+        return docs.mapInArrow(_searcher(index, window, threshold, overlap), whole)
+    folder = work_folder(spark, "decontaminate")
+    items = stored(items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards))), folder, "items")
+    words = stored(items.select("shard", "text").mapInArrow(_item_terms, "shard long, term long, words long"), folder, "terms")
+    total = words.where("term is null").agg(F.count("*"), F.coalesce(F.avg("words"), F.lit(1.0))).first()
+    often = stored(words.where("term is not null").groupBy("term").agg(F.count("*").alias("often")).where("often > 1"), folder, "often")
+    docs = stored(docs.withColumn("__row", F.monotonically_increasing_id()), folder, "docs")
+    found = None
+    for k in range(shards):  # one index at a time, of bounded size
+        own = words.where(f"shard = {k} and term is not null").select("term").distinct().join(often, "term")
+        stats = Statistics(int(total[0]), float(total[1]), {r["term"] & 0xFFFFFFFFFFFFFFFF: r["often"] for r in own.toLocalIterator()})
+        index = spark.sparkContext.broadcast(Index(_collected(items.where(f"shard = {k}")), threshold, stats))
+        hits = docs.select("__row", "text").mapInArrow(_searcher(index, window, threshold, overlap), f"__row long, text string, leaks {HITS}")
+        hits = stored(hits.where("size(leaks) > 0").select("__row", "leaks"), folder, f"hits{k}")
+        index.unpersist()
+        found = hits if found is None else found.unionByName(hits)
+    merged = found.groupBy("__row").agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("leaks"))
+    none = F.from_json(F.lit("[]"), HITS)
+    return docs.join(merged, "__row", "left").select(*[c for c in docs.columns if c != "__row"], F.coalesce("leaks", none).alias("leaks"))
+
+
+def _collected(items: DataFrame) -> list[tuple[int, str]]:
+    """Items of one shard, INDEX_CHARS characters or one item, in order of their ids."""
+    return sorted((r["item_id"], r["text"]) for r in items.select("item_id", "text").toLocalIterator())
+
+
+def _item_terms(batches):
+    """shard and term of each distinct term of an item, and one row without term with its number of words; wordless items give none."""
+    for batch in batches:
+        data, offsets = row_bytes(batch.column("text"))
+        word, rows = terms(data, offsets)
+        shard, out = batch.column("shard").to_numpy(), []
+        for k in np.flatnonzero(np.diff(rows)).tolist():
+            own = np.unique(word[rows[k] : rows[k + 1]]).view(np.int64).tolist()
+            out += [(int(shard[k]), None, int(rows[k + 1] - rows[k])), *[(int(shard[k]), t, None) for t in own]]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["shard", "term", "words"])
 
 
 def _searcher(index, window: int, threshold: float, overlap: float):
@@ -248,11 +324,7 @@ def _searcher(index, window: int, threshold: float, overlap: float):
             for a, b in slices(offsets):
                 word, rows = terms(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 found += find_leaks(index.value, word, rows, window, threshold, overlap)
-            names = batch.schema.names
-            if "leaks" in names:
-                found = [(x or []) + y for x, y in zip(batch.column("leaks").to_pylist(), found, strict=True)]
-                names = names[:-1]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(names))), pa.array(found, kind)], [*names, "leaks"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "leaks"])
 
     return run
 
