@@ -460,6 +460,43 @@ def upsert_latest_batch(t):
     return E.latest_entries(t.entries).select("event_id", "entry_id", "form_id", "received_at")
 
 
+@query("T3s_resumed_stream", "SELECT event_id, CASE WHEN event_id % 40 <> 0 THEN CAST(user_id AS VARCHAR) END AS entry_id, ts AS received_at FROM events WHERE ts >= TIMESTAMP '2024-01-16 00:00:00'")
+def resumed_stream(t):
+    """A run over the files there were, later files, and a second run on the same checkpoint: its rows."""
+    path = _folder(t)
+    early = F.col("ts") < F.lit("2024-01-16 00:00:00").cast("timestamp")
+
+    def run(name: str):
+        raw = t.spark.readStream.schema(t.events.schema).parquet(f"{path}/landed")
+        key = F.when(F.col("event_id") % 40 != 0, F.col("user_id").cast("string"))
+        named = raw.select("event_id", key.alias("entry_id"), F.col("event_type").alias("formId"), F.col("ts").alias("submitted_at"))
+        return E.run_once(E.flatten_entries(named), f"{path}/runs", f"{path}/offsets", name)
+
+    t.events.where(early).write.parquet(f"{path}/landed")
+    run("first")
+    t.events.where(~early).write.mode("append").parquet(f"{path}/landed")
+    return run("second").select("event_id", "entry_id", "received_at")
+
+
+@query(
+    "T1s_normalised_rows",
+    """SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN event_type END AS kind, CASE WHEN event_id % 11 <> 0 AND event_id % 3 <> 0 THEN event_id % 100 END AS score,
+      CASE WHEN event_id % 11 <> 0 THEN event_type END AS tag, event_id % 11 = 0 AS malformed, CASE WHEN event_id % 11 <> 0 AND event_id % 3 = 0 THEN 'score' ELSE '' END AS wrong_types,
+      CASE WHEN event_id % 11 <> 0 AND event_id % 7 = 0 THEN 'odd' ELSE '' END AS unknown_fields FROM events""",
+)
+def normalised_rows(t):
+    """Nested fields, wrong types, unknown names and broken payloads, made of the events."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    score = F.when(k % 3 == 0, F.lit('"none"')).otherwise((k % 100).cast("string"))
+    payload = F.concat(
+        F.lit('{"meta":{"kind":"'), kind, F.lit('","score":'), score, F.lit('},"tags":["a","'), kind, F.lit('"]'),
+        F.when(k % 7 == 0, F.lit(',"odd":1')).otherwise(F.lit("")), F.when(k % 11 == 0, F.lit("")).otherwise(F.lit("}")),
+    )
+    fields = {"kind": ("$.meta.kind", "string"), "score": ("$.meta.score", "bigint"), "tag": ("$.tags[1]", "string")}
+    out = E.normalise_rows(t.events.select("event_id", payload.alias("payload")), fields)
+    return out.select("event_id", "kind", "score", "tag", "malformed", *[F.array_join(c, ",").alias(c) for c in ("wrong_types", "unknown_fields")])
+
+
 @query("T3s_incremental_since", "SELECT event_id, entry_id FROM entries WHERE received_at >= TIMESTAMP '2024-01-10 00:00:00'", ("entries",))
 def incremental_since(t):
     return E.incremental_since(t.entries, "2024-01-10 00:00:00").select("event_id", "entry_id")

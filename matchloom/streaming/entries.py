@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,12 +29,15 @@ def flatten_entries(raw: DataFrame, fields: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def stream_entries(spark: SparkSession, path: str, schema, fmt: str = "parquet", fields: Sequence[str] = (), files_per_trigger: int | None = None) -> DataFrame:
-    """Entry stream from landed files; offsets and replays are the source's own."""
+def stream_entries(
+    spark: SparkSession, path: str, schema, fmt: str = "parquet", fields: Sequence[str] = (), files_per_trigger: int | None = None,
+    normaliser: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Entry stream from landed files; offsets and replays are the source's own. ``normaliser`` takes the place of ``flatten_entries``."""
     reader = spark.readStream.format(fmt).schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return flatten_entries(reader.load(path), fields)
+    return normaliser(reader.load(path)) if normaliser else flatten_entries(reader.load(path), fields)
 
 
 def incremental_since(df: DataFrame, since: str, column: str = "received_at") -> DataFrame:
@@ -50,84 +55,93 @@ def latest_entries(df: DataFrame, key: str = "entry_id", order: Sequence[str] =
     return last_row(df.where(F.col(key).isNotNull()), [key], [c for c in order if c in df.columns])
 
 
-def upsert_latest(
-    entries: DataFrame, target: str, checkpoint: str, key: str = "entry_id",
-    order: Sequence[str] = ("received_at", "event_id"), buckets: int = 16, hook: Callable[[DataFrame], DataFrame] | None = None,
-):
-    """Keep the last arrival per key in a bucketed folder; returns the started query.
+def normalise_rows(raw: DataFrame, fields: Mapping[str, tuple[str, str]], payload: str = "payload") -> DataFrame:
+    """Typed columns from a JSON payload whose shape the forms decide: name -> (path, type), for example ("$.meta.kind", "string").
 
-    Each batch is reduced first. ``target``/batches is a log of reduced batches partitioned by
-    key bucket: a batch writes only its own keys under its batch id, so a replayed batch
-    overwrites itself and an executor loss repeats one batch. ``read_latest`` resolves the
-    newest generation and the batches after it; ``compact`` makes a new generation.
+    Adds ``malformed`` (the payload is no JSON object), ``wrong_types`` (fields that are there in another type) and
+    ``unknown_fields`` (top-level names that no path begins with), both sorted. A field that is missing,
+    null or of another type is null; a null payload has nothing and is not malformed. Other columns are kept.
+    """
+    value = F.try_parse_json(payload)
+    known = sorted({re.split(r"[.\[]", path.removeprefix("$").lstrip("."))[0] for path, _ in fields.values()})
+    keys = F.json_object_keys(payload)
+    typed = {name: F.try_variant_get(value, path, kind) for name, (path, kind) in fields.items()}
+    there = {n: F.try_variant_get(value, p, "variant") for n, (p, _) in sorted(fields.items())}
+    wrong = [F.when(F.col(n).isNull() & v.isNotNull() & ~F.is_variant_null(v), F.lit(n)) for n, v in there.items()]
+    text = F.array().cast("array<string>")
+    out = raw.select(*[F.col(c) for c in raw.columns if c not in fields], *[c.alias(n) for n, c in typed.items()])
+    return out.withColumns({
+        "malformed": F.col(payload).isNotNull() & keys.isNull(),
+        "wrong_types": F.array_compact(F.array(*wrong)) if wrong else text,
+        "unknown_fields": F.coalesce(F.array_sort(F.array_except(keys, F.array(*[F.lit(k) for k in known]) if known else text)), text),
+    })
+
+
+def run_once(entries: DataFrame, target: str, checkpoint: str, run: str) -> DataFrame:
+    """The entries that have landed since the last run on ``checkpoint``, stored as ``target``/run=``run``.
+
+    A run ends when it has read what is there; the next one, on the same checkpoint, goes on after it. A
+    batch that is replayed overwrites its own folder.
     """
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = privacy_hook(latest_entries(batch, key, order), hook)
-        rows = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batches/batch_id={batch_id}")
-
-    return (
-        entries.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-
-
-def _file_system(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/run={run}/batch={batch_id}")
 
-def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
-    """Numbers of the complete folders ``prefix``N below a path, ascending."""
-    fs, where = _file_system(spark, path)
-    if not fs.exists(where):
-        return []
-    named = [s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith(prefix)]
-    # A complete folder has its mark; one with the mark alone holds no rows.
-    done = [p for p in named if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")) and len(fs.listStatus(p)) > 1]
-    return sorted(int(p.getName()[len(prefix) :]) for p in done)
+    entries.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    found = _present(entries.sparkSession, f"{target}/run={run}")
+    return entries.sparkSession.createDataFrame([], entries.schema) if found is None else found.drop("batch")
 
 
-def _pending(spark: SparkSession, target: str) -> tuple[int | None, list[int]]:
-    """Newest generation and the batches that came after it."""
-    made = _numbers(spark, f"{target}/generations", "generation=")
-    newest = made[-1] if made else None
-    return newest, [b for b in _numbers(spark, f"{target}/batches", "batch_id=") if newest is None or b > newest]
+def _present(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at a path, or None where nothing has been written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
-def read_latest(spark: SparkSession, target: str, key: str = "entry_id", order: Sequence[str] = ("received_at", "event_id")) -> DataFrame:
-    """Current state of an upsert log: the newest generation and the batches after it."""
-    newest, batches = _pending(spark, target)
-    parts = []
-    if newest is not None:
-        parts.append(spark.read.parquet(f"{target}/generations/generation={newest}").withColumn("batch_id", F.lit(newest)))
-    if batches:
-        paths = [f"{target}/batches/batch_id={b}" for b in batches]
-        parts.append(spark.read.option("basePath", f"{target}/batches").parquet(*paths).drop("bucket"))
-    if not parts:
-        raise FileNotFoundError(f"no complete batch in {target}")
-    log = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
-    return last_row(log, [key], [*[c for c in order if c in log.columns], "batch_id"]).drop("batch_id")
+def _state(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
+    """The state after the newest batch, or after the newest one below a number."""
+    marks = _present(spark, f"{target}/marks")
+    if marks is None:
+        return None
+    marks = marks if below is None else marks.where(F.col("number") < below)
+    newest = marks.agg(F.max_by("slot", "number").alias("slot")).first()["slot"]
+    return None if newest is None else spark.read.parquet(f"{target}/state/{newest}")
 
 
-def compact(spark: SparkSession, target: str, key: str = "entry_id", remove: bool = False) -> int | None:
-    """Write the current state as the generation of the last batch in it; returns its number.
+def upsert_latest(
+    entries: DataFrame, target: str, checkpoint: str, key: str = "entry_id",
+    order: Sequence[str] = ("received_at", "event_id"), hook: Callable[[DataFrame], DataFrame] | None = None, slots: int = 4,
+):
+    """Keep the last arrival per key; returns the started query.
 
-    It is written aside and renamed, so readers see the old generation or the new one, never a
-    part; batches that arrive meanwhile have greater numbers and stay pending. ``remove`` then
-    deletes what the new generation replaces (give running readers time first).
+    Each batch is reduced, joined with the state before it, and written as a new version of the state; then its
+    number is marked. Versions take turns in ``slots`` folders, so a reader has that many batches' time, and
+    a replayed batch starts from the version before its own and changes nothing. Of arrivals that tie in
+    ``order`` the later batch wins.
     """
-    newest, batches = _pending(spark, target)
-    if not batches:
-        return newest
-    number = batches[-1]
-    aside = f"{target}/generations/.staging-{number}"
-    read_latest(spark, target, key).write.mode("overwrite").parquet(aside)
-    fs, source = _file_system(spark, aside)
-    if not fs.rename(source, _file_system(spark, f"{target}/generations/generation={number}")[1]):
-        raise IOError(f"could not move {aside}")
-    if remove:
-        old = [f"batches/batch_id={b}" for b in batches] + ([] if newest is None else [f"generations/generation={newest}"])
-        for name in old:
-            fs.delete(_file_system(spark, f"{target}/{name}")[1], True)
-    return number
+    spark = entries.sparkSession
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        rows = privacy_hook(latest_entries(batch, key, order), hook).withColumn("__new", F.lit(1))
+        before = _state(spark, target, batch_id)
+        if before is not None:
+            rows = before.withColumn("__new", F.lit(0)).unionByName(rows, allowMissingColumns=True)
+        state = last_row(rows, [key], [*[c for c in order if c in rows.columns], "__new"]).drop("__new")
+        slot = f"slot-{batch_id % slots}"
+        state.write.mode("overwrite").parquet(f"{target}/state/{slot}")
+        mark = spark.createDataFrame([(batch_id, slot)], "number long, slot string").coalesce(1)
+        mark.write.mode("overwrite").parquet(f"{target}/marks/batch={batch_id}")
+
+    return entries.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_latest(spark: SparkSession, target: str) -> DataFrame:
+    """Current state of an upsert target."""
+    state = _state(spark, target)
+    if state is None:
+        raise FileNotFoundError(f"no batch in {target}")
+    return state

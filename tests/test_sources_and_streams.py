@@ -68,14 +68,53 @@ def test_stream_keeps_the_last_arrival_over_batches(spark, tmp_path):
     run()
     run()  # nothing new: same state
     assert {(r["entry_id"], r["name"]) for r in E.read_latest(spark, target).collect()} == {("1", "c"), ("2", "b")}
-    assert E.compact(spark, target) == 1 and E.compact(spark, target) == 1
     mk([("2", "f", "2024-02-01 00:00:00", 6, {"name": "d"}), ("3", "f", "2024-02-01 00:00:00", 7, {"name": "e"})]).write.mode("append").parquet(src)
     run()
     want = {("1", "c"), ("2", "d"), ("3", "e")}
     assert {(r["entry_id"], r["name"]) for r in E.read_latest(spark, target).collect()} == want
-    assert E.compact(spark, target, remove=True) == 2
-    assert sorted(os.listdir(f"{target}/generations")) == ["generation=2"] and "batch_id=2" not in os.listdir(f"{target}/batches")
-    assert {(r["entry_id"], r["name"]) for r in E.read_latest(spark, target).collect()} == want
+    for k in range(4):  # more batches than slots
+        mk([("9", "f", f"2024-03-0{k + 1} 00:00:00", 10 + k, {"name": str(k)})]).write.mode("append").parquet(src)
+        run()
+        assert {(r["entry_id"], r["name"]) for r in E.read_latest(spark, target).collect()} == want | {("9", str(k))}
+    assert len(os.listdir(f"{target}/state")) == 4
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    """The last commit is taken back, as if the run had ended between the state and the commit."""
+    src, target, offsets = (str(tmp_path / x) for x in ("in", "log", "offsets"))
+    schema = "id string, created_at timestamp, event_id bigint"
+    for k in range(3):
+        spark.createDataFrame([("a", k), (f"x{k}", k)], "id string, event_id bigint").withColumn("created_at", F.lit("2024-01-01").cast("timestamp")).write.mode("append").parquet(src)
+        E.upsert_latest(E.stream_entries(spark, src, schema), target, offsets).awaitTermination()
+    state = lambda: sorted((r["entry_id"], r["event_id"]) for r in E.read_latest(spark, target).collect())
+    before = state()
+    assert before == [("a", 2), ("x0", 0), ("x1", 1), ("x2", 2)]
+    for name in ("2", ".2.crc"):
+        if os.path.exists(f"{offsets}/commits/{name}"):
+            os.remove(f"{offsets}/commits/{name}")
+    E.upsert_latest(E.stream_entries(spark, src, schema), target, offsets).awaitTermination()
+    assert state() == before
+
+
+def test_a_second_run_has_the_later_files_only(spark, tmp_path):
+    src, out, offsets = (str(tmp_path / x) for x in ("in", "out", "offsets"))
+    read = lambda: spark.readStream.schema("id long").parquet(src)
+    spark.range(3).write.parquet(src)
+    assert E.run_once(read(), out, offsets, "a").count() == 3
+    assert E.run_once(read(), out, offsets, "b").count() == 0
+    spark.range(10, 14).write.mode("append").parquet(src)
+    assert sorted(r[0] for r in E.run_once(read(), out, offsets, "c").collect()) == [10, 11, 12, 13]
+
+
+def test_normalised_rows(spark):
+    rows = [(1, '{"a": {"b": [5, 6]}, "n": 7, "x": 1}'), (2, '{"a": {"b": 3}, "n": "seven"}'), (3, "{broken"), (4, None), (5, '{"n": null}'), (6, "[1]"), (7, '{"n": {"k": 1}, "z": 0, "y": 0}')]
+    df = spark.createDataFrame(rows, "id long, payload string")
+    got = {r["id"]: r for r in E.normalise_rows(df, {"second": ("$.a.b[1]", "bigint"), "n": ("$.n", "bigint")}).collect()}
+    assert [(got[i]["second"], got[i]["n"]) for i in range(1, 8)] == [(6, 7), (None, None), (None, None), (None, None), (None, None), (None, None), (None, None)]
+    assert [got[i]["malformed"] for i in range(1, 8)] == [False, False, True, False, False, True, False]
+    assert [got[i]["wrong_types"] for i in (1, 2, 4, 5, 7)] == [[], ["n"], [], [], ["n"]]
+    assert [got[i]["unknown_fields"] for i in (1, 2, 3, 7)] == [["x"], [], [], ["y", "z"]]
+    assert E.normalise_rows(df.where("false"), {"n": ("$.n", "bigint")}).count() == 0
 
 
 def test_privacy_hook(spark):
