@@ -49,48 +49,48 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*docs.columns)
 
 
-def _without_copies(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies of ``docs``; null ids stay, of rows that repeat doc_id and text one stays."""
-    spark = docs.sparkSession
-    judged = near_duplicates(docs, SHINGLE_WORDS, PERCENT, with_hash=True)
-    gone = judged.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    hashed = docs.withColumn("__th", F.xxhash64(F.col("text").cast("string")))
-    kept = hashed.join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("__th") == F.col("__hash")), "left_anti")
-    again = judged.where("doc_id is not null").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    again = stored(again, work_folder(spark, "repeated"), "rows")
-    if not again.isEmpty():
-        same = (F.col("doc_id") == F.col("__id")) & (F.col("__th") == F.col("__hash"))
-        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "__th"]))
-    return kept.select(*docs.columns)
-
-
 def entered_texts(docs: DataFrame, documents: DataFrame) -> DataFrame:
-    """``docs`` and ``__entered``: the text of the row of ``documents`` with the same id, where line dedup has cut it.
+    """doc_id, hash of the text, and the text of the row of ``documents`` with the same id, for documents that line dedup has cut.
 
-    That is so if every line of the text is a line of that row; other rows keep their own text.
+    That is so if the row has a longer text, and every line of the text is a line of that row.
     """
-    lines = lambda c: F.split(F.col(c).cast("string"), "\n", -1)
-    whole = documents.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("__whole")).where("__id is not null")
-    whole = whole.groupBy("__id").agg(F.min("__whole").alias("__whole"))
-    joined = docs.join(whole, F.col("doc_id") == F.col("__id"), "left")
-    cut = (F.size(F.array_except(lines("text"), lines("__whole"))) == 0) & (F.length("__whole") > F.length("text"))
-    return joined.withColumn("__entered", F.when(cut, F.col("__whole")).otherwise(F.col("text"))).select(*docs.columns, "__entered")
+    text = lambda df: df.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
+    mine, whole = text(docs), text(documents)
+    # Lengths first: only the texts of documents that have become shorter move.
+    sizes = whole.select("id", F.length("text").alias("was"))
+    shorter = mine.select("id", F.length("text").alias("now")).join(sizes, "id").where("was > now").select("id").distinct()
+    shorter = stored(shorter, work_folder(docs.sparkSession, "entered"), "shorter")
+    left = mine.join(shorter, "id", "left_semi").select("id", "text")
+    right = whole.join(shorter, "id", "left_semi").select(F.col("id").alias("whole_id"), F.col("text").alias("entered"))
+    lines = lambda c: F.split(F.col(c), "\n", -1)
+    cut = (F.size(F.array_except(lines("text"), lines("entered"))) == 0) & (F.length("entered") > F.length("text"))
+    both = left.join(right, F.col("id") == F.col("whole_id")).where(cut)
+    return both.select(F.col("id").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("entered").alias("text")).distinct()
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies by their texts as they stand, then by the texts that entered line dedup.
+    """Near copies by their texts as they stand, or by the texts that entered line dedup.
 
     A near copy shares most of its lines with the document it copies, so line dedup cuts it down to what
-    differs; only the text it had before still tells that it is one.
+    differs; only the text it had before still tells that it is one. So a cut document takes part with both texts,
+    and goes if either is a near copy of a lesser document's. Null ids stay; of rows that repeat doc_id and text one stays.
     """
     folder = work_folder(spark, "near-copies")
-    left = stored(entered_texts(_without_copies(docs), read_table(spark, sf_dir, "documents")), folder, "left")
-    cut = left.where("__entered <> text")
-    if cut.isEmpty():
-        return left.select(*docs.columns)
-    judged = near_duplicates(left.select("doc_id", F.col("__entered").alias("text")), SHINGLE_WORDS, PERCENT)
-    gone = judged.where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return left.join(gone, F.col("doc_id") == F.col("__id"), "left_anti").select(*docs.columns)
+    cut = stored(entered_texts(docs, read_table(spark, sf_dir, "documents")), folder, "cut")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    judged = near_duplicates(texts.unionByName(cut.select("doc_id", "text")), SHINGLE_WORDS, PERCENT, with_hash=True)
+    judged = stored(judged.select("doc_id", "text_hash", "kept"), folder, "judged")
+    gone = judged.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    entered = cut.select("doc_id", "text_hash", F.xxhash64("text").alias("entered_hash"))
+    by_entered = entered.join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("entered_hash") == F.col("__hash"))).select("__id", F.col("text_hash").alias("__hash"))
+    hashed = docs.withColumn("__th", F.xxhash64(F.col("text").cast("string")))
+    same = (F.col("doc_id") == F.col("__id")) & (F.col("__th") == F.col("__hash"))
+    kept = hashed.join(gone.unionByName(by_entered).distinct(), same, "left_anti")
+    again = judged.where("doc_id is not null").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    again = stored(again, folder, "again")
+    if not again.isEmpty():
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "__th"]))
+    return kept.select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
