@@ -45,13 +45,23 @@ def priority_index(center: Column, policy: Policy) -> Column:
     return out
 
 
-def student_order(students: DataFrame, policy: Policy | None = None, school: str | None = "is_school_student") -> DataFrame:
-    """Dense ``order_no``: school students first, then center priority, then id."""
+def student_order(
+    students: DataFrame, policy: Policy | None = None, school: str | None = "is_school_student", priorities: DataFrame | None = None
+) -> DataFrame:
+    """Dense ``order_no``: school students first, then center priority, then id.
+
+    ``priorities`` (center_code, priority) takes the place of the policy's order; centers outside it are last.
+    """
     policy = policy or Policy()
     is_school = F.coalesce(F.col(school), F.lit(False)) if school and school in students.columns else F.lit(False)
-    df = students.withColumn("phase", F.when(is_school, 0).otherwise(1)).withColumn(
-        "priority", priority_index(F.col("center_code"), policy)
-    )
+    df = students.withColumn("phase", F.when(is_school, 0).otherwise(1))
+    if priorities is None:
+        df = df.withColumn("priority", priority_index(F.col("center_code"), policy))
+    else:
+        keyed = df.withColumn("__center", F.coalesce("center_code", F.lit(policy.default_center)).cast("bigint"))
+        listed = priorities.select(F.col("center_code").alias("__center"), F.col("priority").cast("int").alias("priority"))
+        df = lookup(keyed, listed, ["__center"], ["priority"], "left").drop("__center")
+        df = df.withColumn("priority", F.coalesce("priority", F.lit((1 << 31) - 1)))
     numeric = dict(df.dtypes)["student_id"] in ("bigint", "int", "smallint", "tinyint")
     fine = F.floor(F.col("student_id") / 4096) if numeric else F.substring("student_id", 1, 6)
     coarse = F.floor(F.col("student_id") / (1 << 24)) if numeric else F.substring("student_id", 1, 3)

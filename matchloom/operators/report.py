@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -287,6 +288,70 @@ def export_frame(alloc: DataFrame, students: DataFrame, profile: Sequence[tuple[
     return joined.select(*out), spark.createDataFrame(issues, "output string, source string, issue string")
 
 
+# What a profile row calls its source, and the allocation field behind each header.
+PROFILE_ALLOCATION, PROFILE_STUDENT, PROFILE_REMOVED = "خروجی برنامه بعد از تخصیص", "کپی کردن از اکسل ورودی", "حذف از اکسل خروجی"
+PROFILE_FIELDS = {"پیدا کردن ردیف پشتیبان از فیلد 141": "mentor_id", "کد ثبت نام0": "student_id", "کپی کد جایگزین 39": "mentor_alias_code"}
+PROFILE_CONDITION, PROFILE_EMPTY = "اگر", "خالی"
+
+
+@dataclass(frozen=True)
+class ExportColumn:
+    """One output column: ``source`` is alloc, student or literal."""
+
+    header: str
+    source: str
+    value: str
+    order: int
+
+
+def compile_profile(profile: DataFrame, student_fields: Mapping[str, str] | None = None) -> list[ExportColumn]:
+    """The output columns of a profile table (header, value_map, order, source), one row a column, in their order.
+
+    Rows without header or numeric order, and those marked as removed, are left out. A profile is refused if an
+    entry is annotated (parentheses or a condition), an allocation header is unknown, orders repeat, a row
+    with an order gives no column, or a student field is not among ``student_fields`` (header -> column).
+    """
+    cells = [F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in ("header", "value_map", "source")]
+    number = F.col("order").cast("string").try_cast("double")
+    rows = profile.select(*cells, F.when(F.isnan(number), F.lit(None)).otherwise(number).cast("long").alias("order"))
+    names = profile.sparkSession.createDataFrame(list(PROFILE_FIELDS.items()), "name string, field string").select(text.norm_text("name").alias("__key"), "field")
+    found = rows.withColumn("__key", text.norm_text("header")).join(F.broadcast(names), "__key", "left").collect()
+    out = []
+    for r in found:
+        if not r["header"] or r["source"] == PROFILE_REMOVED:
+            continue
+        if any(mark in r["value_map"] for mark in ("(", ")", PROFILE_CONDITION)):
+            raise ValueError(f"annotated entry {r['value_map']!r} of header {r['header']!r}")
+        if r["order"] is None:
+            continue
+        value = r["value_map"] or r["header"]
+        if r["source"] == PROFILE_ALLOCATION:
+            if r["field"] is None:
+                raise ValueError(f"no allocation field for header {r['header']!r}")
+            out.append(ExportColumn(r["header"], "alloc", r["field"], r["order"]))
+        elif r["source"] == PROFILE_STUDENT and value == PROFILE_EMPTY:
+            out.append(ExportColumn(r["header"], "literal", "", r["order"]))
+        elif r["source"] == PROFILE_STUDENT:
+            if student_fields is not None and value not in student_fields:
+                raise ValueError(f"student field {value!r} of header {r['header']!r} is not known")
+            out.append(ExportColumn(r["header"], "student", (student_fields or {}).get(value, value), r["order"]))
+        else:
+            out.append(ExportColumn(r["header"], "literal", value, r["order"]))
+    if len({c.order for c in out}) < len(out):
+        raise ValueError("orders repeat in the profile")
+    if len(out) != sum(r["order"] is not None for r in found):
+        raise ValueError("rows with an order and exported columns differ in number")
+    return sorted(out, key=lambda c: c.order)
+
+
+def export_by_profile(alloc: DataFrame, students: DataFrame, columns: Sequence[ExportColumn]) -> tuple[DataFrame, DataFrame]:
+    """The export of a compiled profile; columns that a table lacks are empty and reported, as by ``export_frame``."""
+    named = [(c.header, c.source, c.value) for c in columns if c.source != "literal"]
+    frame, issues = export_frame(alloc, students, named)
+    literals = {c.header: F.lit(c.value) for c in columns if c.source == "literal"}
+    return frame.withColumns(literals).select(*[F.col(f"`{c.header}`") for c in columns]), issues
+
+
 def alias_rule(df: DataFrame, alias: str, postal: str) -> DataFrame:
     """Alias replaces the postal code when present; both as ten digits."""
     ten = _NORMALIZERS["digits_10"]

@@ -187,3 +187,16 @@ def phase_counts(t):
 )
 def student_order(t):
     return L.student_order(_students(t)).select("student_id", "order_no")
+
+
+@query(
+    "W7_student_order_by_settings",
+    """SELECT student_id, row_number() OVER (ORDER BY CASE WHEN school_code > 0 THEN 0 ELSE 1 END, CASE center_code WHEN 0 THEN 0 WHEN 2 THEN 1 WHEN 1 THEN 2 ELSE 9 END, student_id) AS order_no FROM students_gap""",
+    ("students_gap",),
+)
+def student_order_by_settings(t):
+    """The run's order 0, 2 before the policy's 1, 2, 0."""
+    from matchloom.operators import settings as S
+
+    rows = lambda *codes: t.spark.createDataFrame(list(zip(codes, range(len(codes)), strict=True)), "center_code bigint, position int")
+    return L.student_order(_students(t), priorities=S.resolved_priority([rows(1, 2, 0), rows(0, 2)])).select("student_id", "order_no")

@@ -346,6 +346,42 @@ def centers_without_manager(t):
     return R.preferred_managers(t.mentors, conf)[1]
 
 
+def _manager_layers(t):
+    """Policy, stored and run rows out of the nations: which manager serves which center."""
+    k, n = F.col("n_nationkey"), F.col("n_name")
+    rows = lambda cond, center: t.nation.where(cond).select(center.cast("bigint").alias("center_code"), n.alias("manager"), k.cast("int").alias("position"))
+    return [rows(k < 9, k % 3), rows((k >= 9) & (k < 12), F.lit(1)), rows((k >= 12) & (k < 15), F.when(k == 14, F.lit(7)).otherwise(F.lit(2)))]
+
+
+LAYERS = """l AS (SELECT n_nationkey % 3 AS c, n_name AS m, 0 AS layer FROM nation WHERE n_nationkey < 9 UNION ALL SELECT 1, n_name, 1 FROM nation WHERE n_nationkey BETWEEN 9 AND 11
+  UNION ALL SELECT CASE WHEN n_nationkey = 14 THEN 7 ELSE 2 END, n_name, 2 FROM nation WHERE n_nationkey BETWEEN 12 AND 14), r AS (SELECT * FROM l QUALIFY layer = max(layer) OVER (PARTITION BY c))"""
+
+
+@query(
+    "J18_managers_by_settings",
+    f"WITH {LAYERS} SELECT mentor_id, pool_order, EXISTS (SELECT 1 FROM r WHERE r.c = center_code AND r.m = manager) AS preferred FROM mentors",
+    ("mentors",),
+)
+def managers_by_settings(t):
+    from matchloom.operators import settings as S
+
+    return R.preferred_managers(t.mentors, S.resolved_managers(_manager_layers(t)))[0].select("mentor_id", "pool_order", "preferred")
+
+
+@query(
+    "J18_setting_warnings",
+    f"""WITH {LAYERS} SELECT DISTINCT CAST(c AS BIGINT) AS center_code, 'MANAGER_OF_UNDEFINED_CENTER' AS warning FROM r WHERE c NOT IN (SELECT n_nationkey % 3 FROM nation)
+      UNION ALL SELECT CAST(9 AS BIGINT), 'PRIORITY_OF_UNDEFINED_CENTER' UNION ALL SELECT CAST(0 AS BIGINT), 'CENTER_0_WITHOUT_PRIORITY'""",
+)
+def setting_warnings(t):
+    from matchloom.operators import settings as S
+
+    order = t.spark.createDataFrame([(1, 0), (9, 1)], "center_code bigint, position int")
+    priority = S.resolved_priority([order], default_center=None)
+    centers = t.nation.select((F.col("n_nationkey") % 3).alias("center_code"))
+    return S.setting_warnings(S.resolved_managers(_manager_layers(t)), priority, centers)
+
+
 J21 = f"""{BUILD}, mm AS (SELECT DISTINCT mentor_type, alias, CAST(school_code AS VARCHAR) AS school, gender_code, CAST(grad_status_code AS BIGINT) AS status, center_code, group_code FROM rows_all),
 st AS (SELECT c_custkey AS row_id, CASE WHEN c_custkey % 3 = 0 THEN CAST(900 + c_custkey % 9300 AS VARCHAR) ELSE 'none' END AS alias_norm, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_nationkey + 1 AS VARCHAR) ELSE '' END AS school_text,
   c_custkey % 2 AS gender_code, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE CASE c_custkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 27 WHEN 2 THEN 3 ELSE 24 END END AS group_code, c_nationkey % 2 AS expected_center FROM customer),

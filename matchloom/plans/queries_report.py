@@ -196,6 +196,23 @@ def export_frame(t):
     return P.export_frame(t.alloc_log, t.students, profile)[0]
 
 
+@query(
+    "N31_export_by_profile",
+    """SELECT CAST(student_id AS VARCHAR) AS "کد ثبت نام0", coalesce(CAST(s.group_code AS VARCHAR), '') AS "رشته", 'تهران' AS "شهر", CAST(mentor_id AS VARCHAR) AS "پيدا كردن رديف پشتيبان از فيلد ۱۴۱"
+      FROM alloc_log LEFT JOIN students s USING (student_id)""",
+    ("alloc_log", "students"),
+)
+def export_by_profile(t):
+    """A profile with rows out of order, a removed one, one without order, Arabic letters in a header, and a literal."""
+    rows = [
+        ("پيدا كردن رديف پشتيبان از فيلد ۱۴۱", None, "40", P.PROFILE_ALLOCATION), ("رشته", "کد رشته", "20.0", P.PROFILE_STUDENT), ("نام", None, "x", P.PROFILE_STUDENT),
+        ("کد ثبت نام0", "", "3", P.PROFILE_ALLOCATION), ("تلفن", "", None, P.PROFILE_REMOVED), ("شهر", "تهران", "30", ""), (None, None, None, None),
+    ]
+    profile = t.spark.createDataFrame(rows, "header string, value_map string, order string, source string")
+    columns = P.compile_profile(profile, {"کد رشته": "group_code"})
+    return P.export_by_profile(t.alloc_log, t.students, columns)[0]
+
+
 @query(
     "N32_alias_rule",
     f"""WITH b AS (SELECT row_id, lpad(right(nullif(regexp_replace({ck.digits(ck.blankable('school_cell'))}, '[^0-9]', '', 'g'), ''), 10), 10, '0') AS a, lpad(right(nullif(regexp_replace({ck.digits(ck.blankable('cell'))}, '[^0-9]', '', 'g'), ''), 10), 10, '0') AS p FROM messy)
