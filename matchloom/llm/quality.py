@@ -161,25 +161,6 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
-def with_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs`` and score, predicted (columns of these names are replaced).
-
-    A null or empty text has the score of the bias alone; without labels every score is 0.5.
-    """
-    docs = docs.drop("score", "predicted")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
-
-    def run(batches):
-        scorer = Scorer(shared.value)
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").cast(pa.string()).to_pylist()]
-            score = np.concatenate([np.zeros(0), *(scorer.score_batch(texts[a : a + 512]) for a in range(0, len(texts), 512))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
-
-    return docs.mapInArrow(run, schema)
-
-
 def train_on(docs: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0, sample: int = SAMPLE) -> Model:
     """Model of the labelled rows of ``docs`` whose crc32(doc_id as text) modulo ``parts`` isn't ``held_out``.
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -112,6 +113,43 @@ def test_held_out_languages(spark, table):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def plain_grams(text):
+    """Count of the letter 1-, 2- and 3-grams of a text, by the definition."""
+    runs = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    padded, out = " " + " ".join(runs) + " ", Counter()
+    for i, c in enumerate(padded):
+        if c != " ":
+            out[c] += 1
+            out[padded[i - 1 : i + 2]] += 1
+        if i and (c != " " or padded[i - 1] != " "):
+            out[padded[i - 1 : i + 1]] += 1
+    return out
+
+
+def ranked_grams(count):
+    key = lambda g: sum(ord(c) << (21 * k) for k, c in enumerate(g))
+    return [g for g, _ in sorted(count.items(), key=lambda x: (-x[1], key(x[0])))[:300]]
+
+
+def test_language_prediction_recomputed(spark, table):
+    """Profiles, out-of-place distances and scores in plain Python."""
+    rows = table("documents").collect()
+    learned: dict = {}
+    for r in rows:
+        if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            learned.setdefault(r.lang, Counter()).update(plain_grams(r.text))
+    rank = {lang: {g: k for k, g in enumerate(ranked_grams(c))} for lang, c in learned.items()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in queries.op5_language_id(spark, SF).collect()}
+    for r in rows:
+        own = ranked_grams(plain_grams(r.text or ""))
+        if not own:
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        apart = {lang: sum(abs(of[g] - k) if g in of else 300 for k, g in enumerate(own)) for lang, of in rank.items()}
+        best = min(sorted(apart), key=apart.get)
+        assert got[r.doc_id][0] == best and got[r.doc_id][1] == pytest.approx(1 - apart[best] / (300 * len(own)))
+
+
 def test_languages_of_odd_rows(spark, odd_docs, no_docs):
     got = predict_languages(odd_docs.where("lang is not null").unionByName(odd_docs.where("lang is null"))).collect()
     for r in got:
@@ -177,6 +215,78 @@ def test_held_out_quality(spark):
     assert sum(r.predicted == label[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
+M64 = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M64
+    return x ^ (x >> 31)
+
+
+def plain_features(text, buckets):
+    """Buckets of the words, their 3- to 5-grams and their pairs, in plain integers."""
+    base, step = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+    words = text.lower().split()
+    words = ["\x01" if k and w == words[k - 1] else w for k, w in enumerate(words)]
+    out, hashes = [], []
+    for w in words:
+        m = [ord(c) for c in f"<{w}>"]
+        whole = plain_mix((sum((c + 1) * pow(base, k, 1 << 64) for k, c in enumerate(m)) * step + base) & M64)
+        hashes.append(whole)
+        out.append(whole % buckets)
+        for n in (3, 4, 5):
+            for a in range(len(m) - n + 1):
+                value = 0
+                for c in m[a : a + n]:
+                    value = (value * step + plain_mix(c)) & M64
+                out.append(plain_mix((value + n) & M64) % buckets)
+    return out + [plain_mix((a * step + b) & M64) % buckets for a, b in zip(hashes, hashes[1:], strict=False)]
+
+
+def test_features_recomputed(table):
+    texts = ["", "a", "Aa aa bcd", "x x x y", "été naïve 日本語"] + [r.text for r in table("documents").limit(6).collect()]
+    for text in texts:
+        at, count = quality.document_features(text)
+        assert dict(zip(at.tolist(), count.tolist(), strict=True)) == dict(Counter(plain_features(text, quality.BUCKETS)))
+
+
+def test_training_and_scores_recomputed(monkeypatch):
+    """Every gradient step with plain lists, and the score as an average over all features of a text."""
+    monkeypatch.setattr(quality, "BUCKETS", 97)
+    texts = ["good words here", "bad bad stuff", "more good words", "x y", "stuff stuff here", "words"]
+    labels = [1, 0, 1, 0, 0, 1]
+    bags = [quality.document_features(t) for t in texts]
+    model = quality.train(bags, np.array(labels))
+    rng = np.random.default_rng(quality.SEED)
+    d = quality.DIMENSIONS
+    vector = rng.uniform(-1 / d, 1 / d, (97, d)).astype(np.float32).tolist()
+    output, bias, step = [[0.0] * d, [0.0] * d], [0.0, 0.0], 0
+    for _ in range(quality.EPOCHS):
+        for i in rng.permutation(len(texts)).tolist():
+            rate = quality.RATE * (1 - step / (quality.EPOCHS * len(texts)))
+            step += 1
+            count = Counter(plain_features(texts[i], 97))
+            share = {k: n / sum(count.values()) for k, n in count.items()}
+            hidden = [sum(s * vector[k][j] for k, s in share.items()) for j in range(d)]
+            logit = [sum(o * h for o, h in zip(output[c], hidden, strict=True)) + bias[c] for c in (0, 1)]
+            e = [np.exp(x - max(logit)) for x in logit]
+            err = [e[c] / sum(e) - (c == labels[i]) for c in (0, 1)]
+            back = [err[0] * output[0][j] + err[1] * output[1][j] for j in range(d)]
+            for c in (0, 1):
+                output[c] = [o - rate * err[c] * h for o, h in zip(output[c], hidden, strict=True)]
+                bias[c] -= rate * err[c]
+            for k, s in share.items():
+                vector[k] = [v - rate * len(share) * s * b for v, b in zip(vector[k], back, strict=True)]
+    weight = [sum(v * (o1 - o0) for v, o0, o1 in zip(vector[k], *output, strict=True)) for k in range(97)]
+    assert np.allclose(model.weight, weight, atol=1e-4) and model.bias == pytest.approx(bias[1] - bias[0], abs=1e-4)
+    more = [*texts, "", "good good good", "never seen"]
+    for text, score in zip(more, quality.Scorer(model).score_batch(more), strict=True):
+        own = plain_features(text, 97)
+        logit = (sum(model.weight[k] for k in own) / len(own) if own else 0.0) + model.bias
+        assert score == pytest.approx(1 / (1 + np.exp(-logit)))
+
+
 def test_quality_of_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(3, 1), (3, 0), (4, None), (5, 7), (None, 1), (6, 0), (7, 1)], "doc_id long, quality int")
     assert len(score_quality(odd_docs, labels).collect()) == odd_docs.count()
