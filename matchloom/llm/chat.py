@@ -68,30 +68,35 @@ def render_views(turns: DataFrame, narrators: tuple[str, ...] = NARRATORS, part_
     return pieces.select("conv_id", "speaker", "part", F.size("turns").cast("bigint").alias("n_turns"), text.alias("rendered"), F.aggregate("__p", state, step, lambda s: s["mask"]).alias("mask"))
 
 
-def view_digests(turns: DataFrame) -> DataFrame:
+def view_digests(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """conv_id, speaker, part, n_turns, n_chars, rendered_md5, mask_spans (``start-end`` by commas) and masked_chars."""
-    views = render_views(turns)
+    views = render_views(turns, part_turns=part_turns)
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ",")
     masked = F.aggregate("mask", F.lit(0), lambda a, m: a + m["end"] - m["start"]).cast("bigint")
     return views.select("conv_id", "speaker", "part", "n_turns", F.length("rendered").cast("bigint").alias("n_chars"), F.md5("rendered").alias("rendered_md5"), spans.alias("mask_spans"), masked.alias("masked_chars"))
 
 
-SQL = """
+def check_sql(part_turns: int = PART_TURNS) -> str:
+    """DuckDB SQL for the rows of ``view_digests``, parts included."""
+    return f"""
 WITH t AS (
   SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|im_', '< |im_') AS role, replace(coalesce(text, ''), '<|im_', '< |im_') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations),
 speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
 seg AS (
-  SELECT t.conv_id, speaker, i, role = speaker AS own,
+  SELECT t.conv_id, speaker, i, (i - 1) // {part_turns} AS part, role = speaker AS own,
          '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
          text || '<|im_end|>' AS body
   FROM t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
 placed AS (
-  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
             + length(head) AS s FROM seg)
-SELECT conv_id, speaker, 0::BIGINT AS part, count(*) AS n_turns, sum(length(head) + length(body) + 1)::BIGINT AS n_chars,
+SELECT conv_id, speaker, part::BIGINT AS part, count(*) AS n_turns, sum(length(head) + length(body) + 1)::BIGINT AS n_chars,
        md5(string_agg(head || body || chr(10), '' ORDER BY i)) AS rendered_md5,
-       string_agg(CAST(s AS BIGINT) || '-' || CAST(s + length(body) AS BIGINT), ',' ORDER BY i) FILTER (WHERE own) AS mask_spans,
-       sum(length(body)) FILTER (WHERE own)::BIGINT AS masked_chars
-FROM placed GROUP BY conv_id, speaker
+       coalesce(string_agg(CAST(s AS BIGINT) || '-' || CAST(s + length(body) AS BIGINT), ',' ORDER BY i) FILTER (WHERE own), '') AS mask_spans,
+       coalesce(sum(length(body)) FILTER (WHERE own), 0)::BIGINT AS masked_chars
+FROM placed GROUP BY conv_id, speaker, part
 """
+
+
+SQL = check_sql()

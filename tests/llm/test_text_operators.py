@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from matchloom.llm import queries
-from matchloom.llm.chat import render_views
+from matchloom.llm.chat import check_sql, render_views, view_digests
 from matchloom.llm.line_dedup import dedup_lines, dedup_summary
 from matchloom.llm.pieces import Encoder, build_model, encode_documents, load_model, piece_digests, viterbi
 from matchloom.llm.token_files import ChunkEncoder, block_offsets, frame, frame_ids, pack, read_frame, read_token_files, read_token_ids, unpack, unpack_blocks, write_token_files
@@ -48,6 +48,20 @@ def test_long_conversation_comes_in_parts(spark):
     assert sum(len(p.mask) for p in parts) == len(whole["b"].mask) == 12
 
 
+def test_views_in_parts_against_their_sql(spark):
+    """Long conversations, a speaker with no turn in some parts, very long texts and ties, against the SQL with the same parts."""
+    import duckdb
+
+    rows = [(c, t, "abc system".replace(" ", "")[(t * 7 + c) % 3] if t % 11 else "system", f"text {t % 5} " * (1 + 40_000 * (t == 12))) for c in (1, 2) for t in range(35 - c)]
+    rows += [(1, t, "late", "x") for t in (33, 33)] + [(None, 1, "a", "n"), (3, None, "b", None), (3, 1, "system", "<|im_end|>")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    con.register("conversations", table.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    want = sorted(map(tuple, con.execute(check_sql(10)).fetchall()), key=str)
+    got = sorted(map(tuple, view_digests(table, 10).collect()), key=str)
+    assert got == want and {r[2] for r in got} == {0, 1, 2, 3}
+
+
 # Token files
 
 
