@@ -1,6 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-Each paragraph (a line; a line of several sentences counts by sentence) is hashed to
+Each paragraph (a line; a line of several sentences counts by sentence, and one of over ``LONG`` words
+is cut further after words that their hashes choose, so that an edit leaves the pieces before it alone) is hashed to
 three cells; a cell keeps a count, a sum of digests and a sum of check hashes. Sketches of two
 versions are subtracted; cells left with one digest are peeled until the differing digests are
 recovered. If cells stay, both sketches are built again four times as large.
@@ -20,6 +21,10 @@ from pyspark.sql import types as T
 from matchloom.llm.bytesops import BASE, STEP, U, mix, row_bytes, salt, slices, span_hashes, spans
 
 CELLS, HASHES, GROWTH = 24, 3, 4
+#: Sentences of more words are cut after each word whose hash is divisible by ``CUT``.
+LONG, CUT = 12, 8
+# Sentence ends of other scripts, which no space follows, in UTF-8.
+SENTENCE_ENDS = tuple(c.encode() for c in "\u3002\uff01\uff1f\u0964\u0965")
 #: Texts that are paired and sketched together.
 PAIR_BYTES = 1 << 20
 
@@ -32,9 +37,13 @@ def digests(texts: list[str]) -> list[np.ndarray]:
         d, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         ends = (d == 46) | (d == 33) | (d == 63)  # . ! ?
         closing = np.concatenate((ends[:-1] & ((d[1:] == 32) | (d[1:] == 10)), ends[-1:])) if len(d) else ends
-        # Runs between line ends; a space after a sentence end also parts.
+        # Runs between line ends; a space after a sentence end also parts, and so does the last byte of an end of three.
         gap = d == 10
         gap[1:] |= closing[:-1] & (d[1:] == 32)
+        for end in SENTENCE_ENDS:
+            gap[2:] |= (d[:-2] == end[0]) & (d[1:-1] == end[1]) & (d[2:] == end[2])
+        starts, stops, _ = spans(~gap, o)
+        gap |= _long_cuts(d, o, starts, gap)
         starts, stops, rows = spans(~gap, o)
         h = span_hashes(d, starts, stops)
         for x, y in zip(rows[:-1], rows[1:], strict=True):
@@ -47,6 +56,19 @@ def digests(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def _long_cuts(d: np.ndarray, o: np.ndarray, starts: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """The spaces inside long sentences (which begin at ``starts``) that follow a word with a hash divisible by ``CUT``."""
+    word_start, word_end, _ = spans(~(gap | (d == 32)), o)
+    sentence = np.searchsorted(starts, word_start, "right") - 1
+    long_ = np.bincount(sentence, minlength=len(starts))[sentence] > LONG
+    chosen = long_ & (span_hashes(d, word_start, word_end) % U(CUT) == 0)
+    after = word_end[chosen]
+    after = after[after < len(d)]
+    out = np.zeros(len(d), bool)
+    out[after[d[after] == 32]] = True
+    return out
+
+
 def cells_of(key: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     """The cell of each of the three hashes, each in a third of its own; ``size`` a third's cells."""
     return [size * j + (mix(key ^ salt(j + 1)) % size.astype(U)).astype(np.int64) for j in range(HASHES)]

@@ -170,6 +170,54 @@ def test_ngrams_stay_inside_texts():
 # Fingerprints
 
 
+def plain_hash(data):
+    """The hash of a word's bytes, in plain integers."""
+    base, step = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+    return plain_mix((sum((c + 1) * pow(base, k, 1 << 64) for k, c in enumerate(data)) + len(data) * step) & M64)
+
+
+def plain_pieces(text):
+    """The pieces of a text, cut by the definition: lines, sentences, words chosen in long sentences."""
+    out = Counter()
+    for line in text.encode().split(b"\n"):
+        ends = "|".join("\u3002\uff01\uff1f\u0964\u0965")
+        parts = re.split(rf"(?<=[.!?]) |(?:{ends})", line.decode("utf-8"))
+        for part in parts:
+            words = [w for w in part.split(" ") if w]
+            cut = len(words) > 12
+            held: list[str] = []
+            for k, w in enumerate(part.split(" ")):
+                held.append(w)
+                if cut and w and plain_hash(w.encode()) % 8 == 0 and k < len(part.split(" ")) - 1:
+                    out[" ".join(held)] += 1
+                    held = []
+            out[" ".join(held)] += 1
+    out.pop("", None)
+    return out
+
+
+def test_cutting_into_pieces(table):
+    """As many digests as pieces, equal ones for equal pieces, the k-th of a kind with a digest of its own."""
+    texts = [r.text for r in table("documents").limit(80).collect()] + ["", "a", "One. Two? Three!  Four", "a\n\nb\n", "x. x. x.", " ".join(f"w{k}" for k in range(60)), "\u4e00\u4e8c\u3002\u4e09\uff01\u56db", "end. \nx"]
+    names: dict = {}
+    for text, got in zip(texts, digests(texts), strict=True):
+        pieces = plain_pieces(text)
+        assert len(got) == len(set(got.tolist())) == sum(pieces.values()), text
+        names[text] = set(got.tolist())
+    for a, b in zip(texts, texts[1:], strict=False):
+        p, q = plain_pieces(a), plain_pieces(b)
+        assert len(names[a] & names[b]) == sum((p & q).values())
+
+
+def test_a_half_edited_long_sentence_is_alike():
+    r = random.Random(8)
+    for n in (40, 80, 300):
+        a, b = (" ".join(f"w{r.randrange(10**6)}" for _ in range(n)) for _ in range(2))
+        edited = a[: len(a) - len(a) // 2] + b[: len(a) // 2]
+        x, y, z = digests([a, edited, b])
+        assert likeness([x], [y])[0] > 0 == likeness([x], [z])[0]
+
+
 def test_fingerprints_against_brute_force(spark, table):
     text = {r.doc_id: r.text or "" for r in table("documents").collect()}
     ids = sorted(text, reverse=True)
