@@ -88,6 +88,12 @@ def fold_several(s: Column) -> Column:
     return F.when(s.rlike(SEVERAL_CLASS), F.array_join(letters, "")).otherwise(s)
 
 
+#: Texts with any other character may hold one of the rarer folds: those of ASCII and of the Arabic block but for its ligatures are few.
+_PLAIN = [chr(p) for p in (*range(0x80), *range(0x600, 0x700), *range(0x200C, 0x2010)) if chr(p) not in FOLD_SEVERAL]
+RARE_CLASS = "[^" + _ranges(_PLAIN)[1:]
+PLAIN_FROM, PLAIN_TO = ("".join(x) for x in zip(*[(a, b) for a, b in zip(FOLD_FROM, FOLD_TO, strict=True) if a in _PLAIN], strict=True))
+
+
 # Ordered rewrites of number-like text; '~' marks a negative number on the way.
 NUMLIKE_STEPS = (
     ("[^0-9.\\-]", ""),
@@ -130,9 +136,11 @@ def fold_digits(c) -> Column:
 
 def norm_text(c) -> Column:
     """Stable Persian comparison text: letters folded, digits ASCII, marks and noise dropped."""
+    raw = text_or_blank(c)
     # ASCII other than digits never survives; dropping it first spares Latin text the fold.
-    s = F.regexp_replace(text_or_blank(c), r"[\x00-/:-\x7f]+", " ")
-    s = F.translate(fold_several(s), FOLD_FROM, FOLD_TO)
+    s = F.regexp_replace(raw, r"[\x00-/:-\x7f]+", " ")
+    # One look at the raw text decides whether the few folds of plain text will do.
+    s = F.when(raw.rlike(RARE_CLASS), F.translate(fold_several(s), FOLD_FROM, FOLD_TO)).otherwise(F.translate(s, PLAIN_FROM, PLAIN_TO))
     s = F.regexp_replace(s, r"\p{M}+", "")
     s = F.regexp_replace(s, ALLAH, "ل")
     s = F.regexp_replace(s, "[^0-9\u0600-\u06ff]+", " ")
