@@ -18,7 +18,7 @@ SAMPLE = (
     "F9_stage_funnel", "F10_key_issues", "J1_eligible_candidates", "J6_center_from_manager", "J11_join_key_audit",
     "M5_build_matrix", "A1_group_coverage", "A10_condense", "W1_rank_candidates", "W5_assign_counters", "L3_allocate_isolated",
     "L4_two_phase", "U2_snapshot_diff", "Q6_MENTOR_TYPE_01", "Q16_run_all", "X1_trace_long", "X3_alignment_preflight",
-    "S5_add_lineage", "T2s_upsert_latest_stream",
+    "S5_add_lineage", "T2s_upsert_latest_stream", "J1_pair_rule_reasons", "F9_funnel_composed_center", "X10_governance_trace", "W3_fairness_order",
 )
 NAMES = list(QUERIES) if os.environ.get("MATCHLOOM_ALL") else [n for n in SAMPLE if n in QUERIES]
 
