@@ -52,6 +52,10 @@ class Candidates:
         out = lookup(self.classes, per_class, ["class_key"], list(sums), "left")
         return out.withColumn("candidates", F.coalesce("candidates", F.lit(0)).cast("bigint"))
 
+    def pairs(self) -> DataFrame:
+        """Every (class, pool row) link with the pool columns, once each."""
+        return self.links.join(self.members, "bucket").drop("bucket")
+
 
 def candidates(students: DataFrame, pool: DataFrame, policy: Policy | None = None) -> Candidates:
     """Eligibility under the wildcard rules of ``matching``."""

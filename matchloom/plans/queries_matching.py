@@ -38,13 +38,23 @@ PAIRS = f"""c AS (SELECT DISTINCT group_code, gender_code, grad_status_code, cen
 
 @query(
     "J2_class_pairs",
+    f"""WITH {PAIRS} SELECT class_key, mentor_id, pool_order, remaining_capacity FROM pairs""",
+    ("students", "mentors"),
+)
+def class_pairs(t):
+    """Every class with every pool row it may take."""
+    return C.candidates(t.students, t.mentors).pairs().select("class_key", "mentor_id", "pool_order", "remaining_capacity")
+
+
+@query(
+    "J2_class_counts",
     f"""WITH {PAIRS}
     SELECT {CLASS} AS class_key, count(p.mentor_id) AS candidates, CAST(sum(p.remaining_capacity) AS BIGINT) AS places, CAST(sum(p.pool_order) AS BIGINT) AS members_sum,
       CAST(sum(p.pool_order * (p.pool_order % 97)) AS BIGINT) AS members_mix
     FROM c s LEFT JOIN pairs p ON p.class_key = {CLASS} GROUP BY {CLASS}""",
     ("students", "mentors"),
 )
-def class_pairs(t):
+def class_counts(t):
     """Links of each class: their number and two checksums over the linked rows."""
     order = F.col("pool_order")
     out = C.candidates(t.students, t.mentors).counted(places=F.col("remaining_capacity"), members_sum=order, members_mix=order * (order % 97))
