@@ -76,22 +76,37 @@ def class_membership(t):
     return per_row.select("mentor_id", "pool_order", (F.col("classes") > 0).alias("wanted"), "classes")
 
 
-@query(
-    "J3_bucket_variant_join",
-    """WITH c AS (SELECT DISTINCT group_code, gender_code, grad_status_code, center_code, finance_code, school_code FROM students),
+VARIANT_HITS = """c AS (SELECT DISTINCT group_code, gender_code, grad_status_code, center_code, finance_code, school_code FROM students),
     k AS (SELECT concat_ws('|', group_code, gender_code, grad_status_code, center_code, finance_code, school_code) AS class_key, * FROM c),
-    hit AS (SELECT k.class_key, p.pool_order, p.remaining_capacity FROM k JOIN mentors p ON k.group_code = p.group_code AND k.gender_code = p.gender_code
+    hit AS (SELECT k.class_key, p.mentor_id, p.pool_order, p.remaining_capacity FROM k JOIN mentors p ON k.group_code = p.group_code AND k.gender_code = p.gender_code
       AND k.grad_status_code = p.grad_status_code AND (p.center_code = 0 OR (k.center_code <> 0 AND p.center_code = k.center_code))
-      AND (k.school_code = 0 OR p.school_code IN (0, k.school_code)))
+      AND (k.school_code = 0 OR p.school_code IN (0, k.school_code)))"""
+
+
+def _variants(t):
+    return C.variant_candidates(t.students, t.mentors.drop("has_school_constraint"))
+
+
+@query(
+    "J3_bucket_variant_join",
+    f"WITH {VARIANT_HITS} SELECT class_key, mentor_id, pool_order FROM hit",
+    ("students", "mentors"),
+)
+def bucket_variant_join(t):
+    """Every link by key variants; the check states them as wildcard rules over a pool without the school flag."""
+    return _variants(t).pairs().select("class_key", "mentor_id", "pool_order")
+
+
+@query(
+    "J3_bucket_variant_counts",
+    f"""WITH {VARIANT_HITS}
     SELECT k.class_key, k.school_code > 0 AND k.center_code > 0 AS by_variants, count(h.pool_order) AS candidates, CAST(sum(h.remaining_capacity) AS BIGINT) AS places,
       CAST(sum(h.pool_order) AS BIGINT) AS members_sum FROM k LEFT JOIN hit h USING (class_key) GROUP BY 1, 2""",
     ("students", "mentors"),
 )
-def bucket_variant_join(t):
-    """Links by key variants; the check states them as wildcard rules over a pool without the school flag."""
-    pool = t.mentors.drop("has_school_constraint")
-    c = C.variant_candidates(t.students, pool)
-    out = c.counted(places=F.col("remaining_capacity"), members_sum=F.col("pool_order"))
+def bucket_variant_counts(t):
+    """The links of ``J3_bucket_variant_join`` added up per class."""
+    out = _variants(t).counted(places=F.col("remaining_capacity"), members_sum=F.col("pool_order"))
     return out.select("class_key", ((F.col("school_code") > 0) & (F.col("center_code") > 0)).alias("by_variants"), "candidates", "places", "members_sum")
 
 

@@ -31,3 +31,8 @@ def whole(spark, name, columns, rule, times=1):
 
 def test_class_pairs_are_whole(spark):
     whole(spark, "J2_class_pairs", ["class_key", "mentor_id", "pool_order"], f"{CENTER} AND {FLAGGED}")
+
+
+def test_variant_pairs_are_whole(spark):
+    rule = f"{CENTER} AND (s.school_code = 0 OR m.school_code IN (0, s.school_code))"
+    whole(spark, "J3_bucket_variant_join", ["class_key", "mentor_id", "pool_order"], rule)
