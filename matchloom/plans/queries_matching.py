@@ -120,16 +120,41 @@ def _strict(t):
     return C.strict_candidates(t.students, mentors)
 
 
+STRICT_RULES = """k.group_code = m.group_code AND k.gender_code = m.gender_code AND k.grad_status_code = m.grad_status_code
+      AND k.finance_code = m.finance_code AND m.center_code IN (0, k.center_code) AND m.school_code IN (0, k.school_code)"""
+
+
 @query(
     "J4_matrix_core",
     f"""WITH {STRICT_ROWS}
+    SELECT k.class_key, m.mentor_id, m.rest AS remaining_capacity, 1 + m.allocations_new AS total_allocations,
+      CASE WHEN m.rest <= 0 THEN 'capacity_exhausted' ELSE '' END AS blocking_codes, m.rest > 0 AS capacity_ok,
+      'type=matrix_core,group=ok,gender=ok,graduation_status=ok,center=ok,finance=ok,school=ok,capacity_gate=' ||
+        CASE WHEN m.rest > 0 THEN 'ok' ELSE 'blocked' END AS trace
+    FROM k JOIN m ON {STRICT_RULES}""",
+    ("students", "mentors"),
+)
+def matrix_core(t):
+    """Every link under the strict rules with its capacity outcome and trace."""
+    from matchloom.operators.matrix_core import strict_trace
+
+    text = F.array_join(F.transform("trace", lambda e: F.concat(e["stage"], F.lit("="), e["status"])), ",")
+    return strict_trace(_strict(t).pairs()).select(
+        "class_key", "mentor_id", "remaining_capacity", "total_allocations",
+        F.array_join("blocking_codes", ",").alias("blocking_codes"), "capacity_ok", text.alias("trace"),
+    )
+
+
+@query(
+    "J4_matrix_core_counts",
+    f"""WITH {STRICT_ROWS}
     SELECT k.class_key, count(m.mentor_id) AS candidates, CAST(sum(m.rest) AS BIGINT) AS places, CAST(sum(1 + m.allocations_new) AS BIGINT) AS allocations,
       CAST(sum(CASE WHEN m.rest <= 0 THEN 1 WHEN m.rest > 0 THEN 0 END) AS BIGINT) AS blocked, CAST(sum(m.pool_order) AS BIGINT) AS members_sum
     FROM k LEFT JOIN m ON k.group_code = m.group_code AND k.gender_code = m.gender_code AND k.grad_status_code = m.grad_status_code
       AND k.finance_code = m.finance_code AND m.center_code IN (0, k.center_code) AND m.school_code IN (0, k.school_code) GROUP BY k.class_key""",
     ("students", "mentors"),
 )
-def matrix_core(t):
+def matrix_core_counts(t):
     """Links of each class under the strict rules, with their capacity outcome added up."""
     out = _strict(t).counted(
         places=F.col("remaining_capacity"), allocations=F.col("total_allocations"),

@@ -36,3 +36,8 @@ def test_class_pairs_are_whole(spark):
 def test_variant_pairs_are_whole(spark):
     rule = f"{CENTER} AND (s.school_code = 0 OR m.school_code IN (0, s.school_code))"
     whole(spark, "J3_bucket_variant_join", ["class_key", "mentor_id", "pool_order"], rule)
+
+
+def test_strict_pairs_are_whole(spark):
+    rule = f"s.finance_code = m.finance_code AND {CENTER} AND m.school_code IN (0, s.school_code)"
+    whole(spark, "J4_matrix_core", ["class_key", "mentor_id", "blocking_codes", "trace"], rule)
