@@ -28,6 +28,7 @@ from matchloom.session import cut_lineage
 COUNTERS = ("counter", "allocation_counter", "student_id", "row_number")
 STRATEGIES = ("none", "deterministic_jitter", "round_robin")
 DIGIT = 16
+STRETCH_BITS = 16
 
 
 @dataclass(frozen=True)
@@ -148,6 +149,25 @@ def top_ranked(c: Candidates, k: int) -> DataFrame:
     return c.links.join(heads, "bucket").drop("bucket").withColumn("rank", F.row_number().over(own).cast("bigint")).where(F.col("rank") <= k)
 
 
+def _stretch() -> Column:
+    return F.shiftright("place", STRETCH_BITS).alias("__b")
+
+
+def ranked_pairs(c: Candidates) -> DataFrame:
+    """Every pair with its ``rank`` in the class; ``members`` carry ``place``.
+
+    The pairs before a stretch of places are known from the counts of the buckets, so that only the pairs
+    of one class and stretch are sorted together.
+    """
+    per_bucket = c.members.groupBy("bucket", _stretch()).agg(F.count(F.lit(1)).alias("__n"))
+    cells = c.links.join(per_bucket, "bucket").groupBy("class_key", "__b").agg(F.sum("__n").alias("__n"))
+    earlier = W.partitionBy("class_key").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = cells.select("class_key", "__b", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).cast("bigint").alias("__off"))
+    inside = W.partitionBy("class_key", "__b").orderBy("place")
+    numbered = c.pairs().withColumn("__b", _stretch()).withColumn("rank", F.row_number().over(inside).cast("bigint"))
+    return numbered.join(offsets, ["class_key", "__b"]).withColumn("rank", F.col("rank") + F.col("__off")).drop("__b", "__off")
+
+
 class PlaceTree:
     """Counts of every run by the hexadecimal digits of its places; each level is one row a (bucket, prefix)."""
 

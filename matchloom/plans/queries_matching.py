@@ -9,6 +9,7 @@ from matchloom.operators import candidates as C
 from matchloom.operators import matching as M
 from matchloom.plans import check_sql as ck
 from matchloom.plans.registry import query
+from matchloom.session import cut_lineage
 
 # Check-side join written as the plain rules, independent of the buckets.
 PRED = """s.group_code = m.group_code AND s.gender_code = m.gender_code AND s.grad_status_code = m.grad_status_code
@@ -247,10 +248,21 @@ RANKED = f"""{PAIRS}, {STATE},
 
 @query(
     "W1_rank_candidates",
-    f"""WITH {RANKED} SELECT class_key, rank, mentor_id, pool_order FROM r WHERE rank <= 3 OR rank = candidates OR rank = (candidates + 1) // 2""",
+    f"""WITH {RANKED} SELECT class_key, mentor_id, pool_order, rank FROM r""",
     ("students", "mentors"),
 )
 def rank_candidates(t):
+    """Every candidate of every class with its rank."""
+    placed = cut_lineage(C.placed_pool(t.mentors))
+    return C.ranked_pairs(C.candidates(t.students, placed)).select("class_key", "mentor_id", "pool_order", "rank")
+
+
+@query(
+    "W1_rows_at_ranks",
+    f"""WITH {RANKED} SELECT class_key, rank, mentor_id, pool_order FROM r WHERE rank <= 3 OR rank = candidates OR rank = (candidates + 1) // 2""",
+    ("students", "mentors"),
+)
+def rows_at_ranks(t):
     """The first three, the middle and the last candidate of every class, found by their ranks."""
     c = C.candidates(t.students, C.placed_pool(t.mentors))
     n = F.col("candidates")

@@ -41,3 +41,23 @@ def test_variant_pairs_are_whole(spark):
 def test_strict_pairs_are_whole(spark):
     rule = f"s.finance_code = m.finance_code AND {CENTER} AND m.school_code IN (0, s.school_code)"
     whole(spark, "J4_matrix_core", ["class_key", "mentor_id", "blocking_codes", "trace"], rule)
+
+
+def test_ranked_pairs_are_whole(spark):
+    whole(spark, "W1_rank_candidates", ["class_key", "mentor_id", "pool_order", "rank"], f"{CENTER} AND {FLAGGED}")
+
+
+def brute_places(sdf, pool, place):
+    out = {}
+    for r in sdf.withColumn("class_key", M.class_key()).collect():
+        out[r["class_key"]] = sorted(place[m[1]] for m in pool if eligible(tuple(r)[:7], m))
+    return {k: v for k, v in out.items() if v}
+
+
+def test_ranks_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(C, "STRETCH_BITS", 2)
+    _, pool, sdf, pdf = small(spark, 13)
+    c = C.candidates(sdf, C.placed_pool(pdf))
+    place = {r[0]: r[1] for r in c.members.select("pool_order", "place").distinct().collect()}
+    got = {(r["class_key"], r["rank"]): r["place"] for r in C.ranked_pairs(c).collect()}
+    assert got == {(k, i + 1): p for k, v in brute_places(sdf, pool, place).items() for i, p in enumerate(v)} and got
