@@ -168,6 +168,20 @@ def ranked_pairs(c: Candidates) -> DataFrame:
     return numbered.join(offsets, ["class_key", "__b"]).withColumn("rank", F.col("rank") + F.col("__off")).drop("__b", "__off")
 
 
+def changed_classes(c: Candidates) -> DataFrame:
+    """class_key and ``order_changed``: whether ``place`` and ``plain_place`` order the pairs of a class differently.
+
+    The orders are the same when plain places rise along the places: inside every stretch, and from each stretch to the next.
+    """
+    inside = W.partitionBy("class_key", "__b").orderBy("place")
+    fell = F.coalesce(F.col("plain_place") < F.lag("plain_place").over(inside), F.lit(False))
+    steps = c.pairs().select("class_key", "place", "plain_place", _stretch()).withColumn("fell", fell)
+    cells = steps.groupBy("class_key", "__b").agg(F.bool_or("fell").alias("fell"), F.min("plain_place").alias("lo"), F.max("plain_place").alias("hi"))
+    earlier = W.partitionBy("class_key").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    back = F.coalesce(F.col("lo") < F.max("hi").over(earlier), F.lit(False))
+    return cells.select("class_key", (F.col("fell") | back).alias("fell")).groupBy("class_key").agg(F.bool_or("fell").alias("order_changed"))
+
+
 class PlaceTree:
     """Counts of every run by the hexadecimal digits of its places; each level is one row a (bucket, prefix)."""
 
@@ -232,3 +246,16 @@ def fairness_report(students: DataFrame, pool: DataFrame, strategies: Sequence[s
         part = both.select(F.lit(strategy).alias("strategy"), "class_key", "rank", "mentor_id", "pool_order", moved.alias("order_changed"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def fair_pairs(students: DataFrame, pool: DataFrame, strategies: Sequence[str] = STRATEGIES[1:], policy: Policy | None = None) -> DataFrame:
+    """Every pair with its rank under each strategy, and whether its class has another order than the plain one."""
+    plain = placed_pool(pool).select("pool_order", F.col("place").alias("plain_place"))
+    out = None
+    for strategy in strategies:
+        placed = cut_lineage(placed_pool(pool, strategy).join(plain, "pool_order"))
+        c = candidates(students, placed, policy)
+        part = lookup(ranked_pairs(c), changed_classes(c), ["class_key"], ["order_changed"])
+        part = part.select(F.lit(strategy).alias("strategy"), "class_key", "mentor_id", "pool_order", "rank", "order_changed")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -307,20 +307,33 @@ def top_candidate(t):
     return M.candidate_stats(t.students, t.mentors).select("student_id", "best_mentor", "best_remaining")
 
 
-@query(
-    "W3_fairness_order",
-    f"""WITH {PAIRS}, {STATE},
+FAIR = f"""{PAIRS}, {STATE},
     tie AS (SELECT *, sha256(CAST(mentor_id AS VARCHAR)) AS round_robin, sha256(CAST(pool_order AS VARCHAR)) AS deterministic_jitter FROM pool),
     r AS (SELECT p.class_key, m.mentor_id, m.pool_order, s.strategy,
       row_number() OVER (PARTITION BY s.strategy, p.class_key ORDER BY m.initial DESC, m.allocations_new, m.mentor_sort, m.pool_order) AS plain_rank,
       row_number() OVER (PARTITION BY s.strategy, p.class_key ORDER BY m.initial DESC, m.allocations_new,
         CASE s.strategy WHEN 'round_robin' THEN round_robin ELSE deterministic_jitter END, m.mentor_sort, m.pool_order) AS rank
-      FROM pairs p JOIN tie m USING (pool_order) CROSS JOIN (VALUES ('round_robin'), ('deterministic_jitter')) s(strategy)),
-    f AS (SELECT strategy, class_key, bool_or(rank <= 5 AND plain_rank <> rank) AS order_changed FROM r GROUP BY ALL)
-    SELECT strategy, class_key, rank, mentor_id, pool_order, order_changed FROM r JOIN f USING (strategy, class_key) WHERE rank <= 5""",
+      FROM pairs p JOIN tie m USING (pool_order) CROSS JOIN (VALUES ('round_robin'), ('deterministic_jitter')) s(strategy))"""
+
+
+@query(
+    "W3_fairness_order",
+    f"""WITH {FAIR}
+    SELECT strategy, class_key, mentor_id, pool_order, rank, bool_or(rank <> plain_rank) OVER (PARTITION BY strategy, class_key) AS order_changed FROM r""",
     ("students", "mentors"),
 )
 def fairness_order(t):
+    """Every candidate of every class with its rank under both strategies; the flag tells whether the class's order is another than the plain one."""
+    return C.fair_pairs(t.students, t.mentors)
+
+
+@query(
+    "W3_fairness_top_five",
+    f"""WITH {FAIR}, f AS (SELECT strategy, class_key, bool_or(rank <= 5 AND plain_rank <> rank) AS order_changed FROM r GROUP BY ALL)
+    SELECT strategy, class_key, rank, mentor_id, pool_order, order_changed FROM r JOIN f USING (strategy, class_key) WHERE rank <= 5""",
+    ("students", "mentors"),
+)
+def fairness_top_five(t):
     """First five of each class under both strategies; the flag tells whether they are other rows, or in another order, than the plain five."""
     return C.fairness_report(t.students, t.mentors)
 

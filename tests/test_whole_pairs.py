@@ -61,3 +61,21 @@ def test_ranks_over_stretches(spark, monkeypatch):
     place = {r[0]: r[1] for r in c.members.select("pool_order", "place").distinct().collect()}
     got = {(r["class_key"], r["rank"]): r["place"] for r in C.ranked_pairs(c).collect()}
     assert got == {(k, i + 1): p for k, v in brute_places(sdf, pool, place).items() for i, p in enumerate(v)} and got
+
+
+def test_fair_pairs_are_whole(spark):
+    whole(spark, "W3_fairness_order", ["strategy", "class_key", "mentor_id", "pool_order", "rank", "order_changed"], f"{CENTER} AND {FLAGGED}", times=2)
+
+
+def test_order_flags_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(C, "STRETCH_BITS", 2)
+    _, pool, sdf, pdf = small(spark, 14)
+    plain = {r["pool_order"]: r["place"] for r in C.placed_pool(pdf).collect()}
+    fair = {r["pool_order"]: r["place"] for r in C.placed_pool(pdf, "round_robin").collect()}
+    back = {p: o for o, p in fair.items()}
+    want = {}
+    for key, places in brute_places(sdf, pool, fair).items():
+        order = [plain[back[p]] for p in places]
+        want[key] = order != sorted(order)
+    got = {r["class_key"]: r["order_changed"] for r in C.fair_pairs(sdf, pdf, ["round_robin"]).collect()}
+    assert got == want and set(want.values()) == {True, False}
