@@ -127,12 +127,13 @@ def _bounds(c) -> Column:
     tokens = F.filter(F.split(F.trim(text), r"[,،\s]+"), lambda t: t != "")
     digits = lambda t: F.regexp_replace(t, "[^0-9]", "").try_cast("bigint")
 
-    def bounds(t: Column) -> Column:
-        lo = digits(F.substring_index(t, ":", 1))
-        hi = digits(F.when(t.contains(":"), F.regexp_extract(t, ":(.*)$", 1)).otherwise(t))
-        return F.struct(F.least(lo, hi).alias("lo"), F.when(lo.isNotNull() & hi.isNotNull(), F.greatest(lo, hi)).alias("hi"))
+    def ends(t: Column) -> Column:
+        hi = F.when(t.contains(":"), F.regexp_extract(t, ":(.*)$", 1)).otherwise(t)
+        return F.struct(digits(F.substring_index(t, ":", 1)).alias("a"), digits(hi).alias("b"))
 
-    return F.filter(F.transform(tokens, bounds), lambda b: b["hi"].isNotNull())
+    # Two steps, so that the texts of a token are read once.
+    read = F.filter(F.transform(tokens, ends), lambda e: e["a"].isNotNull() & e["b"].isNotNull())
+    return F.transform(read, lambda e: F.struct(F.least(e["a"], e["b"]).alias("lo"), F.greatest(e["a"], e["b"]).alias("hi")))
 
 
 def _code_array(codes) -> Column:
@@ -140,7 +141,9 @@ def _code_array(codes) -> Column:
 
 
 def _named(bounds: Column, valid) -> Column:
-    return F.filter(_code_array(valid), lambda v: F.exists(bounds, lambda b: v.between(b["lo"], b["hi"])))
+    # The cell is cut into bounds once, outside of the lambda over the codes.
+    inside = F.transform(bounds, lambda b: F.filter(_code_array(valid), lambda v: v.between(b["lo"], b["hi"])))
+    return F.array_sort(F.array_distinct(F.flatten(inside)))
 
 
 def parse_group_codes(c, valid=VALID_CODES) -> Column:

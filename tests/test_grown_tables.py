@@ -1,10 +1,13 @@
 """Queries on tables larger than the given ones, next to their check SQL."""
 
+import time
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from matchloom.functions import keys
 from oracle import compare
 
 
@@ -34,3 +37,18 @@ def test_counters_past_the_last_number(spark, grown):
     check(spark, made, "W5_assign_counters")
     rows = entry.queries()["W5_assign_counters"](spark, made[0])
     assert rows.count() == 45000 and rows.where(F.col("student_id").isNull()).count() > 0
+
+
+def test_group_cells_are_read_once_for_all_codes(spark):
+    """Naming the valid codes of a cell costs about as much as reading its tokens, not that much for each code."""
+    cells = spark.range(20000, numPartitions=1).select(F.concat_ws(" ", F.lit("1,3 24-27"), F.col("id").cast("string")).alias("c")).localCheckpoint()
+
+    def seconds(column):
+        took = []
+        for _ in range(3):
+            start = time.time()
+            cells.select(column).write.format("noop").mode("overwrite").save()
+            took.append(time.time() - start)
+        return min(took)
+
+    assert seconds(keys.parse_group_codes("c")) < 5 * seconds(keys._bounds("c"))
