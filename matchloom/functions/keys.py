@@ -88,11 +88,12 @@ def canonical_key(c, key: str, policy: Policy | None = None) -> tuple[Column, Co
     missing_code, invalid_code = F.lit("DATA_MISSING"), F.lit("DATA_INVALID")
     if key == "gender_code":
         folded = norm_text(c)
+        # A number never folds to nothing or to a word, so the fold is left to other cells.
         out = (
-            F.when(folded == "", none)
+            F.when(value.isNotNull(), F.when(value.isin(0, 1), value))
+            .when(folded == "", none)
             .when(folded.isin(*STRICT_MALE), _long(1))
             .when(folded.isin(*STRICT_FEMALE), _long(0))
-            .when(value.isin(0, 1), value)
         )
         return out, F.when(out.isNull(), missing_code)
     if key == "school_code":
@@ -111,6 +112,8 @@ def canonical_key(c, key: str, policy: Policy | None = None) -> tuple[Column, Co
                 mapped, F.when((folded == "") & ~missing & value.isNull(), _long(star))
             )
         ok = F.coalesce(mapped, F.when(value >= 0, value))
+        if not any(ch.isdigit() for name in policy.center_map for ch in name):
+            ok = F.when(value.isNotNull(), F.when(value >= 0, value)).otherwise(mapped)
         code = F.when(missing | (value < 0), missing_code).otherwise(invalid_code)
         return ok, F.when(ok.isNull(), code)
     if key == "group_code":

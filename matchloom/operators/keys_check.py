@@ -41,11 +41,12 @@ def split_valid_keys(
         else:
             value, code = keys.canonical_key(raw, key, policy)
             entries.append((key, F.col(raw), code))
-        values[f"__v_{key}"] = value
+        values[f"__v_{key}"] = value.alias(f"__v_{key}")
     issues = _stack(df, [row], entries).select(
         F.lit(entity).alias("entity_type"), F.col(row).alias("row_index"), "column", "raw_value", "error_code"
     )
-    valid = df.withColumns(values).dropna(subset=list(values))
+    # A generator keeps the filters on the values, here and downstream, from stating them over again.
+    valid = df.select("*", F.inline(F.array(F.struct(*values.values())))).dropna(subset=list(values))
     keep = [c for c in df.columns if c not in KEYS]
     return valid.select(*keep, *[F.col(f"__v_{k}").alias(k) for k in KEYS]), issues
 

@@ -52,3 +52,16 @@ def test_group_cells_are_read_once_for_all_codes(spark):
         return min(took)
 
     assert seconds(keys.parse_group_codes("c")) < 5 * seconds(keys._bounds("c"))
+
+
+def test_import_reads_the_report_once(spark):
+    """No join of the report with itself, and the keys are worked out in one generator that filters stay above."""
+    from matchloom.config import KEYS
+    from matchloom.sources.imports import import_kind
+
+    cells = [("1", "1", "1", "1", "1", "0", "0"), ("2", "?", "1", "1", "1", "0", "0"), (None, "3", "دختر", "0", "1", "0", "")]
+    raw = spark.createDataFrame(cells, "row_id string, " + ", ".join(f"{k} string" for k in KEYS)).withColumn("student_id", F.col("row_id"))
+    done = import_kind(raw, "students", {k: k for k in KEYS}, "row_id")
+    plan = done.rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Generate inline") == 1
+    assert {(r["row_id"], r["group_code"], r["gender_code"]) for r in done.rows.collect()} == {("1", 1, 1), (None, 3, 0)}
