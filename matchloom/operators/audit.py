@@ -12,6 +12,7 @@ from matchloom.operators.numbering import lookup
 
 LETTERS = {"group_code": "group", "gender_code": "gender", "grad_status_code": "status",
            "center_code": "center", "finance_code": "finance", "school_code": "school"}
+CHECKS = ("all", *LETTERS.values())
 
 
 def _owners(alloc: DataFrame, pool: DataFrame) -> DataFrame:
@@ -31,54 +32,49 @@ def _owners(alloc: DataFrame, pool: DataFrame) -> DataFrame:
     return out.withColumn("owner", owner).withColumn("lookup_mode", mode).drop("__id", "__al", "__by_id", "__by_alias")
 
 
-def _pool_by_owner(pool: DataFrame) -> DataFrame:
-    """Distinct profiles under both references of their mentor."""
+def _pool_by_owner(pool: DataFrame, side: tuple) -> DataFrame:
+    """What the profiles of a mentor accept, under both of its references: one row, with the distinct values of every check."""
     refs = [F.concat(F.lit("I:"), F.trim(F.col("mentor_id").cast("string")))]
     if "alias" in pool.columns:
         refs.append(F.when(F.trim("alias") != "", F.concat(F.lit("A:"), F.trim("alias"))))
     extra = ["has_school_constraint"] if "has_school_constraint" in pool.columns else []
-    return pool.select(F.explode(F.array_compact(F.array(*refs))).alias("owner"), *KEYS, *extra).distinct()
+    profiles = pool.select(F.explode(F.array_compact(F.array(*refs))).alias("owner"), *KEYS, *extra).distinct()
+    accepted = profiles.select("owner", *[v.alias(f"__m_{n}") for n, v in _checks(*side).items()])
+    return accepted.groupBy("owner").agg(*[F.array_distinct(F.flatten(F.collect_set(f"__m_{n}"))).alias(f"__m_{n}") for n in CHECKS])
 
 
 def _t(name: str) -> Column:
     return F.col(name).cast("string")
 
 
-def _checks(one: dict[str, Column], many: dict[str, Column]) -> Column:
-    """(check, value) entries: one per accepted value of a key and one per accepted whole row.
+def _checks(one: dict[str, Column], many: dict[str, Column]) -> dict[str, Column]:
+    """Accepted values by check, as arrays of texts: each key, and ``all`` for the six keys together.
 
     ``one`` holds keys with a single text (null accepts nothing), ``many`` keys with an
     array of texts (center and school, at most two and three).
     """
-    entry = lambda n, v: F.struct(F.lit(n).alias("check"), v.alias("value"))
-    head = F.array(*[entry(LETTERS[k], v) for k, v in one.items()])
+    out = {LETTERS[k]: F.array_compact(F.array(v)) for k, v in one.items()} | {LETTERS[k]: F.array_compact(v) for k, v in many.items()}
     prefix = F.concat(*[F.concat(v, F.lit("|")) for v in one.values()])
     if not many:
-        return F.concat(head, F.array(entry("all", prefix)))
+        return out | {"all": F.array_compact(F.array(prefix))}
     a, b = many.values()
-    whole = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: entry("all", F.concat(prefix, x, F.lit("|"), y)))))
-    first, second = (LETTERS[k] for k in many)
-    return F.concat(head, F.transform(a, lambda x: entry(first, x)), F.transform(b, lambda x: entry(second, x)), whole)
+    whole = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.concat(prefix, x, F.lit("|"), y))))
+    return out | {"all": F.array_compact(whole)}
 
 
 def _audit(alloc: DataFrame, students: DataFrame, pool: DataFrame, student_side: tuple, pool_side: tuple) -> DataFrame:
     """Flag columns per allocation row.
 
     A key matches when some profile of the mentor shares an accepted value, the row when
-    one profile shares all six. Both are equi lookups of (mentor, check, value) evaluated
-    once per distinct (mentor, student keys), so neither a mentor with many profiles nor
-    one with many allocations produces pairs.
+    one profile shares all six. A mentor is one row with the distinct values that its profiles
+    accept, so an allocation meets one student and one mentor and is never multiplied.
     """
     s = students.select("student_id", *[F.col(k) for k in KEYS])
     base = lookup(_owners(alloc.drop(*KEYS), pool), s, ["student_id"], list(KEYS), "left")
-    combos = base.where(F.col("owner").isNotNull()).select("owner", *KEYS).distinct()
-    asked = combos.withColumn("x", F.explode(_checks(*student_side))).select("owner", *KEYS, "x.check", "x.value").where(F.col("value").isNotNull())
-    have = _pool_by_owner(pool).withColumn("x", F.explode(_checks(*pool_side))).select("owner", "x.check", "x.value").distinct()
-    hits = asked.join(have, ["owner", "check", "value"])
-    names = ["all", *LETTERS.values()]
-    flags = hits.groupBy("owner", *KEYS).agg(*[F.max(F.col("check") == n).alias(f"match_{n}") for n in names])
-    out = lookup(base, flags, ["owner", *KEYS], [f"match_{n}" for n in names], "left")
-    return out.withColumns({f"match_{n}": F.coalesce(f"match_{n}", F.lit(False)) for n in names}).withColumnRenamed("match_all", "valid")
+    both = lookup(base, _pool_by_owner(pool, pool_side), ["owner"], [f"__m_{n}" for n in CHECKS], "left")
+    asked = _checks(*student_side)
+    flags = {f"match_{n}": F.coalesce(F.arrays_overlap(asked[n], F.col(f"__m_{n}")), F.lit(False)) for n in CHECKS}
+    return both.select(*base.columns, *[v.alias(n) for n, v in flags.items()]).withColumnRenamed("match_all", "valid")
 
 
 def _summary(audit: DataFrame) -> DataFrame:

@@ -65,3 +65,13 @@ def test_import_reads_the_report_once(spark):
     plan = done.rows._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Generate inline") == 1
     assert {(r["row_id"], r["group_code"], r["gender_code"]) for r in done.rows.collect()} == {("1", 1, 1), (None, 3, 0)}
+
+
+def multiplies(df):
+    """Whether rows are dealt into one a check."""
+    return "Generate explode(concat(" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_audit_summary_does_not_multiply_allocations(spark):
+    df = entry.queries()["Q14_alloc_join_02"](spark, "/root/testdata/sf0.001")
+    assert not multiplies(df) and df.count() == 1
