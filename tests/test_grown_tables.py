@@ -75,3 +75,8 @@ def multiplies(df):
 def test_audit_summary_does_not_multiply_allocations(spark):
     df = entry.queries()["Q14_alloc_join_02"](spark, "/root/testdata/sf0.001")
     assert not multiplies(df) and df.count() == 1
+
+
+def test_audit_does_not_multiply_allocations(spark):
+    df = entry.queries()["J12_join_key_audit_wildcard"](spark, "/root/testdata/sf0.001")
+    assert not multiplies(df) and {r["valid"] for r in df.collect()} == {True, False}
