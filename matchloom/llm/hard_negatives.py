@@ -4,8 +4,9 @@ Rows are packed into tiles by sort-tile-recursive order (Leutenegger et al. 1997
 coordinate by a range partition of the table, then slices by the widest coordinates inside each slab,
 then leaves of ``LEAF`` rows under boxes of ``FAN`` children. A tile holds one label and a bounded
 number of values. For a query, the bounding box of a node gives an interval for each product of
-coordinates and, summed, one for the score. A best-first queue takes the nodes by their upper ends; a node goes
-if it lies outside every score window still open, or strictly below the kth score found. Scores are
+coordinates and, summed, one for the score. Anchors search in blocks: a best-first queue takes the nodes by
+their upper ends, and one matrix product scores the rows of its leaves for the whole block; a node goes if, for
+every anchor, it lies outside each score window still open, or strictly below the kth score found. Scores are
 exact integers.
 
 The first search finds the positives (tiles of the anchor's label), the second the negatives.
@@ -15,6 +16,7 @@ the anchors through. What it returns is at most k rows a window, and a ranking m
 
 from __future__ import annotations
 
+import copy
 import heapq
 
 import numpy as np
@@ -34,6 +36,8 @@ LEAST_PERCENT = 80
 LEAF, FAN = 32, 16
 #: Leaves that the queue hands over at once.
 TAKE = 16
+#: Anchors that search together, and the bounds (anchors x leaves) that their queue may hold.
+BLOCK, QUEUE_BOUNDS = 1024, 1 << 22
 #: Values (rows x length) of a tile, and of the tiles of a group, which a task holds together.
 TILE_VALUES, GROUP_VALUES = 1 << 20, 1 << 24
 NONE = -(1 << 63)
@@ -57,15 +61,20 @@ def str_order(x: np.ndarray) -> np.ndarray:
     return np.concatenate(tiles(np.arange(len(x)), wide))
 
 
+def exact_type(dims: int, one: int, other: int) -> type:
+    """The fastest type that holds every sum of products of ``dims`` components up to ``one`` and ``other``."""
+    most = dims * one * other
+    if most >= 1 << 62:
+        raise OverflowError("components too large: their integer products do not fit a long")
+    return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+
+
 class Tree:
     """One tile: rows in STR order, and the boxes of each level from the leaves up."""
 
     def __init__(self, label: int, ids: np.ndarray, x: np.ndarray):
-        most = int(np.abs(x).max(initial=0))
-        if x.shape[1] * most * most >= 1 << 62:
-            raise OverflowError("components too large: their integer products do not fit a long")
-        exact = x.shape[1] * most * most < 1 << 53  # then doubles hold every product and sum exactly
-        self.label, self.ids, self.x, self.most = label, ids, x.astype(np.float64) if exact else x.astype(np.int64), most
+        self.label, self.ids, self.most = label, ids, int(np.abs(x).max(initial=0))
+        self.x = x.astype(exact_type(x.shape[1], self.most, self.most))
         low, high, self.levels = self.x, self.x, []
         for fan in (LEAF, *[FAN] * 64):
             at = np.arange(0, len(low), fan)
@@ -74,66 +83,90 @@ class Tree:
             if len(low) == 1:
                 break
 
+    def of_type(self, kind: type) -> Tree:
+        """The same tile with numbers of another type."""
+        if self.x.dtype == kind:
+            return self
+        tree = copy.copy(self)
+        tree.x, tree.levels = self.x.astype(kind), [(low.astype(kind), high.astype(kind)) for low, high in self.levels]
+        return tree
+
     def bounds(self, level: int, nodes: slice, up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least and greatest score in each box: a coordinate contributes q * low to q * high, or the reverse."""
+        """Least and greatest score of each anchor in each box: a coordinate contributes q * low to q * high, or the reverse."""
         low, high = (side[nodes] for side in self.levels[level])
         return low @ up + high @ down, high @ up + low @ down
 
 
 class Window:
-    """The best ``k`` (score, id) found in one score window; higher first, ties by the smaller id."""
-
-    def __init__(self, low: int, high: int, k: int):
-        self.low, self.high, self.k = low, high, k
-        self.score, self.id = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def floor(self) -> int:
-        """Scores strictly below can't come in any more."""
-        return max(self.low, int(self.score[-1])) if len(self.score) == self.k else self.low
-
-    def take(self, score: np.ndarray, ids: np.ndarray) -> None:
-        fits = (score >= self.floor()) & (score <= self.high)
-        if fits.any():
-            s, i = np.r_[self.score, score[fits]], np.r_[self.id, ids[fits]]
-            best = np.lexsort((i, -s))[: self.k]
-            self.score, self.id = s[best], i[best]
-
-
-def search(trees: list[Tree], query: np.ndarray, self_id: int, windows: list[Window]) -> None:
-    """Fill ``windows`` from all rows of ``trees`` but those of ``self_id``, best boxes first."""
-    up, down = np.maximum(query, 0), np.minimum(query, 0)
+    """The best ``k`` (score, id) that each anchor of a block found in its score window; higher first, ties by the smaller id."""
+
+    def __init__(self, low: np.ndarray | int, high: np.ndarray | int, k: int):
+        #: Scores strictly below can't come in any more: the low end, or the kth score.
+        self.floor = np.atleast_1d(np.array(low, np.int64))
+        self.high, self.k = np.atleast_1d(np.array(high, np.int64)), k
+        self.anchor = self.score = self.id = np.zeros(0, np.int64)
+
+    def take(self, anchor: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        fits = np.flatnonzero((score >= self.floor[anchor]) & (score <= self.high[anchor]))
+        if len(fits):
+            changed = np.zeros(len(self.floor), bool)
+            changed[anchor[fits]] = True
+            old = changed[self.anchor]
+            a, s, i = (np.concatenate([mine[old], new[fits]]) for mine, new in ((self.anchor, anchor), (self.score, score), (self.id, ids)))
+            order = np.lexsort((i, -s, a))
+            a, s, i = a[order], s[order], i[order]
+            rank = np.arange(len(a)) - np.searchsorted(a, a)
+            best, last = rank < self.k, rank == self.k - 1
+            self.anchor, self.score, self.id = (np.concatenate([mine[~old], new[best]]) for mine, new in ((self.anchor, a), (self.score, s), (self.id, i)))
+            self.floor[a[last]] = s[last]
+
+
+def search(trees: list[Tree], query: np.ndarray, self_id: np.ndarray | int, windows: list[Window], part: list[np.ndarray] | None = None) -> None:
+    """Fill ``windows`` for a block of anchors (rows of ``query``) from all rows of ``trees`` but those of the
+    anchor's ``self_id``, best boxes first. ``part`` names the anchors that take part in each tree (None: all)."""
+    q, self_id = np.ascontiguousarray(np.atleast_2d(query).T), np.atleast_1d(self_id)
+    up, down = np.maximum(q, 0), np.minimum(q, 0)
+    top = np.stack([w.high for w in windows])[:, None].astype(q.dtype)
     queue: list[tuple] = []
     heap_no = 0
 
-    def push(tree: Tree, level: int, nodes: slice) -> None:
+    def floors() -> np.ndarray:
+        return np.stack([w.floor for w in windows])[:, None].astype(q.dtype)
+
+    def wanted(low: np.ndarray, high: np.ndarray, fits: np.ndarray) -> np.ndarray:
+        """Boxes (rows of ``low`` and ``high``) that meet a window still open of an anchor that takes part."""
+        return ((high >= floor) & (low <= top) & fits).any(axis=(0, 2))
+
+    def push(tree: Tree, fits: np.ndarray, level: int, nodes: slice) -> None:
         nonlocal heap_no
         low, high = tree.bounds(level, nodes, up, down)
-        for k in range(len(low)):
-            if any(high[k] >= w.floor() and low[k] <= w.high for w in windows):
-                heap_no += 1
-                heapq.heappush(queue, (-high[k], heap_no, low[k], tree, level, nodes.start + k))
+        for k in np.flatnonzero(wanted(low, high, fits)).tolist():
+            heap_no += 1
+            heapq.heappush(queue, (-high[k].max(), heap_no, low[k], high[k], tree, fits, level, nodes.start + k))
 
-    for tree in trees:
-        push(tree, len(tree.levels) - 1, slice(0, 1))
+    floor = floors()
+    for tree, fits in zip(trees, part or [np.ones(len(self_id), bool)] * len(trees), strict=True):
+        push(tree, fits, len(tree.levels) - 1, slice(0, 1))
     while queue:
-        leaves: dict[int, list] = {}
-        taken = 0
-        while queue and taken < TAKE:
-            high, _, low, tree, level, node = heapq.heappop(queue)
-            if not any(-high >= w.floor() and low <= w.high for w in windows):
+        leaves: list[tuple] = []
+        while queue and len(leaves) < TAKE:
+            _, _, low, high, tree, fits, level, node = heapq.heappop(queue)
+            if not wanted(low[None], high[None], fits)[0]:
                 continue
             if level:
-                push(tree, level - 1, slice(node * FAN, min((node + 1) * FAN, len(tree.levels[level - 1][0]))))
+                push(tree, fits, level - 1, slice(node * FAN, min((node + 1) * FAN, len(tree.levels[level - 1][0]))))
             else:
-                leaves.setdefault(id(tree), [tree]).append(node)
-                taken += 1
-        for tree, *nodes in leaves.values():
-            rows = (np.array(nodes)[:, None] * LEAF + np.arange(LEAF)).ravel()
-            rows = rows[rows < len(tree.ids)]
-            score = (tree.x[rows] @ query).astype(np.int64)
-            other = tree.ids[rows] != self_id
-            for w in windows:
-                w.take(score[other], tree.ids[rows][other])
+                leaves.append((tree, fits, np.arange(node * LEAF, min((node + 1) * LEAF, len(tree.ids)))))
+        if not leaves:
+            break
+        score = np.concatenate([tree.x[rows] for tree, _, rows in leaves]) @ q
+        row, anchor = np.divmod(np.flatnonzero((score >= floor.min(axis=0)) & (score <= top.max(axis=0))), len(self_id))
+        ids = np.concatenate([tree.ids[rows] for tree, _, rows in leaves])[row]
+        leaf = np.repeat(np.arange(len(leaves)), [len(rows) for *_, rows in leaves])[row]
+        other = (ids != self_id[anchor]) & np.stack([fits for _, fits, _ in leaves])[leaf, anchor]
+        for w in windows:
+            w.take(anchor[other], score[row, anchor][other].astype(np.int64), ids[other])
+        floor = floors()
 
 
 def _packed(batches):
@@ -170,40 +203,55 @@ def _packed(batches):
         yield tile(*key, ids, parts)
 
 
+def _block(trees: list[Tree], asked: list[tuple], same_label: bool, k: int, least_percent: int):
+    """vec_id, no, score and found: the best of each window of a block of anchors (vec_id, label, x, scores)."""
+    ids, labels, queries, scores = zip(*asked, strict=True)
+    ids, labels, queries = np.array(ids, np.int64), np.array(labels, np.int64), np.stack(queries)
+    part = [(labels == t.label) == same_label for t in trees]
+    near = [(t, fits) for t, fits in zip(trees, part, strict=True) if t.x.shape[1] == queries.shape[1] and fits.any()]
+    if not near:
+        return None
+    kind = exact_type(queries.shape[1], int(np.abs(queries).max()), max(t.most for t, _ in near))
+    # Where a type holds a score exactly it holds these ends too, or the ends exceed every score.
+    if scores[0] is None:
+        windows = [Window(np.full(len(ids), NONE), np.full(len(ids), -NONE - 1), k)]
+    else:
+        ends = [[(min(max(-(-least_percent * s // 100), NONE), -NONE - 1), s) for s in row] for row in scores]
+        none = (-NONE - 1, NONE)  # an anchor with fewer positives
+        windows = [Window(*zip(*(row[no] if no < len(row) else none for row in ends), strict=True), k) for no in range(max(map(len, ends)))]
+    search([t.of_type(kind) for t, _ in near], queries.astype(kind), ids, windows, [fits for _, fits in near])
+    columns = (np.concatenate(c) for c in zip(*((ids[w.anchor], np.full(len(w.id), no, np.int32), w.score, w.id) for no, w in enumerate(windows, 1)), strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["vec_id", "no", "score", "found"])
+
+
 def _searched(same_label: bool, k: int, least_percent: int):
     """Rows of one group of tiles, then its anchors, group after group; yields the best of each window."""
 
     def run(batches):
-        group, trees = None, []
+        group, trees, asked, leaves = None, [], [], 0
+
+        def answers():
+            if asked and (found := _block(trees, asked, same_label, k, least_percent)) is not None:
+                yield found
+            asked.clear()
+
         for batch in batches:
-            out: list[tuple] = []
             columns = {c: batch.column(c) for c in batch.schema.names}
             for i in range(batch.num_rows):
-                g = columns["g"][i].as_py()
-                if g != group:
-                    group, trees = g, []
-                dims, label, ids, x = (columns[c][i].as_py() for c in ("dims", "label", "ids", "x"))
+                g, dims, label, ids, x = (columns[c][i].as_py() for c in ("g", "dims", "label", "ids", "x"))
                 values = np.frombuffer(x, np.int64).reshape(-1, dims)
+                if g != group or (asked and len(asked[0][2]) != dims):
+                    yield from answers()
+                if g != group:
+                    group, trees, leaves = g, [], 0
                 if ids is not None:
                     trees.append(Tree(label, np.frombuffer(ids, np.int64), values))
+                    leaves += len(trees[-1].levels[0][0])
                     continue
-                near = [t for t in trees if t.x.shape[1] == dims and (t.label == label) == same_label]
-                if not near:
-                    continue
-                most = int(np.abs(values).max())
-                exact = dims * most * max(most, *(t.most for t in near)) < 1 << 53
-                if dims * most * max(t.most for t in near) >= 1 << 62:
-                    raise OverflowError("components too large: their integer products do not fit a long")
-                query = values[0].astype(np.float64 if exact else np.int64)
-                if not exact:
-                    near = [t if t.x.dtype == np.int64 else Tree(t.label, t.ids, t.x.astype(np.int64)) for t in near]
-                anchor, scores = columns["vec_id"][i].as_py(), columns["scores"][i].as_py()
-                windows = [Window(-(-least_percent * s // 100), s, k) for s in scores] if scores is not None else [Window(NONE, -NONE - 1, k)]
-                # Where doubles hold a score exactly they hold these ends too, or the ends exceed every score.
-                search(near, query, anchor, windows)
-                out += [(anchor, no, s, v) for no, w in enumerate(windows, 1) for s, v in zip(w.score.tolist(), w.id.tolist(), strict=True)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["vec_id", "no", "score", "found"])
+                asked.append((columns["vec_id"][i].as_py(), label, values[0], columns["scores"][i].as_py()))
+                if len(asked) >= min(BLOCK, QUEUE_BOUNDS // max(1, leaves), TILE_VALUES // dims):
+                    yield from answers()
+        yield from answers()
 
     return run
 
@@ -222,7 +270,7 @@ def _best(tiles: DataFrame, anchors: DataFrame, groups: int, same_label: bool, k
     """vec_id, no, rank, score and found: the best ``k`` of each window over all groups of tiles."""
     held = tiles.select("g", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("vec_id"), "dims", "label", "ids", "x", F.lit(None).cast("array<bigint>").alias("scores"))
     asked = anchors.select("g", F.lit(1).alias("kind"), "vec_id", "dims", "label", F.lit(None).cast("binary").alias("ids"), "x", "scores")
-    both = held.unionByName(asked).repartitionById(groups, F.col("g")).sortWithinPartitions("g", "kind")
+    both = held.unionByName(asked).repartitionById(groups, F.col("g")).sortWithinPartitions("g", "kind", "dims", "label")
     found = both.mapInArrow(_searched(same_label, k, least_percent), "vec_id long, no int, score long, found long")
     order = W.partitionBy("vec_id", "no").orderBy(F.desc("score"), "found")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -156,6 +156,36 @@ def test_tree_search_prunes_and_loses_nothing():
     assert sum(seen) < len(x)  # the far boxes are not opened
 
 
+def test_a_block_of_anchors_reads_a_row_once_and_finds_what_each_finds_alone():
+    r = np.random.default_rng(6)
+    x, label = r.integers(-40, 40, (900, 6)), r.integers(0, 3, 900)
+    anchors, seen, trees = np.arange(0, 900, 15), [], []
+    for c in range(3):
+        ids = np.flatnonzero(label == c)
+        ids = ids[str_order(x[ids])]
+        trees.append(Tree(c, ids, x[ids]))
+        plain = trees[-1].x
+        trees[-1].x = type("Counted", (), {"__getitem__": lambda self, rows, x=plain: seen.append(len(rows)) or x[rows], "dtype": plain.dtype, "shape": plain.shape})()
+    low, high = np.sort(r.integers(-9_000, 9_000, (2, len(anchors), 2)), axis=0)
+    low[:20, 1], high[:20, 1] = (1 << 63) - 1, -(1 << 63)  # no second window
+    windows = [Window(low[:, no], high[:, no], 5) for no in range(2)]
+    search(trees, x[anchors].astype(np.float64), anchors, windows, [label[anchors] != c for c in range(3)])
+    for no, w in enumerate(windows):
+        for k, a in enumerate(anchors):
+            score = x @ x[a]
+            want = sorted((-int(score[i]), i) for i in np.flatnonzero(label != label[a]) if low[k, no] <= score[i] <= high[k, no])[:5]
+            assert [(-int(s), int(i)) for s, i in zip(w.score[w.anchor == k], w.id[w.anchor == k], strict=True)] == want
+    assert sum(seen) <= len(x)
+
+
+def test_hard_negatives_of_rows_of_very_different_size_are_exact(spark):
+    """The score of the negative is odd and above 2^53: doubles hold both rows, but not their product."""
+    big, near, far = (1 << 29) + 1, (1 << 24) + 3, (1 << 24) + 1
+    df = spark.createDataFrame([(100, [big / 256], 1), (1, [near / 256], 1), (2, [far / 256], 2)], SCHEMA)
+    got = [tuple(r) for r in mine(df, df.vec_id == 100).collect()]
+    assert got == [(100, 1, 1, 2, big * near, big * far)]
+
+
 # Whitening
 
 
