@@ -176,8 +176,8 @@ def _packed(batches):
         x, names = np.concatenate(parts), np.concatenate(ids)
         order = str_order(x)
         return pa.RecordBatch.from_arrays(
-            [pa.array([dims], pa.int32()), pa.array([label], pa.int64()), pa.array([names[order].tobytes()]), pa.array([x[order].astype(np.int64).tobytes()])],
-            ["dims", "label", "ids", "x"],
+            [pa.array([dims], pa.int32()), pa.array([label], pa.int64()), pa.array([x.size], pa.int64()), pa.array([names[order].tobytes()]), pa.array([x[order].astype(np.int64).tobytes()])],
+            ["dims", "label", "size", "ids", "x"],
         )
 
     key, ids, parts, held = None, [], [], 0
@@ -294,18 +294,19 @@ def hard_negatives(
     """
     spark, folder = rows.sparkSession, work_folder(rows.sparkSession, "hard-negatives")
     e = vector_column(rows, "embedding")
-    whole = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & is_finite(e))
-    whole = whole.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("bigint").alias("label"), F.size(e).alias("dims"), F.transform(e, lambda v: F.floor(v.cast("double") * scale)).alias("x"), is_anchor.alias("anchor"))
-    whole = whole.withColumn("at", F.get("x", F.lit(0)))
+    fit = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & is_finite(e)
+    columns = F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("bigint").alias("label"), F.size(e).alias("dims"), F.transform(e, lambda v: F.floor(v.cast("double") * scale)).alias("x")
     order = ["dims", "label", "at", "vec_id"]
-    packed = whole.repartitionByRange(*order).sortWithinPartitions(*order).select("vec_id", "label", "x").mapInArrow(_packed, "dims int, label long, ids binary, x binary")
+    whole = rows.where(fit).select(*columns).withColumn("at", F.get("x", F.lit(0)))
+    packed = whole.repartitionByRange(*order).sortWithinPartitions(*order).select("vec_id", "label", "x").mapInArrow(_packed, "dims int, label long, size long, ids binary, x binary")
     packed = stored(packed.withColumn("key", F.monotonically_increasing_id()), folder, "tiles")
-    count, values = packed.agg(F.count("*"), F.sum(F.length("x") / 8)).first()
+    count, values = packed.agg(F.count("*"), F.sum("size")).first()
     groups = max(1, min(count, max(-(-int(values or 0) // GROUP_VALUES), spark.sparkContext.defaultParallelism)))
     numbered = number_rows(packed.select("key", "dims", "label"), [F.col("key")], [("__part", F.shiftright("key", 33))], name="no")
     homes = stored(numbered.select("key", "dims", "label", ((F.col("no") - 1) % groups).cast("int").alias("g")), folder, "homes")
     tiles = packed.join(homes.select("key", "g"), "key")
-    anchors = whole.where("anchor").groupBy("vec_id").agg(F.min(F.struct("label", "dims", "x")).alias("a")).select("vec_id", "a.*")
+    # The cheap filter first: of other rows no component is looked at.
+    anchors = rows.where(is_anchor).where(fit).select(*columns).groupBy("vec_id").agg(F.min(F.struct("label", "dims", "x")).alias("a")).select("vec_id", "a.*")
     anchors = stored(anchors.mapInArrow(_as_bytes, "vec_id long, label long, dims int, x binary"), folder, "anchors")
     # Positives: only groups that hold tiles of the anchor's label.
     own = anchors.join(homes.select("dims", "label", "g").distinct(), ["dims", "label"]).withColumn("scores", F.lit(None).cast("array<bigint>"))
